@@ -13,8 +13,9 @@ travels once, as one piece of text, not WINDOW times.
    Only seeds that occur in two documents can hold a repeat; texts are needed
    for their runs alone. Documents whose whole word sequence an earlier one
    has are settled by digest and take no further part.
-2. A group with at most GROUP runs meets in one task. Tasks take whole groups
-   up to BATCH_WORDS words, build the tree of all suffixes in them cut at
+2. Runs with equal text are one leaf of their group: all suffixes of a later
+   one go. A group with at most GROUP different runs meets in one task. Tasks
+   take whole groups up to BATCH_WORDS words, build the tree of all suffixes in them cut at
    depth WINDOW (sorted by names of doubled prefixes, Karp, Miller and
    Rosenberg 1972), and read the nodes at that depth: each is a repeat, with
    the smallest document below it.
@@ -43,8 +44,8 @@ from ._text import Words, grams, slices
 
 WINDOW = 50
 SEED = 12
-#: Runs of one seed that may meet in one task; beyond it the prefix is lengthened.
-GROUP = 2000
+#: Different runs of one seed that may meet in one task (about 10 MB of text); beyond it the prefix is lengthened.
+GROUP = 20_000
 BATCH_WORDS = 1 << 20
 LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -98,42 +99,49 @@ def _scan(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _runs(hits: DataFrame, window: int, seed: int) -> DataFrame:
-    """From (d, text, places, hot): runs of suffixes with a shared seed (body), and windows of hot seeds (digest)."""
+    """From (d, tag, text, places): the runs of suffixes with a shared seed, as one body each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column(2))
                 h = w.hashes()
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(7)]
                 for i in range(len(w.n)):
                     a = int(w.ptr[i])
                     x = h[a : w.ptr[i + 1]]
                     at = seeds_of(x, window, seed)
-                    places, hot = part.column(3)[i].values.to_numpy(), part.column(4)[i].values.to_numpy(zero_copy_only=False)
-                    order = np.argsort(places)
-                    places, hot = places[order], hot[order]
                     edge = np.flatnonzero(at[1:] != at[:-1]) + 1
                     key = grams(x, seed).view(np.int64)
                     d, tag = part.column(0)[i].as_py(), part.column(1)[i].as_py()
+                    wanted = set(part.column(3)[i].values.to_pylist())
                     for s, e in zip(np.concatenate([[0], edge]).tolist(), np.concatenate([edge, [len(at)]]).tolist(), strict=True):
                         p = int(at[s])
-                        k = int(np.searchsorted(places, p))
-                        if k == len(places) or places[k] != p:
-                            continue
-                        ws, we = w.ws[a + s : a + e - 1 + window], w.we[a + s : a + e - 1 + window]
-                        if not hot[k]:
-                            body = w.data[ws[0] : we[-1]].tobytes()
-                            for c, v in zip(out, (int(key[p]), d, tag, s, body, None), strict=True):
+                        if p in wanted:
+                            body = b" ".join([w.data[u:v].tobytes() for u, v in zip(w.ws[a + s : a + e - 1 + window].tolist(), w.we[a + s : a + e - 1 + window].tolist(), strict=True)])
+                            for c, v in zip(out, (int(key[p]), d, tag, s, e - 1 + window, hashlib.blake2b(body, digest_size=16).digest(), body), strict=True):
                                 c.append(v)
-                            continue
-                        for q in range(e - s):
-                            flat = b" ".join(w.data[ws[r] : we[r]].tobytes() for r in range(q, q + window))
-                            for c, v in zip(out, (int(key[p]), d, tag, s + q, None, hashlib.blake2b(flat, digest_size=16).digest()), strict=True):
-                                c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["seed", "d", "tag", "start", "body", "digest"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["seed", "d", "tag", "start", "stop", "digest", "body"])
+
+    return hits.mapInArrow(run, "seed long, d long, tag long, start int, stop int, digest binary, body binary")
+
+
+def _windows(runs: DataFrame, window: int) -> DataFrame:
+    """The suffixes of (d, tag, start, body) one by one, as the digest of their whole prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "body"):
+                out: list[list] = [[] for _ in range(4)]
+                for d, tag, start, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    words = body.split(b" ")
+                    for q in range(len(words) - window + 1):
+                        for c, v in zip(out, (d, tag, start + q, hashlib.blake2b(b" ".join(words[q : q + window]), digest_size=16).digest()), strict=True):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["d", "tag", "start", "digest"])
 
-    return hits.mapInArrow(run, "seed long, d long, tag long, start int, body binary, digest binary")
+    return runs.select("d", "tag", "start", "body").mapInArrow(run, "d long, tag long, start int, digest binary")
 
 
 def deep_nodes(names: np.ndarray, depth: int) -> np.ndarray:
@@ -236,16 +244,21 @@ def covers(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group: int =
     at = scan.where("seed is not null").select("seed", "d", "tag", F.col("n").alias("at"))
     shared = written(at.groupBy("seed").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("count")).where("lo < hi").select("seed", "count"), "shared")
     hits = lookup(at, shared, "seed", "count", F.struct("d", "tag", "at"), "inner")
-    per = hits.groupBy("d", "tag").agg(F.collect_list("at").alias("places"), F.collect_list(F.col("count") > group).alias("hot"))
+    per = hits.groupBy("d", "tag").agg(F.collect_list("at").alias("places"))
     per = written(per.join(heads.where("d = first").select("d", "tag"), ["d", "tag"], "left_semi"), "hits")
     forget(scan)
-    # One row of each text is enough: repeated rows are equal.
-    runs = written(_runs(texts.join(per, ["d", "tag"]).select("d", "tag", "text", "places", "hot"), window, seed), "runs")
-    cold = _trees(runs.where("body is not null").select("seed", "d", "tag", "start", "body"), window)
-    wide = runs.where("digest is not null").select("digest", "d", "tag", "start")
-    low = written(wide.groupBy("digest").agg(F.min("d").alias("lo"), F.count("*").alias("count")), "long-prefixes")
+    runs = written(_runs(texts.join(per, ["d", "tag"]).select("d", "tag", "text", "places"), window, seed), "runs")
+    # Equal runs: all suffixes of a later one start in the first one's document too.
+    equal = written(runs.groupBy("digest").agg(F.min("d").alias("lo"), F.count("*").alias("count")), "equal")
+    later = lookup(runs.select("digest", "d", "tag", "start", "stop"), equal, "digest", "count", F.struct("d", "start"), "inner").where("lo < d").select("d", "tag", F.col("start").alias("a"), F.col("stop").alias("b"))
+    firsts = runs.join(equal.select("digest", F.col("lo").alias("d")), ["digest", "d"], "left_semi")
+    large = written(firsts.groupBy("seed").count(), "groups")
+    firsts = written(lookup(firsts.select("seed", "d", "tag", "start", "body"), large, "seed", "count", F.struct("d", "start")).where("count > 1"), "firsts")
+    cold = _trees(firsts.where(F.col("count") <= group).select("seed", "d", "tag", "start", "body"), window)
+    wide = _windows(firsts.where(F.col("count") > group), window)
+    low = written(wide.groupBy("digest").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("count")).where("lo < hi").drop("hi"), "long-prefixes")
     hot = lookup(wide, low, "digest", "count", F.struct("d", "tag", "start"), "inner").where("lo < d").select("d", "tag", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
-    return heads, written(cold.unionByName(hot), "spans")
+    return heads, written(cold.unionByName(hot).unionByName(later), "spans")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group: int = GROUP) -> DataFrame:
