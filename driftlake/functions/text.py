@@ -1,0 +1,309 @@
+"""Text, name and version functions as columns; lexers that count brackets as pandas UDFs."""
+
+from __future__ import annotations
+
+import difflib
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import vocab
+
+WORD = r"[\p{L}\p{N}_]"
+
+
+# ---- names and versions
+
+
+def bounded(text: Column, term: str) -> Column:
+    """Whether term occurs in text, not inside a longer identifier. The plain test comes first: it is cheap and rarely passes."""
+    c = vocab.IDENT
+    return text.contains(term) & text.rlike(f"(?<![{c}])\\Q{term}\\E(?![{c}])")
+
+
+def matching_terms(text: Column, terms: list[str] | None = None) -> Column:
+    """The terms that occur in text, in their order."""
+    return F.filter(F.array(*[F.when(bounded(text, t), F.lit(t)) for t in terms or vocab.TARGETS]), lambda x: x.isNotNull())
+
+
+def name_pattern(name: Column) -> Column:
+    """A pattern for name as a whole dotted identifier: a lower-case projection may follow, a longer or dotted upper-case name not."""
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}_.'!?])\Q"), name, F.lit(r"\E(?![\p{L}\p{N}_'!?])(?!\.[A-Z])"))
+
+
+def replace_name(text: Column, old: Column, new: Column) -> Column:
+    """Every whole-identifier occurrence of old replaced by new."""
+    return F.regexp_replace(text, name_pattern(old), F.regexp_replace(new, F.lit(r"([\\$])"), F.lit(r"\\$1")))
+
+
+def strip_bom(text: Column) -> Column:
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
+def valid_version(v: Column) -> Column:
+    return v.rlike(r"^\d+\.\d+\.\d+(-.*)?$")
+
+
+def version(v: Column) -> Column:
+    """(major, minor, patch, final): final is 0 for a suffixed version, which comes before the plain one."""
+    parts = F.split(F.substring_index(v, "-", 1), r"\.")
+    num = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("int"), F.lit(0))
+    return F.struct(num(1).alias("major"), num(2).alias("minor"), num(3).alias("patch"), F.when(v.contains("-"), 0).otherwise(1).alias("final"), v.alias("text"))
+
+
+def position(v: Column) -> Column:
+    """Zero-based (line, column) of a struct with one-based line and column."""
+    return F.struct(F.greatest(v["line"] - 1, F.lit(0)).alias("line"), v["column"].alias("column"))
+
+
+def is_identifier(t: Column) -> Column:
+    return t.rlike(r"^[\p{L}_][\p{L}\p{N}_'.!?]*$")
+
+
+def is_namespace(c: Column) -> Column:
+    return c.rlike(r"^\p{Lu}")
+
+
+def namespace_move(a: Column, b: Column) -> Column:
+    """Whether b is a moved to another namespace, by the upper-camel convention."""
+    x, y = F.split(a, r"\."), F.split(b, r"\.")
+    n, m = F.size(x), F.size(y)
+    upper = lambda v: F.forall(v, is_namespace)
+    long, short = F.when(n >= m, x).otherwise(y), F.when(n >= m, y).otherwise(x)
+    d = F.abs(n - m)
+    tail = F.slice(long, d + 1, F.greatest(F.size(short), F.lit(1))) == short
+    differ = F.zip_with(F.slice(x, 1, n - 1), F.slice(y, 1, m - 1), lambda p, q: (p == q) | (is_namespace(p) & is_namespace(q)))
+    same_size = (upper(x) & upper(y)) | ((n >= 2) & (F.element_at(x, -1) == F.element_at(y, -1)) & F.forall(differ, lambda ok: ok))
+    return F.when(n != m, tail & upper(F.slice(long, 1, d))).otherwise(same_size)
+
+
+def short_hash(*parts: Column, n: int = 16) -> Column:
+    """First n digits of SHA-1 over the NUL-joined parts."""
+    return F.substring(F.sha1(F.concat_ws("\u0000", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary")), 1, n)
+
+
+# ---- messages
+
+# Run-specific parts of messages, in order, and what stands for each.
+SCRUBS = [
+    ("[A-Za-z_][A-Za-z0-9_'!?]*\u271d[\u00b9\u00b2\u00b3\u2070-\u2079]*", "\u2039inacc\u203a"),
+    (r"\?m\.[0-9]+", "?m.\u2039n\u203a"),
+    (r"\?u\.[0-9]+", "?u.\u2039n\u203a"),
+    (r"\._@\.[A-Za-z0-9_.]+\._hyg\.[0-9]+", ".\u2039hyg\u203a"),
+    (r"\._hyg\.[0-9]+", ".\u2039hyg\u203a"),
+    (r"\bu_[0-9]+\b", "u_\u2039n\u203a"),
+    (r"(/[A-Za-z0-9_.\-+]+)+/([A-Za-z0-9_.\-+]+\.lean)", "$2"),
+    (r"\b[0-9]+ heartbeats?\b", "\u2039n\u203a heartbeats"),
+    (r"\b[0-9]+(\.[0-9]+)?\s?(ms|s|MB|KB|GB)\b", "\u2039n\u203a$2"),
+    (r"\b(match|proof|eq|fun)_[0-9]+\b", "$1_\u2039n\u203a"),
+]
+TRAILERS = r"(?m)^(Hint|Note|Explanation|Additional information)\s*:"
+
+
+def scrub(text: Column) -> Column:
+    """Run-specific parts out, line ends and blank lines trimmed."""
+    for pattern, to in SCRUBS:
+        text = F.regexp_replace(text, pattern, to)
+    text = F.regexp_replace(text, r"[ \t\r\f\x0B]+(?=\n|$)", "")
+    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
+    return F.regexp_replace(text, r"^\n+|\n+$", "")
+
+
+def split_message(text: Column) -> Column:
+    """(head, payload, trailers): payload begins at the first indented line after a head line; trailers are labels of the sections that follow."""
+    trailers = F.regexp_extract_all(text, F.lit(TRAILERS), F.lit(1))
+    at = F.regexp_instr(text, F.lit(TRAILERS))
+    body = F.rtrim(F.regexp_replace(F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text), r"\s+$", ""))
+    lines = F.split(body, "\n", -1)
+    marks = F.transform(lines, lambda x, i: x.rlike("^(  |\t)") & (i > 0))
+    first = F.array_position(marks, True)
+    cut = F.when(first > 0, first - 1).otherwise(F.size(lines)).cast("int")
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    head = trim(F.array_join(F.slice(lines, F.lit(1), cut), "\n"))
+    payload = trim(F.array_join(F.when(cut < F.size(lines), F.slice(lines, cut + 1, F.size(lines))).otherwise(F.array().cast("array<string>")), "\n"))
+    return F.struct(head.alias("head"), payload.alias("payload"), trailers.alias("trailers"))
+
+
+def payload_shape(p: Column) -> Column:
+    goals = F.length(p) - F.length(F.replace(p, F.lit("\u22a2"), F.lit("")))
+    return (
+        F.when(p == "", "none").when(goals == 1, "goal:1").when(goals > 1, "goal:n").when(p.rlike(r"(?m)^\s*case\s"), "cases")
+        .when(~p.contains("\n"), "term:1").otherwise("term:n")
+    )
+
+
+PROSE_TOKEN = r"`[^`]*`|\u2039[a-z]+\u203a|[A-Za-z_][A-Za-z0-9_.'!?]*|[0-9]+|\S"
+
+
+def prose_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PROSE_TOKEN), F.lit(0))
+
+
+def bucket_key(severity: Column, error_name: Column, tokens: Column) -> Column:
+    """Templates of different buckets never merge: by name if there is one, else by a quarter of the length and the first two tokens."""
+    rest = F.concat_ws("\u0001", severity, F.floor(F.size(tokens) / 4).cast("string"), F.array_join(F.slice(tokens, 1, 2), "\u0002"))
+    return F.when(F.nullif(error_name, F.lit("")).isNotNull(), F.concat_ws("\u0001", severity, F.lit("name"), error_name)).otherwise(rest)
+
+
+def fingerprint(template: Column, hole_kinds: Column, severity: Column, error_name: Column, trailers: Column, shape: Column) -> Column:
+    """By name and severity if the message is named, else by its form."""
+    form = F.sha1(F.to_json(F.struct(template.alias("t"), hole_kinds.alias("h"), severity.alias("s"), trailers.alias("k"), shape.alias("p"))).cast("binary"))
+    return F.when(F.nullif(error_name, F.lit("")).isNotNull(), F.substring(F.sha1(F.concat(F.lit("name:"), error_name, F.lit("|"), severity).cast("binary")), 1, 20)).otherwise(F.substring(form, 1, 20))
+
+
+def classify_error(text: Column) -> Column:
+    return vocab.first_match(vocab.ERROR_PATTERNS, text, vocab.OTHER_ERROR)
+
+
+# ---- code
+
+
+def strip_comments(src: Column) -> Column:
+    src = F.regexp_replace(src, r"(?s)/--.*?-/", " ")
+    src = F.regexp_replace(src, r"(?s)/-(?!-).*?-/", " ")
+    return F.regexp_replace(src, r"--[^\n]*", "")
+
+
+def normalize(src: Column, comments: bool = False) -> Column:
+    """Comments out (unless kept) and white space collapsed."""
+    return F.trim(F.regexp_replace(src if comments else strip_comments(src), r"\s+", " "))
+
+
+def notes(text: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(r"(?s)#adaptation_note\s*/--(.*?)-/"), F.lit(1))
+    return F.filter(F.transform(found, lambda n: F.trim(F.regexp_replace(n, r"\s+", " "))), lambda n: n != "")
+
+
+def options(text: Column) -> Column:
+    pattern = r"set_option\s+([\p{L}\p{N}_.]+)\s+(\S+)"
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"))
+
+
+def imports(text: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?m)^\s*import\s+([\p{L}\p{N}_.]+)"), F.lit(1))))
+
+
+def opened(text: Column) -> Column:
+    """Names that ``open`` lines open, sorted, repeats kept."""
+    lines = F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*open[ \t]+(?:scoped[ \t]+)?(.+?)(?:[ \t]+in)?[ \t]*$"), F.lit(1))
+    return F.array_sort(F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, r"\s+"))), lambda n: ~n.isin("in", "scoped", "")))
+
+
+def tactics(text: Column) -> Column:
+    """Tactic names anywhere in code, in order."""
+    return F.filter(F.regexp_extract_all(strip_comments(text), F.lit(r"[a-z_][\p{L}\p{N}_']*"), F.lit(0)), lambda t: t.isin(vocab.TACTICS))
+
+
+def tactic_heads(text: Column) -> Column:
+    """Tactic names that begin a line or a step."""
+    steps = F.split(text, r"\n|;|<;>|\bthen\b")
+    heads = F.transform(steps, lambda s: F.regexp_extract(s, r"^\s*(?:·\s*|\.\s+)?([a-z_][\p{L}\p{N}_']*)", 1))
+    return F.filter(heads, lambda t: t.isin(vocab.TACTICS))
+
+
+def added_lines(pre: Column, post: Column) -> Column:
+    """Lines of post whose trimmed text is no line of pre."""
+    have = F.transform(F.split(pre, "\n", -1), F.trim)
+    return F.array_join(F.filter(F.split(post, "\n", -1), lambda x: ~F.array_contains(have, F.trim(x))), "\n")
+
+
+_CODE = re.compile(r"""(?P<doc>/--.*?-/|/-.*?-/|--[^\n]*)|"(?:\\.|[^"\\])*"|<;>|:=|=>|->|<-|\|>\.|\.\.|\|>|<\||(?:[^\W]|[_'!?])+(?:\.(?:[^\W]|[_'!?])+)*|\S""", re.S)
+
+
+def lex(src: str) -> list[str]:
+    """Tokens of code: dotted names whole, strings whole, comments left out."""
+    return [m.group() for m in _CODE.finditer(src) if not m.group("doc")]
+
+
+def top_level(s: str) -> list[str]:
+    """Parts between commas that no bracket encloses."""
+    out, depth, start = [], 0, 0
+    for i, ch in enumerate(s):
+        depth += (ch in "([{⟨") - (ch in ")]}⟩")
+        if ch == "," and not depth:
+            out.append(s[start:i])
+            start = i + 1
+    return [p for p in (x.strip() for x in [*out, s[start:]]) if p]
+
+
+_CALL = re.compile(rf"\b({'|'.join(vocab.SIMP_FAMILY)})\b(\s+only)?\s*(?:\[([^\]]*)(?:\]|\Z))?")
+
+
+@F.pandas_udf("array<struct<tactic:string,only:boolean,args:array<string>>>")
+def lemma_calls(text: pd.Series) -> pd.Series:
+    """Calls that take lemma lists; a list cut off by the end of the text still counts."""
+    return text.map(lambda t: [{"tactic": m[1], "only": bool(m[2]), "args": top_level(m[3] or "")} for m in _CALL.finditer(t or "")])
+
+
+@F.pandas_udf("array<string>")
+def attributes(text: pd.Series) -> pd.Series:
+    """Attributes, also ones nested in an ``attr :=`` argument; a block cut off by the end of the text still counts."""
+
+    def one(t: str) -> list[str]:
+        out: list[str] = []
+        for block in re.findall(r"@\[([^\]]*)", t or ""):
+            for a in top_level(block):
+                out.append(a)
+                inner = re.search(r"attr\s*:=\s*(.*)", a, re.S)
+                out += top_level(inner[1].strip().rstrip(")")) if inner else []
+        return out
+
+    return text.map(one)
+
+
+@F.pandas_udf("array<struct<old:string,new:string>>")
+def substitutions(pre: pd.Series, post: pd.Series) -> pd.Series:
+    """One-for-one token replacements that turn pre into post and are consistent; empty if the edit is anything else."""
+
+    def one(a: str, b: str) -> list[dict]:
+        x, y = lex(a or ""), lex(b or "")
+        to: dict[str, str] = {}
+        for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+            if tag == "equal":
+                continue
+            if tag != "replace" or j - i != m - k or any(to.setdefault(p, q) != q for p, q in zip(x[i:j], y[k:m], strict=True) if p != q):
+                return []
+        return [{"old": p, "new": q} for p, q in sorted(to.items())]
+
+    return pd.Series([one(a, b) for a, b in zip(pre, post, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def attribute_role(text: pd.Series, token: pd.Series) -> pd.Series:
+    """``name`` if token first stands as an attribute's name, ``argument`` if inside an attribute, else null."""
+
+    def one(t: str, k: str) -> str | None:
+        for m in re.finditer(re.escape(k or ""), t or "") if k else ():
+            before = t[: m.start()]
+            if before.rfind("@[") > before.rfind("]") or re.search(r"attr\s*:=[^)]*$", before):
+                return "name" if re.search(r"(?:@\[|attr\s*:=|,)\s*$", before) else "argument"
+        return None
+
+    return pd.Series([one(t, k) for t, k in zip(text, token, strict=True)])
+
+
+_LEMMA = r"(?:←\s*|-\s*|↑\s*)?[^\W\d][\w.'!?₀-₉]*(?:\s+[\w.'!?₀-₉]+)*"
+_LEMMAS = re.compile(rf"^\[?\s*({_LEMMA}(?:\s*,\s*{_LEMMA})*)\s*,?\s*\]?(?:\s+at\s+[\w'⊢*\s]+)?\s*$")
+
+
+@F.pandas_udf("array<string>")
+def lemma_fragment(code: pd.Series) -> pd.Series:
+    """Names of a bare lemma list without its tactic (code without comments); null if it is anything else."""
+    names = set(vocab.TACTICS)
+
+    def one(t: str) -> list[str] | None:
+        s = " ".join((t or "").split())
+        if not ("]" in s or "," in s) or names & set(re.findall(r"[a-z_][\w']*", s.split("[")[0])):
+            return None
+        m = _LEMMAS.match(s)
+        return top_level(m[1]) if m else None
+
+    return code.map(one)
+
+
+def similarity(a: str, b: str) -> float:
+    """Ratcliff-Obershelp ratio."""
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
