@@ -29,3 +29,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from .plans import queries as _plans  # noqa: E402, F401  fills the registry

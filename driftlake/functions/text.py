@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .. import vocab
 
-WORD = r"[\p{L}\p{N}_]"
+STRINGS = T.ArrayType(T.StringType())
 
 
 # ---- names and versions
@@ -232,13 +232,13 @@ def top_level(s: str) -> list[str]:
 _CALL = re.compile(rf"\b({'|'.join(vocab.SIMP_FAMILY)})\b(\s+only)?\s*(?:\[([^\]]*)(?:\]|\Z))?")
 
 
-@F.pandas_udf("array<struct<tactic:string,only:boolean,args:array<string>>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tactic", T.StringType()), T.StructField("only", T.BooleanType()), T.StructField("args", STRINGS)])))
 def lemma_calls(text: pd.Series) -> pd.Series:
     """Calls that take lemma lists; a list cut off by the end of the text still counts."""
     return text.map(lambda t: [{"tactic": m[1], "only": bool(m[2]), "args": top_level(m[3] or "")} for m in _CALL.finditer(t or "")])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(STRINGS)
 def attributes(text: pd.Series) -> pd.Series:
     """Attributes, also ones nested in an ``attr :=`` argument; a block cut off by the end of the text still counts."""
 
@@ -254,7 +254,7 @@ def attributes(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("array<struct<old:string,new:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("old", T.StringType()), T.StructField("new", T.StringType())])))
 def substitutions(pre: pd.Series, post: pd.Series) -> pd.Series:
     """One-for-one token replacements that turn pre into post and are consistent; empty if the edit is anything else."""
 
@@ -289,7 +289,7 @@ _LEMMA = r"(?:←\s*|-\s*|↑\s*)?[^\W\d][\w.'!?₀-₉]*(?:\s+[\w.'!?₀-₉]+)
 _LEMMAS = re.compile(rf"^\[?\s*({_LEMMA}(?:\s*,\s*{_LEMMA})*)\s*,?\s*\]?(?:\s+at\s+[\w'⊢*\s]+)?\s*$")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(STRINGS)
 def lemma_fragment(code: pd.Series) -> pd.Series:
     """Names of a bare lemma list without its tactic (code without comments); null if it is anything else."""
     names = set(vocab.TACTICS)

@@ -43,7 +43,6 @@ def rule(priority: int, name: str) -> Callable:
 
 
 C = F.col
-PRE, POST = C("pre"), C("post")
 
 
 def out(labels: Column | list[str | None], confidence: float | Column) -> Outcome:
@@ -66,8 +65,8 @@ def _formatting() -> Outcome:
 
 @rule(95, "adaptation_note")
 def _note() -> Outcome:
-    bare = X.normalize(F.replace(POST, F.lit("#adaptation_note"), F.lit(" ")))
-    return fires(POST.contains("#adaptation_note") & (bare == C("norm_pre")), ["meta.adaptation_note"], 0.95)
+    bare = X.normalize(F.replace(C("post"), F.lit("#adaptation_note"), F.lit(" ")))
+    return fires(C("post").contains("#adaptation_note") & (bare == C("norm_pre")), ["meta.adaptation_note"], 0.95)
 
 
 @rule(90, "set_option")
@@ -98,12 +97,12 @@ def _attribute() -> Outcome:
 
 @rule(84, "import")
 def _import() -> Outcome:
-    return fires(X.imports(PRE) != X.imports(POST), ["rename.import"], 0.9)
+    return fires(X.imports(C("pre")) != X.imports(C("post")), ["rename.import"], 0.9)
 
 
 @rule(83, "open")
 def _open() -> Outcome:
-    return fires(X.opened(PRE) != X.opened(POST), ["rename.open_scope"], 0.9)
+    return fires(X.opened(C("pre")) != X.opened(C("post")), ["rename.open_scope"], 0.9)
 
 
 def _lemmas(add: Column, rem: Column) -> Column:
@@ -145,14 +144,14 @@ def _rename() -> Outcome:
 @rule(70, "universe")
 def _universe() -> Outcome:
     braces = r"\.\{[^}]*\}"
-    return fires((C("added").rlike(braces) | C("added").rlike(r"\bType\s+u\b")) & ~PRE.rlike(braces), ["elab.universe"], 0.7)
+    return fires((C("added").rlike(braces) | C("added").rlike(r"\bType\s+u\b")) & ~C("pre").rlike(braces), ["elab.universe"], 0.7)
 
 
 @rule(68, "argument")
 def _argument() -> Outcome:
     named = r"\(\s*[\p{L}\p{N}_']+\s*:=\s*"
     parens = lambda c: F.length(c) - F.length(F.replace(c, F.lit("("), F.lit("")))
-    return F.when(C("added").rlike(named) & ~PRE.rlike(named), out(["elab.named_argument"], 0.75)).when(C("added").rlike(r"\([^()]+\s:\s[^()]+\)") & (F.trim(PRE) != "") & (parens(POST) > parens(PRE)), out(["elab.type_ascription"], 0.6))
+    return F.when(C("added").rlike(named) & ~C("pre").rlike(named), out(["elab.named_argument"], 0.75)).when(C("added").rlike(r"\([^()]+\s:\s[^()]+\)") & (F.trim(C("pre")) != "") & (parens(C("post")) > parens(C("pre"))), out(["elab.type_ascription"], 0.6))
 
 
 @rule(66, "coercion")
@@ -167,8 +166,8 @@ def _binder() -> Outcome:
     shapes = [(r"fun\s*[⟨(]", r"fun\s*\|"), (r"∀\s*[\p{L}\p{N}_]+\s*[><≤≥∈]", r"∀\s*[\p{L}\p{N}_]+,\s*[\p{L}\p{N}_]+\s*[><≤≥∈]"), (r"⟨[^⟩]*⟩", r"\{\s*[\p{L}\p{N}_]+\s*:=")]
     hit = F.lit(False)
     for old, new in shapes:
-        hit = hit | (PRE.rlike(old) & POST.rlike(new) & ~PRE.rlike(new))
-    return F.when(hit, out(["elab.binder_syntax"], 0.6)).when(PRE.contains("⟨") & POST.rlike(r"\bwhere\b|\{\s*[\p{L}\p{N}_]+\s*:="), out(["elab.structure_instance"], 0.55))
+        hit = hit | (C("pre").rlike(old) & C("post").rlike(new) & ~C("pre").rlike(new))
+    return F.when(hit, out(["elab.binder_syntax"], 0.6)).when(C("pre").contains("⟨") & C("post").rlike(r"\bwhere\b|\{\s*[\p{L}\p{N}_]+\s*:="), out(["elab.structure_instance"], 0.55))
 
 
 def _shift(a: Column, b: Column, both: float, one: float) -> Outcome:
@@ -178,12 +177,12 @@ def _shift(a: Column, b: Column, both: float, one: float) -> Outcome:
 
 @rule(62, "inline_tactic")
 def _inline() -> Outcome:
-    return _shift(X.tactics(PRE), X.tactics(POST), 0.65, 0.6)
+    return _shift(X.tactics(C("pre")), X.tactics(C("post")), 0.65, 0.6)
 
 
 @rule(60, "tactic_shape")
 def _shape() -> Outcome:
-    return _shift(X.tactic_heads(PRE), X.tactic_heads(POST), 0.6, 0.55)
+    return _shift(X.tactic_heads(C("pre")), X.tactic_heads(C("post")), 0.6, 0.55)
 
 
 @rule(10, "fallback")
@@ -191,7 +190,7 @@ def _fallback() -> Outcome:
     a, b = C("norm_pre"), C("norm_post")
     rest = F.when(a.contains(" "), F.substring(a, F.instr(a, " ") + 1, F.length(a))).otherwise(a)
     inside = lambda p: (F.length(p) >= 6) & b.contains(p)
-    some = (F.trim(PRE) != "") & (F.trim(POST) != "")
+    some = (F.trim(C("pre")) != "") & (F.trim(C("post")) != "")
     return F.when(some & (a != "") & (inside(a) | inside(rest)), out(["auto.term_wrapped"], 0.45)).when(some, out(["auto.proof_rewrite"], 0.3))
 
 
@@ -200,9 +199,9 @@ def context(edits: DataFrame) -> DataFrame:
     d = edits.withColumn("pre", F.coalesce("pre", F.lit(""))).withColumn("post", F.coalesce("post", F.lit("")))
     if "ctx_before" not in d.columns:
         d = d.withColumn("ctx_before", F.array().cast("array<string>"))
-    d = d.withColumns({"norm_pre": X.normalize(PRE), "norm_post": X.normalize(POST), "added": X.added_lines(PRE, POST), "removed": X.added_lines(POST, PRE)})
-    d = d.withColumns({"attr_pre": X.attributes(PRE), "attr_post": X.attributes(POST), "calls_pre": X.lemma_calls(PRE), "calls_post": X.lemma_calls(POST), "frag_pre": X.lemma_fragment(X.strip_comments(PRE)), "frag_post": X.lemma_fragment(X.strip_comments(POST)), "subs": X.substitutions(PRE, POST)})
-    return d.withColumn("role", X.attribute_role(PRE, F.try_element_at(F.transform("subs", lambda x: x["old"]), F.lit(1))))
+    d = d.withColumns({"norm_pre": X.normalize(C("pre")), "norm_post": X.normalize(C("post")), "added": X.added_lines(C("pre"), C("post")), "removed": X.added_lines(C("post"), C("pre"))})
+    d = d.withColumns({"attr_pre": X.attributes(C("pre")), "attr_post": X.attributes(C("post")), "calls_pre": X.lemma_calls(C("pre")), "calls_post": X.lemma_calls(C("post")), "frag_pre": X.lemma_fragment(X.strip_comments(C("pre"))), "frag_post": X.lemma_fragment(X.strip_comments(C("post"))), "subs": X.substitutions(C("pre"), C("post"))})
+    return d.withColumn("role", X.attribute_role(C("pre"), F.try_element_at(F.transform("subs", lambda x: x["old"]), F.lit(1))))
 
 
 def classify(edits: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
