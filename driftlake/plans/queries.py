@@ -89,7 +89,7 @@ causes AS (
 
 
 def _snapshots(spark: S, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.year("o_orderdate").alias("release"), F.col("o_custkey").alias("n"), "o_orderpriority", "o_orderstatus")
+    o = table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("release"), F.col("o_custkey").alias("n"), "o_orderpriority", "o_orderstatus")
     both = F.concat_ws("|", "o_orderpriority", "o_orderstatus")
     return o.groupBy("release", "n").agg(
         F.max("o_orderpriority").alias("k"), F.count("*").alias("ar"), F.array_join(F.array_sort(F.collect_list("o_orderstatus")), "").alias("bi"),
@@ -98,7 +98,7 @@ def _snapshots(spark: S, d: str) -> DataFrame:
 
 
 def _hops(spark: S, d: str) -> DataFrame:
-    return snapshot.pairs_of(table(spark, d, "orders").select(F.year("o_orderdate").alias("release")), F.col("release"))
+    return snapshot.pairs_of(table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("release")), F.col("release"))
 
 
 def _sides(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +137,7 @@ def diff_renamed(spark: S, d: str) -> DataFrame:
     return snapshot.renames(b.join(t, key, "left_anti"), t.join(b, key, "left_anti")).select("base", "target", "n", "to", "claimants")
 
 
-CAT = """c AS (SELECT p_size > 25 AS half, p_brand AS n, list(DISTINCT p_type) AS lead, list(DISTINCT split_part(p_name, ' ', 1)) AS kinds FROM part WHERE p_partkey % 3 <> 0 OR p_size > 25 GROUP BY ALL)"""
+CAT = """c AS (SELECT p_size > 25 AS half, p_brand || '/' || p_type AS n, list(DISTINCT p_name) AS lead, list(DISTINCT split_part(p_name, ' ', 1)) AS kinds FROM part GROUP BY ALL)"""
 
 
 @query(f"""WITH {CAT}, j AS (SELECT b.n, b.lead, b.kinds, t.n IS NULL AS gone, t.lead AS lead2, t.kinds AS kinds2 FROM (FROM c WHERE NOT half) b LEFT JOIN (FROM c WHERE half) t ON b.n = t.n)
@@ -145,7 +145,7 @@ SELECT n AS name, 'syntax.category-absent' AS cause, NULL::VARCHAR AS detail FRO
 UNION ALL SELECT n, 'syntax.token-absent', x FROM (SELECT n, unnest(list_filter(lead, lambda y: NOT list_contains(lead2, y))) AS x FROM j WHERE NOT gone)
 UNION ALL SELECT n, 'syntax.kind-absent', x FROM (SELECT n, unnest(list_filter(kinds, lambda y: NOT list_contains(kinds2, y))) AS x FROM j WHERE NOT gone)""")
 def diff_nested_sets(spark: S, d: str) -> DataFrame:
-    c = table(spark, d, "part").where("p_partkey % 3 <> 0 OR p_size > 25").groupBy((F.col("p_size") > 25).alias("half"), F.col("p_brand").alias("n")).agg(F.collect_set("p_type").alias("lead"), F.collect_set(F.substring_index("p_name", " ", 1)).alias("kinds"))
+    c = table(spark, d, "part").groupBy((F.col("p_size") > 25).alias("half"), F.concat_ws("/", "p_brand", "p_type").alias("n")).agg(F.collect_set("p_name").alias("lead"), F.collect_set(F.substring_index("p_name", " ", 1)).alias("kinds"))
     c = c.withColumns({"base": F.lit(0), "target": F.lit(1)})
     return snapshot.syntax(c.where("NOT half"), c.where("half")).select("name", "cause", "detail")
 
@@ -155,7 +155,7 @@ j AS (SELECT b.n, b.v, b.p, t.n IS NULL AS gone, t.v AS v2, t.p AS p2 FROM b LEF
 SELECT n AS name, CASE WHEN gone THEN 'option.absent' ELSE 'option.default-changed' END AS cause, CASE WHEN NOT gone THEN v || ' -> ' || v2 END AS detail FROM j WHERE gone OR v IS DISTINCT FROM v2
 UNION ALL SELECT n, CASE WHEN gone THEN 'instance.absent' ELSE 'instance.priority-changed' END, CASE WHEN NOT gone THEN p || ' -> ' || p2 END FROM j WHERE gone OR p IS DISTINCT FROM p2""")
 def diff_option_and_instance(spark: S, d: str) -> DataFrame:
-    s = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("release"), F.col("o_custkey").alias("n")).agg(F.max("o_orderpriority").alias("default"), F.count("*").alias("prio"))
+    s = table(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("release"), F.col("o_custkey").alias("n")).agg(F.max("o_orderpriority").alias("default"), F.count("*").alias("prio"))
     s = s.withColumns({"base": F.lit(1995), "target": F.lit(1996)})
     b, t = s.where("release = 1995"), s.where("release = 1996")
     return snapshot.option_causes(b, t).unionByName(snapshot.instance_causes(b, t)).select("name", "cause", "detail")
@@ -193,7 +193,7 @@ _ENDS = CAUSED.replace("pairs AS (SELECT * FROM rel WHERE target IS NOT NULL)",
 @query(f"WITH {_ENDS}, e AS (SELECT min(release) AS lo, max(release) AS hi FROM snap) SELECT cause, count(*) FILTER (NOT (base = lo AND target = hi)) AS chained, count(*) FILTER (base = lo AND target = hi) AS direct FROM causes, e GROUP BY cause")
 def endpoint_vs_chain(spark: S, d: str) -> DataFrame:
     s = _snapshots(spark, d)
-    p = snapshot.pairs_of(table(spark, d, "orders").select(F.year("o_orderdate").alias("release")), F.col("release"), endpoint=True)
+    p = snapshot.pairs_of(table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("release")), F.col("release"), endpoint=True)
     c = snapshot.constants(snapshot.side(s, p, "base"), snapshot.side(s, p, "target")).join(F.broadcast(p), ["base", "target"])
     return c.groupBy("cause").agg(F.count_if(F.col("kind") == "hop").alias("chained"), F.count_if(F.col("kind") == "span").alias("direct"))
 
@@ -201,7 +201,7 @@ def endpoint_vs_chain(spark: S, d: str) -> DataFrame:
 @query(f"""WITH {SNAP}, r AS (SELECT release, row_number() OVER (ORDER BY release) AS i FROM (SELECT DISTINCT release FROM snap)), p AS (SELECT n, min(i) AS a, max(i) AS z, count(*) AS k FROM snap JOIN r USING (release) GROUP BY n), m AS (SELECT count(*) AS m FROM r)
 SELECT n, a AS first, z AS last, k AS n_releases, a > 1 AND z < m AS mid_only, z - a + 1 > k AS restored FROM p, m""")
 def churn(spark: S, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.year("o_orderdate").alias("release")).distinct()
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.year("o_orderdate").cast("long").alias("release")).distinct()
     return snapshot.churn(o, "name", "release").select(F.col("name").alias("n"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.col("n").alias("n_releases"), "mid_only", "restored")
 
 
@@ -243,7 +243,7 @@ def header_parse(spark: S, d: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
-g AS (SELECT *, sum((length(t) % 3 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY line) AS id FROM l) SELECT doc_id, id, min(line) AS first_line, count(*) AS n_lines, sum(length(t))::BIGINT AS chars FROM g WHERE id > 0 GROUP BY doc_id, id""")
+g AS (SELECT *, (sum((length(t) % 3 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY line))::BIGINT AS id FROM l) SELECT doc_id, id, min(line) AS first_line, count(*) AS n_lines, sum(length(t))::BIGINT AS chars FROM g WHERE id > 0 GROUP BY doc_id, id""")
 def message_bodies(spark: S, d: str) -> DataFrame:
     l = readers.lines(table(spark, d, "documents"), keep=("doc_id",))
     g = l.withColumn("id", F.sum((F.length("text") % 3 == 0).cast("int")).over(Window.partitionBy("doc_id").orderBy("line")))
@@ -475,7 +475,7 @@ def _lines(spark: S, d: str) -> DataFrame:
 _LN = "l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS seq FROM documents), k AS (SELECT *, CASE length(text) % 4 WHEN 0 THEN '-' WHEN 1 THEN '+' ELSE ' ' END AS kind FROM l)"
 
 
-@query(f"""WITH {_LN}, c AS (SELECT *, lag(seq) OVER (PARTITION BY path ORDER BY seq) AS before FROM k WHERE kind <> ' '), g AS (SELECT *, sum((before IS NULL OR seq - before > 2)::INT) OVER (PARTITION BY path ORDER BY seq) AS run FROM c)
+@query(f"""WITH {_LN}, c AS (SELECT *, lag(seq) OVER (PARTITION BY path ORDER BY seq) AS before FROM k WHERE kind <> ' '), g AS (SELECT *, (sum((before IS NULL OR seq - before > 2)::INT) OVER (PARTITION BY path ORDER BY seq))::BIGINT AS run FROM c)
 SELECT path, run, min(seq)::BIGINT AS first_seq, count(*) FILTER (kind = '-') AS n_old, count(*) FILTER (kind = '+') AS n_new, max(seq) - min(seq) + 1 AS n_body FROM g GROUP BY path, run""")
 def hunk_runs(spark: S, d: str) -> DataFrame:
     h = hunks.hunks(hunks.numbered(_lines(spark, d)), gap=1)
@@ -558,10 +558,12 @@ def induce_rules(spark: S, d: str) -> DataFrame:
     return rules.induce(_edits(spark, d)).select("rule_id", "old", "new", "support", "files", "label")
 
 
-@query("""SELECT doc_id, regexp_replace(text, '\\bthe\\b', 'zz_the', 'g') AS forward FROM documents WHERE NOT regexp_matches(text, '[.''!?_0-9\\x{80}-\\x{10FFFF}]the\\b|\\bthe[''!?_0-9\\x{80}-\\x{10FFFF}]|\\bthe\\.[A-Z]|-the')""")
+_NAME = r"'(^|[^\p{L}\p{N}_.''!?])the(\.[^A-Z]|\.$|[^\p{L}\p{N}_''!?.]|$)', '\1zz_the\2', 'g'"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, {_NAME}), {_NAME}), {_NAME}) AS forward FROM documents")
 def apply_rules(spark: S, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(~F.col("text").rlike("[.'!?_0-9\\x{80}-\\x{10FFFF}]the\\b|\\bthe['!?_0-9\\x{80}-\\x{10FFFF}]|\\bthe\\.[A-Z]|-the"))
-    return docs.select("doc_id", rules.applied(F.col("text"), F.lit("subst"), F.lit("the"), F.lit("zz_the")).alias("forward"))
+    return table(spark, d, "documents").select("doc_id", rules.applied(F.col("text"), F.lit("subst"), F.lit("the"), F.lit("zz_the")).alias("forward"))
 
 
 @query()

@@ -56,4 +56,4 @@ def ranked(counts: DataFrame, silent: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     every = Window.partitionBy(F.lit(1))
-    return counts.select("cause", "count", F.round(100 * F.col("count") / F.sum("count").over(every), 2).alias("share"), F.row_number().over(Window.orderBy(F.desc("count"), "cause")).alias("rank"), F.when(F.col("cause").isin(silent), "silent").otherwise("loud").alias("tag"))
+    return counts.select("cause", "count", F.round(100 * F.col("count") / F.sum("count").over(every), 2).alias("share"), F.row_number().over(Window.orderBy(F.desc("count"), "cause")).cast("long").alias("rank"), F.when(F.col("cause").isin(silent), "silent").otherwise("loud").alias("tag"))
