@@ -21,11 +21,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: a cut in lineage that survives lost executors."""
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str = "table", batch_rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: a cut in lineage that survives lost executors.
+
+    ``batch_rows`` bounds the rows of an Arrow batch while df runs, for rows that hold large values.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(BATCH_ROWS, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

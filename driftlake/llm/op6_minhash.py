@@ -10,9 +10,12 @@
    as soon as P(similarity >= threshold) < MISS. Survivors are verified on the
    full sets.
 4. Links give components. A bucket that still holds several components may
-   hide a link between members that no star tested, so all its members of
-   different components are compared (signatures in blocks, then full sets).
-   After that no two candidates are left that are neither tested nor joined.
+   hide a link between members that no star tested. Members outside its
+   largest component are first tested against the NEAREST most similar ones of
+   other components, which joins families that the star left in pieces; then,
+   in buckets that still hold several components, all members of different
+   components are compared (signatures in blocks, then full sets). After that
+   no two candidates are left that are neither tested nor joined.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8**ROWS)**BANDS,
 about 1e-7, and less above.
@@ -41,9 +44,12 @@ BANDS, ROWS = 40, 5
 PLACES = BANDS * ROWS
 BATCH = 40
 #: A candidate is dropped when the posterior probability that it links is below this.
-MISS = 1e-7
-#: Members of one bucket that are compared in one task.
-BLOCK = 2048
+MISS = 1e-5
+#: Members of one bucket that are compared in one task (twice so many when blocks are paired).
+BLOCK = 512
+NEAREST = 2
+#: Rows of an Arrow batch of full sets.
+SET_ROWS = 500
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, PLACES, dtype=np.uint64) * U(2) + U(1)
@@ -175,6 +181,16 @@ def _tested(pairs: DataFrame, sigs: DataFrame, least: dict[int, int]) -> DataFra
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    both = int((x[at] == y).sum())
+    return both * 100 >= percent * (len(x) + len(y) - both)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that link on full sets."""
 
@@ -182,11 +198,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             on = []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), U) for c in (2, 3))
-                if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both * 100 >= percent * (len(x) + len(y) - both):
-                        on.append(i)
+                if similar(*(np.frombuffer(batch.column(c)[i].as_buffer(), U) for c in (2, 3)), percent):
+                    on.append(i)
             take = pa.array(on, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
 
@@ -213,25 +226,45 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def _crossed(rows: DataFrame, least: dict[int, int]) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that outlast the batches; rows: band, n, rep, comp, sig."""
+def _crossed(rows: DataFrame, least: dict[int, int], percent: int, nearest: int = 0) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket; rows: band, n, rep, comp, sig and items.
+
+    With ``nearest``, so many of the most similar for each member outside the
+    largest component, not yet verified. Else all pairs are compared and those
+    that link on full sets come out; once joined, components are one.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "comp", "sig")
+    rows = rows.select("band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "comp", "sig", "items")
     rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         band, i, j, own, rep, comp = (t.column(c).to_numpy() for c in range(6))
         sig = _sig(t.column(6))
+        items = t.column(7).to_pylist() if not nearest else None
         edge = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         out: list[np.ndarray] = []
         for a, b in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(band)]]), strict=True):
+            if nearest:
+                _, of, size = np.unique(comp[a:b], return_inverse=True, return_counts=True)
+                for x in a + np.flatnonzero(of != size.argmax()):
+                    y = a + np.flatnonzero(comp[a:b] != comp[x])
+                    y = y[survive(np.broadcast_to(sig[x], (len(y), PLACES)), sig[y], least)]
+                    if len(y) > nearest:
+                        y = y[np.argsort(-(sig[y] == sig[x]).sum(1), kind="stable")[:nearest]]
+                    out.append(np.stack([np.full(len(y), rep[x]), rep[y]], 1))
+                continue
+            c = comp[a:b].copy()
             for x in range(a, b - 1):
-                y = x + 1 + np.flatnonzero((comp[x + 1 : b] != comp[x]) & ((i[x] == j[x]) | (own[x + 1 : b] != own[x])))
+                y = x + 1 + np.flatnonzero((c[x + 1 - a :] != c[x - a]) & ((i[x] == j[x]) | (own[x + 1 : b] != own[x])))
                 if len(y):
                     y = y[survive(np.broadcast_to(sig[x], (len(y), PLACES)), sig[y], least)]
-                    out.append(np.stack([np.full(len(y), rep[x]), rep[y]], 1))
+                mine = np.frombuffer(items[x], U) if len(y) else None
+                for z in y.tolist():
+                    if c[z - a] != c[x - a] and similar(mine, np.frombuffer(items[z], U), percent):
+                        out.append(np.array([[rep[x], rep[z]]]))
+                        c[c == c[z - a]] = c[x - a]
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(got.min(1) if len(got) else got[:, 0]), pa.array(got.max(1) if len(got) else got[:, 0])], ["a", "b"])
 
@@ -266,25 +299,32 @@ def classes_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sigs = sketches.select("set_key", F.col("doc_id").alias("rep"), "sig").join(classes.select("set_key", "rep"), ["set_key", "rep"], "left_semi")
     sigs = written(sigs.groupBy("rep", "set_key").agg(F.first("sig").alias("sig")).drop("set_key"), "signatures")
     buckets = written(_bands(sigs).groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    hits = written(lookup(_bands(sigs), buckets, "band", "n", F.col("rep"), "inner").select("band", "n", "leader", "rep"), "hits")
+    # Plain joins on the band: both sides come from an exchange of the join, so adaptive execution splits a hot band.
+    hits = written(_bands(sigs).join(buckets, "band").select("band", "n", "leader", "rep"), "hits")
     inside = hits.select("rep").distinct()
     # Full sets of the classes in any bucket with company: the only shuffle of texts.
     sets = written(_sets(ids.withColumnRenamed("doc_id", "rep").join(inside, "rep", "left_semi"), k).dropDuplicates(["rep"]), "sets")
     stars = written(hits.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     tested = written(_tested(stars, sigs.dropDuplicates(["rep"]), least), "tested")
-    links = written(_linked(tested, sets, percent), "links")
+    links = written(_linked(tested, sets, percent), "links", SET_ROWS)
     labels = components(links)
-    # Buckets with several components left.
-    named = written(hits.join(labels, hits["rep"] == labels["node"], "left").select("band", "n", "rep", F.coalesce("comp", "rep").alias("comp")), "named")
-    mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n")).where("lo <> hi").select("band", "n")
-    mixed = written(mixed, "mixed")
-    cross = lookup(named.select("band", "rep", "comp"), mixed, "band", "n", F.col("rep"), "inner")
-    cross = written(cross, "cross").join(sigs.dropDuplicates(["rep"]), "rep").select("band", "n", "rep", "comp", "sig")
-    more = _crossed(cross, least).join(stars, ["a", "b"], "left_anti")
-    more = written(_linked(written(more, "crossed"), sets, percent), "more-links")
-    every = links.unionByName(more)
-    if not more.isEmpty():
-        labels = components(every)
+    every, one_sig = links, sigs.dropDuplicates(["rep"])
+    for nearest in (NEAREST, 0):
+        # Buckets with several components left.
+        named = written(hits.join(labels, hits["rep"] == labels["node"], "left").select("band", "n", "rep", F.coalesce("comp", "rep").alias("comp")), "named")
+        several = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n")).where("lo <> hi").select("band", "n")
+        cross = named.select("band", "rep", "comp").join(written(several, "several"), "band")
+        cross = written(cross, "cross").join(one_sig, "rep")
+        if nearest:
+            cross = cross.withColumn("items", F.lit(None).cast("binary"))
+            pairs = written(_crossed(cross.select("band", "n", "rep", "comp", "sig", "items"), least, percent, nearest).join(stars, ["a", "b"], "left_anti"), "crossed")
+            more = written(_linked(pairs, sets, percent), "more-links", SET_ROWS)
+        else:
+            cross = cross.join(sets, "rep")
+            more = written(_crossed(cross.select("band", "n", "rep", "comp", "sig", "items"), least, percent), "more-links", SET_ROWS)
+        if not more.isEmpty():
+            every = every.unionByName(more)
+            labels = components(every)
     degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     comps = labels.join(degree, "node", "left")
     found = written(classes.join(comps, classes["rep"] == comps["node"], "left").select("set_key", "n", F.coalesce("comp", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "found")
