@@ -30,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import slices
+from ._text import raw, slices
 
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 #: Units whose paths a worker keeps; the table is emptied when it is full.
-KEPT = 300_000
+KEPT = 700_000
 _UNITS = re.compile("▁*[^▁\n]+|▁+|\n+")
 INF = float("inf")
 
@@ -55,9 +55,9 @@ class Machine:
         self.ends = {}  # last character -> lengths of the pieces that end in it
         for p in self.id:
             self.ends.setdefault(p[-1], set()).add(len(p))
-        self.ends = {c: sorted(v) for c, v in self.ends.items()}
-        self.beside: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.ends = {c: sorted(v, reverse=True) for c, v in self.ends.items()}
+        self.beside: dict[str | None, dict[str, float]] = {}
+        self.arcs = 0
         self.table: dict[str, bytes] = {}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kinds[i] == 6 else b"" if kinds[i] in (2, 3) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
 
@@ -77,52 +77,56 @@ class Machine:
         return s
 
     def weight(self, last: str | None, piece: str) -> float:
-        """Of the arc for ``piece`` after ``last`` (None: a start or a byte arc)."""
+        """Of the arc for ``piece`` after ``last`` (None: a start or a byte arc); kept in the table of arcs."""
         if not self.bpe:
-            return -self.score[piece]
-        ok = self.whole.get(piece)
-        if ok is None:
-            ok = self.whole[piece] = self.merged(piece) == [piece]
-        if ok and last is not None:
-            key = (last, piece)
-            ok = self.beside.get(key)
-            if ok is None:
-                if len(self.beside) > 1_000_000:
-                    self.beside.clear()
-                ok = self.beside[key] = self.merged(last + piece) == [last, piece]
-        return 0.0 if ok else INF
+            x = -self.score[piece]
+        elif last is None:
+            x = 0.0 if self.merged(piece) == [piece] else INF
+        else:
+            x = 0.0 if self.weight(None, piece) == 0.0 and self.merged(last + piece) == [last, piece] else INF
+        if self.arcs > 1_000_000:
+            self.beside.clear()
+            self.arcs = 0
+        self.arcs += 1
+        self.beside.setdefault(last, {})[piece] = x
+        return x
 
     def shortest(self, s: str) -> list[int]:
         """Piece ids on the path of least weight through the machine composed with s."""
-        n = len(s)
-        dist = [INF] * (n + 1)
+        n, bpe = len(s), self.bpe
+        dist = [0.0] + [INF] * n
         back: list[str | None] = [None] * (n + 1)
-        fall = [False] * (n + 1)
-        dist[0] = 0.0
-        ids, ends = self.id, self.ends
+        ids, ends, beside = self.id, self.ends, self.beside
         for j in range(1, n + 1):
             c = s[j - 1]
             best, arc = INF, None
             for k in ends.get(c, ()):
-                if k > j:
-                    break
-                d = dist[j - k]
-                if d < best and (p := s[j - k : j]) in ids:
-                    x = d + self.weight(back[j - k], p)
+                i = j - k
+                if i < 0 or dist[i] >= best:
+                    continue
+                p = s[i:j]
+                if p in ids:
+                    last = back[i] if bpe else None  # a unigram arc has one weight after any piece
+                    row = beside.get(last)
+                    x = None if row is None else row.get(p)
+                    x = dist[i] + (self.weight(last, p) if x is None else x)
                     if x < best:
                         best, arc = x, p
+                        if bpe:  # no other piece can end the one finite path to j
+                            break
             if arc is None and c not in ids:  # no piece has this character: its bytes
-                best, fall[j] = dist[j - 1] + (0.0 if self.bpe else 20.0), True
+                best = dist[j - 1] + (0.0 if bpe else 20.0)
             dist[j], back[j] = best, arc
         out: list[int] = []
         j = n
         while j > 0:
-            if fall[j]:
+            p = back[j]
+            if p is None:
                 out += [self.byte[b] if self.byte[b] >= 0 else self.unk for b in reversed(s[j - 1].encode("utf-8", "surrogatepass"))]
                 j -= 1
             else:
-                out.append(ids[back[j]])
-                j -= len(back[j])
+                out.append(ids[p])
+                j -= len(p)
         return out[::-1]
 
     def unit(self, s: str) -> bytes:
@@ -149,6 +153,19 @@ class Machine:
         return s[1:] if self.dummy and s.startswith(" ") else s
 
 
+    def decoded(self, ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of ids, and n+1 offsets, for documents at ids[ptr[i]:ptr[i+1]]; the dummy space is still there."""
+        if not hasattr(self, "_flat"):
+            self._flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+            self._len = np.array([len(b) for b in self.bytes_of], np.int64)
+            self._at = np.cumsum(self._len) - self._len
+        n = self._len[ids]
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        place = np.arange(total) + np.repeat(self._at[ids] - (end - n), n)
+        return self._flat[place], np.concatenate([[0], end])[ptr]
+
+
 _machines: dict[str, Machine] = {}
 
 
@@ -212,13 +229,14 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         m = machine(model)
         for batch in batches:
             for part in slices(batch, limit=1 << 20):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                codes = [m.encode(t) for t in texts]
+                codes = [m.encode(t) if t else b"" for t in part.column(1).to_pylist()]
                 n = np.array([len(c) // 4 for c in codes], np.int64)
                 ids = np.frombuffer(b"".join(codes), "<i4")
                 ptr = np.concatenate([[0], np.cumsum(n)])
-                flat = ids.tolist()
-                same = [m.decode(flat[a:b]) == t for a, b, t in zip(ptr[:-1].tolist(), ptr[1:].tolist(), texts, strict=True)]
+                data, offs = raw(part.column(1))
+                back, at = m.decoded(ids, ptr)
+                lead = (np.diff(offs) > 0).astype(np.int64) * m.dummy
+                same = [back[a + x : b].tobytes() == data[c:d].tobytes() for a, b, x, c, d in zip(at[:-1], at[1:], lead, offs[:-1], offs[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(ids)), pa.array(same)], ["doc_id", "n_pieces", "ids", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
