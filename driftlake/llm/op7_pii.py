@@ -22,6 +22,7 @@ each; extra columns are ignored. Texts are read whole.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -97,12 +98,15 @@ class Node:
     place: int  # the word's place in the text
     text: str
     label: int  # 1 + kind of an overlapping base span, or 0
+    span: Span | None = None  # that span
 
 
 def nodes(t: str, spans: dict[str, list[Span]]) -> list[Node]:
     """Words with a digit or at-sign, without punctuation at the ends; number-like neighbours make one node."""
     found = sorted((a, b, k) for k, name in enumerate(KINDS, 1) for a, b in spans[name])
+    reach = list(itertools.accumulate((f[1] for f in found), max))  # spans before ``at`` end before the word
     out: list[Node] = []
+    at = 0
     for place, m in enumerate(_NODE.finditer(t)):
         w = m.group()
         if "@" not in w and not _DIGITS.search(w):
@@ -110,11 +114,18 @@ def nodes(t: str, spans: dict[str, list[Span]]) -> list[Node]:
         left = len(w) - len(w.lstrip(_EDGE))
         a, b = m.start() + left, m.start() + len(w.rstrip(_EDGE))
         if a < b:
-            label = next((k for x, y, k in found if x < b and a < y), 0)
-            if out and not label and not out[-1].label and out[-1].place == place - 1 and not any(c.isalpha() or c == "@" for c in out[-1].text + w):
-                out[-1] = Node(out[-1].start, b, place, t[out[-1].start : b], 0)
+            while at < len(found) and reach[at] <= a:
+                at += 1
+            k, label, span = at, 0, None
+            while k < len(found) and found[k][0] < b and not label:
+                if a < found[k][1]:
+                    span, label = found[k][:2], found[k][2]
+                k += 1
+            near = out and out[-1].place == place - 1 and out[-1].span == span
+            if near and (label or not any(c.isalpha() or c == "@" for c in out[-1].text + w)):
+                out[-1] = Node(out[-1].start, b, place, t[out[-1].start : b], label, span)
             else:
-                out.append(Node(a, b, place, t[a:b], label))
+                out.append(Node(a, b, place, t[a:b], label, span))
     return out
 
 
