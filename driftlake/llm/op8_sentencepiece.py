@@ -34,7 +34,7 @@ from ._text import raw, slices
 
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-#: Units whose paths a worker keeps; the table is emptied when it is full.
+#: Units whose paths a worker keeps, the half of them that were met last.
 KEPT = 700_000
 _UNITS = re.compile("▁*[^▁\n]+|▁+|\n+")
 INF = float("inf")
@@ -59,6 +59,9 @@ class Machine:
         self.beside: dict[str | None, dict[str, float]] = {}
         self.arcs = 0
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kinds[i] == 6 else b"" if kinds[i] in (2, 3) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
 
     def merged(self, chars: str) -> list[str]:
@@ -129,12 +132,40 @@ class Machine:
                 j -= len(p)
         return out[::-1]
 
+    def joined(self, s: str) -> bytes | None:
+        """The path of s from two kept paths that meet at a finite arc: then the whole is the one finite path."""
+        heads, tails, beside = self.heads, self.tails, self.beside
+        for i in range(len(s) - 1, 1, -1):
+            tail = tails.get(s[i:])
+            if tail is not None and (head := heads.get(s[:i])) is not None:
+                last, first = self.pieces[int.from_bytes(head[-4:], "little")], self.pieces[int.from_bytes(tail[:4], "little")]
+                row = beside.get(last)
+                x = None if row is None else row.get(first)
+                if (self.weight(last, first) if x is None else x) == 0.0:
+                    return head + tail
+        return None
+
     def unit(self, s: str) -> bytes:
-        ids = np.array(self.shortest(s), dtype="<i4").tobytes()
-        if len(s) <= 40:
-            if len(self.table) >= KEPT:
-                self.table.clear()
-            self.table[s] = ids
+        ids = self.older.get(s)
+        if ids is None:
+            if not self.bpe or len(s) > 40:
+                return np.array(self.shortest(s), dtype="<i4").tobytes()
+            ids = self.joined(s)
+        if ids is None:
+            path = self.shortest(s)
+            ids = np.array(path, dtype="<i4").tobytes()
+            if all(i >= 0 and self.pieces[i] in self.id for i in path):  # byte arcs have no piece to meet at
+                if len(self.heads) > KEPT // 2:
+                    self.heads.clear()
+                    self.tails.clear()
+                self.heads[s] = ids
+                for k in (1, 2, 3):  # parts of the path are the paths of their own texts
+                    if len(path) > k:
+                        n = sum(len(self.pieces[i]) for i in path[-k:])
+                        self.heads[s[:-n]], self.tails[s[-n:]] = ids[: -4 * k], ids[-4 * k :]
+        if len(self.table) >= KEPT // 2:  # units of the last round move up again when they are met
+            self.older, self.table = self.table, {}
+        self.table[s] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -144,8 +175,8 @@ class Machine:
         s = text.replace(" ", MARK)
         if self.dummy:
             s = MARK + s
-        table, unit = self.table, self.unit
-        return b"".join([table.get(u) or unit(u) for u in _UNITS.findall(s)])
+        unit = self.unit
+        return b"".join([self.table.get(u) or unit(u) for u in _UNITS.findall(s)])
 
     def decode(self, ids) -> str:
         b = self.bytes_of
