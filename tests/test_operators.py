@@ -50,7 +50,7 @@ def test_classifier(spark):
         ("added", "simp [a]", "simp [a, b]", []), ("removed", "simp [a, b]", "simp [a]", []), ("turned", "rw [foo]", "rw [← foo]", []), ("tight", "simp [a]", "simp only [a]", []),
         ("beats", "", "set_option maxHeartbeats 400 in", []), ("defeq", "", "set_option backward.isDefEq.x false in", []), ("lint", "", "set_option linter.foo false in", []),
         ("attr", "@[reducible] def x", "@[implicit_reducible] def x", []), ("dep", "theorem x", "@[deprecated y] theorem x", []), ("import", "import A.b", "import A.c", []),
-        ("open", "open Foo Bar", "open Foo", []), ("note", "x", "#adaptation_note /-- why -/\nx", []), ("wrap", "exact Foo.sound h", "exact congr _ (Foo.sound h)", []),
+        ("open", "open Foo Bar", "open Foo", []), ("note", "x", "#adaptation_note /-- why -/\nx", []), ("wrap", "exact Foo.sound h", "exact mapArg _ (Foo.sound h)", []),
         ("frag", "aa_b, cc_d]", "aa_b, ee_f]", ["simp only [x,"]), ("none", "", "", []), ("cut", "@[to_additive (attr := foo,", "@[to_additive (attr := bar,", []),
     ])
     first = {k: r["label"] for k, r in got.items()}
@@ -60,7 +60,7 @@ def test_classifier(spark):
     assert first["attr"] == "elab.instance_reducibility" and "rename.attribute" in got["attr"]["labels"] and first["dep"] == "rename.deprecation_added"
     assert first["import"] == "rename.import" and first["open"] == "rename.open_scope" and first["note"] == "meta.adaptation_note" and got["note"]["notes"] == ["why"]
     assert first["wrap"] == "auto.term_wrapped" and got["frag"]["labels"][:2] == ["auto.simp_lemma_added", "auto.simp_lemma_removed"] and first["none"] == "meta.formatting"
-    assert first["cut"] == "rename.attribute" and got["decl"]["expected_errors"] == ["unknown_constant", "unknown_identifier"]
+    assert "rename.attribute" in got["cut"]["labels"] and got["decl"]["expected_errors"] == ["unknown_constant", "unknown_identifier"]
     assert set(vocab.EXPECTED_ERRORS) >= {x for r in got.values() for x in r["labels"]}
 
 
@@ -113,12 +113,12 @@ def test_snapshot_load_and_diff(spark):
 
 
 def test_templates(spark):
-    msgs = [("unknown constant `a`", 1), ("unknown constant `b.c`", 2), ("type mismatch at x", 3)]
+    msgs = [("an unknown constant named `a`", 1), ("an unknown constant named `b.c`", 2), ("type mismatch at x", 3)]
     m = messages.prepared(spark.createDataFrame([(i, "error", None, t) for t, i in msgs], "seq long, severity string, error_name string, text string"))
     t = messages.fit(m)
-    assert {r["template"] for r in t.collect()} == {"unknown constant {0}", "type mismatch at x"}
+    assert {r["template"] for r in t.collect()} == {"an unknown constant named {0}", "type mismatch at x"}
     a = {r["seq"]: r["template"] for r in messages.assign(m, t).collect()}
-    assert a[1] == a[2] == "unknown constant {0}"
+    assert a[1] == a[2] == "an unknown constant named {0}"
 
 
 def test_weights(spark):
@@ -136,7 +136,7 @@ def test_dataset(spark):
     rows = spark.createDataFrame([(1, "s", "c1", "l", 0.5, "d"), (2, "s", "c1", "l", 0.5, "d"), (3, "t", "c1", "l", 0.9, "e")], "seq int, signature string, context string, label string, confidence double, decl string")
     got = {r["seq"]: r["duplicate_count"] for r in dataset.dedup(rows).collect()}
     assert got == {1: 2, 3: 1}
-    many = spark.range(90).select(F.col("id").alias("seq"), (F.col("id") % 9).cast("string").alias("file"), F.lit("v").alias("toolchain"))
+    many = spark.range(90).select(F.col("id").alias("seq"), (F.col("id") % 18).cast("string").alias("file"), F.lit("v").alias("toolchain"))
     assert dataset.choose_key(many, "toolchain") == "file"
     s = dataset.split(many, "file")
     assert s.groupBy("file").agg(F.countDistinct("split").alias("n")).where("n > 1").isEmpty() and s.select("split").distinct().count() == 3
@@ -158,7 +158,7 @@ def test_rules(spark):
 
 def test_windows(spark):
     c = spark.createDataFrame([("c2", ["c1"], "2024-02-01T00", "chore: bump toolchain to v4.9.0 (#12)", ""), ("c1", [], "2024-01-01T00", "init", ""), ("m", ["c2", "b1"], "2024-03-01T00", "Merge branch 'bump/v4.10.0'", ""), ("b1", ["c2"], "2024-02-05T00", "x", "")], "sha string, parents array<string>, author_date string, subject string, body string")
-    blobs = spark.createDataFrame([("c1", "v4.8.0"), ("c2", "v4.9.0"), ("m", "v4.10.0")], "sha string, version string")
+    blobs = spark.createDataFrame([("c1", "v4.8.0"), ("c2", "v4.9.0"), ("m", "v4.10.0"), ("b1", "v4.9.0")], "sha string, version string")
     w = windows.merged([windows.from_messages(c, blobs), windows.from_version_changes(c, blobs), windows.from_merges(c, blobs), windows.from_branches(spark.createDataFrame([("origin/bump/v4.11.0", "z")], "ref string, sha string"), "m")]).collect()
     assert [(x["kind"], x["key"], x["base"], x["tip"], x["pr"]) for x in w if x["base"] == "c1"] == [("bump", "v4.9.0", "c1", "c2", "12")]
     assert any(x["key"] == "4.10.0" and x["tip"] == "b1" for x in w) and w[-1]["key"] == "4.11.0"
