@@ -210,22 +210,26 @@ def classify(edits: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     All rules that fire add their labels in order of priority; the first to
     give a label of STOP ends it; the fallback counts only if no other fired.
     """
-    d = context(edits)
+    d = _barrier(context(edits), "_ctx")
     table = sorted(rules or RULES, key=lambda r: -r.priority)
-    hits = F.filter(F.array(*[r.build() for r in table if r.priority > 10]), lambda x: x.isNotNull())
-    hits = F.filter(hits, lambda x: F.size(x["labels"]) > 0)
-    stop = F.array_position(F.transform(hits, lambda x: x["labels"][0].isin(*STOP)), True)
-    hits = F.when(stop > 0, F.slice(hits, F.lit(1), stop.cast("int"))).otherwise(hits)
-    d = d.withColumn("_hits", hits)
-    low = [r.build() for r in table if r.priority <= 10]
-    late = F.filter(F.array(*low), lambda x: x.isNotNull()) if low else F.col("_hits")
-    d = d.withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")).otherwise(late))
+    some = lambda found: F.filter(F.array(*found), lambda x: x.isNotNull() & (F.size(x["labels"]) > 0)) if found else F.array().cast("array<struct<labels:array<string>,confidence:double>>")
+    d = _barrier(d.withColumns({"_high": some([r.build() for r in table if r.priority > 10]), "_low": some([r.build() for r in table if r.priority <= 10])}), "_rules")
+    stop = F.array_position(F.transform("_high", lambda x: x["labels"][0].isin(*STOP)), True)
+    d = d.withColumn("_hits", F.when(stop > 0, F.slice("_high", F.lit(1), stop.cast("int"))).when(F.size("_high") > 0, F.col("_high")).otherwise(F.col("_low")))
     labels = F.array_distinct(F.flatten(F.transform("_hits", lambda x: x["labels"])))
-    d = d.withColumn("labels", F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit(vocab.UNKNOWN_LABEL))))
-    d = d.withColumn("confidence", F.coalesce(F.array_max(F.transform("_hits", lambda x: x["confidence"])), F.lit(0.0)))
-    expected = F.array_sort(F.array_distinct(F.flatten(F.transform("labels", lambda x: F.coalesce(F.try_element_at(F.create_map(*[y for k, v in vocab.EXPECTED_ERRORS.items() for y in (F.lit(k), F.array(*[F.lit(e) for e in v]))]), x), F.array().cast("array<string>"))))))
+    d = _barrier(d.withColumns({"_labels": labels, "confidence": F.coalesce(F.array_max(F.transform("_hits", lambda x: x["confidence"])), F.lit(0.0))}), "_found")
+    d = d.withColumn("labels", F.when(F.size("_labels") > 0, F.col("_labels")).otherwise(F.array(F.lit(vocab.UNKNOWN_LABEL))))
+    table_of = F.create_map(*[y for k, v in vocab.EXPECTED_ERRORS.items() for y in (F.lit(k), F.array(*[F.lit(e) for e in v]))])
+    expected = F.array_sort(F.array_distinct(F.flatten(F.transform("labels", lambda x: F.coalesce(F.try_element_at(table_of, x), F.array().cast("array<string>"))))))
     keep = [c for c in edits.columns if c not in ("pre", "post")]
-    return d.select(*keep, "pre", "post", "labels", F.col("labels")[0].alias("label"), "confidence", F.arrays_overlap("labels", F.array(*[F.lit(x) for x in vocab.NOISE_LABELS])).alias("noise"), X.notes(F.concat_ws("\n", "post", F.array_join("ctx_before", "\n"))).alias("notes"), expected.alias("expected_errors"), "subs")
+    noise = F.arrays_overlap("labels", F.array(*[F.lit(x) for x in vocab.NOISE_LABELS]))
+    d = d.withColumns({"label": F.col("labels")[0], "noise": noise, "notes": X.notes(F.concat_ws("\n", "post", F.array_join("ctx_before", "\n"))), "expected_errors": expected})
+    return _barrier(d.select(*dict.fromkeys([*keep, "pre", "post", "labels", "label", "confidence", "noise", "notes", "expected_errors", "subs"])), "_out")
+
+
+def _barrier(d: DataFrame, name: str) -> DataFrame:
+    """The same rows behind a generator of one element: the optimiser doesn't copy expressions through it, which for nested rule arrays would multiply the plan."""
+    return d.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in d.columns]))).alias(name)).select(f"{name}.*")
 
 
 def useful(rows: DataFrame, keep_noise: bool = False, least: float = 0.0) -> DataFrame:

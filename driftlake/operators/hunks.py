@@ -45,15 +45,15 @@ def hunks(lines: DataFrame, gap: int = 0, context: int = CONTEXT) -> DataFrame:
     )
     texts = lambda kinds: F.transform(F.filter("body", lambda x: x["kind"].isin(*kinds)), lambda x: x["text"])
     plain = lambda c: F.transform(F.filter(c, lambda x: x["kind"] == " "), lambda x: x["text"])
-    return g.select("path", "hunk_seq", "run", "first_seq", texts("-").alias("old_lines"), texts("+").alias("new_lines"), "body", plain("_b").alias("ctx_before"), plain("_a").alias("ctx_after"), "line_old", "line_new")
+    return g.select("path", "hunk_seq", "run", "first_seq", texts("-").alias("old_lines"), texts("+").alias("new_lines"), "body", plain("_b").alias("ctx_before"), plain("_a").alias("ctx_after"), F.col("_b").alias("before"), F.col("_a").alias("after"), "line_old", "line_new")
 
 
 def window(side: str, context: int = 0) -> Column:
-    """One side's slice: its lines and the unchanged ones of the body, with up to ``context`` lines around."""
-    own = F.transform(F.filter("body", lambda x: x["kind"].isin(" ", side)), lambda x: x["text"])
-    tail = F.slice("ctx_before", F.greatest(F.lit(1), F.size("ctx_before") - context + 1), context) if context else F.array().cast("array<string>")
-    head = F.slice("ctx_after", 1, context) if context else F.array().cast("array<string>")
-    return F.array_join(F.concat(tail, own, head), "\n")
+    """One side's slice, as it stands in the file: its lines and unchanged ones of the body and of up to ``context`` diff lines on either side."""
+    mine = lambda c: F.transform(F.filter(c, lambda x: x["kind"].isin(" ", side)), lambda x: x["text"])
+    none = F.array().cast("array<string>")
+    head, tail = (mine(F.slice("before", F.greatest(F.lit(1), F.size("before") - context + 1), context)), mine(F.slice("after", 1, context))) if context else (none, none)
+    return F.array_join(F.concat(head, mine("body"), tail), "\n")
 
 
 def usable(h: DataFrame, most: int = MAX_CHANGED) -> DataFrame:
@@ -116,10 +116,11 @@ def namespaces(lines: DataFrame) -> DataFrame:
 
 
 def parse_unified(diffs: DataFrame) -> DataFrame:
-    """diffs (diff string) to LINES plus old_start, new_start and the file's flags; hunks end by their line counts, not by what lines look like."""
+    """diffs (diff string) to LINES plus old_start, new_start, the file's flags and diff_id (SHA-1 of the diff); hunks end by their line counts, not by what lines look like."""
+    import hashlib
     import re
 
-    schema = LINES.replace("old_no int, new_no int", "old_start int, new_start int") + ", is_new boolean, is_deleted boolean, is_rename boolean, is_binary boolean"
+    schema = LINES.replace("old_no int, new_no int", "old_start int, new_start int") + ", is_new boolean, is_deleted boolean, is_rename boolean, is_binary boolean, diff_id string"
     names = [c.split()[0] for c in schema.split(", ")]
     mark = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@ ?(.*)")
 
@@ -127,6 +128,7 @@ def parse_unified(diffs: DataFrame) -> DataFrame:
         for pdf in batches:
             rows: list[tuple] = []
             for text in pdf["diff"]:
+                diff_id = hashlib.sha1((text or "").encode("utf-8", "surrogatepass")).hexdigest()
                 path, flags, hunk, left, right, seq, at = None, [False] * 4, -1, 0, 0, 0, (0, 0, "")
                 for line in (text or "").split("\n"):
                     if left > 0 or right > 0:
@@ -135,7 +137,7 @@ def parse_unified(diffs: DataFrame) -> DataFrame:
                             continue
                         left -= kind in " -"
                         right -= kind in " +"
-                        rows.append((path, hunk, seq, kind, line[1:], at[0], at[1], at[2], *flags))
+                        rows.append((path, hunk, seq, kind, line[1:], at[0], at[1], at[2], *flags, diff_id))
                         seq += 1
                     elif line.startswith("diff --git "):
                         flags, hunk = [False] * 4, -1
