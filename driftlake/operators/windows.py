@@ -92,7 +92,7 @@ def reachable(commits: DataFrame, include: list[str], exclude: list[str]) -> Dat
         seen = front = start.distinct()
         while True:
             front = front.join(edges, "sha").select(F.col("parent").alias("sha")).where("sha is not null").distinct().join(seen, "sha", "left_anti")
-            if spark.conf.get("spark.checkpoint.dir", None):
+            if spark.sparkContext.getCheckpointDir():
                 front = front.checkpoint()
             if front.isEmpty():
                 return seen
