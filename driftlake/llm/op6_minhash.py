@@ -290,7 +290,11 @@ def _crossed(rows: DataFrame, least: dict[int, int], percent: int, nearest: int
 
 
 def classes_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (of the document's class to other classes) for each row."""
+    """doc_id, n_shingles, component_id, n_links for each row.
+
+    n_links counts the links met while components were joined: those inside a
+    component that other links had already joined are not looked for.
+    """
     ids = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "text")
     least = least_matches(percent)
     sketches = written(sketch(ids, k), "sketches")
