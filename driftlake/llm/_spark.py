@@ -21,6 +21,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by place, and the new name of each: columns added to it clash with none of df's."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that numbered() renamed, under their own names again."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

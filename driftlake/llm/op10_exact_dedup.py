@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import lookup, written
+from ._spark import lookup, numbered, restored, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -73,9 +73,10 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     marked = written(docs.select("doc_id", F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest")), "digests")
     batch = index.add(marked)
     keep = index.rows().where(F.col("batch") == batch).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    with_key = docs.withColumn("_digest", F.unhex(F.sha2(normalised().cast("binary"), 256)))
-    out = with_key.join(keep, (with_key["_digest"] == keep["_digest"]) & with_key["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    rows, own = numbered(docs)
+    with_key = rows.withColumn("digest", F.unhex(F.sha2(normalised(own["text"]).cast("binary"), 256)))
+    out = with_key.join(keep, (with_key["digest"] == keep["_digest"]) & with_key[own["doc_id"]].eqNullSafe(keep["_keep"]), "left_semi")
+    return restored(out.dropDuplicates([own["doc_id"], "digest"]), own)
 
 
 ORACLE = """

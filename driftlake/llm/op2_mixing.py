@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import written
+from ._spark import numbered, restored, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -69,7 +69,7 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     return per.select("source", "source_size", "n", F.least(limit, F.lit(rate) * F.col("w")).cast("double").alias("target"))
 
 
-def _odds(seed: int, level: int, doc: list, size: list) -> np.ndarray:
+def _odds(seed: int, level: int, doc: list[int | None], size: list[int]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(f"{seed}/{level}/{d}/{s}".encode(), digest_size=8).digest(), "big") / 2.0**64 for d, s in zip(doc, size, strict=True)])
 
 
@@ -101,15 +101,16 @@ def pivot(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, i
 def _level(seed: int, level: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # Long documents pair first, so that the one left undecided tends to be short.
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        u = _odds(seed, level, pdf["doc_id"].tolist(), pdf["size"].tolist())
+        pdf = pdf.sort_values(["size", "no_id", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        ids = [None if no else d for d, no in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), strict=True)]
+        u = _odds(seed, level, ids, pdf["size"].tolist())
         p, i = pivot(pdf["size"].to_numpy(float), pdf["p"].to_numpy(float), u)
         if last and i >= 0:
             p[i] = round(p[i])  # nothing is left to pair it with: the nearer end
             i = -1
         pdf["p"] = p
         pdf["open"] = np.arange(len(p)) == i
-        return pdf[["doc_id", "source", "size", "base", "p", "node", "open"]]
+        return pdf[["doc_id", "no_id", "source", "size", "base", "p", "node", "open"]]
 
     return run
 
@@ -125,7 +126,9 @@ def rounded(rows: DataFrame, want: DataFrame, seed: int = 7) -> DataFrame:
     salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int")
     j = rows.withColumn("_salt", salt).join(salted, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("salt")))
     node = F.pmod(F.xxhash64("doc_id"), F.col("leaves"))
-    cur = written(j.select("doc_id", "source", "size", F.col("base").cast("int"), F.when(F.col("size") > 0, F.col("p")).otherwise(0.0).alias("p"), node.cast("long").alias("node")), "fractions")
+    # A null id travels as a flag: pandas would turn a column of ids with a null into floats.
+    ids = F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_id")
+    cur = written(j.select(*ids, "source", "size", F.col("base").cast("int"), F.when(F.col("size") > 0, F.col("p")).otherwise(0.0).alias("p"), node.cast("long").alias("node")), "fractions")
     most = int(want.agg(F.max("leaves")).first()[0] or 1)
     schema, done, level = T.StructType([*cur.schema.fields, T.StructField("open", T.BooleanType())]), None, 0
     while True:
@@ -139,7 +142,7 @@ def rounded(rows: DataFrame, want: DataFrame, seed: int = 7) -> DataFrame:
         most, level = -(-most // FAN), level + 1
     small = want.select(F.col("source").alias("_s"), "source_size", "target").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     done = done.withColumn("_salt", salt).join(small, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("salt")))
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("int").alias("copies"))
+    return done.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -155,10 +158,11 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     A document without words is in no mix and goes. Rows that share doc_id and
     size can't be told apart: each gets the mean of their copies, one at least.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows, own = numbered(docs)
+    size = F.coalesce(F.regexp_count(own["text"], F.lit(WORD)), F.lit(0)).cast("long")
     plan = mix(docs, seed).groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_same")).where("_copies > 0")
     plan = plan.withColumnsRenamed({"doc_id": "_id", "size": "_n"})
-    key = docs.withColumn("_size", size)
-    out = key.join(plan, key["doc_id"].eqNullSafe(plan["_id"]) & (key["_size"] == plan["_n"]))
+    key = rows.withColumn("size", size)
+    out = key.join(plan, key[own["doc_id"]].eqNullSafe(plan["_id"]) & (key["size"] == plan["_n"]))
     each = F.greatest(F.lit(1), F.round(F.col("_copies") / F.col("_same"))).cast("int")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+    return restored(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), each))), own)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import numbered, restored
 from ._text import Words, gram_starts, grams, per_doc, range_hashes, slices
 
 #: Labelled rows used for learning, the least in the order of md5(doc_id).
@@ -233,15 +234,13 @@ def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = fit(docs, labels)
     names = BASE + MORE
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"_{n}", T.LongType()) for n in names]])
+    rows, own = numbered(docs)
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, own["text"]):
                 c = count_texts(part.column(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c[n]) for n in names]], [*part.schema.names, *[f"_{n}" for n in names]])
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c[n]) for n in names]], [*part.schema.names, *names])
 
-    counted = docs.mapInArrow(run, schema)
-    # Rules name plain counts: the row goes into a struct, so that columns of docs with the same names stay apart.
-    hidden = counted.select(F.struct(*docs.columns).alias("_row"), *[F.col(f"_{n}").alias(n) for n in names])
-    return hidden.where(~base_failed() & verdict(rules)).select("_row.*")
+    return restored(rows.mapInArrow(run, schema).where(~base_failed() & verdict(rules)), own)

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from driftlake.llm import op5_rules
 from driftlake.llm._spark import written
@@ -41,3 +43,21 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_clashing_columns(spark):
+    """Columns named like the stages' own ones come through unchanged; null ids and texts, and ids beyond 2**53, too."""
+    say = lambda i: " ".join(f"{w}{i}" for w in "alpha beta gamma delta one two three four five six seven eight".split())
+    rows = [(2**60 + i, say(i), "en", f"s{i % 2}", 1) for i in range(8)] + [(7, say(0), "en", "s0", 1), (None, say(9), None, None, None), (None, None, None, None, None), (8, "", "en", "s1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = "c0 c5 _size size _copies _id _n _copy _same copies digest _digest _keep keep_id n_words _n_words n_symbols _row kept component_id rep band no_id".split()
+    docs = written(docs.select("*", *[F.lit(5).alias(c) for c in extra]), "clash")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert out.columns == docs.columns, name
+        assert all(r[c] == 5 for r in got for c in extra), name
+        texts = {(r["doc_id"], r["text"]) for r in got}
+        assert texts <= {r[:2] for r in rows}, name
+        if name in ("exact_dedup", "near_dedup"):
+            assert {(2**60 + i, say(i)) for i in range(1, 8)} | {(7, say(0))} <= texts and (2**60, say(0)) not in texts, name
