@@ -396,9 +396,24 @@ def drift_exact(spark: S, d: str) -> DataFrame:
     return drift.exact(*_tags(spark, d))
 
 
+def _turn_pairs(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
+    """Whole turns, and under each one's key the turn after it: every turn is in both sides."""
+    c = table(spark, d, "conversations")
+    side = lambda at: c.select(F.col("conv_id").cast("string").alias("path"), (F.col("turn") - at).alias("idx"), F.col("text").alias("prose"), F.when(F.col("turn") % 2 == 0, "error").otherwise("warning").alias("severity"), F.col("role").alias("name"))
+    return side(0), side(1)
+
+
+@query("""WITH c AS (SELECT conv_id::VARCHAR AS path, turn, text, CASE WHEN turn % 2 = 0 THEN 'error' ELSE 'warning' END AS severity, role FROM conversations),
+j AS (SELECT coalesce(a.path, b.path) AS path, coalesce(a.turn, b.turn - 1) AS idx, a.path IS NULL AS no_a, b.path IS NULL AS no_b, a.text AS p, b.text AS q, a.severity AS s, b.severity AS u, a.role AS m, b.role AS n FROM c a FULL JOIN c b ON a.path = b.path AND a.turn = b.turn - 1)
+SELECT path, idx, CASE WHEN no_b THEN 'removed' WHEN no_a THEN 'added' WHEN p IS DISTINCT FROM q THEN 'retext' WHEN m IS DISTINCT FROM n THEN 'retag' ELSE 'reseverity' END AS kind, p AS before, q AS after, m AS before_name, n AS after_name FROM j
+WHERE no_a OR no_b OR p IS DISTINCT FROM q OR s <> u OR m IS DISTINCT FROM n""")
+def drift_exact_turns(spark: S, d: str) -> DataFrame:
+    return drift.exact(*_turn_pairs(spark, d))
+
+
 @query()
 def drift_fuzzy(spark: S, d: str) -> DataFrame:
-    return drift.drift(*_tags(spark, d)).withColumn("similarity", F.round("similarity", 6))
+    return drift.drift(*_turn_pairs(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
 _REAL = "r AS (SELECT DISTINCT substr(md5(source || lang), 1, 8) AS fingerprint, CASE WHEN source < 'src2' THEN lang END AS error_name FROM documents), l AS (SELECT * FROM (VALUES ('en', 'c1'), ('en', 'c2'), ('fr', 'c1'), ('xx', 'c9')) v(error_name, cause_id)), dm AS (SELECT DISTINCT substr(md5('src' || (doc_id % 23) || 'de'), 1, 8) AS fingerprint, 'd' || (doc_id % 23) AS cause_id FROM labels)"
