@@ -29,7 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: RFC 4122's name space of URLs
 DATE = "1970-01-01T00:00:00Z"
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head)\b[^<>]*>", re.I)
+_ENDS = {"": re.compile("-->")} | {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template", "title")}
+_ATTRS = r"""(?:(?:[^<>"']++|"[^"]*"|'[^']*')*+>|[^<>]*>)"""
+# Blanks, void elements and stray end tags: what may stand in a head besides elements with content.
+_IN_HEAD = re.compile(rf"(?:\s+|<(?:meta|link|base|basefont|bgsound|html|head)\b{_ATTRS}|</(?!(?:head|body|html|br)\b)[a-z][^<>]*>|<[!?](?!--)[^<>]*>)*+", re.I)
+_TITLE_OPEN = re.compile(r"<(title)\b[^<>]*>", re.I)
 _BLOCK = re.compile(r"</?(?:p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|section|article|aside|nav|header|footer|main|form|pre|blockquote|figure|figcaption|title|body|html|option|select)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
@@ -45,9 +50,40 @@ def sha1(b: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
 
 
+def _without_hidden(page: str) -> str:
+    """The page without comments, scripts, styles, noscript, templates and its head.
+
+    Unclosed comments, scripts and styles run to the end of the page; an
+    unclosed noscript or template hides nothing. A head ends where HTML ends
+    it: at its end tag, or else at the first thing that can't stand in a head.
+    """
+    out, at, unclosed = [], 0, set()
+
+    def after(m: re.Match) -> int:
+        kind = (m[1] or "").lower()
+        if kind in unclosed:
+            return m.end()
+        if end := _ENDS[kind].search(page, m.end()):
+            return end.end()
+        if kind in ("", "script", "style"):
+            return len(page)
+        unclosed.add(kind)
+        return m.end()
+
+    while m := _HIDDEN.search(page, at):
+        out.append(page[at : m.start()])
+        if (m[1] or "").lower() == "head":
+            at = _IN_HEAD.match(page, m.end()).end()
+            while inner := _HIDDEN.match(page, at) or _TITLE_OPEN.match(page, at):
+                at = _IN_HEAD.match(page, after(inner)).end()
+        else:
+            at = after(m)
+    return " ".join([*out, page[at:]])
+
+
 def to_text(page: str) -> str:
     """Visible text: one line a block, entities resolved, blanks collapsed. Linear in the page."""
-    s = _DROP.sub(" ", page)
+    s = _without_hidden(page)
     s = _BLANK.sub(" ", s.replace("\n", " "))
     s = _TAG.sub("", _BLOCK.sub("\n", s))
     if "&" in s:

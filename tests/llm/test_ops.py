@@ -386,3 +386,13 @@ def test_words_vectorised():
     assert [w.joined(i).decode() for i in range(len(t))] == [" ".join(words(x)) for x in t]
     b = pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t)], ["doc_id", "text"])
     assert sum(p.num_rows for p in slices(b, limit=100)) == len(t)
+
+
+def test_warc_unclosed_head():
+    text = op9_warc.to_text
+    assert text("<html><head><title>T</title><body><p>text</p>") == "text"
+    assert text("<html><head><title>T</title><meta content='a > b'><script>x='<p>no</p>'</script><p>one<p>two</html>") == "one\ntwo"
+    assert text("<head><title>T</title><body><p>a</p><p>&lt;/head> </head> b</p>") == "a\n</head> b"
+    assert text("<head><title>T</title>bare text") == "bare text" and text("<head><link href=x></head ><p>y") == "y"
+    assert text("a<noscript>b<p>c") == "a b\nc" and text("a<template>b") == "a b" and text("a<head><noscript><link href=x><p>d") == "a\nd"
+    assert text("a<script>b<p>c") == "a" and text("a<style>b") == "a" and text("a<!-- b<p>c") == "a" and text("<head><style>b<body>c") == ""
