@@ -9,26 +9,38 @@ from .. import vocab
 from ..functions import text as X
 
 
-def _summary() -> list[Column]:
-    firsts = lambda c, n: F.slice(F.transform(F.array_sort(F.collect_set(F.struct("seq", c))), lambda x: x[c]), 1, n)
-    return [F.count("*").alias("support"), F.sum("duplicate_count").alias("support_weighted"), F.countDistinct("file").alias("files"), F.min_by("label", "seq").alias("label"), F.array_distinct(firsts("window", 100)).alias("windows"), F.array_sort(F.collect_set("toolchain")).alias("toolchains"), firsts("sample_id", 5).alias("provenance")]
+def _summed(rows: DataFrame, kind: str) -> DataFrame:
+    """Rules of rows (old, new, ...): summed by window first, then over windows."""
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    firsts = lambda x, c, n: F.transform(F.slice(F.array_sort(x), 1, n), lambda y: y[c])
+    w = rows.groupBy("old", "new", "window").agg(
+        F.count("*").alias("n"), F.sum("duplicate_count").alias("sites"), F.collect_set("file").alias("f"), F.min_by("label", "seq").alias("label"), F.min("seq").alias("seq"), F.collect_set("toolchain").alias("t"),
+        F.slice(F.array_sort(F.collect_set(F.struct("seq", "sample_id"))), 1, 5).alias("p"),
+    )
+    r = w.groupBy("old", "new").agg(
+        F.sum("n").alias("support"), F.sum("sites").alias("support_weighted"), F.size(flat("f")).cast("long").alias("files"), F.min_by("label", "seq").alias("label"),
+        firsts(F.collect_list(F.struct("seq", "window")), "window", 3).alias("windows"), F.array_sort(flat("t")).alias("toolchains"), firsts(flat("p"), "sample_id", 5).alias("provenance"),
+    )
+    return r.withColumn("kind", F.lit(kind)).withColumn("reversible", F.lit(True))
 
 
-def induce(pairs: DataFrame, min_support: int = 2, guard_tactics: bool = False, longest: int = 600) -> DataFrame:
+def induce(pairs: DataFrame, min_support: int = 2, guard_tactics: bool = False, longest: int = 600, renames: bool = False) -> DataFrame:
     """Rules from pairs (sample_id, seq, subs, broken, fixed, label, file, window, toolchain, duplicate_count).
 
     kind ``subst``: one for each replaced token; kind ``window``: one for each
-    (broken, fixed) of pairs that are no pure replacement. Support counts
-    rows, support_weighted sites. Order: support, then id.
+    (broken, fixed) that differ in more than white space and whose fixed text,
+    white space collapsed, is shorter than ``longest``. Window rules of pairs
+    with replaced tokens are left to ``renames``. Support counts rows,
+    support_weighted sites. Order: support, then id.
     """
     bad = vocab.UNSAFE_REVERSE + (vocab.TACTICS if guard_tactics else [])
     s = pairs.where(F.size("subs") > 0).withColumn("s", F.explode("subs")).select("*", F.col("s.old").alias("old"), F.col("s.new").alias("new")).where(~F.col("old").isin(bad) & ~F.col("new").isin(bad))
-    a = s.groupBy("old", "new").agg(*_summary()).withColumn("kind", F.lit("subst")).withColumn("reversible", F.lit(True))
-    p = pairs.where((F.size("subs") <= 0) & (F.trim("broken") != "") & (F.trim("fixed") != "") & (F.length("broken") < longest) & (F.length("fixed") < longest))
-    b = p.groupBy(F.col("broken").alias("old"), F.col("fixed").alias("new")).agg(*_summary()).withColumn("kind", F.lit("window")).withColumn("reversible", F.lit(True))
-    r = a.unionByName(b).where(F.col("support") >= min_support)
+    pre, post = (X.normalize(F.col(c), comments=True) for c in ("broken", "fixed"))
+    p = pairs if renames else pairs.where(F.size("subs") <= 0)
+    p = p.where((pre != "") & (post != "") & (pre != post) & (F.length(post) < longest)).withColumns({"old": F.col("broken"), "new": F.col("fixed")})
+    r = _summed(s, "subst").unionByName(_summed(p, "window")).where(F.col("support") >= min_support)
     rid = F.concat(F.substring("kind", 1, 4), F.lit("-"), X.short_hash(F.col("kind"), F.col("old"), F.col("new"), n=12))
-    return r.withColumn("windows", F.slice("windows", 1, 3)).withColumn("rule_id", rid).orderBy(F.desc("support"), "rule_id")
+    return r.withColumn("rule_id", rid).orderBy(F.desc("support"), "rule_id")
 
 
 def _limited(text: Column, pattern: Column, to: Column, limit: int) -> Column:

@@ -65,7 +65,7 @@ def build(pairs: DataFrame, keep: int = 1, per_label: int = 2000, per_signature:
 
 def induce(pairs: DataFrame, min_support: int = 2) -> DataFrame:
     have = pairs if "duplicate_count" in pairs.columns else pairs.withColumn("duplicate_count", F.lit(1))
-    return rules.induce(have, min_support)
+    return rules.induce(have, min_support, renames=True)
 
 
 def synthesize(spark: SparkSession, found: DataFrame, repo: str, ref: str = "HEAD", suffix: str = "", scan: int = 1500, n: int = 1000, seed: int = 0) -> DataFrame:

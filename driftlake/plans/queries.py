@@ -573,6 +573,18 @@ def induce_rules(spark: S, d: str) -> DataFrame:
     return rules.induce(_edits(spark, d)).select("rule_id", "old", "new", "support", "files", "label")
 
 
+_RULE = "count(*) AS support, count(DISTINCT o_custkey % 50) AS files, arg_min(o_orderstatus, o_orderkey) AS label"
+_FIRSTS = "SELECT kind, old, new, list(win ORDER BY s)[1:3] AS windows FROM (SELECT kind, old, new, 'w' || year(o_orderdate) AS win, min(o_orderkey) AS s FROM k GROUP BY ALL) GROUP BY ALL"
+
+
+@query(f"""WITH e AS (SELECT *, lead(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders),
+p AS (SELECT *, 'p' || regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '', 'g') AS old, 'p' || regexp_replace(nxt, '[^A-Za-z0-9]', '', 'g') AS new FROM e WHERE nxt <> o_orderpriority),
+k AS (SELECT *, unnest(['subst', 'window']) AS kind FROM p), r AS (SELECT kind, old, new, {_RULE} FROM k GROUP BY ALL HAVING count(*) >= 2), f AS ({_FIRSTS})
+SELECT substr(kind, 1, 4) || '-' || substr(sha1(kind || chr(0) || old || chr(0) || new), 1, 12) AS rule_id, kind, old, new, support, files, label, array_to_string(windows, ',') AS windows FROM r JOIN f USING (kind, old, new)""")
+def induce_rules_all(spark: S, d: str) -> DataFrame:
+    return rules.induce(_edits(spark, d), renames=True).select("rule_id", "kind", "old", "new", "support", "files", "label", F.array_join("windows", ",").alias("windows"))
+
+
 _NAME = r"'(^|[^\p{L}\p{N}_.''!?])the(\.[^A-Z]|\.$|[^\p{L}\p{N}_''!?.]|$)', '\1zz_the\2', 'g'"
 
 
