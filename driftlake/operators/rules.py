@@ -62,17 +62,16 @@ def synthesize(rules: DataFrame, files: DataFrame, n: int = 1000, per_rule: int
     """Breakages: rules applied backwards to files (path, text) where going forward again restores the text.
 
     Rules are a table bounded by ``min_support``; only rules whose new text
-    occurs in a file meet it: a file is cut to its tokens, joined to name
-    rules by token, and window rules (few) are tested with a substring search
-    while they are broadcast by the planner. Caps hold in order of path, then
-    of rule.
+    occurs in a file meet it: a file is cut to its tokens and joined to name
+    rules by token; window rules are broadcast, and each is searched as a
+    substring. Caps hold in order of path, then of rule.
     """
     r = rules.where("reversible").select("rule_id", "kind", "label", "old", "new", F.row_number().over(Window.orderBy(F.desc("support"), "rule_id")).alias("rank"))
     f = files.select("path", "text")
     token = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}_][\p{L}\p{N}_'!?]*"), F.lit(0))))
     lead = F.regexp_extract("new", r"([\p{L}_][\p{L}\p{N}_'!?]*)", 1)
-    by_token = f.withColumn("tok", token).join(r.withColumn("tok", lead).where("tok <> ''"), "tok").drop("tok")
-    hit = by_token.where(F.col("text").contains(F.col("new")))
+    by_token = f.withColumn("tok", token).join(r.where("kind = 'subst'").withColumn("tok", lead), "tok").drop("tok").where(F.col("text").contains(F.col("new")))
+    hit = by_token.unionByName(f.join(F.broadcast(r.where("kind <> 'subst'")), F.col("text").contains(F.col("new"))))
     broken = applied(F.col("text"), F.col("kind"), F.col("new"), F.col("old"), limit=sites)
     s = hit.withColumn("broken", broken).where("broken <> text")
     s = s.where(applied(F.col("broken"), F.col("kind"), F.col("old"), F.col("new")) == F.col("text"))

@@ -23,3 +23,10 @@ def test_window_rules_of_every_pair(spark):
     assert {k[1:] for k in got if k[0] == "window"} == {("a z", "b z"), ("m" * 700, "n"), ("n", wide), ("c", "d")}
     assert got["subst", "c", "d"]["windows"] == ["w1", "w2", "w3"] and got["subst", "c", "d"]["support"] == 250 and got["subst", "c", "d"]["provenance"] == ["many"] * 5
     assert {r["old"] for r in rules.induce(p, 1).where("kind = 'window'").collect()} == {"m" * 700, "n"}
+
+
+def test_window_rules_are_searched(spark):
+    r = spark.createDataFrame([("w1", "window", "⟨a⟩", "[·]"), ("w2", "window", "tt", "rfl"), ("s1", "subst", "tt", "rfl")], "rule_id string, kind string, old string, new string").selectExpr("*", "'l' AS label", "1 AS support", "true AS reversible")
+    f = spark.createDataFrame([("a", "x [·] y"), ("b", "by rfl'"), ("c", "by rfl")], "path string, text string")
+    got = {(s["rule_id"], s["path"], s["broken"]) for s in rules.synthesize(r, f).collect()}
+    assert got == {("w1", "a", "x ⟨a⟩ y"), ("w2", "b", "by tt'"), ("w2", "c", "by tt"), ("s1", "c", "by tt")}
