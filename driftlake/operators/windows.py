@@ -82,21 +82,23 @@ def merged(found: list[DataFrame]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_way").orderBy(F.desc("date"), "kind", "key")
 
 
-def reachable(commits: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
-    """Commits reachable from ``include`` and not from ``exclude``: breadth first over the parent edges, one join a generation, then an anti-join."""
+def reachable(commits: DataFrame, include: list[str] | DataFrame, exclude: list[str] | DataFrame) -> DataFrame:
+    """Commits reachable from ``include`` and not from ``exclude`` (lists, or DataFrames with column sha): breadth first over the parent edges, one join a generation, then an anti-join.
+
+    Without a checkpoint folder each generation is kept by the executors, so it is computed once.
+    """
     spark = commits.sparkSession
     edges = commits.select("sha", F.explode_outer("parents").alias("parent"))
 
-    def walk(tips: list[str]) -> DataFrame:
-        start = spark.createDataFrame([(t,) for t in tips], "sha string")
+    def walk(tips: list[str] | DataFrame) -> DataFrame:
+        start = tips.select("sha") if isinstance(tips, DataFrame) else spark.createDataFrame([(t,) for t in tips], "sha string")
         seen = front = start.distinct()
         while True:
             front = front.join(edges, "sha").select(F.col("parent").alias("sha")).where("sha is not null").distinct().join(seen, "sha", "left_anti")
-            if spark.sparkContext.getCheckpointDir():
-                front = front.checkpoint()
+            front = front.checkpoint() if spark.sparkContext.getCheckpointDir() else front.localCheckpoint()
             if front.isEmpty():
                 return seen
             seen = seen.union(front)
 
     out = commits.select("sha").join(walk(include), "sha", "left_semi")
-    return out.join(walk(exclude), "sha", "left_anti") if exclude else out
+    return out.join(walk(exclude), "sha", "left_anti") if isinstance(exclude, DataFrame) or exclude else out

@@ -161,6 +161,18 @@ def diff_option_and_instance(spark: S, d: str) -> DataFrame:
     return snapshot.option_causes(b, t).unionByName(snapshot.instance_causes(b, t)).select("name", "cause", "detail")
 
 
+@query("""WITH s AS (SELECT year(o_orderdate) AS release, o_custkey AS n, max(o_orderpriority) AS v, count(*) AS p FROM orders GROUP BY ALL),
+r AS (SELECT release AS base, lead(release) OVER (ORDER BY release) AS target FROM (SELECT DISTINCT release FROM s)),
+j AS (SELECT base, target, b.n, b.v, b.p, t.n IS NULL AS gone, t.v AS v2, t.p AS p2 FROM r JOIN s b ON b.release = base LEFT JOIN s t ON t.release = target AND t.n = b.n WHERE target IS NOT NULL)
+SELECT base, target, n AS name, CASE WHEN gone THEN 'option.absent' ELSE 'option.default-changed' END AS cause, CASE WHEN NOT gone THEN v || ' -> ' || v2 END AS detail FROM j WHERE gone OR v IS DISTINCT FROM v2
+UNION ALL SELECT base, target, n, CASE WHEN gone THEN 'instance.absent' ELSE 'instance.priority-changed' END, CASE WHEN NOT gone THEN p || ' -> ' || p2 END FROM j WHERE gone OR p IS DISTINCT FROM p2""")
+def diff_option_and_instance_hops(spark: S, d: str) -> DataFrame:
+    s = table(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("release"), F.col("o_custkey").alias("n")).agg(F.max("o_orderpriority").alias("default"), F.count("*").alias("prio"))
+    p = _hops(spark, d)
+    b, t = snapshot.side(s, p, "base"), snapshot.side(s, p, "target")
+    return snapshot.option_causes(b, t).unionByName(snapshot.instance_causes(b, t)).select("base", "target", "name", "cause", "detail")
+
+
 @query("""SELECT c_custkey AS name, 'deprecation.alias-absent' AS cause FROM customer
 WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
 def diff_double_anti(spark: S, d: str) -> DataFrame:
@@ -632,6 +644,14 @@ def history_reachability(spark: S, d: str) -> DataFrame:
     return windows.reachable(c.select("sha", "parents"), [f"n3_{top}"], ["n3_1"])
 
 
+@query("SELECT 'n' || conv_id || '_' || turn AS sha FROM conversations WHERE turn > 1")
+def history_reachability_all(spark: S, d: str) -> DataFrame:
+    sha = lambda turn: F.concat(F.lit("n"), "conv_id", F.lit("_"), turn)
+    c = table(spark, d, "conversations").select("conv_id", "turn", sha(F.col("turn")).alias("sha"), F.when(F.col("turn") > 0, F.array(sha(F.col("turn") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    last = c.groupBy("conv_id").agg(F.max_by("sha", "turn").alias("sha"))
+    return windows.reachable(c.select("sha", "parents"), last, c.where("turn = 1"))
+
+
 @query("SELECT event_id, 0 AS idx, event_type AS text, (json_extract_string(props, '$.k'))::INT AS line FROM events UNION ALL SELECT event_id, 1, 'in ' || user_id, 7 FROM events")
 def json_walk(spark: S, d: str) -> DataFrame:
     e = table(spark, d, "events")

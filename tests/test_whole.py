@@ -30,3 +30,11 @@ def test_window_rules_are_searched(spark):
     f = spark.createDataFrame([("a", "x [·] y"), ("b", "by rfl'"), ("c", "by rfl")], "path string, text string")
     got = {(s["rule_id"], s["path"], s["broken"]) for s in rules.synthesize(r, f).collect()}
     assert got == {("w1", "a", "x ⟨a⟩ y"), ("w2", "b", "by tt'"), ("w2", "c", "by tt"), ("s1", "c", "by tt")}
+
+
+def test_every_conversation_and_hop(spark):
+    q = catalog.queries()
+    got = {r[0].split("_")[0] for r in q["history_reachability_all"](spark, SF).collect()}
+    assert got == {f"n{r[0]}" for r in table(spark, SF, "conversations").where("turn > 1").select("conv_id").collect()} and len(got) > 1
+    years = sorted(r[0] for r in table(spark, SF, "orders").selectExpr("year(o_orderdate)").distinct().collect())
+    assert {(r["base"], r["target"]) for r in q["diff_option_and_instance_hops"](spark, SF).select("base", "target").distinct().collect()} == set(zip(years, years[1:]))
