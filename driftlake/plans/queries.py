@@ -355,18 +355,27 @@ def prior_sensitivity(spark: S, d: str) -> DataFrame:
     return r.select("fingerprint", "n_priors", *[F.col(c).cast("long").alias(c) for c in ("best", "worst", "spread")])
 
 
-@query(f"""WITH {OBS}, {PRI}, cell AS (SELECT stratum, cluster, fingerprint, count(*) AS c FROM ob GROUP BY ALL),
+_CI = f"""WITH {OBS}, {PRI}, cell AS (SELECT stratum, cluster, fingerprint, count(*) AS c FROM ob GROUP BY ALL),
 num AS (SELECT stratum, cluster, row_number() OVER (PARTITION BY stratum ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY stratum) AS k FROM (SELECT DISTINCT stratum, cluster FROM ob)),
 drawn AS (SELECT r, stratum, ('0x' || substr(md5('0|' || r || '|' || stratum || '|' || i), 1, 8))::BIGINT % k AS i FROM num, range(40) t(r)),
 cnt AS (SELECT r, d.stratum, fingerprint, sum(c) AS c FROM drawn d JOIN num USING (stratum, i) JOIN cell ON cell.stratum = d.stratum AND cell.cluster = num.cluster GROUP BY ALL),
 est AS (SELECT r, fingerprint, sum(w * c / n) AS weight FROM (SELECT *, sum(c) OVER (PARTITION BY r, stratum) AS n FROM cnt) JOIN pri USING (stratum) GROUP BY ALL),
 al AS (SELECT f.fingerprint, list_sort(list(coalesce(weight, 0))) AS ws FROM (SELECT DISTINCT fingerprint FROM est) f CROSS JOIN range(40) t(r) LEFT JOIN est ON est.r = t.r AND est.fingerprint = f.fingerprint GROUP BY ALL)
-SELECT fingerprint, round(ws[2], 9) AS ci_low, round(ws[39], 9) AS ci_high FROM al""")
+SELECT fingerprint, round(ws[2], 9) AS ci_low, round(ws[39], 9) AS ci_high FROM al"""
+
+
+@query(_CI)
 def bootstrap_ci(spark: S, d: str) -> DataFrame:
     r = weights.bootstrap(_observations(spark, d), weights.prior(spark, W3), draws=40)
     return r.select("fingerprint", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"))
 
 
+@query(_CI.replace("range(40)", "range(400)").replace("ws[2]", "ws[11]").replace("ws[39]", "ws[390]"))
+def bootstrap_ci_400(spark: S, d: str) -> DataFrame:
+    r = weights.bootstrap(_observations(spark, d), weights.prior(spark, W3))
+    return r.select("fingerprint", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"))
+
+
 def _turns(spark: S, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     return messages.prepared(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("role").alias("severity"), F.lit(None).cast("string").alias("error_name"), "text"))

@@ -38,3 +38,8 @@ def test_every_conversation_and_hop(spark):
     assert got == {f"n{r[0]}" for r in table(spark, SF, "conversations").where("turn > 1").select("conv_id").collect()} and len(got) > 1
     years = sorted(r[0] for r in table(spark, SF, "orders").selectExpr("year(o_orderdate)").distinct().collect())
     assert {(r["base"], r["target"]) for r in q["diff_option_and_instance_hops"](spark, SF).select("base", "target").distinct().collect()} == set(zip(years, years[1:]))
+
+
+def test_bootstrap_of_400_draws(spark):
+    a, b = (sorted(catalog.queries()[n](spark, SF).collect()) for n in ("bootstrap_ci", "bootstrap_ci_400"))
+    assert a != b and "range(400)" in catalog.oracle_sql()["bootstrap_ci_400"]
