@@ -8,7 +8,10 @@ the source go into the metadata record as http-header fields.
 
 Defined cases: a null html is an empty payload (its conversion is empty); a
 null url gives records without WARC-Target-URI; an empty table gives no rows;
-repeated rows give equal records; extra columns are ignored. Every page is
+repeated rows give equal records; columns date (string), http (array of name
+and value) and source_id (string) are used where they aren't null, and a fixed
+date, two made-up headers and an invented id stand for them otherwise; other
+columns are ignored. Every page is
 converted whole.
 """
 
@@ -43,6 +46,9 @@ _TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title|\Z)", re.S | re.I)
 _LANG = re.compile(r"<html\b[^<>]*\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _CHARSET = re.compile(r"<meta\b[^<>]*\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
 _LINK = re.compile(r"<(a|area|img|link|iframe)\b[^<>]*?\b(href|src)\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\"'<>]+))", re.I)
+_FOLD = re.compile(r"\s*[\r\n]+\s*")
+_HTTP_END = re.compile(rb"\r?\n\r?\n")
+HTTP = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 FIELDS = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, payload_digest string, block_digest string, headers string, content string"
 
 
@@ -136,17 +142,24 @@ def derive(page_id: int | None, url: str | None, page: str | None, date: str = D
 def derivatives(pages: DataFrame) -> DataFrame:
     """Two rows of FIELDS for each page; one pass, no shuffle."""
     names = [f.split()[0] for f in FIELDS.split(", ")]
+    have = [c for c in ("date", "http", "source_id") if c in pages.columns]
+
+    def known(values: tuple) -> dict:
+        x = {k: v for k, v in zip(have, values, strict=True) if v is not None}
+        if "http" in x:
+            x["http"] = [(h["name"], _FOLD.sub(" ", h["value"] or "")) for h in x["http"]]
+        return x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [r for i, u, h in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in derive(i, u, h)]
+                rows = [r for i, u, h, *rest in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in derive(i, u, h, **known(rest))]
                 cols = list(zip(*rows, strict=True))
                 types = [pa.int64() if n in ("page_id", "content_length") else pa.string() for n in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, FIELDS)
+    return pages.select("page_id", "url", "html", *have).mapInArrow(run, FIELDS)
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
@@ -180,8 +193,22 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + n
 
 
+def http_message(block: bytes) -> tuple[list[dict[str, str]], bytes]:
+    """Headers (folded lines joined) and payload of an HTTP response."""
+    end = _HTTP_END.search(block)
+    head, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    out: list[dict[str, str]] = []
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and out:
+            out[-1]["value"] = f"{out[-1]['value']} {line.strip()}".strip()
+        elif ":" in line:
+            k, _, v = line.partition(":")
+            out.append({"name": k.strip(), "value": v.strip()})
+    return out, payload
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, record_id, refers_to, target_uri, date, payload_digest, block_digest, content_type, block of all records under path (files under 2 GB)."""
+    """record_type, record_id, refers_to, target_uri, date, payload_digest, block_digest, content_type, block of all records under path (files under 2 GB); http and payload: headers and body of records that are HTTP messages, else null and the block."""
     keys = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-block-digest", "content-type"]
     names = ["record_type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "block_digest", "content_type"]
 
@@ -191,6 +218,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows = list(parse(batch.column(0)[i].as_py()))
                 for a in range(0, len(rows), 500):
                     part = rows[a : a + 500]
-                    yield pa.RecordBatch.from_arrays([*[pa.array([h.get(k) for h, _ in part], pa.string()) for k in keys], pa.array([b for _, b in part], pa.binary())], [*names, "block"])
+                    split = [http_message(b) if h.get("warc-type") == "response" and h.get("content-type", "").lower().startswith("application/http") else (None, b) for h, b in part]
+                    more = [pa.array([b for _, b in part], pa.binary()), pa.array([x for x, _ in split], HTTP), pa.array([x for _, x in split], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*[pa.array([h.get(k) for h, _ in part], pa.string()) for k in keys], *more], [*names, "block", "http", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", block binary")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", block binary, http array<struct<name: string, value: string>>, payload binary")

@@ -396,3 +396,16 @@ def test_warc_unclosed_head():
     assert text("<head><title>T</title>bare text") == "bare text" and text("<head><link href=x></head ><p>y") == "y"
     assert text("a<noscript>b<p>c") == "a b\nc" and text("a<template>b") == "a b" and text("a<head><noscript><link href=x><p>d") == "a\nd"
     assert text("a<script>b<p>c") == "a" and text("a<style>b") == "a" and text("a<!-- b<p>c") == "a" and text("<head><style>b<body>c") == ""
+
+
+def test_warc_keeps_headers_dates_and_ids(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\nX-Long: a\r\n b\r\nServer: s:1\r\n\r\n<p>one\r\n\r\ntwo"
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:7>\r\nWARC-Target-URI: http://h.example/\r\nWARC-Date: 2024-05-06T07:08:09Z\r\nContent-Type: application/http; msgtype=response\r\n"
+    (tmp_path / "a.warc").write_bytes(head.encode() + b"Content-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n")
+    w = op9_warc.read_warc(spark, str(tmp_path / "a.warc"))
+    pages = w.select(F.lit(1).cast("long").alias("page_id"), F.col("target_uri").alias("url"), F.decode("payload", "UTF-8").alias("html"), "date", "http", F.col("record_id").alias("source_id"))
+    meta, conv = op9_warc.derivatives(pages).collect()
+    assert meta["content"] == "http-header: X-Long: a b\r\nhttp-header: Server: s:1\r\n" and conv["content"] == "one two"
+    assert {(r["refers_to"], r["date"]) for r in (meta, conv)} == {("<urn:uuid:7>", "2024-05-06T07:08:09Z")}
+    absent = pages.withColumns({c: F.lit(None).cast(pages.schema[c].dataType) for c in ("date", "http", "source_id")})
+    assert op9_warc.derivatives(absent).collect() == op9_warc.derivatives(pages.select("page_id", "url", "html")).collect()
