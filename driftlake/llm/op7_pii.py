@@ -9,22 +9,30 @@ mailbox are the same share a skip potential, however far apart. Loopy
 sum-product passing, with base spans clamped to their kind, gives beliefs; a
 node is added as a span if a kind that its form allows has BELIEF or more.
 
-Weights are learnt from at most MAX_DOCS documents (the least by md5 of
-doc_id among those with a digit or at-sign) with the base spans as labels:
-node weights by multinomial logistic regression on the form of a word, pair
-potentials by how often labels meet.
+Node, transition and skip weights are learnt together, by gradient ascent on
+the likelihood with the same message passing, from at most MAX_DOCS documents
+(the least by md5 of doc_id among those with a digit or at-sign; rows without
+doc_id are left out, of rows with one doc_id the text least by md5 is taken)
+of MAX_NODES nodes each. Base spans are the labels; open nodes that share a key
+with one are left out, since the patterns don't tell what they are. So that the field learns
+what the patterns can't say, each document also gets degraded mentions
+(DEGRADED): the value of one of its own base spans without its plus sign, dots
+or domain, labelled with its kind; and the same of values that stand nowhere
+else in it, labelled O.
 
 Defined cases: null text is empty text, without spans; an empty table gives
 no rows; spans are code points, end exclusive; equal doc_ids give one row
-each; extra columns are ignored. Texts are read whole.
+each; extra columns are ignored. Texts are read whole. Only ASCII digits
+count as digits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import pickle
+import random
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +44,11 @@ from pyspark.sql import functions as F
 from ._text import slices
 
 KINDS = ("email", "ip", "card", "phone")
+#: Documents, and nodes of each, that the field is fitted on; scoring has no such bounds.
 MAX_DOCS, MAX_NODES = 2000, 64
 BELIEF = 0.95
+#: Degraded mentions of a document's own values, and of values that stand nowhere else, added to each document in fitting.
+DEGRADED = 3
 # The base patterns (an e-mail address is matched from its at-sign, which gives the same spans in linear time).
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,6 +56,7 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
+_PARTS = re.compile(r"[.-]")
 _NODE = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}<>"
 Span = tuple[int, int]
@@ -60,6 +72,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(p: str) -> bool:
+    """Whether p, of digits, is at most 255 (however many leading zeros it has)."""
+    p = p.lstrip("0")
+    return len(p) <= 3 and int(p or "0") <= 255
+
+
 def emails(t: str) -> list[Span]:
     out, end, at = [], 0, t.find("@")
     while at >= 0:
@@ -80,7 +98,7 @@ def base(t: str) -> dict[str, list[Span]]:
     if "@" in t:
         out["email"] = emails(t)
     if _DIGITS.search(t):
-        out["ip"] = [m.span() for m in _IP.finditer(t) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))] if "." in t else []
+        out["ip"] = [m.span() for m in _IP.finditer(t) if all(map(octet, m.group().split(".")))] if "." in t else []
         for m in _CARD.finditer(t):
             if m.end() - m.start() >= 16:
                 d = "".join(_DIGITS.findall(m.group()))
@@ -133,16 +151,16 @@ def allowed(s: str) -> np.ndarray:
     """Which labels the form of a node allows."""
     d = "".join(_DIGITS.findall(s))
     alpha = any(c.isalpha() for c in s)
-    parts = s.split(".")
-    ip = len(parts) == 4 and all(p.isdigit() and len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
-    return np.array([True, "@" in s[1:-1], ip, not alpha and 16 <= len(d) <= 19 and luhn(d), not alpha and 8 <= len(d) <= 15 and not ip])
+    four = [p for p in _PARTS.split(s)]
+    ip = len(four) == 4 and all(_DIGITS.fullmatch(p) and octet(p) for p in four)
+    return np.array([True, "@" in s[1:-1], ip, not alpha and 16 <= len(d) <= 19 and luhn(d), not alpha and 8 <= len(d) <= 15 and not (ip and "." in s)])
 
 
 def form(s: str) -> np.ndarray:
     n = max(1, len(s))
-    d = sum(c.isdigit() for c in s)
+    d = sum(map(len, _DIGITS.findall(s)))
     a = sum(c.isalpha() for c in s)
-    return np.array([1.0, "@" in s, d / n, a / n, min(n, 40) / 20, min(d, 20) / 10, 16 <= d <= 19, 8 <= d <= 15, s.startswith("+"), s.count(".") == 3, s.count(".") / 3, s.count("-") / 3, "(" in s, "=" in s or '"' in s, s.isupper(), d == n, *allowed(s)[1:]], float)
+    return np.array([1.0, "@" in s, d / n, a / n, min(n, 40) / 20, min(d, 20) / 10, 16 <= d <= 19, 8 <= d <= 15, s.startswith("+"), s.count(".") == 3, min(s.count("."), 9) / 3, min(s.count("-"), 9) / 3, "(" in s, "=" in s or '"' in s, s.isupper(), d == n, *allowed(s)[1:]], float)
 
 
 def keys(s: str) -> list[str]:
@@ -157,55 +175,71 @@ def keys(s: str) -> list[str]:
     return out
 
 
-@dataclass
-class Field:
-    weight: np.ndarray  # features x labels
-    chain: np.ndarray  # labels x labels
-    skip: np.ndarray
+def edges(places: list[int], names: list[list[str]]) -> list[tuple[int, int, int]]:
+    """(a, b, kind) of neighbours (kind 0) and of nodes with a key in common (kind 1; each with the last one before it)."""
+    out = [(i - 1, i, 0) for i in range(1, len(places)) if places[i] - places[i - 1] <= 1]
+    last: dict[str, int] = {}
+    for i, ks in enumerate(names):
+        out += sorted({(last[k], i, 1) for k in ks if k in last and last[k] != i})
+        last.update(dict.fromkeys(ks, i))
+    return out
+
+
+def _norm(m: np.ndarray) -> np.ndarray:
+    return m - np.logaddexp.reduce(m, axis=-1, keepdims=True) if m.ndim == 1 else m - np.logaddexp.reduce(m, axis=-1)[..., None]
 
-    def edges(self, ns: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, kind = [], [], []
-        for i in range(1, len(ns)):
-            if ns[i].place - ns[i - 1].place <= 1:
-                a.append(i - 1), b.append(i), kind.append(0)
-        last: dict[str, int] = {}
-        for i, x in enumerate(ns):
-            for k in keys(x.text):
-                if k in last and last[k] != i:
-                    a.append(last[k]), b.append(i), kind.append(1)
-                last[k] = i
-        return np.array(a, int), np.array(b, int), np.array(kind, int)
-
-    def beliefs(self, ns: list[Node], rounds: int = 15) -> np.ndarray:
-        unary = np.array([form(x.text) @ self.weight for x in ns])
-        for i, x in enumerate(ns):
-            if x.label:
-                unary[i] = -30.0
-                unary[i, x.label] = 0.0
-            else:
-                unary[i, ~allowed(x.text)] = -30.0
-        a, b, kind = self.edges(ns)
-        psi = np.where(kind[:, None, None] == 0, self.chain, self.skip) if len(a) else np.zeros((0, 5, 5))
-        fore, aft = np.zeros((len(a), 5)), np.zeros((len(a), 5))  # log messages a->b and b->a
 
-        def norm(m: np.ndarray) -> np.ndarray:
-            return m - np.logaddexp.reduce(m, axis=-1, keepdims=True)
+class Messages:
+    """Loopy sum-product on one graph (or on many, side by side); messages are kept from call to call."""
 
-        def total() -> np.ndarray:
-            s = unary.copy()
-            np.add.at(s, b, fore)
-            np.add.at(s, a, aft)
-            return s
+    def __init__(self, n: int, graph: list[tuple[int, int, int]]):
+        g = np.array(graph, int).reshape(-1, 3)
+        self.n, (self.a, self.b, self.kind) = n, g.T
+        self.fore, self.aft = np.zeros((len(g), 5)), np.zeros((len(g), 5))  # log messages a->b and b->a
 
+    def total(self, unary: np.ndarray) -> np.ndarray:
+        s = unary.copy()
+        np.add.at(s, self.b, self.fore)
+        np.add.at(s, self.a, self.aft)
+        return s
+
+    def run(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Beliefs of nodes and of edges."""
+        a, b = self.a, self.b
+        psi = np.where(self.kind[:, None, None] == 0, chain, skip)
         for _ in range(rounds if len(a) else 0):
-            s = total()
-            new_f = norm(np.logaddexp.reduce((s[a] - aft)[:, :, None] + psi, axis=1))
-            new_a = norm(np.logaddexp.reduce((s[b] - fore)[:, None, :] + psi, axis=2))
-            moved = max(np.abs(new_f - fore).max(), np.abs(new_a - aft).max())
-            fore, aft = 0.5 * fore + 0.5 * new_f, 0.5 * aft + 0.5 * new_a
+            s = self.total(unary)
+            new_f = _norm(np.logaddexp.reduce((s[a] - self.aft)[:, :, None] + psi, axis=1))
+            new_a = _norm(np.logaddexp.reduce((s[b] - self.fore)[:, None, :] + psi, axis=2))
+            moved = max(np.abs(new_f - self.fore).max(), np.abs(new_a - self.aft).max())
+            self.fore, self.aft = 0.5 * self.fore + 0.5 * new_f, 0.5 * self.aft + 0.5 * new_a
             if moved < 1e-4:
                 break
-        return np.exp(norm(total()))
+        s = self.total(unary)
+        pair = (s[a] - self.aft)[:, :, None] + (s[b] - self.fore)[:, None, :] + psi
+        pair = np.exp(_norm(pair.reshape(-1, 25))).reshape(-1, 5, 5) if len(a) else np.zeros((0, 5, 5))
+        return np.exp(_norm(s)), pair
+
+
+def unaries(x: np.ndarray, weight: np.ndarray, may: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Node potentials: -30 for labels that the form rules out; ``sure`` (label or 0) clamps."""
+    u = np.where(may, x @ weight, -30.0)
+    on = np.flatnonzero(sure)
+    u[on] = -30.0
+    u[on, sure[on]] = 0.0
+    return u
+
+
+@dataclass
+class Field:
+    weight: np.ndarray  # features x labels
+    chain: np.ndarray  # labels x labels
+    skip: np.ndarray
+
+    def beliefs(self, ns: list[Node], rounds: int = 40) -> np.ndarray:
+        x, may = np.array([form(n.text) for n in ns]), np.array([allowed(n.text) for n in ns])
+        graph = edges([n.place for n in ns], [keys(n.text) for n in ns])
+        return Messages(len(ns), graph).run(unaries(x, self.weight, may, np.array([n.label for n in ns])), self.chain, self.skip, rounds)[0]
 
     def added(self, t: str, spans: dict[str, list[Span]]) -> dict[str, list[Span]]:
         ns = nodes(t, spans)
@@ -220,60 +254,95 @@ class Field:
         return out
 
 
-def learn(samples: list[list[tuple[np.ndarray, int, int, list[str]]]], steps: int = 400, rate: float = 0.1) -> Field:
-    """samples: for each document its nodes as (form, label, place, keys)."""
-    flat = [n for doc in samples for n in doc]
+Sample = tuple[str, int, bool, int]  # text, label, is it clamped, place
+
+
+def degraded(s: str, kind: int, rng: random.Random) -> str:
+    """A mention of the value of a base span that no base pattern of its kind matches."""
+    d = _DIGITS.findall(s)
+    flat = "".join(d)
+    if kind == 1:
+        at, _, host = s.partition("@")
+        return f"{at}@{host.split('.')[0]}"
+    if kind == 2:
+        return "-".join(d)
+    if kind == 3:
+        return ".".join(flat[i : i + 4] for i in range(0, len(flat), 4))
+    flat = flat[-10:] if len(flat) > 10 and rng.random() < 0.5 else flat
+    return rng.choice([flat, flat[:-7] + "-" + flat[-7:-4] + "-" + flat[-4:], flat[:-4] + "." + flat[-4:]])
+
+
+def stranger(s: str, rng: random.Random) -> str:
+    """A value of the same form that stands nowhere else."""
+    return "".join(rng.choice("0123456789") if c in "0123456789" else rng.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in s)
+
+
+def samples(t: str) -> list[Sample]:
+    """The nodes of a text, MAX_NODES at most (the least by a hash), with degraded mentions after them."""
+    ns = nodes(t, base(t))
+    if len(ns) > MAX_NODES:
+        ns = sorted(sorted(ns, key=lambda n: hashlib.md5(f"{n.text}/{n.place}".encode("utf-8", "surrogatepass")).digest())[:MAX_NODES], key=lambda n: n.place)
+    known = {k for n in ns if n.label for k in keys(n.text)}
+    ns = [n for n in ns if n.label or known.isdisjoint(keys(n.text))]  # what an open node like a sure one is, the patterns don't tell
+    out: list[Sample] = [(n.text, n.label, n.label > 0, n.place) for n in ns]
+    rng = random.Random(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest())
+    own = [n for n in ns if n.label and n.span]
+    place = (ns[-1].place if ns else 0) + 2
+    for n in rng.sample(own, min(DEGRADED, len(own))):
+        value = t[slice(*n.span)]
+        other = degraded(stranger(value, rng), n.label, rng)
+        more = [(degraded(value, n.label, rng), n.label), (other, 0), *[(other, 0)] * (rng.random() < 0.5)]
+        rng.shuffle(more)
+        for s, y in more:
+            out.append((s, y if allowed(s)[y] else 0, False, place))
+            place += rng.choice([1, 2, 2])
+    return out
+
+
+def learn(docs: list[list[Sample]], steps: int = 250, rate: float = 0.2, decay: float = 1e-5) -> Field:
+    """Node, transition and skip weights together: Adam on the penalised likelihood of the open nodes' labels given the clamped ones."""
     n_f = len(form("0"))
-    w = np.zeros((n_f, 5))
+    p = {"weight": np.zeros((n_f, 5)), "chain": np.zeros((5, 5)), "skip": np.zeros((5, 5))}
+    flat = [n for doc in docs for n in doc]
     if flat:
-        x, y = np.array([n[0] for n in flat]), np.array([n[1] for n in flat])
-        hot = np.eye(5)[y]
-        m, v = np.zeros_like(w), np.zeros_like(w)
+        graph, at = [], 0
+        for doc in docs:
+            graph += [(a + at, b + at, k) for a, b, k in edges([n[3] for n in doc], [keys(n[0]) for n in doc])]
+            at += len(doc)
+        x, may, y = np.array([form(n[0]) for n in flat]), np.array([allowed(n[0]) for n in flat]), np.array([n[1] for n in flat])
+        sure, hot, m = np.where([n[2] for n in flat], y, 0), np.eye(5)[y], Messages(len(flat), graph)
+        seen, kinds = np.zeros((len(m.a), 5, 5)), [m.kind == 0, m.kind == 1]
+        seen[np.arange(len(m.a)), y[m.a], y[m.b]] = 1.0
+        is_open = max(1, int((sure == 0).sum()))
+        g1, g2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            z = x @ w
-            p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
-            g = x.T @ (p - hot) / len(x) + 1e-3 * w
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    chain, skip = np.ones((5, 5)), np.ones((5, 5))
-    for doc in samples:
-        last: dict[str, int] = {}
-        for i, (_, label, place, ks) in enumerate(doc):
-            if i and place - doc[i - 1][2] <= 1:
-                chain[doc[i - 1][1], label] += 1
-            for k in ks:
-                if k in last:
-                    skip[last[k], label] += 1
-                    skip[label, last[k]] += 1
-                last[k] = label
-    def lift(c: np.ndarray) -> np.ndarray:  # how much more often labels meet than by chance
-        p = c / c.sum()
-        return np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -3, 3)
-
-    return Field(w, lift(chain), lift(skip))
+            q, pair = m.run(unaries(x, p["weight"], may, sure), p["chain"], p["skip"], 6)
+            off = np.where((sure == 0)[:, None], hot - q, 0.0)
+            e = seen - pair
+            both = e[kinds[1]].sum(0)
+            grad = {"weight": x.T @ off, "chain": e[kinds[0]].sum(0), "skip": (both + both.T) / 2}
+            for k in p:
+                g = grad[k] / is_open - decay * p[k]
+                g1[k] = 0.9 * g1[k] + 0.1 * g
+                g2[k] = 0.99 * g2[k] + 0.01 * g * g
+                p[k] = p[k] + rate * (g1[k] / (1 - 0.9**step)) / (np.sqrt(g2[k] / (1 - 0.99**step)) + 1e-8)
+    return Field(p["weight"], p["chain"], p["skip"])
 
 
 def fit(docs: DataFrame, most: int = MAX_DOCS) -> Field:
-    """Learn from at most ``most`` documents, MAX_NODES nodes each (the least by a hash of their text)."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").select("doc_id")
-    ids = F.broadcast(some.limit(most).distinct())
+    """Learn from at most ``most`` documents; without any, the field adds nothing."""
+    some = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    ids = F.broadcast(some.select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x, y, place, ks = [], [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ns = nodes(t or "", base(t or ""))
-                if len(ns) > MAX_NODES:
-                    ns = sorted(sorted(ns, key=lambda n: hashlib.md5(f"{n.text}/{n.place}".encode("utf-8", "surrogatepass")).digest())[:MAX_NODES], key=lambda n: n.place)
-                for n in ns:
-                    ids.append(i), x.append(form(n.text)), y.append(n.label), place.append(n.place), ks.append(keys(n.text))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(place, pa.int32()), pa.array(ks, pa.list_(pa.string()))], ["doc_id", "x", "y", "place", "ks"])
-
-    rows = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>, y int, place int, ks array<string>").toPandas().sort_values(["doc_id", "place"], kind="stable")
-    per: dict[int, list] = defaultdict(list)
-    for r in rows.itertuples(index=False):
-        per[r.doc_id].append((np.asarray(r.x), r.y, r.place, list(r.ks)))
-    return learn(list(per.values()))
+            for part in slices(batch):
+                found = [(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest(), pickle.dumps(samples(t))) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["doc_id", "h", "nodes"])
+
+    rows = some.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, h binary, nodes binary")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("h", "nodes")).alias("r")).select("doc_id", "r.nodes").toPandas().sort_values("doc_id")
+    return learn([pickle.loads(r) for r in one["nodes"]])
 
 
 def listed(spans: dict[str, list[Span]]) -> str:

@@ -313,6 +313,56 @@ def test_skip_chain():
     assert [t[x:y] for x, y in f.added(t, b)["phone"]] == ["15235551055"] and f.added("see 15235551055", op7_pii.base("see 15235551055"))["phone"] == []
 
 
+def test_pii_odd_digits(spark):
+    """Digits that are not ASCII, and numbers too long for int(), are ordinary text; null and repeated ids don't starve the fit."""
+    assert list(op7_pii.allowed("1.2.3.\u00b2")) == [True, False, False, False, False] and op7_pii.allowed("0" * 5000 + "1.1.1.1")[2]
+    assert op7_pii.base("0" * 5000 + ".1.1.1")["ip"] == [(0, 5006)] and op7_pii.base("9" * 5000 + ".1.1.1")["ip"] == []
+    rows = [(None, f"call +1 (523) 555-10{i}") for i in range(10, 40)] + [(5, f"call +1 (523) 555-20{i}") for i in range(10, 40)] + [(i, f"ip 10.0.0.{i} mail a{i}@b.example") for i in range(100, 140)]
+    model = op7_pii.fit(spark.createDataFrame(rows, "doc_id long, text string"), most=20)
+    assert np.abs(model.weight).max() > 0.1 and np.abs(model.skip).max() > 0.1
+
+
+def test_pii_degraded_mentions(spark):
+    """A mention without its cue is found where the same text holds a clean one, and only there."""
+    rng = random.Random(8)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    clean, bad, alone = {}, {}, {}
+    for i in range(240):
+        kind = i % 4
+        local, a, b = f"u{num(5)}", num(3), num(4)
+        ip = ".".join(str(rng.randint(20, 255)) for _ in range(4))
+        card = next(c for c in iter(lambda: "4" + num(15), None) if op7_pii.luhn(c))
+        clean[i] = [f"{local}@m.example.com", ip, card, f"+1 (523) {a}-{b}"][kind]
+        bad[i] = [f"{local}@m", ip.replace(".", "-"), ".".join(card[k : k + 4] for k in range(0, 16, 4)), f"523{a}{b}"][kind]
+        alone[i] = rng.random() < 0.5
+    text = lambda i: ("" if alone[i] else f"write to {clean[i]} now. ") + "some words here " * rng.randint(1, 40) + f"and again {bad[i]} please"
+    rows = [(i, text(i)) for i in clean]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in op7_pii.find(d, op7_pii.fit(d)).collect():
+        t, i = rows[r["doc_id"]][1], r["doc_id"]
+        want = [] if alone[i] else [f"{op7_pii.KINDS[i % 4]}:{t.index(bad[i], len(clean[i]) + 9)}:{t.index(bad[i], len(clean[i]) + 9) + len(bad[i])}"]
+        assert set(r["spans"].split(",")) - set(brute_pii(t)[1]) - {""} == set(want) and r["n_added"] == len(want), t
+
+
+def test_skip_chain_beliefs():
+    """Message passing against all assignments, on a graph without loops."""
+    import itertools
+
+    rng = np.random.default_rng(0)
+    n, graph = 5, [(0, 1, 0), (1, 2, 1), (1, 3, 1), (3, 4, 0)]
+    unary, chain, skip = rng.normal(size=(n, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5))
+    node, pair = op7_pii.Messages(n, graph).run(unary, chain, skip, 200)
+    want, both, z = np.zeros((n, 5)), np.zeros((len(graph), 5, 5)), 0.0
+    for y in itertools.product(range(5), repeat=n):
+        w = np.exp(sum(unary[i, y[i]] for i in range(n)) + sum((skip if k else chain)[y[a], y[b]] for a, b, k in graph))
+        z += w
+        for i in range(n):
+            want[i, y[i]] += w
+        for e, (a, b, _) in enumerate(graph):
+            both[e, y[a], y[b]] += w
+    assert np.allclose(node, want / z, atol=1e-3) and np.allclose(pair, both / z, atol=1e-3)
+
+
 def test_sentencepiece(spark, docs, texts, empty):
     spm = pytest.importorskip("sentencepiece")
     sp = spm.SentencePieceProcessor(model_file=op8_sentencepiece.MODEL)
