@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,52 @@ HOT_PARTS = 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a local master's session gets a folder of its own.
+
+    On a cluster executors don't share local folders, so the setting must be there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="driftlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
+class scratch:
+    """Tables that written() makes inside go at the end, but for those of final(); they belong to the scratch around, if any.
+
+    Only tables that no returned plan reads may go, so what is returned must come from final().
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, []
+
+    def __enter__(self) -> scratch:
+        _open.append([])
+        return self
+
+    def final(self, df: DataFrame, name: str = "result") -> DataFrame:
+        out = written(df, name)
+        self.kept.append(_open[-1].pop())
+        return out
+
+    def __exit__(self, *_: object) -> None:
+        for path in _open.pop():
+            _delete(self.spark, path)
+        if _open:
+            _open[-1].extend(self.kept)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns named by place, and the new name of each: columns added to it clash with none of df's."""
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
@@ -47,6 +86,8 @@ def written(df: DataFrame, name: str = "table", batch_rows: int | None = None) -
         if batch_rows:
             spark.conf.set(BATCH_ROWS, str(batch_rows))
         df.write.parquet(path)
+        if _open:
+            _open[-1].append(path)
     finally:
         spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,8 +97,7 @@ def forget(df: DataFrame) -> None:
     """Delete the files of a table made by written(), once nothing reads it any more."""
     spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, path)
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, count: str, spread: Column, how: str = "left") -> DataFrame:

@@ -12,18 +12,22 @@
 4. Links give components. A bucket that still holds several components may
    hide a link between members that no star tested. Members outside its
    largest component are first tested against the NEAREST most similar ones of
-   other components, which joins families that the star left in pieces; then,
-   in buckets that still hold several components, all members of different
-   components are compared (signatures in blocks, then full sets). After that
-   no two candidates are left that are neither tested nor joined.
+   other components, which joins families that the star left in pieces. Then,
+   in buckets that still hold several components, the signatures of all
+   members of different components are compared in blocks; only members with a
+   partner that outlasts all batches go on, with their sets, to a second pass
+   over the blocks that verifies. After that no two candidates are left that
+   are neither tested nor joined.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8**ROWS)**BANDS,
 about 1e-7, and less above.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a
 text shorter than a shingle has its whole word sequence as its one shingle; an
-empty table gives no rows; rows with equal doc_id are one node each, and keep
-one another's component; extra columns are ignored.
+empty table gives no rows; rows that share a doc_id are one document with all
+the links of its texts; rows without doc_id are documents of their own, and a
+component's id is null only if it has no other rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import lookup, written
+from ._spark import lookup, scratch, written
 from ._text import U, Words, gram_starts, grams, mix, slices
 
 BANDS, ROWS = 40, 5
@@ -50,6 +54,8 @@ BLOCK = 512
 NEAREST = 2
 #: Rows of an Arrow batch of full sets.
 SET_ROWS = 500
+#: Stands for a null doc_id.
+LAST = (1 << 63) - 1
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, PLACES, dtype=np.uint64) * U(2) + U(1)
@@ -82,7 +88,8 @@ def signatures(g: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         starts = ptr[:-1][some]
         with np.errstate(over="ignore"):
             for j in range(PLACES):
-                out[some, j] = (np.minimum.reduceat((g ^ _X[j]) * _A[j], starts) >> U(48)).astype(np.uint16)
+                # The least of n hashes is about 2**64 / n: its high bits are zeros in long texts, so it is mixed again before it is cut.
+                out[some, j] = (mix(np.minimum.reduceat((g ^ _X[j]) * _A[j], starts)) >> U(48)).astype(np.uint16)
     return out
 
 
@@ -128,6 +135,10 @@ def _sig(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), PLACES)
 
 
+def _key(items: bytes) -> bytes:
+    return hashlib.blake2b(items, digest_size=16).digest()
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_key (16 bytes, null for the empty set), sig."""
 
@@ -136,7 +147,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
             for part in slices(batch):
                 g, ptr = shingle_sets(part.column(1), k)
                 sig = signatures(g, ptr)
-                keys = [hashlib.blake2b(g[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+                keys = [_key(g[a:b].tobytes()) if b > a else None for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ptr)), pa.array(keys, pa.binary()), pa.array([s.tobytes() if x else None for s, x in zip(sig, keys, strict=True)], pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
@@ -148,21 +159,9 @@ def _bands(classes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 keys = band_keys(_sig(part.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], ["rep", "band"])
-
-    return classes.select("rep", "sig").mapInArrow(run, "rep long, band long")
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], ["node", "band"])
 
-
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """rep and its sorted shingle hashes, for rows (rep, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                g, ptr = shingle_sets(part.column(1), k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], ["rep", "items"])
-
-    return docs.select("rep", "text").mapInArrow(run, "rep long, items binary")
+    return classes.select("node", "sig").mapInArrow(run, "node long, band long")
 
 
 def _tested(pairs: DataFrame, sigs: DataFrame, least: dict[int, int]) -> DataFrame:
@@ -175,9 +174,10 @@ def _tested(pairs: DataFrame, sigs: DataFrame, least: dict[int, int]) -> DataFra
                 on = pa.array(survive(_sig(part.column(2)), _sig(part.column(3)), least))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(on), part.column(1).take(on)], ["a", "b"])
 
-    # The small side of a star is one hot class: each join is between written tables, so that skewed partitions are split.
-    one = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    two = one.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
+    # The small side of a star is one hot class: pairs and sigs are written tables, so each join's inputs come
+    # from its own exchanges and adaptive execution splits skewed partitions.
+    one = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    two = one.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -203,11 +203,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             take = pa.array(on, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
 
-    one = pairs.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("ib")), "b")
-    two = one.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("ia")), "a")
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
+    two = one.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
     return two.select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long")
 
 
+def _own_sets(picked: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node and items, from rows (rep, text) and (rep, set_key, node): the text whose set has the class's key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                g, ptr = shingle_sets(part.column(1), k)
+                items = [g[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+                keys = [_key(i) if i else None for i in items]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(items, pa.binary())], ["rep", "set_key", "items"])
+
+    found = picked.select("rep", "text").mapInArrow(run, "rep long, set_key binary, items binary")
+    # Rows of one doc_id and set have equal items; the join needs no other shuffle than the aggregate's.
+    return found.groupBy("rep", "set_key").agg(F.first("items").alias("items")).join(nodes, ["rep", "set_key"]).select("node", "items")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and comp (the smallest node reachable) for each node of links (a, b).
 
@@ -226,47 +242,59 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def _crossed(rows: DataFrame, least: dict[int, int], percent: int, nearest: int = 0) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket; rows: band, n, rep, comp, sig and items.
+def _crossed(rows: DataFrame, least: dict[int, int], percent: int, how: str) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket; rows: band, n (of the bucket), node, comp, sig, and items for ``verified``.
 
-    With ``nearest``, so many of the most similar for each member outside the
-    largest component, not yet verified. Else all pairs are compared and those
-    that link on full sets come out; once joined, components are one.
+    ``nearest``: the NEAREST most similar ones for each member outside the
+    largest component, not yet verified. ``flagged``: (node, band) for each
+    member with a partner of another component that outlasts all batches.
+    ``verified``: all such partners are compared on full sets and the links
+    come out; once joined, components are one.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "comp", "sig", "items")
+    extra = ["items"] if how == "verified" else []
+    rows = rows.select("band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "node", "comp", "sig", *extra)
     rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
-        band, i, j, own, rep, comp = (t.column(c).to_numpy() for c in range(6))
+        band, i, j, own, node, comp = (t.column(c).to_numpy() for c in range(6))
         sig = _sig(t.column(6))
-        items = t.column(7).to_pylist() if not nearest else None
+        items = t.column(7).to_pylist() if extra else None
         edge = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         out: list[np.ndarray] = []
         for a, b in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(band)]]), strict=True):
-            if nearest:
+            if how == "nearest":
                 _, of, size = np.unique(comp[a:b], return_inverse=True, return_counts=True)
                 for x in a + np.flatnonzero(of != size.argmax()):
                     y = a + np.flatnonzero(comp[a:b] != comp[x])
                     y = y[survive(np.broadcast_to(sig[x], (len(y), PLACES)), sig[y], least)]
-                    if len(y) > nearest:
-                        y = y[np.argsort(-(sig[y] == sig[x]).sum(1), kind="stable")[:nearest]]
-                    out.append(np.stack([np.full(len(y), rep[x]), rep[y]], 1))
+                    if len(y) > NEAREST:
+                        y = y[np.argsort(-(sig[y] == sig[x]).sum(1), kind="stable")[:NEAREST]]
+                    out.append(np.stack([np.full(len(y), node[x]), node[y]], 1))
                 continue
             c = comp[a:b].copy()
+            flag = np.zeros(b - a, bool)
             for x in range(a, b - 1):
                 y = x + 1 + np.flatnonzero((c[x + 1 - a :] != c[x - a]) & ((i[x] == j[x]) | (own[x + 1 : b] != own[x])))
                 if len(y):
                     y = y[survive(np.broadcast_to(sig[x], (len(y), PLACES)), sig[y], least)]
+                if how == "flagged":
+                    flag[y - a] = True
+                    flag[x - a] |= len(y) > 0
+                    continue
                 mine = np.frombuffer(items[x], U) if len(y) else None
                 for z in y.tolist():
                     if c[z - a] != c[x - a] and similar(mine, np.frombuffer(items[z], U), percent):
-                        out.append(np.array([[rep[x], rep[z]]]))
+                        out.append(np.array([[node[x], node[z]]]))
                         c[c == c[z - a]] = c[x - a]
+            if how == "flagged":
+                out.append(np.stack([node[a:b][flag], band[a:b][flag]], 1))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(got.min(1) if len(got) else got[:, 0]), pa.array(got.max(1) if len(got) else got[:, 0])], ["a", "b"])
+        if how != "flagged":
+            got = np.sort(got, 1)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -295,45 +323,64 @@ def classes_of(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     n_links counts the links met while components were joined: those inside a
     component that other links had already joined are not looked for.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "text")
-    least = least_matches(percent)
+    with scratch(docs.sparkSession) as s:
+        return s.final(_classes_of(docs.select("doc_id", "text"), least_matches(percent), k, percent), "near-duplicates")
+
+
+def _classes_of(docs: DataFrame, least: dict[int, int], k: int, percent: int) -> DataFrame:
+    ids = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
     sketches = written(sketch(ids, k), "sketches")
-    classes = written(sketches.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    classes = sketches.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    # A class is a node, named by its smallest doc_id; where another class has the same one (repeated and null ids), by a hash.
+    classes = written(classes, "classes")
+    taken = classes.groupBy("rep").agg(F.min("set_key").alias("first"), F.count("*").alias("same")).where((F.col("same") > 1) | (F.col("rep") == LAST)).select("rep", F.when(F.col("rep") < LAST, F.col("first")).alias("first"), "same")
+    named = lookup(classes, written(taken, "taken"), "rep", "same", F.xxhash64("set_key"))
+    nodes = written(named.select("set_key", "rep", "n", F.when(F.col("same").isNull() | F.col("set_key").eqNullSafe(F.col("first")), F.col("rep")).otherwise(F.xxhash64("set_key", "rep")).alias("node")), "nodes")
+    # Texts of one doc_id are one document: its classes are joined from the start.
+    texts = sketches.where((F.col("doc_id") < LAST) & F.col("set_key").isNotNull()).groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi")
+    shared = sketches.select("doc_id", "set_key").join(texts.select("doc_id", "lo"), "doc_id").where("set_key > lo").distinct()
+    at = lambda c: nodes.select(F.col("set_key").alias(c), F.col("node").alias(c + "_node"))
+    same_id = written(shared.select(F.col("lo").alias("a"), F.col("set_key").alias("b")).distinct().join(at("a"), "a").join(at("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")), "same-id")
     # One row a class: the key holds doc_id too, so a class of many copies is spread over the tasks.
-    sigs = sketches.select("set_key", F.col("doc_id").alias("rep"), "sig").join(classes.select("set_key", "rep"), ["set_key", "rep"], "left_semi")
-    sigs = written(sigs.groupBy("rep", "set_key").agg(F.first("sig").alias("sig")).drop("set_key"), "signatures")
-    buckets = written(_bands(sigs).groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    sigs = sketches.select("set_key", F.col("doc_id").alias("rep"), "sig").join(nodes.select("set_key", "rep", "node"), ["set_key", "rep"])
+    sigs = written(sigs.groupBy("node").agg(F.first("sig").alias("sig")), "signatures")
+    buckets = written(_bands(sigs).groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
     # Plain joins on the band: both sides come from an exchange of the join, so adaptive execution splits a hot band.
-    hits = written(_bands(sigs).join(buckets, "band").select("band", "n", "leader", "rep"), "hits")
-    inside = hits.select("rep").distinct()
+    hits = written(_bands(sigs).join(buckets, "band").select("band", "n", "leader", "node"), "hits")
     # Full sets of the classes in any bucket with company: the only shuffle of texts.
-    sets = written(_sets(ids.withColumnRenamed("doc_id", "rep").join(inside, "rep", "left_semi"), k).dropDuplicates(["rep"]), "sets")
-    stars = written(hits.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    tested = written(_tested(stars, sigs.dropDuplicates(["rep"]), least), "tested")
+    inside = nodes.join(hits.select("node").distinct(), "node").select("node", "set_key", "rep")
+    picked = ids.withColumnRenamed("doc_id", "rep").join(inside.select("rep").distinct(), "rep", "left_semi")
+    sets = written(_own_sets(picked, inside, k), "sets")
+    stars = written(hits.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    tested = written(_tested(stars, sigs, least), "tested")
     links = written(_linked(tested, sets, percent), "links", SET_ROWS)
-    labels = components(links)
-    every, one_sig = links, sigs.dropDuplicates(["rep"])
-    for nearest in (NEAREST, 0):
+    every = links.unionByName(same_id)
+    labels = components(every)
+    for how in ("nearest", "verified"):
         # Buckets with several components left.
-        named = written(hits.join(labels, hits["rep"] == labels["node"], "left").select("band", "n", "rep", F.coalesce("comp", "rep").alias("comp")), "named")
-        several = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n")).where("lo <> hi").select("band", "n")
-        cross = named.select("band", "rep", "comp").join(written(several, "several"), "band")
-        cross = written(cross, "cross").join(one_sig, "rep")
-        if nearest:
-            cross = cross.withColumn("items", F.lit(None).cast("binary"))
-            pairs = written(_crossed(cross.select("band", "n", "rep", "comp", "sig", "items"), least, percent, nearest).join(stars, ["a", "b"], "left_anti"), "crossed")
+        bucket = written(hits.join(labels, "node", "left").select("band", "n", "node", F.coalesce("comp", "node").alias("comp")), "named")
+        several = bucket.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+        cross = written(bucket.join(written(several, "several"), "band").select("band", "n", "node", "comp"), "cross")
+        signed = cross.join(sigs, "node")
+        if how == "nearest":
+            pairs = written(_crossed(signed, least, percent, how).join(stars, ["a", "b"], "left_anti"), "crossed")
             more = written(_linked(pairs, sets, percent), "more-links", SET_ROWS)
         else:
-            cross = cross.join(sets, "rep")
-            more = written(_crossed(cross.select("band", "n", "rep", "comp", "sig", "items"), least, percent), "more-links", SET_ROWS)
+            flagged = written(_crossed(signed, least, percent, "flagged").toDF("node", "band"), "flagged")
+            size = written(flagged.groupBy("band").agg(F.count("*").alias("n")), "flagged-buckets")
+            left = written(cross.drop("n").join(flagged, ["node", "band"], "left_semi").join(size, "band"), "left")
+            more = written(_crossed(left.join(sigs, "node").join(sets, "node"), least, percent, how), "more-links", SET_ROWS)
         if not more.isEmpty():
             every = every.unionByName(more)
             labels = components(every)
     degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    comps = labels.join(degree, "node", "left")
-    found = written(classes.join(comps, classes["rep"] == comps["node"], "left").select("set_key", "n", F.coalesce("comp", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "found")
+    comps = written(nodes.join(labels, "node", "left").select("node", "set_key", "rep", "n", F.coalesce("comp", "node").alias("comp")), "comps")
+    # The smallest doc_id of each component: nodes may be named by hashes.
+    lowest = written(comps.groupBy("comp").agg(F.min("rep").alias("component"), F.count("*").alias("size")), "lowest")
+    found = lookup(comps, lowest, "comp", "size", F.col("node")).join(degree, "node", "left")
+    found = written(found.select("set_key", "n", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")), "found")
     out = lookup(sketches.select("doc_id", "n_shingles", "set_key"), found, "set_key", "n", F.col("doc_id"))
-    back = lambda c: F.nullif(c, F.lit((1 << 63) - 1))
+    back = lambda c: F.nullif(c, F.lit(LAST))
     return out.select(back(F.col("doc_id")).alias("doc_id"), "n_shingles", back(F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -343,8 +390,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest doc_id."""
-    keep = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    """One document of each component, with all its columns: the one with the smallest doc_id.
+
+    Rows that share a doc_id are one document: they stay or go together. Rows
+    without doc_id can't be named: all stay as long as one is the first of its component.
+    """
+    with scratch(docs.sparkSession) as s:
+        keep = s.final(near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct(), "kept")
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
 
 

@@ -267,6 +267,45 @@ def test_mixed_buckets(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op6_minhash.near_duplicates(d, 2).collect()} == brute_near(t)
 
 
+def test_long_texts_share_no_band():
+    """Unrelated sets of any size are no candidates: the places kept of a minimum don't depend on how small it is."""
+    rng = np.random.default_rng(4)
+    for n in (200, 20_000, 200_000):
+        g = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(2)]
+        sig = op6_minhash.signatures(np.concatenate(g), np.array([0, len(g[0]), len(g[0]) + len(g[1])]))
+        band = op6_minhash.band_keys(sig)
+        assert (sig[0] == sig[1]).mean() < 0.02 and not (band[0] == band[1]).any()
+        assert op6_minhash.survive(sig[:1], sig[1:], op6_minhash.least_matches(80)).tolist() == []
+
+
+def test_near_duplicates_repeated_ids(spark):
+    """Rows of one doc_id are one document with the links of all its texts; rows without one keep apart."""
+    say = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(5, say("a")), (5, say("b")), (9, say("a")), (7, say("b") + " z"), (9, say("c")), (11, say("c")), (None, say("d")), (None, say("e")), (20, say("e")), (3, say("f")), (3, say("f"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 99, r["component_id"] or 99) for r in op6_minhash.near_duplicates(d, 2).collect())
+    assert got == [(3, 3), (3, 3), (5, 5), (5, 5), (7, 5), (9, 5), (9, 5), (11, 5), (20, 20), (99, 20), (99, 99)]
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_crossed_families(spark, block, monkeypatch):
+    """Families that share buckets, some of which link only through members that no star meets."""
+    monkeypatch.setattr(op6_minhash, "BLOCK", block)
+    rng = random.Random(9)
+    head = [f"h{i}" for i in range(90)]
+    t, n = {}, 0
+    for fam in range(5):
+        own = head + [f"f{fam}x{i}" for i in range(18)]
+        for _ in range(14):
+            w = list(own)
+            for i in rng.sample(range(len(w)), rng.randint(0, 5)):
+                w[i] = f"r{rng.randint(0, 10**6)}"
+            t[n] = " ".join(w)
+            n += 1
+    d = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op6_minhash.near_duplicates(d, 2).collect()} == brute_near(t)
+
+
 def test_bayes_bounds():
     least = op6_minhash.least_matches(80)
     assert list(least) == [40, 80, 120, 160, 200] and all(0.3 * n < m < 0.8 * n for n, m in least.items())
