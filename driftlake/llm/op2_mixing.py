@@ -4,19 +4,27 @@ Every document of a source is wanted ``target / source size`` times. The whole
 part is taken outright; the fractions are rounded by pivotal sampling: two
 documents with fractions p and q and sizes a and b move mass (p up by x/a and
 q down by x/b, or the reverse, with the odds that keep each expectation)
-until one is 0 or 1. The mass, sum of size times fraction, never changes, so a
-source's words miss its target only by the one fraction that is left at the
-end (rounded to the nearer end: half of that document at most). Pairs are formed inside leaves of at most about LEAF documents; each leaf
-hands one undecided document to the next level of a reduction tree, whose
-nodes join FAN of them, until one is left for the source.
-
-Odds come from a hash of (seed, doc_id, size), and leaves from a hash of
-doc_id, so reruns agree whatever the partitioning.
+until one is 0 or 1. The mass, sum of size times fraction, never changes.
+Pairs are formed inside leaves of about LEAF items; each leaf hands one
+undecided item to the next level of a reduction tree, whose nodes join FAN of
+them, until one is left for the source. Since mass moves in words, that one is
+a long document: it goes to its nearer end, and its residual words are handed
+to decided documents of the source that are no longer than what is left,
+longest first (``settled``), so the source misses its target by less than its
+shortest documents.
+
+Rows that nothing tells apart are one item: c such rows want c times as many
+copies, of which all but a fraction are taken outright, and the copies are
+dealt out to them evenly. So no group of equal rows meets in one task. Items
+of over PIECE rows are cut into several.
+
+Odds and leaves come from hashes of (seed, doc_id, tag, size), so reruns agree
+whatever the partitioning.
 
 Defined cases: null text has size 0; a null source is a source of its own,
 after all others; documents of size 0 and sources of size 0 take 0; an empty
-table gives no rows; repeated rows are rounded separately. Extra columns are
-ignored.
+table gives no rows; null and repeated ids are rows like others, each rounded
+for itself. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import numbered, restored, written
+from ._spark import numbered, restored, scratch, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -37,6 +45,8 @@ SHARE = 1.5
 CAP = 2.0
 LEAF = 4096
 FAN = 64
+#: Equal rows that one item stands for at most.
+PIECE = 1 << 16
 _NEAR = 1e-9
 
 
@@ -69,8 +79,8 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     return per.select("source", "source_size", "n", F.least(limit, F.lit(rate) * F.col("w")).cast("double").alias("target"))
 
 
-def _odds(seed: int, level: int, doc: list[int | None], size: list[int]) -> np.ndarray:
-    return np.array([int.from_bytes(hashlib.blake2b(f"{seed}/{level}/{d}/{s}".encode(), digest_size=8).digest(), "big") / 2.0**64 for d, s in zip(doc, size, strict=True)])
+def _odds(seed: int, level: int, key: list[int], size: list[int]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(f"{seed}/{level}/{k}/{s}".encode(), digest_size=8).digest(), "big") / 2.0**64 for k, s in zip(key, size, strict=True)])
 
 
 def pivot(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
@@ -100,69 +110,128 @@ def pivot(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, i
 
 def _level(seed: int, level: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Long documents pair first, so that the one left undecided tends to be short.
-        pdf = pdf.sort_values(["size", "no_id", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        ids = [None if no else d for d, no in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), strict=True)]
-        u = _odds(seed, level, ids, pdf["size"].tolist())
-        p, i = pivot(pdf["size"].to_numpy(float), pdf["p"].to_numpy(float), u)
+        # Long documents pair first; the key, of a hash, breaks ties.
+        pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        size, p = pdf["size"].to_numpy(float), pdf["p"].to_numpy(float)
+        p, i = pivot(size, p, _odds(seed, level, pdf["key"].tolist(), pdf["size"].tolist()))
+        pdf["rest"] = 0.0
         if last and i >= 0:
-            p[i] = round(p[i])  # nothing is left to pair it with: the nearer end
-            i = -1
+            end = float(round(p[i]))  # nothing is left to pair it with
+            pdf.loc[i, "rest"] = size[i] * (p[i] - end)
+            p[i], i = end, -1
         pdf["p"] = p
         pdf["open"] = np.arange(len(p)) == i
-        return pdf[["doc_id", "no_id", "source", "size", "base", "p", "node", "open"]]
+        return pdf[["key", "source", "size", "p", "frac", "node", "rest", "open"]]
 
     return run
 
 
+def _flips(pdf: pd.DataFrame) -> pd.DataFrame:
+    """How many items of each size a source's residual words move: the longest that fit first, then one of the shortest if that comes nearer."""
+    pdf = pdf.sort_values("size", ascending=False, kind="stable").reset_index(drop=True)
+    left, n, out = abs(float(pdf["rest"].iloc[0])), pdf["n"].tolist(), [0] * len(pdf)
+    for i, size in enumerate(pdf["size"].tolist()):
+        out[i] = min(n[i], int(left // size))
+        left -= out[i] * size
+    if out[-1] < n[-1] and 2 * left > pdf["size"].iloc[-1]:
+        out[-1] += 1
+    return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "flips": out, "up": pdf["rest"] > 0})
+
+
+def settled(done: DataFrame) -> DataFrame:
+    """key and p of decided items (key, source, size, p, frac, rest), with each source's residual words handed to items no longer than them."""
+    rest = done.groupBy("source").agg(F.sum("rest").alias("left")).where("abs(left) >= 0.5")
+    # Words are added by items at 0 and taken back from items at 1, if they had a fraction: then neither end breaks their bounds.
+    move = F.when(F.col("left") > 0, F.col("p") == 0).otherwise(F.col("p") == 1) & F.col("frac") & (F.col("size") <= F.abs("left"))
+    fit = _by_source(done, written(rest, "rest")).where(move).select("key", "source", "size", F.col("left").alias("rest"))
+    # Sizes up to the residual only: a source has as many rows as its longest document has words at most.
+    sizes = fit.groupBy("source", "size", "rest").agg(F.count("*").alias("n"))
+    fields = [T.StructField("size", T.LongType()), T.StructField("flips", T.LongType()), T.StructField("up", T.BooleanType())]
+    flips = written(sizes.groupBy("source").applyInPandas(_flips, T.StructType([done.schema["source"], *fields])).where("flips > 0"), "flips")
+    most = flips.agg(F.max("flips")).first()[0]
+    if not most:
+        return done.select("key", "p")
+    # The items with the least keys of each size that moves; with the bound on the rank a task keeps only what may be taken.
+    ranked = fit.withColumn("i", F.row_number().over(Window.partitionBy("source", "size").orderBy("key"))).where(F.col("i") <= most)
+    m = flips.select(F.col("source").alias("_s"), F.col("size").alias("_n"), "flips", "up")
+    moved = ranked.join(m, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n"))).where("i <= flips")
+    moved = written(moved.select("key", F.when(F.col("up"), 1.0).otherwise(0.0).alias("to")), "moved")
+    return done.join(moved, "key", "left").select("key", F.coalesce("to", "p").alias("p"))
+
+
+#: Copies of the table of sources that a hot source's rows are dealt out to.
+SALTS = 64
+
+
+def _by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows (with key and source) joined to one row a source, evenly under a hot source."""
+    names = [c for c in sources.columns if c != "source"]
+    small = sources.select(F.col("source").alias("_s"), *names).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+    return salted.join(small, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_t"))).drop("_salt", "_s", "_t")
+
+
 def rounded(rows: DataFrame, want: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for each row of (doc_id, source, size)."""
+    """doc_id, tag, source, size, source_size, target, c (equal rows) and copies (of all c) for each item of (doc_id, tag, source, size)."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    want = want.withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + F.lit(_NEAR))).withColumn("p", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)))
-    want = written(want.withColumn("leaves", F.ceil(F.col("n") / LEAF)), "targets")
-    # One row a source; the join is on source, whose hot ones are dealt out by a salt repeated on this small side.
-    salts = 64
-    salted = want.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("source", "_s")
-    salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int")
-    j = rows.withColumn("_salt", salt).join(salted, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("salt")))
-    node = F.pmod(F.xxhash64("doc_id"), F.col("leaves"))
-    # A null id travels as a flag: pandas would turn a column of ids with a null into floats.
-    ids = F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_id")
-    cur = written(j.select(*ids, "source", "size", F.col("base").cast("int"), F.when(F.col("size") > 0, F.col("p")).otherwise(0.0).alias("p"), node.cast("long").alias("node")), "fractions")
+    want = written(want.withColumn("rate", rate).withColumn("leaves", F.ceil(F.col("n") / LEAF)), "targets")
+    items = rows.groupBy("doc_id", "tag", "source", "size").agg(F.count("*").alias("rows"))
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / PIECE))).alias("piece")
+    items = items.select("*", piece).withColumn("c", F.least(F.lit(PIECE), F.col("rows") - F.col("piece") * PIECE)).drop("rows")
+    items = items.withColumn("key", F.xxhash64("doc_id", "tag", "source", "size", "piece"))
+    j = _by_source(items, want.select("source", "source_size", "target", "rate", "leaves"))
+    whole = F.floor(F.col("rate") * F.col("c") + F.lit(_NEAR))
+    some = F.col("size") > 0
+    j = j.withColumn("base", F.when(some, whole).otherwise(0).cast("long")).withColumn("p", F.when(some, F.greatest(F.col("rate") * F.col("c") - whole, F.lit(0.0))).otherwise(0.0))
+    items = written(j.withColumn("node", F.pmod(F.xxhash64("key"), F.col("leaves")).cast("long")).drop("piece", "rate", "leaves"), "items")
+    names = ["key", "source", "size", "p", "frac", "node"]
+    cur = items.withColumn("frac", F.col("p") > _NEAR).select(*names)
     most = int(want.agg(F.max("leaves")).first()[0] or 1)
-    schema, done, level = T.StructType([*cur.schema.fields, T.StructField("open", T.BooleanType())]), None, 0
+    schema, done, level = T.StructType([*cur.schema.fields, T.StructField("rest", T.DoubleType()), T.StructField("open", T.BooleanType())]), None, 0
     while True:
         last = most <= 1
         out = written(cur.groupBy("source", "node").applyInPandas(_level(seed, level, last), schema), "rounded")
-        part = out.where(~F.col("open"))
+        part = out.where(~F.col("open")).drop("node", "open")
         done = part if done is None else done.unionByName(part)
         if last:
             break
-        cur = out.where("open").drop("open").withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
+        cur = out.where("open").withColumn("node", F.floor(F.col("node") / FAN).cast("long")).select(*names)
         most, level = -(-most // FAN), level + 1
-    small = want.select(F.col("source").alias("_s"), "source_size", "target").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    done = done.withColumn("_salt", salt).join(small, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("salt")))
-    return done.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("int").alias("copies"))
+    final = settled(done).withColumnRenamed("p", "up")
+    return items.join(final, "key").select("doc_id", "tag", "source", "size", "source_size", "target", "c", (F.col("base") + F.col("up")).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each document."""
-    rows = written(sizes(docs), "sizes")
-    out = rounded(rows, targets(rows), seed)
+    with scratch(docs.sparkSession) as s:
+        rows = written(sizes(docs).withColumn("tag", F.lit(0).cast("long")), "sizes")
+        plan = s.final(rounded(rows, targets(rows), seed), "mix")
+    # The copies of c equal rows, evenly: the first (copies mod c) rows have one more.
+    out = plan.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
+    copies = (F.floor(F.col("copies") / F.col("c")) + (F.col("i") <= F.col("copies") % F.col("c")).cast("long")).cast("int")
+    out = out.withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The documents of the mix, each as often as it is taken; all columns of docs stay.
 
-    A document without words is in no mix and goes. Rows that share doc_id and
-    size can't be told apart: each gets the mean of their copies, one at least.
+    A document without words is in no mix and goes. Equal rows (all columns)
+    stand in the mix as often as they are taken together.
     """
     rows, own = numbered(docs)
-    size = F.coalesce(F.regexp_count(own["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    plan = mix(docs, seed).groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_same")).where("_copies > 0")
-    plan = plan.withColumnsRenamed({"doc_id": "_id", "size": "_n"})
-    key = rows.withColumn("size", size)
-    out = key.join(plan, key[own["doc_id"]].eqNullSafe(plan["_id"]) & (key["size"] == plan["_n"]))
-    each = F.greatest(F.lit(1), F.round(F.col("_copies") / F.col("_same"))).cast("int")
-    return restored(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), each))), own)
+    text = own["text"]
+    # A copy of a row can't be told from it, so what names rows is a hash of all their columns.
+    tag = F.xxhash64(F.lit(len(own)), *own.values())
+    with scratch(docs.sparkSession) as s:
+        size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+        key = rows.select(F.col(own["doc_id"]).alias("doc_id"), F.col(own["source"]).alias("source"), size.alias("size"), tag.alias("tag"))
+        key = written(key, "sizes")
+        plan = rounded(key, targets(key), seed).groupBy("doc_id", "tag").agg(F.sum("copies").alias("_copies"), F.sum("c").alias("_same")).where("_copies > 0")
+        plan = s.final(plan.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"}), "mix")
+    tagged = rows.withColumn("_row", tag)
+    on = tagged[own["doc_id"]].eqNullSafe(plan["_id"]) & (tagged["_row"] == plan["_tag"])
+    one = tagged.join(plan.where("_same = 1"), on)
+    many = tagged.join(plan.where("_same > 1"), on).dropDuplicates([own["doc_id"], "_row"])
+    out = one.unionByName(many).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return restored(out, own)

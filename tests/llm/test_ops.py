@@ -101,12 +101,48 @@ def test_mixing(spark, docs, texts, empty):
     for r in got:
         s = src[r["doc_id"]]
         assert r["size"] == len(words(texts[r["doc_id"]])) and abs(r["target"] - want[s]) < 1e-6 and r["source_size"] == size[s] and r["taken"] <= 2 * r["size"]
+        assert r["copies"] in (int(want[s] / size[s] + 1e-9), int(want[s] / size[s] + 1e-9) + 1) or r["size"] == 0
         taken[s] += r["taken"]
         most[s] = max(most[s], r["size"])
     assert all(abs(taken[s] - want[s]) <= most[s] / 2 + 1 for s in order)
     assert op2_mixing.mix(odd(spark)).count() == 5
     m = op2_mixing.mixed(docs)
-    assert m.columns == docs.columns and m.count() == sum(r["copies"] for r in got)
+    assert m.columns == docs.columns and Counter(r["doc_id"] for r in m.collect()) == brute_mixed(docs, want, size, src, texts)
+
+
+def brute_mixed(docs, want, size, src, texts):
+    """Copies of each document in the mix, by the plan of ``mixed`` itself: whole parts at least, one more at most, near the targets."""
+    got = Counter(r["doc_id"] for r in op2_mixing.mixed(docs).collect())
+    taken = Counter()
+    for i, t in texts.items():
+        rate, n = want[src[i]] / max(1, size[src[i]]), len(words(t))
+        assert got[i] in (int(rate + 1e-9), int(rate + 1e-9) + 1) if n else got[i] == 0
+        taken[src[i]] += got[i] * n
+    assert all(abs(taken[s] - want[s]) <= max([0, *(len(words(t)) for i, t in texts.items() if src[i] == s)]) / 2 + 1 for s in want)
+    return got
+
+
+def test_mixing_near_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    miss = op2_mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.abs(F.sum("taken") / F.first("target") - 1).alias("miss"))
+    assert miss.where("miss > 0.005").isEmpty()
+
+
+def test_mixing_equal_rows(spark, monkeypatch):
+    """Equal rows get just the copies planned for them, however many they are."""
+    rows = [(7, "a b c d", "s")] * 300 + [(None, "x y", "s")] * 200 + [(8, "one two three", "t")] * 10 + [(9, "p q r s t u v", "t")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for piece in (1 << 16, 7):
+        monkeypatch.setattr(op2_mixing, "PIECE", piece)
+        plan = Counter()
+        for r in op2_mixing.mix(d).collect():
+            plan[r["doc_id"]] += r["copies"]
+        assert op2_mixing.mix(d).count() == len(rows)
+        out = Counter((r["doc_id"], r["text"]) for r in op2_mixing.mixed(d).collect())
+        words_of = lambda s: sum(c * len(t.split()) for (i, t), c in out.items() if (i in (8, 9)) == (s == "t"))
+        goal = {r["source"]: r["target"] for r in op2_mixing.targets(op2_mixing.sizes(d)).collect()}
+        assert abs(words_of("s") - goal["s"]) <= 2 and abs(words_of("t") - goal["t"]) <= 3
+        assert abs(4 * plan[7] + 2 * plan[None] - goal["s"]) <= 2 and all(abs(out[k] - plan[k[0]]) <= 300 / piece + 2 for k in out)
 
 
 def test_pivot_keeps_mass():
