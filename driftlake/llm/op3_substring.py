@@ -1,32 +1,35 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
-A window is WINDOW consecutive words: a suffix of a document, cut at that
-depth. Each word covered by a window that also starts in a document with a
-smaller doc_id goes.
-
-Suffixes are split into groups by a part of their prefix: the seed, the
-least-hashed gram of SEED words among the first WINDOW words. Equal windows
-have equal seeds, and neighbouring suffixes share one, so a run of them
-travels once, as one piece of text, not WINDOW times.
-
-1. One pass emits (seed, document, place): about one row in twenty words.
-   Only seeds that occur in two documents can hold a repeat; texts are needed
-   for their runs alone. Documents whose whole word sequence an earlier one
-   has are settled by digest and take no further part.
-2. Runs with equal text are one leaf of their group: all suffixes of a later
-   one go. A group with at most GROUP different runs meets in one task. Tasks
-   take whole groups up to BATCH_WORDS words, build the tree of all suffixes in them cut at
-   depth WINDOW (sorted by names of doubled prefixes, Karp, Miller and
-   Rosenberg 1972), and read the nodes at that depth: each is a repeat, with
-   the smallest document below it.
-3. A larger group gets a longer prefix, the whole window: there all suffixes
-   below a prefix are equal, so the node's smallest document is a partial
-   minimum, and no task holds the group.
+A window is WINDOW consecutive words. Each word covered by a window that also
+starts in a document with a smaller doc_id goes. Every answer is read from
+suffix trees; what precedes them only decides which suffixes meet where.
+
+1. Documents of one word sequence are a class: one row with its smallest and
+   largest doc_id stands for them.
+2. Suffixes are split into groups by a part of their prefix: the seed, the
+   least-hashed gram of SEEDS[0] words among the first WINDOW words. Equal
+   windows have equal seeds, and neighbouring suffixes share one, so a run of
+   them travels once, as one body of text, not WINDOW times. Only seeds of two
+   documents can hold a repeat; texts are needed for their runs alone. Equal
+   bodies are one leaf, again with its smallest and largest document.
+3. A group of more than GROUP_WORDS words of different bodies doesn't fit the
+   memory of a task: its prefix is lengthened. Its runs are split anew by the
+   least-hashed gram of SEEDS[1] words, and so on; SEEDS ends with the whole
+   window, whose groups are one leaf each. Small groups keep short prefixes.
+4. Each group's suffix tree is built from the sorted suffixes of its bodies
+   (names of doubled prefixes, Karp, Miller and Rosenberg 1972) and the lengths
+   of neighbours' common prefixes: internal nodes are the intervals of that
+   array (Abouelhoda, Kurtz and Ohlebusch 2004). The topmost nodes of depth
+   WINDOW or more are the repeats, each with its depth and the smallest
+   document below it. A suffix whose document is not that one is covered.
+5. Answers go back from leaves to the runs that are equal to them, to classes,
+   and to all documents of a class.
 
 Defined cases: null and empty texts have no words (n_removed 0, digest of the
-empty string); a null doc_id counts as larger than any other; rows with equal
-doc_id never remove one another's words, and are judged by their own texts; an
-empty table gives no rows; extra columns are ignored.
+empty string); a null doc_id counts as larger than any other, and rows without
+doc_id don't remove one another's words; rows with equal doc_id never remove
+one another's words, and are judged by their own texts; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,19 +42,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import forget, lookup, written
+from ._spark import lookup, scratch, written
 from ._text import Words, grams, slices
 
 WINDOW = 50
-SEED = 12
-#: Different runs of one seed that may meet in one task (about 10 MB of text); beyond it the prefix is lengthened.
-GROUP = 20_000
-BATCH_WORDS = 1 << 20
+#: Words of the part of the prefix that groups suffixes, from level to level; the last level is WINDOW.
+SEEDS = (12, 24, 36)
+#: Words of different bodies that one tree may hold (about 100 MB in the task); beyond it the prefix is lengthened.
+GROUP_WORDS = 1 << 19
+#: Small groups share a task's pass up to so many words.
+BATCH_WORDS = 1 << 19
 LAST = (1 << 63) - 1
-_EMPTY = hashlib.sha256(b"").hexdigest()
+_EMPTY = hashlib.sha256(b"").digest()
 
 
-def seeds_of(h: np.ndarray, window: int = WINDOW, seed: int = SEED) -> np.ndarray:
+def seeds_of(h: np.ndarray, window: int, seed: int) -> np.ndarray:
     """For each window of one document, the place of its seed (the leftmost least gram)."""
     g = grams(h, seed)
     span = window - seed + 1
@@ -69,7 +74,7 @@ def seeds_of(h: np.ndarray, window: int = WINDOW, seed: int = SEED) -> np.ndarra
 
 
 def _scan(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """Rows of documents (seed null: n_words, sha) and rows of seeds (place), by (d, tag)."""
+    """Rows of documents (seed null: n words, sha) and rows of seeds (n: the place), by (d, tag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,106 +93,145 @@ def _scan(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 r = np.concatenate(rows) if rows else np.zeros(0, int)
                 m = len(w.n)
                 pick = pa.array(np.concatenate([np.arange(m), r]))
-                none = pa.nulls(len(r), pa.binary())
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).take(pick), part.column(1).take(pick),
                     pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64))]),
-                    pa.array(np.concatenate([w.n, *places]).astype(np.int32)), pa.concat_arrays([pa.array(sha, pa.binary()), none]),
+                    pa.array(np.concatenate([w.n, *places]).astype(np.int32)), pa.concat_arrays([pa.array(sha, pa.binary()), pa.nulls(len(r), pa.binary())]),
                 ], ["d", "tag", "seed", "n", "sha"])
 
     return docs.mapInArrow(run, "d long, tag long, seed long, n int, sha binary")
 
 
+RUN = "seed long, up binary, d long, nxt long, start int, n int, digest binary, body binary"
+_RUN_TYPES = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+_RUN_NAMES = ["seed", "up", "d", "nxt", "start", "n", "digest", "body"]
+
+
 def _runs(hits: DataFrame, window: int, seed: int) -> DataFrame:
-    """From (d, tag, text, places): the runs of suffixes with a shared seed, as one body each."""
+    """RUN rows from (up, d, nxt, text, places): the runs of suffixes with a shared seed, as one body each; n of its words.
+
+    places: those of the seeds wanted, null for all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                w = Words(part.column(2))
+                w = Words(part.column(3))
                 h = w.hashes()
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in _RUN_TYPES]
                 for i in range(len(w.n)):
                     a = int(w.ptr[i])
                     x = h[a : w.ptr[i + 1]]
                     at = seeds_of(x, window, seed)
+                    if not len(at):
+                        continue
                     edge = np.flatnonzero(at[1:] != at[:-1]) + 1
                     key = grams(x, seed).view(np.int64)
-                    d, tag = part.column(0)[i].as_py(), part.column(1)[i].as_py()
-                    wanted = set(part.column(3)[i].values.to_pylist())
-                    for s, e in zip(np.concatenate([[0], edge]).tolist(), np.concatenate([edge, [len(at)]]).tolist(), strict=True):
-                        p = int(at[s])
-                        if p in wanted:
-                            body = b" ".join([w.data[u:v].tobytes() for u, v in zip(w.ws[a + s : a + e - 1 + window].tolist(), w.we[a + s : a + e - 1 + window].tolist(), strict=True)])
-                            for c, v in zip(out, (int(key[p]), d, tag, s, e - 1 + window, hashlib.blake2b(body, digest_size=16).digest(), body), strict=True):
-                                c.append(v)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["seed", "d", "tag", "start", "stop", "digest", "body"])
-
-    return hits.mapInArrow(run, "seed long, d long, tag long, start int, stop int, digest binary, body binary")
-
-
-def _windows(runs: DataFrame, window: int) -> DataFrame:
-    """The suffixes of (d, tag, start, body) one by one, as the digest of their whole prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "body"):
-                out: list[list] = [[] for _ in range(4)]
-                for d, tag, start, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = body.split(b" ")
-                    for q in range(len(words) - window + 1):
-                        for c, v in zip(out, (d, tag, start + q, hashlib.blake2b(b" ".join(words[q : q + window]), digest_size=16).digest()), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["d", "tag", "start", "digest"])
-
-    return runs.select("d", "tag", "start", "body").mapInArrow(run, "d long, tag long, start int, digest binary")
-
-
-def deep_nodes(names: np.ndarray, depth: int) -> np.ndarray:
-    """For every suffix of the sequence, the name of the node at ``depth`` in its suffix tree.
-
-    Two suffixes have one name iff their first ``depth`` items are equal. Names
-    are of sorted order: those of doubled prefixes are found from their halves.
+                    up, d, nxt = (part.column(c)[i].as_py() for c in range(3))
+                    p = part.column(4)[i]
+                    s, e = np.concatenate([[0], edge]), np.concatenate([edge, [len(at)]])
+                    if p.is_valid:
+                        on = np.isin(at[s], p.values.to_numpy())
+                        s, e = s[on], e[on]
+                    if not len(s):
+                        continue
+                    text = b" " + w.joined(i) + b" "
+                    size = w.we[a : a + len(x)] - w.ws[a : a + len(x)] + 1
+                    to = np.concatenate([[0], np.cumsum(size)])  # the space before each word
+                    for q, m, u, v in zip(s.tolist(), (e - s + window - 1).tolist(), to[s].tolist(), to[e + window - 1].tolist(), strict=True):
+                        body = text[u + 1 : v]
+                        for c, y in zip(out, (int(key[at[q]]), up, d, nxt, q, m, hashlib.blake2b(body, digest_size=16).digest(), body), strict=True):
+                            c.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _RUN_TYPES, strict=True)], _RUN_NAMES)
+
+    return hits.select("up", "d", "nxt", "text", "places").mapInArrow(run, RUN)
+
+
+def suffix_order(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all suffixes of ``names`` in the order of their first ``depth`` items at least, and the length of each one's common prefix with the next (``depth`` at most).
+
+    Names of doubled prefixes give the order; their halves, from the longest down, give the lengths.
     """
-    cur, size = names.astype(np.int64), 1
-    while size * 2 <= depth:
-        _, cur = np.unique(cur[:-size] * np.int64(cur.max() + 1) + cur[size:], return_inverse=True)
+    n = len(names)
+    cur, size, steps = names.astype(np.int64), 1, []
+    while True:
+        steps.append((size, cur))
+        if size >= depth:
+            break
+        nxt = np.zeros(n, np.int64)
+        nxt[: n - size] = cur[size:] + 1
+        _, cur = np.unique(cur * np.int64(nxt.max() + 1 if n else 1) + nxt, return_inverse=True)
         size *= 2
-    if size < depth:
-        _, cur = np.unique(cur[: len(cur) - (depth - size)] * np.int64(cur.max() + 1) + cur[depth - size :], return_inverse=True)
-    return cur
-
-
-def repeats(bodies: pa.Array, d: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(run, offset) of each suffix below a deep node that a smaller document also has."""
+    order = np.argsort(cur, kind="stable")
+    a, b = order[:-1].copy(), order[1:].copy()
+    common = np.zeros(max(0, n - 1), np.int64)
+    for size, rank in reversed(steps):
+        inside = (b < n) & (a < n)
+        same = inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
+        common[same] += size
+        a[same] += size
+        b[same] += size
+    return order, np.minimum(common, depth)
+
+
+def deep_nodes(order: np.ndarray, common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The topmost nodes of string depth ``depth`` or more in the suffix tree: the bounds of their intervals in ``order``, one suffix or more each, and whether it is an internal node."""
+    cut = np.flatnonzero(common < depth) + 1
+    lo = np.concatenate([[0], cut])
+    return lo, np.concatenate([cut, [len(order)]])
+
+
+def repeats(bodies: pa.Array, d: np.ndarray, nxt: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, offset, rest) of each suffix that a smaller document has too: below its deep node stands a document smaller than the leaf's first one (rest 0) or than its next one (rest 1)."""
     w = Words(bodies)
+    none = np.zeros(0, int)
+    if not len(w.ws):
+        return none, none, none
     _, names = np.unique(w.hashes(), return_inverse=True)
-    if len(names) < window:
-        return np.zeros(0, int), np.zeros(0, int)
-    node = deep_nodes(names, window)
-    count = np.maximum(w.n - window + 1, 0)
-    run = np.repeat(np.arange(len(count)), count)
-    off = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    node = node[w.ptr[run] + off]
-    first = np.full(int(node.max()) + 1 if len(node) else 0, LAST)
-    np.minimum.at(first, node, d[run])
-    on = first[node] < d[run]
-    return run[on], off[on]
-
-
-def _trees(runs: DataFrame, window: int) -> DataFrame:
-    """(d, tag, a, b): word spans to remove, from runs whose seeds meet whole in one task each."""
+    # Each body ends in a name of its own, so that no common prefix runs over its end.
+    ends = w.ptr[1:] + np.arange(len(w.n))
+    text = np.zeros(len(names) + len(w.n), np.int64)
+    text[np.arange(len(names)) + np.repeat(np.arange(len(w.n)), w.n)] = names
+    text[ends] = names.max() + 1 + np.arange(len(w.n))
+    leaf = np.repeat(np.arange(len(w.n)), w.n + 1)
+    off = np.arange(len(text)) - np.repeat(w.ptr[:-1] + np.arange(len(w.n)), w.n + 1)
+    order, common = suffix_order(text, window)
+    order_ok = w.n[leaf[order]] - off[order] >= window  # the others are too short for a window
+    # Too short suffixes have a common prefix below ``window`` with any other, so they cut no deep node.
+    lo, hi = deep_nodes(order, common, window)
+    node = np.repeat(np.arange(len(lo)), hi - lo)
+    first = np.minimum.reduceat(d[leaf[order]], lo)
+    keep = np.flatnonzero(order_ok)
+    at, low = order[keep], first[node[keep]]
+    on0, on1 = low < d[leaf[at]], low < nxt[leaf[at]]
+    got = np.concatenate([at[on0], at[on1]])
+    rest = np.concatenate([np.zeros(int(on0.sum()), int), np.ones(int(on1.sum()), int)])
+    sort = np.lexsort((off[got], rest, leaf[got]))
+    return leaf[got][sort], off[got][sort], rest[sort]
+
+
+_SPANS = "digest binary, a array<int>, b array<int>, rest_a array<int>, rest_b array<int>"
+
+
+def _trees(leaves: DataFrame, window: int) -> DataFrame:
+    """digest and word spans that go, for the leaf's first document (a, b) and for the others (rest_a, rest_b); groups meet whole in one task each."""
 
     def spans(t: pa.Table) -> pa.RecordBatch:
-        d, tag, start = (t.column(c).to_numpy() for c in (1, 2, 3))
-        run, off = repeats(t.column(4).combine_chunks(), d, window)
-        new = np.ones(len(run), bool)
-        new[1:] = (run[1:] != run[:-1]) | (off[1:] != off[:-1] + 1)
+        d, nxt = t.column(2).to_numpy(), t.column(3).to_numpy()
+        leaf, off, rest = repeats(t.column(4).combine_chunks(), d, nxt, window)
+        new = np.ones(len(leaf), bool)
+        new[1:] = (leaf[1:] != leaf[:-1]) | (rest[1:] != rest[:-1]) | (off[1:] > off[:-1] + window)
         s = np.flatnonzero(new)
-        e = np.concatenate([s[1:], [len(run)]])[: len(s)] - 1
-        r = run[s]
-        return pa.RecordBatch.from_arrays([pa.array(d[r]), pa.array(tag[r]), pa.array((start[r] + off[s]).astype(np.int32)), pa.array((start[r] + off[e] + window).astype(np.int32))], ["d", "tag", "a", "b"])
+        e = np.concatenate([s[1:], [len(leaf)]])[: len(s)] - 1
+        a, b, which, kind = off[s], off[e] + window, leaf[s], rest[s]
+        some = np.unique(which)
+        cols = []
+        for k in (0, 1):
+            on = kind == k
+            n = np.bincount(np.searchsorted(some, which[on]), minlength=len(some))
+            ptr = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            cols += [pa.ListArray.from_arrays(ptr, pa.array(v[on].astype(np.int32))) for v in (a, b)]
+        return pa.RecordBatch.from_arrays([t.column(1).combine_chunks().take(pa.array(some)), *cols], ["digest", "a", "b", "rest_a", "rest_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -208,25 +252,25 @@ def _trees(runs: DataFrame, window: int) -> DataFrame:
         if held:
             yield spans(pa.Table.from_batches(held))
 
-    return runs.repartition("seed").sortWithinPartitions("seed").mapInArrow(run, "d long, tag long, a int, b int")
+    return leaves.select("seed", "digest", "d", "nxt", "body").repartition("seed").sortWithinPartitions("seed").mapInArrow(run, _SPANS)
 
 
 def _kept(rows: DataFrame) -> DataFrame:
+    """up and the digest of the words that no span covers, from (up, text, spans of (a, b))."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                w = Words(part.column(2))
-                gone, sha = [], []
+                w = Words(part.column(1))
+                sha = []
                 for i in range(len(w.n)):
                     mark = np.zeros(int(w.n[i]) + 1, np.int64)
-                    np.add.at(mark, part.column(3)[i].values.to_numpy(), 1)
-                    np.add.at(mark, part.column(4)[i].values.to_numpy(), -1)
-                    keep = np.cumsum(mark[:-1]) == 0
-                    gone.append(int((~keep).sum()))
-                    sha.append(hashlib.sha256(w.joined(i, keep)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(gone, pa.int64()), pa.array(sha)], ["d", "tag", "n_removed", "kept_sha256"])
+                    np.add.at(mark, part.column(2)[i].values.field(0).to_numpy(), 1)
+                    np.add.at(mark, part.column(2)[i].values.field(1).to_numpy(), -1)
+                    sha.append(hashlib.sha256(w.joined(i, np.cumsum(mark[:-1]) == 0)).digest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sha, pa.binary())], ["up", "kept"])
 
-    return rows.mapInArrow(run, "d long, tag long, n_removed long, kept_sha256 string")
+    return rows.select("up", "text", "spans").mapInArrow(run, "up binary, kept binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -234,46 +278,84 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
-def covers(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """heads: d, tag, n, sha, first (smallest document with the same words); and spans (d, tag, a, b) to remove of the others."""
+def _answers(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """up, and the spans that go of its first document (a, b) and of the others (rest_a, rest_b), from runs and their leaves' answers.
+
+    found: digest, lo and count besides the spans. A run whose document isn't
+    the leaf's first one goes as the leaf's others do.
+    """
+    members = lookup(runs.select("digest", "up", "d", "nxt", "start"), found, "digest", "count", F.struct("up", "start"), "inner")
+    first = F.col("d") == F.col("lo")
+    at = lambda c: F.transform(c, lambda x: x + F.col("start"))
+    own = F.arrays_zip(at(F.when(first, F.col("a")).otherwise(F.col("rest_a"))).alias("a"), at(F.when(first, F.col("b")).otherwise(F.col("rest_b"))).alias("b"))
+    rest = F.when(F.col("nxt") > F.col("d"), F.arrays_zip(at(F.col("rest_a")).alias("a"), at(F.col("rest_b")).alias("b"))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    per = members.select("up", own.alias("own"), rest.alias("rest")).groupBy("up").agg(F.flatten(F.collect_list("own")).alias("own"), F.flatten(F.collect_list("rest")).alias("rest"))
+    return per.select(F.col("up").alias("digest"), F.col("own.a").alias("a"), F.col("own.b").alias("b"), F.col("rest.a").alias("rest_a"), F.col("rest.b").alias("rest_b"))
+
+
+def _resolved(runs: DataFrame, window: int, seeds: tuple[int, ...], group: int, level: int) -> DataFrame:
+    """digest (of ``up``) and spans that go, for runs of one level: through trees where groups fit, through longer prefixes where they don't."""
+    # One row a leaf: where its body is, its smallest and largest document, its size.
+    leaf = runs.groupBy("digest").agg(F.min(F.struct("d", "up", "start")).alias("at"), F.max(F.greatest("d", "nxt")).alias("nxt"), F.count("*").alias("count"), F.first("seed").alias("seed"), F.first("n").alias("n"))
+    leaf = written(leaf.select("digest", "at", F.col("at.d").alias("lo"), "nxt", "count", "seed", "n"), f"leaves-{level}")
+    groups = leaf.groupBy("seed").agg(F.min("lo").alias("least"), F.max("nxt").alias("most"), F.sum("n").alias("words"), F.count("*").alias("leaves")).where("least < most").drop("least", "most")
+    leaf = written(lookup(leaf, written(groups, f"groups-{level}"), "seed", "leaves", F.col("digest"), "inner").drop("leaves"), f"shared-{level}")
+    small = leaf.where(F.col("words") <= group) if seeds else leaf
+    body = runs.select(F.struct("d", "up", "start").alias("at"), "digest", "body")
+    # A body is in one place of a leaf, so its rows are spread by the leaf's digest.
+    bodies = lambda x: body.join(x.select("digest", "at", "lo", F.col("nxt").alias("nxt"), "seed"), ["digest", "at"]).dropDuplicates(["digest"])
+    found = _trees(bodies(small).withColumnRenamed("lo", "d"), window)
+    if seeds and not (large := leaf.where(F.col("words") > group)).isEmpty():
+        split = bodies(large).select(F.col("digest").alias("up"), F.col("lo").alias("d"), "nxt", F.col("body").cast("string").alias("text"), F.lit(None).cast("array<int>").alias("places"))
+        longer = written(_runs(split, window, seeds[0]), f"runs-{level + 1}")
+        found = found.unionByName(_resolved(longer, window, seeds[1:], group, level + 1))
+    found = written(found, f"found-{level}")
+    told = written(found.join(leaf.select("digest", "lo", "count"), "digest"), f"told-{level}")
+    return _answers(runs, told)
+
+
+def covers(docs: DataFrame, window: int = WINDOW, seeds: tuple[int, ...] = SEEDS, group: int = GROUP_WORDS) -> tuple[DataFrame, DataFrame]:
+    """heads: d, tag, n, sha of each row; and classes: sha, d and tag of the first row, n, count, spans that go of the first document and of the others."""
     texts = _texts(docs)
-    scan = written(_scan(texts, window, seed), "scan")
+    scan = written(_scan(texts, window, seeds[0]), "scan")
     heads = scan.where("seed is null").select("d", "tag", "n", "sha")
-    same = written(heads.groupBy("sha").agg(F.min("d").alias("first"), F.count("*").alias("count")), "same")
-    heads = written(lookup(heads, same, "sha", "count", F.col("d")).drop("count"), "heads")
+    same = heads.groupBy("sha").agg(F.min(F.struct("d", "tag")).alias("at"), F.max("d").alias("nxt"), F.count("*").alias("count"), F.first("n").alias("n"))
+    same = written(same.select("sha", "at.d", "at.tag", "nxt", "count", "n"), "classes")
     at = scan.where("seed is not null").select("seed", "d", "tag", F.col("n").alias("at"))
     shared = written(at.groupBy("seed").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("count")).where("lo < hi").select("seed", "count"), "shared")
     hits = lookup(at, shared, "seed", "count", F.struct("d", "tag", "at"), "inner")
-    per = hits.groupBy("d", "tag").agg(F.collect_list("at").alias("places"))
-    per = written(per.join(heads.where("d = first").select("d", "tag"), ["d", "tag"], "left_semi"), "hits")
-    forget(scan)
-    runs = written(_runs(texts.join(per, ["d", "tag"]).select("d", "tag", "text", "places"), window, seed), "runs")
-    # Equal runs: all suffixes of a later one start in the first one's document too.
-    equal = written(runs.groupBy("digest").agg(F.min("d").alias("lo"), F.count("*").alias("count")), "equal")
-    later = lookup(runs.select("digest", "d", "tag", "start", "stop"), equal, "digest", "count", F.struct("d", "start"), "inner").where("lo < d").select("d", "tag", F.col("start").alias("a"), F.col("stop").alias("b"))
-    firsts = runs.join(equal.select("digest", F.col("lo").alias("d")), ["digest", "d"], "left_semi")
-    large = written(firsts.groupBy("seed").count(), "groups")
-    firsts = written(lookup(firsts.select("seed", "d", "tag", "start", "body"), large, "seed", "count", F.struct("d", "start")).where("count > 1"), "firsts")
-    cold = _trees(firsts.where(F.col("count") <= group).select("seed", "d", "tag", "start", "body"), window)
-    wide = _windows(firsts.where(F.col("count") > group), window)
-    low = written(wide.groupBy("digest").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("count")).where("lo < hi").drop("hi"), "long-prefixes")
-    hot = lookup(wide, low, "digest", "count", F.struct("d", "tag", "start"), "inner").where("lo < d").select("d", "tag", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
-    return heads, written(cold.unionByName(hot).unionByName(later), "spans")
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for each document."""
-    heads, spans = covers(docs, window, seed, group)
-    per = spans.groupBy("d", "tag").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    cut = _kept(_texts(docs).join(per, ["d", "tag"]).select("d", "tag", "text", "a", "b")).dropDuplicates(["d", "tag"])
-    out = heads.join(cut, ["d", "tag"], "left")
-    copy = (F.col("first") < F.col("d")) & (F.col("n") >= window)
-    n = F.col("n").cast("long")
-    return out.select(
-        F.nullif("d", F.lit(LAST)).alias("doc_id"), n.alias("n_words"), F.when(copy, n).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(copy, F.lit(_EMPTY)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
-    )
+    per = hits.groupBy("d", "tag").agg(F.collect_set("at").alias("places"))
+    per = written(per.join(same.select("d", "tag", "nxt", F.col("sha").alias("up")), ["d", "tag"]), "hits")
+    # Repeated rows have one text: one of them is enough.
+    picked = texts.join(per, ["d", "tag"]).dropDuplicates(["d", "tag"])
+    runs = written(_runs(picked, window, seeds[0]), "runs-0")
+    spans = _resolved(runs, window, (*seeds[1:], window), group, 0).withColumnRenamed("digest", "sha")
+    return scan.where("seed is null").select("d", "n", "sha"), same.join(spans, "sha", "left")
+
 
+def _length(a: str, b: str):
+    """Words that the spans of two arrays cover."""
+    spans = F.array_sort(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b")))
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
+    add = lambda acc, x: F.struct(F.greatest(acc["end"], x["b"]).alias("end"), (acc["total"] + F.greatest(F.lit(0), x["b"] - F.greatest(acc["end"], x["a"]))).alias("total"))
+    return F.coalesce(F.aggregate(spans, zero, add, lambda acc: acc["total"]), F.lit(0)).cast("long")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, seeds: tuple[int, ...] = SEEDS, group: int = GROUP_WORDS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for each document."""
+    with scratch(docs.sparkSession) as s:
+        heads, classes = covers(docs, window, seeds, group)
+        cut = classes.withColumn("first_n", _length("a", "b")).withColumn("rest_n", _length("rest_a", "rest_b"))
+        cut = written(cut, "cut")
+        # A text is needed again where a part of it stays; of copies all windows go, so nothing of them or everything stays.
+        part = cut.where((F.col("first_n") > 0) & (F.col("first_n") < F.col("n"))).select("d", "tag", F.col("sha").alias("up"), F.arrays_zip("a", "b").alias("spans"))
+        texts = _texts(docs).join(part, ["d", "tag"]).dropDuplicates(["d", "tag"])
+        kept = _kept(texts)
+        done = cut.join(kept.withColumnRenamed("up", "sha"), "sha", "left").select("sha", F.col("d").alias("first"), "count", "first_n", "rest_n", "kept")
+        out = lookup(heads, written(done, "done"), "sha", "count", F.col("d"))
+        gone = F.when(F.col("d") == F.col("first"), F.col("first_n")).otherwise(F.col("rest_n"))
+        left = F.when(gone == 0, F.col("sha")).when(gone == F.col("n"), F.lit(bytearray(_EMPTY))).otherwise(F.col("kept"))
+        return s.final(out.select(F.nullif("d", F.lit(LAST)).alias("doc_id"), F.col("n").cast("long").alias("n_words"), gone.alias("n_removed"), F.lower(F.hex(left)).alias("kept_sha256")), "repeats")
 
 ORACLE = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),

@@ -176,13 +176,21 @@ def brute_repeats(texts, n=50):
     return out
 
 
-@pytest.mark.parametrize("group", [20_000, 1])
+@pytest.mark.parametrize("group", [1 << 19, 200, 1])
 def test_substring(spark, docs, texts, empty, group):
+    """Short prefixes only; prefixes that grow; the whole window."""
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op3_substring.remove_repeats(docs, group=group).collect()}
     assert got == brute_repeats(texts) and sum(x[1] for x in got.values()) > 500
     assert op3_substring.remove_repeats(empty).count() == 0
 
 
+def test_substring_comes_from_trees(spark, docs, monkeypatch):
+    """Without the trees nothing is removed, whole copies included."""
+    none = lambda leaves, window: leaves.sparkSession.createDataFrame([], op3_substring._SPANS)
+    monkeypatch.setattr(op3_substring, "_trees", none)
+    assert op3_substring.remove_repeats(docs).where("n_removed > 0").isEmpty()
+
+
 def test_substring_odd_ids(spark):
     long = " ".join(f"t{i}" for i in range(55))
     d = spark.createDataFrame([(1, long), (1, long), (1, long + " x"), (None, long), (2, "y " + long)], "doc_id long, text string")
@@ -190,13 +198,22 @@ def test_substring_odd_ids(spark):
     assert got == [(1, 0), (1, 0), (1, 0), (2, 55), (99, 55)]
 
 
-def test_suffix_tree_names():
+def test_suffix_tree():
+    """Order, common prefixes and deep nodes against all suffixes compared one by one."""
     rng = np.random.default_rng(0)
-    x = rng.integers(0, 2, 300)
+    x = rng.integers(0, 2, 200)
     for depth in (1, 5, 8, 13):
-        a = op3_substring.deep_nodes(x, depth)
-        keys = [tuple(x[i : i + depth]) for i in range(len(x) - depth + 1)]
-        assert len(a) == len(keys) and len(set(zip(a.tolist(), keys, strict=True))) == len(set(keys)) == len(set(a.tolist()))
+        order, common = op3_substring.suffix_order(x, depth)
+        suffix = [tuple(x[i : i + depth]) for i in range(len(x))]
+        assert sorted(order.tolist()) == list(range(len(x))) and [suffix[i] for i in order] == sorted(suffix)
+        same = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        assert common.tolist() == [same(suffix[i], suffix[j]) for i, j in zip(order[:-1], order[1:], strict=True)]
+        lo, hi = op3_substring.deep_nodes(order, common, depth)
+        below = [frozenset(order[a:b].tolist()) for a, b in zip(lo, hi, strict=True)]
+        full = defaultdict(set)
+        for i in range(len(x) - depth + 1):
+            full[suffix[i]].add(i)
+        assert {frozenset(v) for v in full.values()} == {b for b in below if all(i + depth <= len(x) for i in b)}
 
 
 def test_quality(spark, empty):
