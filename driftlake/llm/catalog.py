@@ -14,7 +14,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1_sharding.shard(_t(spark, sf_dir, "documents"))
+    return op1_sharding.shard(_t(spark, sf_dir, "documents"), op1_sharding.QUERY_LIMIT)
 
 
 def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_exact_dedup.DigestIndex(spark).decide(_t(spark, sf_dir, "documents"))
+    """Four batches of ascending doc_id against one index, which goes when all rows are decided."""
+    index = op10_exact_dedup.DigestIndex(spark)
+    out = index.decide(_t(spark, sf_dir, "documents"), batches=4)
+    index.drop()
+    return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -65,7 +65,8 @@ def test_sharding(spark, docs, texts, empty):
 
     def depth(i):
         for d in range(61):
-            if sum(size[j] for j in bits if bits[j][:d] == bits[i][:d]) <= limit or d == 60:
+            mates = [size[j] for j in bits if bits[j][:d] == bits[i][:d]]
+            if sum(mates) <= limit or len(mates) == 1 or d == 60:
                 return d
 
     assert {r["doc_id"]: r["shard"] for r in got} == {i: bits[i][: depth(i)] for i in texts}
@@ -75,7 +76,19 @@ def test_sharding(spark, docs, texts, empty):
 
 def test_shard_files(spark, docs, tmp_path):
     op1_sharding.write_shards(docs, str(tmp_path / "s"), 4000)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+    back = spark.read.parquet(str(tmp_path / "s"))
+    want = {r["doc_id"]: f"{r['depth']}-{r['prefix']}" for r in op1_sharding.shard(docs, 4000).collect()}
+    assert {r["doc_id"]: r["shard"] for r in back.collect()} == want and back.count() == docs.count() and set(docs.columns) < set(back.columns)
+    many = spark.createDataFrame([(1, "x" * 50, "s")] * 40 + [(2, "y", "s")], "doc_id long, text string, source string")
+    op1_sharding.write_shards(many, str(tmp_path / "m"), 500)
+    assert Counter(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "m")).collect()) == {1: 40, 2: 1}
+
+
+def test_sharding_query_splits(spark):
+    from driftlake.llm import catalog
+
+    depths = {r[0] for r in catalog.op1_extendible_sharding(spark, "/root/testdata/sf0.001").select("depth").distinct().collect()}
+    assert len(depths) >= 2 and max(depths) >= 3
 
 
 def test_mixing(spark, docs, texts, empty):
@@ -512,12 +525,28 @@ def test_exact_dedup(spark, docs, texts, empty):
 def test_index_persists(spark, docs):
     index = op10_exact_dedup.DigestIndex(spark, buckets=4)
     first = docs.where(F.col("doc_id") < 50)
-    index.decide(first).collect()
+    early = sorted(index.decide(first).collect(), key=str)
     n = index.rows().count()
-    later = index.decide(docs.where(F.col("doc_id") >= 50)).collect()
+    rest = docs.where(F.col("doc_id") >= 50)
+    later = index.decide(rest).collect()
     old = {r["doc_id"] for r in first.collect()}
-    assert index.rows().count() == n + sum(r["kept"] for r in later) and all(not r["kept"] for r in later if r["keep_id"] in old)
+    assert index.rows().count() == n + len({r["text_sha256"] for r in later if r["kept"]}) and all(not r["kept"] for r in later if r["keep_id"] in old)
     assert all(k == 1 for k in Counter(r["digest"] for r in index.rows().collect()).values())
+    # The same batches again, by their numbers: nothing changes.
+    assert sorted(index.decide(first, first=1).collect(), key=str) == early and sorted(index.decide(rest, first=2).collect(), key=str) == sorted(later, key=str)
+    assert {r["doc_id"] for r in op10_exact_dedup.dedup(rest, index, 2).collect()} == {r["doc_id"] for r in later if r["kept"]}
+    name = index.name
+    index.drop()
+    assert not spark.catalog.tableExists(name)
+
+
+def test_dedup_in_batches(spark, docs):
+    """Batches of ascending doc_id decide as one batch does, through the anti-join."""
+    one = sorted(map(tuple, op10_exact_dedup.DigestIndex(spark).decide(docs).collect()))
+    index = op10_exact_dedup.DigestIndex(spark, buckets=4)
+    assert sorted(map(tuple, index.decide(docs, batches=4).collect())) == one
+    assert index.rows().select("batch").distinct().count() == 4
+    assert op10_exact_dedup.DigestIndex(spark).decide(odd(spark), batches=3).count() == 5
 
 
 def test_words_vectorised():
