@@ -1,23 +1,28 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-``compile_model`` reads a model file and builds the parts: the normaliser
-(identity with white-space escape and dummy prefix), the piece lexicon as a
-trie from the right, and byte fallback arcs for characters without a piece.
-An input is composed with them lazily: a state is (position, last piece), an
-arc consumes a piece, and the weight is in the tropical semiring (min, +).
-For a byte-pair model the weight of an arc is 0 if the two pieces may stand
-side by side (merging their joined characters by the model's order gives just
-these two) and infinity if not. Every prefix of the input has one path of
-finite weight, so the shortest path keeps one survivor a position and is the
-model's own segmentation. For a unigram model the weight is minus the piece's
-log probability.
-
-No piece joins a character to a following space mark, so the mark begins a new
-machine: paths of such units are kept in a bounded table per worker.
+``compile_model`` reads a model file and builds the parts: the normaliser (a
+transducer whose arcs are the model's character map, followed by the rules for
+white space and the dummy prefix), the piece lexicon as arcs from the right,
+and byte fallback arcs for characters without a piece. An input is composed
+with them lazily: a state is (position, last piece), an arc consumes a piece,
+and the weight is in the tropical semiring (min, +). For a byte-pair model the
+weight of an arc is 0 if the two pieces may stand side by side (merging their
+joined characters by the model's order gives just these two) and infinity if
+not. Every prefix of the input has one path of finite weight, so the shortest
+path keeps one survivor a position and is the model's own segmentation. For a
+unigram model the weight is minus the piece's log probability.
+
+Where no piece joins a character to a following space mark or a line break to
+another character (tested while compiling), these begin a new machine: paths
+of such units are kept in a bounded table per worker. Otherwise a text is one
+unit. User-defined pieces are cut out of the text first, longest first, and
+never merge.
 
 Defined cases: null text is empty text, which has no pieces; an empty table
 gives no rows; rows are coded one by one, whole, so repeats give equal rows;
-extra columns are ignored.
+an id that names no piece decodes as the unknown piece does; where the
+normaliser changes a text, decoding gives the normalised one and
+``round_trip`` is false; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,20 +42,76 @@ MARK = "▁"
 #: Units whose paths a worker keeps, the half of them that were met last.
 KEPT = 700_000
 _UNITS = re.compile("▁*[^▁\n]+|▁+|\n+")
+_CROSSES = re.compile("[^▁]▁|\n[^\n]|[^\n]\n")
+#: What the unknown piece, and an id that names no piece, decode to.
+UNKNOWN = " \u2047 ".encode()
 INF = float("inf")
 
 
+class Normaliser:
+    """The character map of a model as a transducer: from each place the longest arc whose label the text goes on with; other characters map to themselves.
+
+    ``table``: four bytes with the size of a double-array trie over UTF-8, the
+    trie, and the replacements, each ended by a zero byte.
+    """
+
+    def __init__(self, table: bytes = b"", squeeze: bool = False, dummy: bool = True):
+        self.squeeze, self.dummy, self.identity = squeeze, dummy, not table and not squeeze
+        n = int.from_bytes(table[:4], "little") if table else 0
+        self.trie = np.frombuffer(table[4 : 4 + n], "<u4").tolist()
+        self.texts = table[4 + n :]
+
+    def step(self, b: bytes, i: int) -> tuple[bytes, int]:
+        """What the arc from place i writes, and where it leads."""
+        trie, at, best = self.trie, 0, None
+        if trie:
+            at = (trie[0] >> 10) << ((trie[0] & 512) >> 6)
+            for j in range(i, len(b)):
+                at ^= b[j]
+                unit = trie[at]
+                if unit & 0x800000FF != b[j]:
+                    break
+                at ^= (unit >> 10) << ((unit & 512) >> 6)
+                if unit >> 8 & 1:
+                    best = j + 1, trie[at] & 0x7FFFFFFF
+        if best:
+            return self.texts[best[1] : self.texts.index(0, best[1])], best[0]
+        n = 1 if b[i] < 0x80 else 2 if b[i] < 0xE0 else 3 if b[i] < 0xF0 else 4
+        return b[i : i + n], i + n
+
+    def __call__(self, text: str) -> str:
+        """The normalised text with its spaces marked, from the dummy prefix on; empty if nothing is left."""
+        if self.identity:
+            s = text
+        else:
+            b, i, out = text.encode("utf-8", "surrogatepass"), 0, []
+            while i < len(b):
+                got, i = self.step(b, i)
+                out.append(got)
+            s = b"".join(out).decode("utf-8", "replace")
+            if self.squeeze:
+                s = re.sub(" +", " ", s).strip(" ")
+        return (MARK if self.dummy else "") + s.replace(" ", MARK) if s else ""
+
+
 class Machine:
-    def __init__(self, pieces: list[str], scores: list[float], kinds: list[int], bpe: bool, dummy: bool):
+    def __init__(self, pieces: list[str], scores: list[float], kinds: list[int], bpe: bool, normaliser: Normaliser | bool = True):
         """kinds as in the model file: 1 normal, 2 unknown, 3 control, 4 user-defined, 6 byte."""
-        self.pieces, self.bpe, self.dummy = pieces, bpe, dummy
-        self.id = {p: i for i, p in enumerate(pieces) if kinds[i] in (1, 4)}
+        self.normaliser = normaliser if isinstance(normaliser, Normaliser) else Normaliser(dummy=normaliser)
+        self.pieces, self.bpe, self.dummy = pieces, bpe, self.normaliser.dummy
+        own = sorted((p for i, p in enumerate(pieces) if kinds[i] == 4), key=len, reverse=True)
+        self.own = re.compile("(" + "|".join(map(re.escape, own)) + ")") if own else None
+        self.own_ids = {p: np.array([i], "<i4").tobytes() for i, p in enumerate(pieces) if kinds[i] == 4}
+        self.crosses = any(_CROSSES.search(p) for i, p in enumerate(pieces) if kinds[i] == 1)
+        self.id = {p: i for i, p in enumerate(pieces) if kinds[i] == 1}
         self.score = {p: scores[i] for p, i in self.id.items()}
         self.byte = [-1] * 256
         for i, k in enumerate(kinds):
             if k == 6:
                 self.byte[int(pieces[i][3:5], 16)] = i
         self.unk = kinds.index(2) if 2 in kinds else 0
+        self.fallback = all(i >= 0 for i in self.byte)
+        self.unk_weight = 0.0 if bpe else 10.0 - min(self.score.values(), default=0.0)  # fixed value: the library's penalty
         self.longest = max(map(len, self.id), default=1)
         self.ends = {}  # last character -> lengths of the pieces that end in it
         for p in self.id:
@@ -62,7 +123,7 @@ class Machine:
         self.older: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if kinds[i] == 6 else b"" if kinds[i] in (2, 3) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if kinds[i] == 6 else UNKNOWN if kinds[i] == 2 else b"" if kinds[i] == 3 else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
 
     def merged(self, chars: str) -> list[str]:
         """Merge neighbours by score, leftmost first among equals, until no pair is a piece."""
@@ -118,14 +179,17 @@ class Machine:
                         if bpe:  # no other piece can end the one finite path to j
                             break
             if arc is None and c not in ids:  # no piece has this character: its bytes
-                best = dist[j - 1] + (0.0 if bpe else 20.0)
+                best = dist[j - 1] + self.unk_weight
             dist[j], back[j] = best, arc
         out: list[int] = []
         j = n
         while j > 0:
             p = back[j]
             if p is None:
-                out += [self.byte[b] if self.byte[b] >= 0 else self.unk for b in reversed(s[j - 1].encode("utf-8", "surrogatepass"))]
+                if self.fallback:
+                    out += [self.byte[b] for b in reversed(s[j - 1].encode("utf-8", "surrogatepass"))]
+                elif not (j < n and back[j + 1] is None):  # neighbours without a piece are one unknown piece
+                    out.append(self.unk)
                 j -= 1
             else:
                 out.append(ids[p])
@@ -170,20 +234,22 @@ class Machine:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian int32."""
-        if not text:
+        s = self.normaliser(text)
+        if self.own is None:
+            return self.coded(s)
+        return b"".join([self.own_ids[x] if k % 2 else self.coded(x) for k, x in enumerate(self.own.split(s))])
+
+    def coded(self, s: str) -> bytes:
+        if not s:
             return b""
-        s = text.replace(" ", MARK)
-        if self.dummy:
-            s = MARK + s
         unit = self.unit
-        return b"".join([self.table.get(u) or unit(u) for u in _UNITS.findall(s)])
+        return b"".join([self.table.get(u) or unit(u) for u in ([s] if self.crosses else _UNITS.findall(s))])
 
     def decode(self, ids) -> str:
         b = self.bytes_of
-        s = b"".join([b[i] for i in ids]).decode("utf-8", "replace")
+        s = b"".join([b[i] if 0 <= i < len(b) else UNKNOWN for i in ids]).decode("utf-8", "replace")
         return s[1:] if self.dummy and s.startswith(" ") else s
 
-
     def decoded(self, ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of ids, and n+1 offsets, for documents at ids[ptr[i]:ptr[i+1]]; the dummy space is still there."""
         if not hasattr(self, "_flat"):
@@ -227,8 +293,8 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def compile_model(data: bytes) -> Machine:
-    """The machine of a model file's bytes; only the identity normaliser is compiled."""
-    pieces, scores, kinds, bpe, dummy = [], [], [], False, True
+    """The machine of a model file's bytes."""
+    pieces, scores, kinds, bpe, normaliser = [], [], [], False, Normaliser(squeeze=True)
     for no, v in _fields(data):
         if no == 1:
             f = dict(_fields(v))
@@ -239,10 +305,8 @@ def compile_model(data: bytes) -> Machine:
             bpe = dict(_fields(v)).get(3, 1) == 2
         elif no == 3:
             f = dict(_fields(v))
-            if f.get(2) or f.get(4, 1):
-                raise ValueError("only models with the identity normaliser that keep all white space are compiled")
-            dummy = bool(f.get(3, 1))
-    return Machine(pieces, scores, kinds, bpe, dummy)
+            normaliser = Normaliser(f.get(2, b""), bool(f.get(4, 1)), bool(f.get(3, 1)))
+    return Machine(pieces, scores, kinds, bpe, normaliser)
 
 
 def machine(path: str = MODEL) -> Machine:

@@ -488,6 +488,27 @@ def test_unigram_machine():
     assert [pieces[i] for i in np.frombuffer(m.encode("ab"), "<i4")] == ["▁", "ab"]
 
 
+def test_normaliser():
+    spm = pytest.importorskip("sentencepiece")
+    hard = ["  \uff28ello  \u2460 \ufb01\t x ", "", "   ", "a\u0301b \u00bd\u3000z", "plain text", "\u200bx\n\ny", "\U0001f600 ok"]
+    for rule in ("nmt_nfkc", "nfkc_cf", "identity"):
+        for squeeze in (True, False):
+            lib = spm.SentencePieceNormalizer(rule_name=rule, escape_whitespaces=True, remove_extra_whitespaces=squeeze, add_dummy_prefix=True)
+            own = op8_sentencepiece.compile_model(lib.serialized_model_proto()).normaliser
+            assert own.identity == (rule == "identity" and not squeeze)
+            for t in hard:
+                assert own(t) == lib.normalize(t), (rule, squeeze, t)
+
+
+def test_pieces_of_all_kinds():
+    """User-defined pieces never merge, pieces over a space mark turn units off, ids out of range decode as unknown."""
+    pieces = ["<unk>", "a", "b", "ab", "▁", "[x]", "a▁", "a▁b"]
+    m = op8_sentencepiece.Machine(pieces, [0, -3, -4, -1, -5, 0, -2, -0.5], [2, 1, 1, 1, 1, 4, 1, 1], True, False)
+    name = lambda t: [pieces[i] for i in np.frombuffer(m.encode(t), "<i4")]
+    assert m.crosses and name("a b") == ["a▁b"] and name("a[x]b") == ["a", "[x]", "b"] and name("azzb") == ["a", "<unk>", "b"]
+    assert m.decode([1, -1, 99, 2]) == "a \u2047  \u2047 b" and m.decode([]) == ""
+
+
 PAGE = '<html lang="en"><head><title>T &amp; t</title><style>p{}</style></head><body><script>var t="</p>";</script><!-- c --><p>One<b>two</b>&nbsp;x</p><div>A<br>B</div><a href="/l?x=1&amp;y">k</a><img src=p.png></body></html>'
 
 
