@@ -10,7 +10,8 @@ Defined cases: null and empty texts have no words, lines or symbols and fail
 the base rule; labels that are null, or that name no document, are left out;
 a doc_id labelled both ways counts as rejected for neither (left out); without
 labels of both kinds the list is empty and keeps everything. Extra columns are
-ignored. Equal doc_ids give one row each.
+ignored. Equal doc_ids give one row each; learning takes one of them, the one
+with the least features, and at most MAX_LABELLED in all.
 """
 
 from __future__ import annotations
@@ -148,8 +149,6 @@ def _best(x: dict[str, np.ndarray], y: np.ndarray, base: float) -> tuple[float,
         cut = np.flatnonzero(s[1:] > s[:-1])
         if not len(cut):
             continue
-        if len(cut) > 256:
-            cut = cut[np.linspace(0, len(cut) - 1, 256).astype(int)]
         mid = (s[cut] + s[cut + 1]) / 2
         for up, p, n in ((False, cum[cut], cut + 1), (True, cum[-1] - cum[cut], len(s) - cut - 1)):
             gain = p * (np.log2((p + 0.5) / (n + 1)) - base)
@@ -216,7 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[li
     # ``chosen`` has at most ``most`` rows: small enough to broadcast by its bound.
     rows = statistics(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
     rows = rows.where(~base_failed()).join(F.broadcast(chosen), "doc_id").select("label", "doc_id", *[feature(f).alias(f) for f in FEATURES])
-    pdf = rows.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(2 * most).toPandas()
+    # Of rows with one doc_id the one with the least features: no more than ``most`` reach the driver.
+    one = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "label", "x.*")
+    pdf = one.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most).toPandas()
     if not len(pdf):
         return []
     return learn({f: pdf[f].to_numpy(float) for f in FEATURES}, (pdf["label"] == 0).to_numpy())

@@ -1,18 +1,21 @@
 """WARC derivatives: from response records to linked metadata and conversion records.
 
-For each response a ``metadata`` record (application/warc-fields: title,
-language, character set, outlinks) and a ``conversion`` record (text/plain)
-are built. Both name the response in WARC-Refers-To, keep its target URI, date
-and payload digest, and carry a block digest of their own; the HTTP headers of
-the source go into the metadata record as http-header fields.
+``responses`` makes response records of pages, or takes those of a WARC file
+(``read_warc``) as they are. For each one a ``metadata`` record
+(application/warc-fields: title, language, character set, outlinks, the
+source's HTTP headers) and a ``conversion`` record (text/plain) are built.
+Both name the response in WARC-Refers-To, keep its target URI, date and
+payload digest, and carry a block digest of their own. ``archive`` writes the
+response records with what refers to them.
 
 Defined cases: a null html is an empty payload (its conversion is empty); a
 null url gives records without WARC-Target-URI; an empty table gives no rows;
 repeated rows give equal records; columns date (string), http (array of name
-and value) and source_id (string) are used where they aren't null, and a fixed
-date, two made-up headers and an invented id stand for them otherwise; other
-columns are ignored. Every page is
-converted whole.
+and value), source_id (string) and payload_digest (string) are used where they
+aren't null, and a fixed date, two made-up headers, an invented id and the
+SHA-1 of the payload stand for them otherwise; other columns are ignored.
+Every page is converted whole. A record of a WARC file without a whole number
+as its length is passed over; a torn last one ends the file.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ import base64
 import gzip
 import hashlib
 import html as htmllib
+import io
+import itertools
 import re
 import uuid
 import zlib
@@ -30,6 +35,8 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ._text import slices
+
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: RFC 4122's name space of URLs
 DATE = "1970-01-01T00:00:00Z"
 _HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head)\b[^<>]*>", re.I)
@@ -123,26 +130,46 @@ def header_block(fields: list[tuple[str, str | None]]) -> str:
     return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
 
 
-def derive(page_id: int | None, url: str | None, page: str | None, date: str = DATE, http: list[tuple[str, str]] | None = None, source_id: str | None = None) -> list[tuple]:
-    """The two records of one response, as tuples of FIELDS."""
+RESPONSE = "page_id long, source_id string, url string, date string, http array<struct<name: string, value: string>>, payload_digest string, html string"
+
+
+def respond(page_id: int | None, url: str | None, page: str | None, date: str | None = None, http: list[tuple[str, str]] | None = None, source_id: str | None = None, payload_digest: str | None = None) -> tuple:
+    """One response record, as a tuple of RESPONSE: what is None is made up."""
     body = page or ""
     payload = body.encode("utf-8", "surrogatepass")
-    source = source_id or record_id("response", page_id, url, hashlib.sha1(payload).hexdigest())
-    digest, out = sha1(payload), []
-    http = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))] if http is None else http
+    sha = hashlib.sha1(payload)
+    if http is None:
+        http = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]
     uri = None if url is None else " ".join(url.split())
+    digest = payload_digest or "sha1:" + base64.b32encode(sha.digest()).decode()
+    return page_id, source_id or record_id("response", page_id, url, sha.hexdigest()), uri, date or DATE, http, digest, body
+
+
+def derive(page_id: int | None, source: str, uri: str | None, date: str, http: list[tuple[str, str]], digest: str, body: str) -> list[tuple]:
+    """The two records of one response (a tuple of RESPONSE), as tuples of FIELDS."""
+    out = []
     for kind, mime, content in (("metadata", "application/warc-fields", about(body, uri, http)), ("conversion", "text/plain", to_text(body))):
-        block = content.encode("utf-8", "surrogatepass")
-        rid = record_id(kind, source)
-        fields = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Refers-To", source), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Payload-Digest", digest), ("WARC-Block-Digest", sha1(block)), ("Content-Type", mime), ("Content-Length", str(len(block)))]
-        out.append((page_id, kind, rid, source, uri, date, mime, len(block), digest, sha1(block), header_block(fields), content))
+        out.append(_record(page_id, kind, record_id(kind, source), source, uri, date, mime, digest, content))
     return out
 
 
-def derivatives(pages: DataFrame) -> DataFrame:
-    """Two rows of FIELDS for each page; one pass, no shuffle."""
-    names = [f.split()[0] for f in FIELDS.split(", ")]
-    have = [c for c in ("date", "http", "source_id") if c in pages.columns]
+def source_record(page_id: int | None, source: str, uri: str | None, date: str, http: list[tuple[str, str]], digest: str, body: str) -> tuple:
+    """The response itself, as a tuple of FIELDS."""
+    head = "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in http) + "\r\n"
+    return _record(page_id, "response", source, None, uri, date, "application/http; msgtype=response", digest, head + body)
+
+
+def _record(page_id: int | None, kind: str, rid: str, refers: str | None, uri: str | None, date: str, mime: str, digest: str, content: str) -> tuple:
+    block = content.encode("utf-8", "surrogatepass")
+    own = sha1(block)
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Refers-To", refers), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Payload-Digest", digest), ("WARC-Block-Digest", own), ("Content-Type", mime), ("Content-Length", str(len(block)))]
+    return page_id, kind, rid, refers, uri, date, mime, len(block), digest, own, header_block(fields), content
+
+
+def _each(pages: DataFrame, make, schema: str, types: list[pa.DataType]) -> DataFrame:
+    """make(*response) gives the rows of each page's response; one pass, no shuffle."""
+    names = [f.split()[0] for f in re.sub("<.*>", "", schema).split(", ")]
+    have = [c for c in ("date", "http", "source_id", "payload_digest") if c in pages.columns]
 
     def known(values: tuple) -> dict:
         x = {k: v for k, v in zip(have, values, strict=True) if v is not None}
@@ -152,45 +179,72 @@ def derivatives(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = [r for i, u, h, *rest in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in derive(i, u, h, **known(rest))]
+            for part in slices(batch, "html"):
+                rows = [r for i, u, h, *rest in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in make(*respond(i, u, h, **known(rest)))]
                 cols = list(zip(*rows, strict=True))
-                types = [pa.int64() if n in ("page_id", "content_length") else pa.string() for n in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return pages.select("page_id", "url", "html", *have).mapInArrow(run, FIELDS)
+    return pages.select("page_id", "url", "html", *have).mapInArrow(run, schema)
+
+
+_RECORD_TYPES = [pa.int64() if f.endswith("long") else pa.string() for f in FIELDS.split(", ")]
+
 
+def responses(pages: DataFrame) -> DataFrame:
+    """Response records (RESPONSE) of pages: page_id, url, html, and those of date, http, source_id and payload_digest that there are."""
+    back = lambda *r: [(*r[:4], [{"name": k, "value": v} for k, v in r[4]], *r[5:])]
+    return _each(pages, back, RESPONSE, [pa.int64(), pa.string(), pa.string(), pa.string(), HTTP, pa.string(), pa.string()])
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write headers and content as WARC files: the record separator is the writer's line separator, so Spark's committer does the work."""
+
+def derivatives(pages: DataFrame, sources: bool = False) -> DataFrame:
+    """Two rows of FIELDS for each page or response record; with ``sources`` the response itself before them."""
+    make = (lambda *r: [source_record(*r), *derive(*r)]) if sources else derive
+    return _each(pages, make, FIELDS, _RECORD_TYPES)
+
+
+def from_warc(records: DataFrame) -> DataFrame:
+    """The responses among records of ``read_warc`` (page_id null), as ``responses`` has them: ids, dates, headers and digests stay. Payloads are taken as UTF-8; what isn't becomes U+FFFD."""
+    from pyspark.sql import functions as F
+
+    some = records.where("record_type = 'response'")
+    return some.select(F.lit(None).cast("long").alias("page_id"), F.col("record_id").alias("source_id"), F.col("target_uri").alias("url"), "date", "http", "payload_digest", F.make_valid_utf8(F.col("payload").cast("string")).alias("html"))
+
+
+def archive(pages: DataFrame, path: str) -> None:
+    """Write the responses of pages and their derivatives as WARC files."""
+    write_warc(derivatives(pages, sources=True), path)
+
+
+def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
+    """Write headers and content as WARC files: the record separator is the writer's line separator, so Spark's committer does the work.
+
+    Files are plain: Spark's writer compresses whole files, not records one by one as readers that seek expect; ``compression`` takes its names.
+    """
     from pyspark.sql import functions as F
 
     records.select(F.concat("headers", F.lit("\r\n"), "content").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of one WARC file (plain or gzip). Blocks are taken by Content-Length; a torn last record ends the file."""
-    if data[:2] == b"\x1f\x8b":
-        try:
-            data = gzip.decompress(data)
-        except (EOFError, zlib.error):
-            data = zlib.decompressobj(31).decompress(data)
-    at = 0
-    while True:
-        at = data.find(b"WARC/", at)
-        end = data.find(b"\r\n\r\n", at)
-        if at < 0 or end < 0:
-            return
-        head: dict[str, str] = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            k, _, v = line.partition(":")
-            head[k.strip().lower()] = v.strip()
-        n = int(head.get("content-length", "0") or 0)
-        if end + 4 + n > len(data):
-            return
-        yield head, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+    """Headers and block of each record of one WARC file, plain or gzip (unpacked as it is read). Blocks are taken by Content-Length."""
+    f = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    try:
+        while line := f.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            head: dict[str, str] = {}
+            while (line := f.readline()).strip():
+                k, _, v = line.decode("utf-8", "replace").partition(":")
+                head[k.strip().lower()] = v.strip()
+            length = head.get("content-length", "0") or "0"
+            if not (line and length.isascii() and length.isdigit() and len(length) < 19):
+                continue
+            block = f.read(int(length))
+            if len(block) < int(length):
+                return
+            yield head, block
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        return
 
 
 def http_message(block: bytes) -> tuple[list[dict[str, str]], bytes]:
@@ -215,9 +269,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = list(parse(batch.column(0)[i].as_py()))
-                for a in range(0, len(rows), 500):
-                    part = rows[a : a + 500]
+                rows = parse(batch.column(0)[i].as_py())
+                while part := list(itertools.islice(rows, 200)):
                     split = [http_message(b) if h.get("warc-type") == "response" and h.get("content-type", "").lower().startswith("application/http") else (None, b) for h, b in part]
                     more = [pa.array([b for _, b in part], pa.binary()), pa.array([x for x, _ in split], HTTP), pa.array([x for _, x in split], pa.binary())]
                     yield pa.RecordBatch.from_arrays([*[pa.array([h.get(k) for h, _ in part], pa.string()) for k in keys], *more], [*names, "block", "http", "payload"])

@@ -246,6 +246,80 @@ def test_quality(spark, empty):
     assert none.prior == 0.5 and op4_quality.score(empty, none).count() == 0
 
 
+def brute_score(m, t):
+    """One document's score: passages, encoder, gated attention and bag, word by word in plain Python."""
+    from math import exp, log1p, tanh
+
+    w = words(t)
+    bags = [w[i : i + 64] for i in range(0, len(w), 64)] or [[]]
+    five = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {k for i in range(len(w) - 4) if five[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+    gaps = [g.count("\n") for g in re.split("[^\x20\x09-\x0d]+", t)[1:]] if w else []
+    encoded, gate = [], []
+    for b, bag in enumerate(bags):
+        n, at = max(1, len(bag)), range(b * 64, b * 64 + len(bag))
+        raw = "".join(bag).encode()
+        x = [sum(c in v.encode() for c in raw) / max(1, len(raw)) for v in op4_quality._CLASSES.values()]
+        x += [sum(c >= 128 for c in raw) / max(1, len(raw)), len(raw) / n / 10, sum(len(y.encode()) > 20 for y in bag) / n, sum(len(y.encode()) <= 2 for y in bag) / n]
+        x += [sum(y in bag[:k] for k, y in enumerate(bag)) / n, sum(k in covered for k in at) / n, sum(gaps[k] for k in at) / n, sum("A" <= y[0] <= "Z" for y in bag) / n, len(bag) / 64, log1p(len(w)) / 8]
+        if not bag:
+            x = [0.0] * len(x)
+        z = [max(-6, min(6, (v - a) / c)) for v, a, c in zip(x, m.mean, m.scale, strict=True)]
+        e = [tanh(sum(z[i] * m.p["W"][i][j] for i in range(len(z))) + m.p["b"][j]) for j in range(len(m.p["b"]))]
+        encoded.append(e)
+        gate.append(sum(m.p["w"][g] * tanh(sum(e[j] * m.p["V"][j][g] for j in range(len(e)))) / (1 + exp(-sum(e[j] * m.p["U"][j][g] for j in range(len(e))))) for g in range(len(m.p["w"]))))
+    a = [exp(g - max(gate)) for g in gate]
+    bag = [sum(a[k] * encoded[k][j] for k in range(len(a))) / sum(a) for j in range(len(encoded[0]))]
+    return 1 / (1 + exp(-(sum(bag[j] * m.p["c"][j] for j in range(len(bag))) + float(m.p["d"]))))
+
+
+def test_quality_scores(spark, docs, texts):
+    """Scores against a plain loop over each document's words."""
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(101)], "doc_id long, quality int, toxic int")
+    m = op4_quality.fit(docs, lab)
+    assert m.prior is None
+    for r in op4_quality.score(docs, m).collect():
+        assert abs(r["score"] - brute_score(m, texts[r["doc_id"]] or "")) < 1e-5, r
+
+
+def test_quality_fit_is_bounded(spark):
+    """A labelled document gives at most FIT_PASSAGES passages to the fit, and one bag however often its id comes."""
+    long = " ".join(f"w{i}" for i in range(64 * 200))
+    d = spark.createDataFrame([(1, long), (1, long), (1, "other"), (2, "short text")], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    bags = op4_quality.bags(d, lab, "quality", 10)
+    assert sorted(bags["doc_id"]) == [1, 2] and max(len(x) for x in bags["x"]) <= op4_quality.FIT_PASSAGES * op4_quality.N_FEATURES
+
+
+def brute_rules(rules, n):
+    """The list's verdict on one document's counts: the first rule whose tests all hold rejects."""
+    value = {k: n[a] if b is None else n[a] / max(1, n[b]) for k, (a, b) in op5_rules.FEATURES.items()}
+    return not any(all(value[f] >= t if up else value[f] <= t for f, up, t in rule) for rule in rules)
+
+
+def test_rule_verdicts(spark, docs, texts):
+    """kept, against the rules applied in plain Python to counts taken in plain Python."""
+    rules = [[("symbols_per_word", True, 0.01), ("n_words", False, 70.0)], [("distinct_per_word", False, 0.9), ("chars_per_word", True, 3.2)], [("dup_lines_per_line", True, 0.2)], [("words_per_line", True, 150.0)], [("digits_per_char", True, 0.74)]]
+    got = {r["doc_id"]: r["kept"] for r in op5_rules.statistics(docs).select("doc_id", op5_rules.verdict(rules).alias("kept")).collect()}
+    want = {}
+    for i, t in texts.items():
+        w, flat = words(t), "".join(words(t))
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        n = dict(zip(op5_rules.BASE, brute_counts(t), strict=True)) | {"n_lines": len(lines), "n_distinct": len(set(w)), "n_digits": sum(c in "0123456789" for c in flat), "n_long": sum(len(x.encode()) > 20 for x in w), "n_marks": sum((t or "").count(c) for c in "!?;:=_~^@\\/{}[]()\"'"), "n_upper": 0}
+        want[i] = brute_rules(rules, n)
+    assert got == want and 5 < sum(want.values()) < len(want) - 5
+
+
+def test_rules_planted(spark):
+    """A planted threshold is found, and judge() keeps just what the learnt list keeps of what passes the base rule."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(("#" if rng.random() < (i % 3 == 0) * 0.6 else "") + f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(12, 60)))) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    rules = op5_rules.fit(d, lab)
+    assert rules and rules[0][0][0] in ("symbols_per_word",) and {r["doc_id"] for r in op5_rules.judge(d, lab).where("kept").collect()} == {i for i in range(300) if i % 3}
+
+
 def brute_counts(t):
     t = t or ""
     w = words(t)
@@ -528,6 +602,41 @@ def test_warc(spark, tmp_path):
     assert {k: bytes(v["block"]).decode() for k, v in back.items()} == {r["record_id"]: r["content"] for r in rows}
     assert all(back[r["record_id"]]["refers_to"] == r["refers_to"] for r in rows) and op9_warc.derivatives(d.limit(0)).count() == 0
     assert list(op9_warc.parse(b"WARC/1.1\r\nContent-Length: 99\r\n\r\ntorn")) == []
+    good = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    for bad in (b"x", b"-1", b"\xc2\xb2", b"9" * 5000):
+        assert [b for _, b in op9_warc.parse(b"WARC/1.1\r\nContent-Length: " + bad + b"\r\n\r\n" + good)] == [b"ok"]
+
+
+def brute_warc(data):
+    """Records of a WARC file, cut by hand."""
+    out = []
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        n = int(fields["Content-Length"])
+        out.append((fields, rest[:n]))
+        data = rest[n:].removeprefix(b"\r\n\r\n")
+    return out
+
+
+def test_warc_round_trip(spark, tmp_path):
+    """Pages to an archive, its responses to derivatives again: equal to those of the pages, and every Refers-To is there."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(40).union(spark.createDataFrame([(9001, None, None), (9002, "http://x.example/ \u00e9", "<p>\u65e5 a\r\n\r\nb")], "page_id long, url string, html string"))
+    op9_warc.archive(pages, str(tmp_path / "w"))
+    records = [r for f in sorted((tmp_path / "w").glob("part-*")) for r in brute_warc(f.read_bytes())]
+    ids = {f["WARC-Record-ID"] for f, _ in records}
+    assert len(records) == 3 * 42 and all(f["WARC-Refers-To"] in ids for f, _ in records if f["WARC-Type"] != "response")
+    for f, block in records:
+        assert f["WARC-Block-Digest"] == op9_warc.sha1(block)
+        if f["WARC-Type"] == "response":
+            assert f["WARC-Payload-Digest"] == op9_warc.sha1(block.partition(b"\r\n\r\n")[2])
+    back = op9_warc.read_warc(spark, str(tmp_path / "w"))
+    assert {(r["record_id"], bytes(r["block"])) for r in back.collect()} == {(f["WARC-Record-ID"], b) for f, b in records}
+    again = op9_warc.derivatives(op9_warc.from_warc(back)).drop("page_id")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, op9_warc.derivatives(pages).drop("page_id").collect()))
+    made = op9_warc.responses(pages)
+    assert made.columns == [f.split()[0] for f in ("page_id", "source_id", "url", "date", "http", "payload_digest", "html")]
+    assert sorted(map(str, op9_warc.derivatives(made).collect())) == sorted(map(str, op9_warc.derivatives(pages).collect()))
 
 
 def test_exact_dedup(spark, docs, texts, empty):
@@ -599,5 +708,7 @@ def test_warc_keeps_headers_dates_and_ids(spark, tmp_path):
     meta, conv = op9_warc.derivatives(pages).collect()
     assert meta["content"] == "http-header: X-Long: a b\r\nhttp-header: Server: s:1\r\n" and conv["content"] == "one two"
     assert {(r["refers_to"], r["date"]) for r in (meta, conv)} == {("<urn:uuid:7>", "2024-05-06T07:08:09Z")}
+    torn = w.withColumn("payload", F.lit(bytearray(b"a\xffb")))
+    assert op9_warc.from_warc(torn).first()["html"] == "a\ufffdb"
     absent = pages.withColumns({c: F.lit(None).cast(pages.schema[c].dataType) for c in ("date", "http", "source_id")})
     assert op9_warc.derivatives(absent).collect() == op9_warc.derivatives(pages.select("page_id", "url", "html")).collect()

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, each on its own input."""
 
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -8,11 +9,26 @@ import corpus_pipeline
 from driftlake.llm import op5_rules
 from driftlake.llm._spark import written
 
-from .test_ops import brute_counts, brute_near
+from .test_ops import brute_counts, brute_near, brute_rules, words
 
 SF = "/root/testdata/sf0.001"
 
 
+def brute_targets(size):
+    """Words wanted of each source: 150 % of all by weights 3, 1, 2, repeating; nothing above twice a source's size."""
+    order, want, open_ = sorted(size), {}, sorted(size)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    left = 1.5 * sum(size.values())
+    while open_:
+        rate = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if rate * weight[s] >= 2 * size[s]]
+        for s in over or open_:
+            want[s] = 2 * size[s] if over else rate * weight[s]
+            left -= want[s]
+        open_ = [s for s in open_ if s not in want]
+    return want
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -25,9 +41,11 @@ def test_stages(spark):
         texts, ids = {r["doc_id"]: r["text"] for r in before}, {r["doc_id"] for r in after}
         if name == "quality_rules":
             lab = spark.read.parquet(f"{SF}/labels.parquet")
-            rules = op5_rules.fit(spark.read.parquet(f"{SF}/documents.parquet"), lab)
+            full = spark.read.parquet(f"{SF}/documents.parquet")
+            rules = op5_rules.fit(full, lab)
+            counts = {r["doc_id"]: r.asDict() for r in op5_rules.statistics(full).collect()}
             base = {k for k, t in texts.items() if (n := brute_counts(t))[0] >= 10 and 100 * n[4] <= 20 * n[0]}
-            assert ids <= base and (rules or ids == base)
+            assert ids == {k for k in base if brute_rules(rules, counts[k])} and (rules or ids == base)
         elif name == "exact_dedup":
             first = {}
             for k in sorted(texts):
@@ -36,7 +54,17 @@ def test_stages(spark):
         elif name == "near_dedup":
             assert ids == {k for k, (_, c) in brute_near(texts, 5).items() if c == k}
         elif name == "mixing":
-            assert ids <= set(texts) and all(r["text"] == texts[r["doc_id"]] for r in after)
+            got, size, sources = Counter(r["doc_id"] for r in after), {}, {r["doc_id"]: r["source"] for r in before}
+            assert all(r["text"] == texts[r["doc_id"]] for r in after)
+            for k, t in texts.items():
+                size[sources[k]] = size.get(sources[k], 0) + len(words(t))
+            want = brute_targets(size)
+            for k, t in texts.items():
+                rate = want[sources[k]] / size[sources[k]]
+                assert got[k] in (int(rate + 1e-9), int(rate + 1e-9) + 1) and got[k] <= 2
+            for s in size:
+                mine = [k for k in texts if sources[k] == s]
+                assert abs(sum(got[k] * len(words(texts[k])) for k in mine) - want[s]) <= max(len(words(texts[k])) for k in mine) / 2 + 1
         else:
             assert len(after) == len(before) and all(r["round_trip"] for r in after)
 
