@@ -23,12 +23,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _fill() -> None:
+    from .plans import queries, whole  # noqa: F401  registers them
+
+
 def queries() -> dict[str, Query]:
+    _fill()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _fill()
     return dict(_SQL)
-
-
-from .plans import queries as _plans  # noqa: E402, F401  fills the registry

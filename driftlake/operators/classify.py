@@ -154,11 +154,14 @@ def _argument() -> Outcome:
     return F.when(C("added").rlike(named) & ~C("pre").rlike(named), out(["elab.named_argument"], 0.75)).when(C("added").rlike(r"\([^()]+\s:\s[^()]+\)") & (F.trim(C("pre")) != "") & (parens(C("post")) > parens(C("pre"))), out(["elab.type_ascription"], 0.6))
 
 
+def _arrows(c: Column) -> Column:
+    marks = ["↑", "⇑", r"\(↑", "toFun", r"\.hom", r"Subtype\.val"]  # fixed values; an arrow in a bracket counts twice
+    return sum((F.regexp_count(c, F.lit(m)) for m in marks[1:]), F.regexp_count(c, F.lit(marks[0])))
+
+
 @rule(66, "coercion")
 def _coercion() -> Outcome:
-    marks = ["↑", "⇑", r"\(↑", "toFun", r"\.hom", r"Subtype\.val"]  # fixed values; an arrow in a bracket counts twice
-    count = lambda c: sum((F.regexp_count(c, F.lit(m)) for m in marks[1:]), F.regexp_count(c, F.lit(marks[0])))
-    return fires(count(C("added")) != count(C("removed")), ["elab.coercion"], 0.6)
+    return fires(_arrows(C("added")) != _arrows(C("removed")), ["elab.coercion"], 0.6)
 
 
 @rule(64, "binder")
@@ -204,27 +207,62 @@ def context(edits: DataFrame) -> DataFrame:
     return d.withColumn("role", X.attribute_role(C("pre"), F.try_element_at(F.transform("subs", lambda x: x["old"]), F.lit(1))))
 
 
+def evidence(fired: Column) -> Column:
+    """What the rules that fired saw, by the keys of each; keys of other rules are null, and a later rule's value stands where two give one."""
+    on = lambda *names: F.arrays_overlap(fired, F.array(*[F.lit(n) for n in names]))
+    sorted_minus = lambda a, b: F.array_sort(F.array_distinct(minus(a, b)))
+    last = lambda o: F.transform(o, lambda x: F.concat_ws("=", x["name"], x["value"]))
+    args = lambda c: F.array_distinct(F.flatten(F.transform(C(c), lambda x: x["args"])))
+    lemmas = lambda full, fragment: F.when(on("lemma_calls"), full).when(on("lemma_fragment"), fragment)
+    simp_add = lemmas(sorted_minus(args("calls_post"), args("calls_pre")), sorted_minus(C("frag_post"), C("frag_pre")))
+    simp_rem = lemmas(sorted_minus(args("calls_pre"), args("calls_post")), sorted_minus(C("frag_pre"), C("frag_post")))
+    bare = lambda x: F.trim(F.regexp_replace(x, r"^[←\-\s]+", ""))
+    some = lambda c: F.when(F.size(c) > 0, c)
+    tact = lambda f, a, b: F.array_sort(F.array_distinct(minus(f(C(a)), f(C(b)))))
+    shape, inline = on("tactic_shape"), on("inline_tactic")
+    named = F.regexp_extract_all("added", F.lit(r"\(\s*([\p{L}\p{N}_']+)\s*:=\s*"), F.lit(1))
+    return F.struct(
+        F.when(on("set_option"), last(X.options(C("added")))).alias("set_option_added"), F.when(on("set_option"), last(X.options(C("removed")))).alias("set_option_removed"),
+        F.when(on("attribute"), sorted_minus(C("attr_post"), C("attr_pre"))).alias("attr_added"), F.when(on("attribute"), sorted_minus(C("attr_pre"), C("attr_post"))).alias("attr_removed"),
+        F.when(on("import"), sorted_minus(X.imports(C("post")), X.imports(C("pre")))).alias("imports_added"), F.when(on("import"), sorted_minus(X.imports(C("pre")), X.imports(C("post")))).alias("imports_removed"),
+        F.when(on("open"), sorted_minus(X.opened(C("post")), X.opened(C("pre")))).alias("open_added"), F.when(on("open"), sorted_minus(X.opened(C("pre")), X.opened(C("post")))).alias("open_removed"),
+        some(simp_add).alias("simp_added"), some(simp_rem).alias("simp_removed"), some(F.filter(simp_add, lambda x: F.exists(simp_rem, lambda y: bare(x) == bare(y)))).alias("reoriented"), F.when(on("lemma_fragment"), True).alias("fragment"),
+        F.when(on("lemma_calls"), F.array_sort(F.array_distinct(F.transform(F.concat("calls_pre", "calls_post"), lambda x: x["tactic"])))).alias("tactics"),
+        F.when(shape, tact(X.tactic_heads, "post", "pre")).when(inline, tact(X.tactics, "post", "pre")).alias("tactics_added"), F.when(shape, tact(X.tactic_heads, "pre", "post")).when(inline, tact(X.tactics, "pre", "post")).alias("tactics_removed"), F.when(inline, True).alias("inline"),
+        F.when(on("rename"), F.col("subs")).alias("substitutions"), F.when(on("argument"), some(named)).alias("named_args"), F.when(on("coercion"), _arrows(C("added")) - _arrows(C("removed"))).alias("coercion_delta"),
+    )
+
+
 def classify(edits: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """edits with labels, label (the first), confidence, noise, notes and expected_errors.
+    """edits with labels, label (the first), confidence, noise, notes, expected_errors, fired (rules), evidence and rule_errors.
 
     All rules that fire add their labels in order of priority; the first to
-    give a label of STOP ends it; the fallback counts only if no other fired.
+    give a label of STOP ends it; the fallback counts only if no other fired. A
+    rule that can't be built is left out and named in rule_errors.
     """
     d = _barrier(context(edits), "_ctx")
     table = sorted(rules or RULES, key=lambda r: -r.priority)
-    some = lambda found: F.filter(F.array(*found), lambda x: x.isNotNull() & (F.size(x["labels"]) > 0)) if found else F.array().cast("array<struct<labels:array<string>,confidence:double>>")
-    d = _barrier(d.withColumns({"_high": some([r.build() for r in table if r.priority > 10]), "_low": some([r.build() for r in table if r.priority <= 10])}), "_rules")
+    built, errors = [], []
+    for r in table:
+        try:
+            got = r.build()
+            d.select(got)  # a column that doesn't fit the context fails here
+            built.append((r.priority, F.when(got.isNotNull(), F.struct(got["labels"].alias("labels"), got["confidence"].alias("confidence"), F.lit(r.name).alias("name")))))
+        except Exception as e:  # noqa: BLE001  a rule never stops the others
+            errors.append(f"{r.name}: {str(e).splitlines()[0][:200]}")
+    some = lambda found: F.filter(F.array(*found), lambda x: x.isNotNull() & (F.size(x["labels"]) > 0)) if found else F.array().cast("array<struct<labels:array<string>,confidence:double,name:string>>")
+    d = _barrier(d.withColumns({"_high": some([c for p, c in built if p > 10]), "_low": some([c for p, c in built if p <= 10])}), "_rules")
     stop = F.array_position(F.transform("_high", lambda x: x["labels"][0].isin(*STOP)), True)
     d = d.withColumn("_hits", F.when(stop > 0, F.slice("_high", F.lit(1), stop.cast("int"))).when(F.size("_high") > 0, F.col("_high")).otherwise(F.col("_low")))
     labels = F.array_distinct(F.flatten(F.transform("_hits", lambda x: x["labels"])))
-    d = _barrier(d.withColumns({"_labels": labels, "confidence": F.coalesce(F.array_max(F.transform("_hits", lambda x: x["confidence"])), F.lit(0.0))}), "_found")
+    d = _barrier(d.withColumns({"_labels": labels, "fired": F.transform("_hits", lambda x: x["name"]), "rule_errors": F.array(*[F.lit(e) for e in errors]).cast("array<string>"), "confidence": F.coalesce(F.array_max(F.transform("_hits", lambda x: x["confidence"])), F.lit(0.0))}), "_found")
     d = d.withColumn("labels", F.when(F.size("_labels") > 0, F.col("_labels")).otherwise(F.array(F.lit(vocab.UNKNOWN_LABEL))))
     table_of = F.create_map(*[y for k, v in vocab.EXPECTED_ERRORS.items() for y in (F.lit(k), F.array(*[F.lit(e) for e in v]))])
     expected = F.array_sort(F.array_distinct(F.flatten(F.transform("labels", lambda x: F.coalesce(F.try_element_at(table_of, x), F.array().cast("array<string>"))))))
     keep = [c for c in edits.columns if c not in ("pre", "post")]
     noise = F.arrays_overlap("labels", F.array(*[F.lit(x) for x in vocab.NOISE_LABELS]))
-    d = d.withColumns({"label": F.col("labels")[0], "noise": noise, "notes": X.notes(F.concat_ws("\n", "post", F.array_join("ctx_before", "\n"))), "expected_errors": expected})
-    return _barrier(d.select(*dict.fromkeys([*keep, "pre", "post", "labels", "label", "confidence", "noise", "notes", "expected_errors", "subs"])), "_out")
+    d = d.withColumns({"label": F.col("labels")[0], "noise": noise, "notes": X.notes(F.concat_ws("\n", "post", F.array_join("ctx_before", "\n"))), "expected_errors": expected, "evidence": evidence(C("fired"))})
+    return _barrier(d.select(*dict.fromkeys([*keep, "pre", "post", "labels", "label", "confidence", "noise", "notes", "expected_errors", "subs", "fired", "evidence", "rule_errors"])), "_out")
 
 
 def _barrier(d: DataFrame, name: str) -> DataFrame:

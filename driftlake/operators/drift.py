@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,25 +29,36 @@ def exact(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def paired(events: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Removed and added events of one path joined greedily, in the order of the removed: each takes the most similar that is left."""
+    """Removed and added events of one path joined greedily, in the order of the removed: each takes the most similar that is left.
+
+    Pairs that can't reach the best so far are skipped by two bounds of the
+    ratio: twice the shorter length, and twice the characters in common, over
+    the lengths' sum.
+    """
+
+    def bounded(a: str, b: str, ca: Counter, cb: Counter, least: float) -> float:
+        total = len(a) + len(b)
+        if total and (2 * min(len(a), len(b)) < least * total or 2 * (ca & cb).total() < least * total):
+            return -1.0
+        return similarity(a, b)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", kind="stable")
         left, right = pdf[pdf["kind"] == "removed"], pdf[pdf["kind"] == "added"]
-        free = list(right.itertuples(index=False))
+        free = [(y, Counter(y.after or "")) for y in right.itertuples(index=False)]
         rows = []
         for x in left.itertuples(index=False):
-            best, at = threshold, -1
-            for i, y in enumerate(free):
-                r = similarity(x.before or "", y.after or "")
+            best, at, own = threshold, -1, Counter(x.before or "")
+            for i, (y, chars) in enumerate(free):
+                r = bounded(x.before or "", y.after or "", own, chars, best)
                 if r >= best and (at < 0 or r > best):
                     best, at = r, i
             if at >= 0:
-                y = free.pop(at)
+                y = free.pop(at)[0]
                 rows.append((x.path, "retext", x.before, y.after, x.before_name, y.after_name, best))
             else:
                 rows.append((x.path, "removed", x.before, None, x.before_name, None, None))
-        rows += [(y.path, "added", None, y.after, None, y.after_name, None) for y in free]
+        rows += [(y.path, "added", None, y.after, None, y.after_name, None) for y, _ in free]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in EVENT.split(", ")])
 
     return events.where("kind in ('removed', 'added')").groupBy("path").applyInPandas(one, EVENT)

@@ -56,6 +56,12 @@ def window(side: str, context: int = 0) -> Column:
     return F.array_join(F.concat(head, mine("body"), tail), "\n")
 
 
+def pure(side: str) -> Column:
+    """Whether a run only adds (``+``) or only removes (``-``) lines."""
+    own, other = ("new_lines", "old_lines") if side == "+" else ("old_lines", "new_lines")
+    return (F.size(own) > 0) & (F.size(other) == 0)
+
+
 def usable(h: DataFrame, most: int = MAX_CHANGED) -> DataFrame:
     return h.where(F.size("old_lines") + F.size("new_lines") <= most)
 
@@ -93,6 +99,21 @@ def declarations(lines: DataFrame) -> DataFrame:
     return enclosing(lines, head, value).select("*", "decl.name", "decl.kind", "decl.start_line").drop("decl")
 
 
+#: Lines after a declaration's first that its signature may span.
+SIGNATURE_LINES = 6
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """path, start_line, signature and attributes of each declaration: its text up to ``:=`` or ``where``, SIGNATURE_LINES lines at most, and the attributes before its keyword."""
+    w = Window.partitionBy("path").orderBy("line").rowsBetween(0, SIGNATURE_LINES - 1)
+    head = F.col("text").rlike(DECL)
+    d = lines.withColumn("_s", F.array_join(F.collect_list(F.coalesce("text", F.lit(""))).over(w), "\n")).where(head)
+    cut = F.regexp_replace("_s", r"(?s)(\s*:=|\s+\bwhere\b|\n\s*\|).*$", "")
+    found = F.regexp_extract_all(F.regexp_extract("text", DECL, 1), F.lit(r"@\[([^\]]*)\]"), F.lit(1))
+    attrs = F.filter(F.flatten(F.transform(found, lambda x: F.transform(F.split(x, ","), lambda y: F.trim(y)))), lambda x: x != "")
+    return d.select("path", F.col("line").alias("start_line"), F.trim(F.regexp_replace(cut, r"\s+", " ")).alias("signature"), attrs.alias("attributes"))
+
+
 def namespaces(lines: DataFrame) -> DataFrame:
     """path, line, namespace of code lines: a stack of namespaces and sections, which SQL windows can't keep."""
 
@@ -115,19 +136,19 @@ def namespaces(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").applyInPandas(one, "path string, line int, namespace string")
 
 
-def parse_unified(diffs: DataFrame) -> DataFrame:
-    """diffs (diff string) to LINES plus old_start, new_start, the file's flags and diff_id (SHA-1 of the diff); hunks end by their line counts, not by what lines look like."""
+def parse_unified(diffs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """diffs (diff string) to LINES plus old_start, new_start, the file's flags, diff_id (SHA-1 of the diff) and the columns ``keep`` (strings); hunks end by their line counts, not by what lines look like."""
     import hashlib
     import re
 
-    schema = LINES.replace("old_no int, new_no int", "old_start int, new_start int") + ", is_new boolean, is_deleted boolean, is_rename boolean, is_binary boolean, diff_id string"
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema = LINES.replace("old_no int, new_no int", "old_start int, new_start int") + ", is_new boolean, is_deleted boolean, is_rename boolean, is_binary boolean, diff_id string" + "".join(f", `{c}` string" for c in keep)
+    names = [c.split()[0].strip("`") for c in schema.split(", ")]
     mark = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@ ?(.*)")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: list[tuple] = []
-            for text in pdf["diff"]:
+            for text, *own in zip(pdf["diff"], *(pdf[c] for c in keep), strict=True):
                 diff_id = hashlib.sha1((text or "").encode("utf-8", "surrogatepass")).hexdigest()
                 path, flags, hunk, left, right, seq, at = None, [False] * 4, -1, 0, 0, 0, (0, 0, "")
                 for line in (text or "").split("\n"):
@@ -137,7 +158,7 @@ def parse_unified(diffs: DataFrame) -> DataFrame:
                             continue
                         left -= kind in " -"
                         right -= kind in " +"
-                        rows.append((path, hunk, seq, kind, line[1:], at[0], at[1], at[2], *flags, diff_id))
+                        rows.append((path, hunk, seq, kind, line[1:], at[0], at[1], at[2], *flags, diff_id, *own))
                         seq += 1
                     elif line.startswith("diff --git "):
                         flags, hunk = [False] * 4, -1
@@ -153,4 +174,4 @@ def parse_unified(diffs: DataFrame) -> DataFrame:
                             flags[i] = flags[i] or line.startswith(p)
             yield pd.DataFrame(rows, columns=names)
 
-    return diffs.select("diff").mapInPandas(run, schema)
+    return diffs.select("diff", *keep).mapInPandas(run, schema)

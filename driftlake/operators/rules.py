@@ -9,32 +9,54 @@ from .. import vocab
 from ..functions import text as X
 
 
+def _first(rows: DataFrame, value: str, n: int, name: str, distinct: bool = True) -> DataFrame:
+    """old, new and the first ``n`` values by seq: values are cut by rank before they are gathered, so a popular rule is no large row."""
+    v = rows.where(F.nullif(F.col(value).cast("string"), F.lit("")).isNotNull()).select("old", "new", F.col(value).alias("v"), "seq")
+    v = v.groupBy("old", "new", "v").agg(F.min("seq").alias("seq")) if distinct else v
+    v = v.withColumn("_n", F.row_number().over(Window.partitionBy("old", "new").orderBy("seq", "v"))).where(F.col("_n") <= n)
+    return v.groupBy("old", "new").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "v"))), lambda x: x["v"]).alias(name))
+
+
 def _summed(rows: DataFrame, kind: str) -> DataFrame:
-    """Rules of rows (old, new, ...): summed by window first, then over windows."""
-    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    firsts = lambda x, c, n: F.transform(F.slice(F.array_sort(x), 1, n), lambda y: y[c])
-    w = rows.groupBy("old", "new", "window").agg(
-        F.count("*").alias("n"), F.sum("duplicate_count").alias("sites"), F.collect_set("file").alias("f"), F.min_by("label", "seq").alias("label"), F.min("seq").alias("seq"), F.collect_set("toolchain").alias("t"),
-        F.slice(F.array_sort(F.collect_set(F.struct("seq", "sample_id"))), 1, 5).alias("p"),
-    )
-    r = w.groupBy("old", "new").agg(
-        F.sum("n").alias("support"), F.sum("sites").alias("support_weighted"), F.size(flat("f")).cast("long").alias("files"), F.min_by("label", "seq").alias("label"),
-        firsts(F.collect_list(F.struct("seq", "window")), "window", 3).alias("windows"), F.array_sort(flat("t")).alias("toolchains"), firsts(flat("p"), "sample_id", 5).alias("provenance"),
+    """Rules of rows (old, new, ...)."""
+    r = rows.groupBy("old", "new").agg(
+        F.count("*").alias("support"), F.sum("duplicate_count").alias("support_weighted"), F.countDistinct("file").alias("files"), F.min_by("label", "seq").alias("label"),
+        F.array_sort(F.collect_set(F.nullif("toolchain", F.lit("")))).alias("toolchains"),
     )
-    return r.withColumn("kind", F.lit(kind)).withColumn("reversible", F.lit(True))
+    none = F.array().cast("array<string>")
+    parts = [_first(rows, "window", 3, "origins"), _first(rows, "commit" if "commit" in rows.columns else "sample_id", 5, "provenance")]
+    if kind == "subst":
+        parts.append(_first(rows.withColumn("_text", F.substring("fixed", 1, EXCERPT)), "_text", 3, "windows", distinct=False))
+        if "notes" in rows.columns:
+            notes = rows.select("old", "new", F.explode("notes").alias("n")).groupBy("old", "new").agg(F.array_sort(F.collect_set("n")).alias("notes"))
+            parts.append(notes)
+    for part in parts:
+        names = [c for c in part.columns if c not in ("old", "new")]
+        r = r.join(part.select(F.col("old").alias("_o"), F.col("new").alias("_w"), *names), F.col("old").eqNullSafe(F.col("_o")) & F.col("new").eqNullSafe(F.col("_w")), "left").drop("_o", "_w")
+    for c in ("origins", "provenance", "windows", "notes"):
+        r = r.withColumn(c, F.coalesce(c, none) if c in r.columns else none)
+    return r.withColumn("kind", F.lit(kind)).withColumn("reversible", F.lit(True) if kind == "subst" else F.trim(F.regexp_replace("old", r"\s+", " ")) != "")
 
 
-def induce(pairs: DataFrame, min_support: int = 2, guard_tactics: bool = False, longest: int = 600, renames: bool = False) -> DataFrame:
-    """Rules from pairs (sample_id, seq, subs, broken, fixed, label, file, window, toolchain, duplicate_count).
+# Fixed value: characters of a fixed text that a rule shows.
+EXCERPT = 400
+
 
-    kind ``subst``: one for each replaced token; kind ``window``: one for each
-    (broken, fixed) that differ in more than white space and whose fixed text,
-    white space collapsed, is shorter than ``longest``. Window rules of pairs
-    with replaced tokens are left to ``renames``. Support counts rows,
-    support_weighted sites. Order: support, then id.
+def induce(pairs: DataFrame, min_support: int = 2, guard_tactics: bool = False, longest: int = 600, renames: bool = False) -> DataFrame:
+    """Rules from pairs (sample_id, seq, subs, broken, fixed, label, file, window, toolchain, duplicate_count; notes and commit if there are).
+
+    kind ``subst``: one for each replaced token, if both names are identifiers
+    that may go back; kind ``window``: one for each (broken, fixed) that differ
+    in more than white space and whose fixed text, white space collapsed, is
+    shorter than ``longest``. Window rules of pairs with replaced tokens are
+    left to ``renames``; one with a blank broken side is not reversible.
+    Support counts rows, support_weighted sites. ``windows`` are the first three
+    fixed texts (EXCERPT characters), ``origins`` the first three adaptation
+    windows, provenance the first five commits. Order: support, then id.
     """
     bad = vocab.UNSAFE_REVERSE + (vocab.TACTICS if guard_tactics else [])
     s = pairs.where(F.size("subs") > 0).withColumn("s", F.explode("subs")).select("*", F.col("s.old").alias("old"), F.col("s.new").alias("new")).where(~F.col("old").isin(bad) & ~F.col("new").isin(bad))
+    s = s.where(X.is_identifier(F.col("old")) & X.is_identifier(F.col("new")))
     pre, post = (X.normalize(F.col(c), comments=True) for c in ("broken", "fixed"))
     p = pairs if renames else pairs.where(F.size("subs") <= 0)
     p = p.where((pre != "") & (post != "") & (pre != post) & (F.length(post) < longest)).withColumns({"old": F.col("broken"), "new": F.col("fixed")})
@@ -58,25 +80,61 @@ def applied(text: Column, kind: Column, source: Column, to: Column, limit: int |
     return F.when(kind == "subst", names).otherwise(once if limit else F.replace(text, source, to))
 
 
-def synthesize(rules: DataFrame, files: DataFrame, n: int = 1000, per_rule: int = 25, sites: int = 1, toolchain: str = "") -> DataFrame:
+def sites(text: Column, kind: Column, source: Column) -> Column:
+    """How often a rule's source occurs in text."""
+    names = F.size(F.split(F.regexp_replace(text, X.name_pattern(source), F.lit("\u0001")), "\u0001", -1)) - 1
+    whole = F.size(F.split(F.replace(text, source, F.lit("\u0001")), "\u0001", -1)) - 1
+    return F.when(kind == "subst", names).otherwise(F.when(source == "", 0).otherwise(whole))
+
+
+def reversed_text(text: Column, rule: Column, limit: int | None = None) -> Column:
+    """Working text made broken by a rule (struct of kind, old, new, reversible); one that is not reversible leaves it as it is."""
+    return F.when(rule["reversible"], applied(text, rule["kind"], rule["new"], rule["old"], limit)).otherwise(text)
+
+
+def reverse_window(text: Column, fixed: Column, broken: Column) -> Column:
+    """text with the first occurrence of the fixed window replaced, or null if it has none."""
+    at = F.instr(text, fixed)
+    return F.when((fixed != "") & (at > 0), F.concat(F.substring(text, F.lit(1), at - 1), broken, F.substring(text, at + F.length(fixed), F.length(text))))
+
+
+_TOKEN = r"[\p{L}_][\p{L}\p{N}_'!?]*"
+
+
+def synthesize(rules: DataFrame, files: DataFrame, n: int = 1000, per_rule: int = 20, sites: int = 1, toolchain: str = "") -> DataFrame:
     """Breakages: rules applied backwards to files (path, text) where going forward again restores the text.
 
-    Rules are a table bounded by ``min_support``; only rules whose new text
-    occurs in a file meet it: a file is cut to its tokens and joined to name
-    rules by token; window rules are broadcast, and each is searched as a
-    substring. Caps hold in order of path, then of rule.
+    Files are cut to (path, token) and joined to rules by a token that each
+    file with the rule's text must have whole: the first of a name, and for a
+    window the longest that neither begins nor ends it. A file's text is read
+    once for all rules that may concern it. Window rules without such a token
+    (operators, parts of words) are few; they are searched in every file, from
+    a broadcast that UNANCHORED bounds (more are run in several passes). Caps
+    hold in order of path, then of rule.
     """
-    r = rules.where("reversible").select("rule_id", "kind", "label", "old", "new", F.row_number().over(Window.orderBy(F.desc("support"), "rule_id")).alias("rank"))
+    inner = F.transform(F.regexp_extract_all("new", F.lit(rf"(?<=[^\p{{L}}\p{{N}}_'!?])({_TOKEN})(?=[^\p{{L}}\p{{N}}_'!?])"), F.lit(1)), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("t")))
+    lead = F.nullif(F.regexp_extract("new", f"({_TOKEN})", 1), F.lit(""))
+    r = rules.where("reversible").where("new <> ''").select("rule_id", "kind", "label", "old", "new", "support")
+    r = r.withColumn("tok", F.when(F.col("kind") == "subst", lead).otherwise(F.array_min(inner)["t"]))
+    rule = F.struct("rule_id", "kind", "label", "old", "new", "support").alias("rule")
     f = files.select("path", "text")
-    token = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}_][\p{L}\p{N}_'!?]*"), F.lit(0))))
-    lead = F.regexp_extract("new", r"([\p{L}_][\p{L}\p{N}_'!?]*)", 1)
-    by_token = f.withColumn("tok", token).join(r.where("kind = 'subst'").withColumn("tok", lead), "tok").drop("tok").where(F.col("text").contains(F.col("new")))
-    hit = by_token.unionByName(f.join(F.broadcast(r.where("kind <> 'subst'")), F.col("text").contains(F.col("new"))))
+    tokens = f.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))).alias("tok"))
+    near = tokens.join(r.where("tok is not null").select("tok", rule), "tok").groupBy("path").agg(F.collect_list("rule").alias("rules"))
+    hit = f.join(near, "path").select("path", "text", F.explode("rules").alias("rule")).where(F.col("text").contains(F.col("rule.new")))
+    bare = r.where("tok is null").withColumn("_i", F.row_number().over(Window.orderBy("rule_id")))  # rules without any token only
+    for k in range(-(-bare.count() // UNANCHORED)):
+        some = bare.where((F.col("_i") > k * UNANCHORED) & (F.col("_i") <= (k + 1) * UNANCHORED)).select(rule)
+        hit = hit.unionByName(f.join(F.broadcast(some), F.col("text").contains(F.col("rule.new"))))
+    hit = hit.select("path", "text", "rule.*")
     broken = applied(F.col("text"), F.col("kind"), F.col("new"), F.col("old"), limit=sites)
     s = hit.withColumn("broken", broken).where("broken <> text")
     s = s.where(applied(F.col("broken"), F.col("kind"), F.col("old"), F.col("new")) == F.col("text"))
     s = s.withColumn("_n", F.row_number().over(Window.partitionBy("rule_id").orderBy("path"))).where(F.col("_n") <= per_rule).drop("_n")
-    return s.orderBy("path", "rank").limit(n).select(X.short_hash(F.col("rule_id"), F.col("path")).alias("sample_id"), "rule_id", "label", "path", "broken", F.col("text").alias("fixed"), F.lit(sites).alias("sites"), F.lit(toolchain).alias("toolchain"))
+    return s.orderBy("path", F.desc("support"), "rule_id").limit(n).select(X.short_hash(F.col("rule_id"), F.col("path")).alias("sample_id"), "rule_id", "label", "path", "broken", F.col("text").alias("fixed"), F.lit(sites).alias("sites"), F.lit(toolchain).alias("toolchain"))
+
+
+#: Rules that one broadcast of ``synthesize`` holds.
+UNANCHORED = 2000
 
 
 def agreement(applied_ok: Column, timeout: Column, observed: Column, expected: Column) -> Column:
@@ -88,6 +146,28 @@ def agreement(applied_ok: Column, timeout: Column, observed: Column, expected: C
     )
 
 
+def verdicts(samples: DataFrame, files: DataFrame, outcomes: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """One row a sample: applied, timeout, observed, expected, agreement, stderr, the first eight diagnostics.
+
+    samples: sample_id, label, expected_errors, path, fixed_window,
+    broken_window; files: path, text; outcomes of the runs: sample_id, timeout,
+    diagnostics (array of struct with error_class and severity). A sample
+    without expectations has its label's; ``labels`` picks samples first.
+    """
+    table = F.create_map(*[y for k, v in vocab.EXPECTED_ERRORS.items() for y in (F.lit(k), F.array(*[F.lit(e) for e in sorted(v)]))])
+    s = samples.where(F.col("label").isin(labels)) if labels else samples
+    own = F.when(F.size("expected_errors") > 0, F.col("expected_errors"))
+    none = F.array().cast("array<string>")
+    s = s.withColumn("expected", F.coalesce(own, F.try_element_at(table, F.col("label")), none))
+    j = s.join(files.select("path", F.col("text").alias("_text")), "path", "left").join(outcomes.select("sample_id", "timeout", "diagnostics"), "sample_id", "left")
+    found = F.col("_text").isNotNull() & reverse_window(F.col("_text"), F.col("fixed_window"), F.col("broken_window")).isNotNull()
+    late = F.coalesce("timeout", F.lit(False)) & found
+    seen = F.array_sort(F.array_distinct(F.transform(F.filter("diagnostics", lambda d: d["severity"] != "info"), lambda d: d["error_class"])))
+    observed = F.when(~found, none).when(late, F.array(F.lit("deterministic_timeout"))).otherwise(F.coalesce(seen, none))
+    stderr = F.when(F.col("_text").isNull(), F.concat(F.lit("missing file: "), "path")).when(~found, "fixed window not found at this commit")
+    return j.select("sample_id", "label", found.alias("applied"), late.alias("timeout"), observed.alias("observed"), "expected", agreement(found, late, observed, F.col("expected")).alias("agreement"), stderr.alias("stderr"), F.slice(F.coalesce("diagnostics", F.array().cast(j.schema["diagnostics"].dataType)), 1, 8).alias("diagnostics"))
+
+
 def calibration(results: DataFrame, pairs: DataFrame) -> DataFrame:
     """label, counts by agreement, precision and genuine_break_rate; results without a pair have label ``?``."""
     labels = pairs.groupBy("sample_id").agg(F.max_by("label", "seq").alias("label"))

@@ -82,23 +82,45 @@ def merged(found: list[DataFrame]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_way").orderBy(F.desc("date"), "kind", "key")
 
 
+def picked(found: DataFrame, kind: str | None = None, most: int = 0) -> DataFrame:
+    """Windows of one kind (all without), the first ``most`` by date, latest first (0: all)."""
+    f = found.where(F.col("kind") == kind) if kind else found
+    return f.orderBy(F.desc("date"), "kind", "key", "base", "tip").limit(most) if most else f
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder, or without one (local runs) in the executors' storage."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def reachable(commits: DataFrame, include: list[str] | DataFrame, exclude: list[str] | DataFrame) -> DataFrame:
-    """Commits reachable from ``include`` and not from ``exclude`` (lists, or DataFrames with column sha): breadth first over the parent edges, one join a generation, then an anti-join.
+    """Commits reachable from ``include`` and not from ``exclude`` (lists, or DataFrames with column sha).
 
-    Without a checkpoint folder each generation is kept by the executors, so it is computed once.
+    First parents are followed in doubled steps: the commit 1, 2, 4, ... first
+    parents away is a table of one row a commit, and a set is closed under
+    first parents by one join a table. Other parents of what was reached begin
+    the next round, so there are as many rounds as merges on the way, not as
+    many joins as generations.
     """
     spark = commits.sparkSession
-    edges = commits.select("sha", F.explode_outer("parents").alias("parent"))
+    edges = commits.select("sha", "parents")
+    jumps, step = [], _kept(edges.select("sha", F.try_element_at("parents", F.lit(1)).alias("to")).where("to is not null"))
+    while not step.isEmpty():
+        jumps.append(step)
+        step = _kept(step.join(step.select(F.col("sha").alias("to"), F.col("to").alias("far")), "to").select("sha", F.col("far").alias("to")))
+    side = _kept(edges.select("sha", F.explode(F.slice("parents", 2, F.greatest(F.size("parents"), F.lit(1)))).alias("parent")))
 
     def walk(tips: list[str] | DataFrame) -> DataFrame:
         start = tips.select("sha") if isinstance(tips, DataFrame) else spark.createDataFrame([(t,) for t in tips], "sha string")
-        seen = front = start.distinct()
+        seen, front = None, start.distinct()
         while True:
-            front = front.join(edges, "sha").select(F.col("parent").alias("sha")).where("sha is not null").distinct().join(seen, "sha", "left_anti")
-            front = front.checkpoint() if spark.sparkContext.getCheckpointDir() else front.localCheckpoint()
+            for jump in jumps:
+                front = front.union(front.join(jump, "sha").select(F.col("to").alias("sha"))).distinct()
+            front = _kept(front)
+            seen = front if seen is None else _kept(seen.union(front).distinct())
+            front = _kept(front.join(side, "sha").select(F.col("parent").alias("sha")).distinct().join(seen, "sha", "left_anti"))
             if front.isEmpty():
                 return seen
-            seen = seen.union(front)
 
     out = commits.select("sha").join(walk(include), "sha", "left_semi")
     return out.join(walk(exclude), "sha", "left_anti") if isinstance(exclude, DataFrame) or exclude else out

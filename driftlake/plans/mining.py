@@ -24,11 +24,11 @@ def discover(spark: SparkSession, repo: str, mainline: str = "HEAD", modes: tupl
     return windows.merged([ways[m]() for m in MODES if m in modes])
 
 
-def mine(found: DataFrame, repo: str, prefixes: tuple[str, ...] = (), suffix: str = "", without: tuple[str, ...] = (), gap: int = 0, context: int = 6, keep_noise: bool = False, least: float = 0.0, most: int = 60) -> DataFrame:
-    """Pairs of the windows: one a run of changed lines of files that both sides have."""
-    w = found.select("kind", "key", "base", "tip", "date", "pr", "version_before", "version_after")
+def mine(found: DataFrame, repo: str, prefixes: tuple[str, ...] = (), suffix: str = "", without: tuple[str, ...] = (), gap: int = 0, context: int = 6, keep_noise: bool = False, least: float = 0.0, most: int = 60, kind: str | None = None, max_windows: int = 0) -> DataFrame:
+    """Pairs of the windows: one a run of changed lines of files that both sides have. ``kind`` picks windows of one kind, ``max_windows`` the first so many."""
+    w = windows.picked(found, kind, max_windows).select("kind", "key", "base", "tip", "date", "pr", "version_before", "version_after")
     d = git.diffs(w, repo, max(context, 6)).where("diff is not null")
-    lines = hunks.parse_unified(d).join(_tips(d), "diff_id")
+    lines = hunks.parse_unified(d, keep=("tip",))
     lines = hunks.paths(lines.where("NOT is_new AND NOT is_deleted AND NOT is_binary"), prefixes, suffix, without)
     # The window is part of a hunk's path, so equal paths of two windows stay apart.
     own = hunks.numbered(lines.withColumn("path", F.concat_ws("\u0001", "tip", "path")))
@@ -48,19 +48,15 @@ def mine(found: DataFrame, repo: str, prefixes: tuple[str, ...] = (), suffix: st
     sid = X.short_hash(F.col("tip"), F.col("path"), F.col("pre"), F.col("post"), F.coalesce(F.col("line_new"), F.col("line_old")))
     return p.withColumn("decl", F.when(F.col("decl").isNotNull(), qualified)).select(
         sid.alias("sample_id"), F.col("pre").alias("broken"), F.col("post").alias("fixed"), "label", "labels", "confidence", "expected_errors", "path", "decl", "decl_kind", "namespace", "broken_window", "fixed_window", "ctx_before", "ctx_after",
-        "line_new", "line_old", F.col("version_before").alias("toolchain_before"), F.col("version_after").alias("toolchain"), "window_kind", "window", F.col("tip").alias("commit"), "pr", "date", "notes", "subs", dataset.signature(F.col("pre"), F.col("post")).alias("signature"),
+        "line_new", "line_old", F.col("version_before").alias("toolchain_before"), F.col("version_after").alias("toolchain"), "window_kind", "window", F.col("tip").alias("commit"), "pr", "date", "notes", "subs", "fired", "evidence", dataset.signature(F.col("pre"), F.col("post")).alias("signature"),
         F.concat_ws("|", "path", "decl").alias("context"), F.concat_ws("|", F.col("date"), F.col("tip"), F.col("path"), F.lpad("hunk_seq", 6, "0"), F.lpad("run", 6, "0")).alias("seq"), F.col("path").alias("file"),
     )
 
 
-def _tips(d: DataFrame) -> DataFrame:
-    return d.select(X.short_hash(F.col("diff"), n=40).alias("diff_id"), "tip")
-
-
-def build(pairs: DataFrame, keep: int = 1, per_label: int = 2000, per_signature: int = 8, by: str = "toolchain", seed: int = 0) -> DataFrame:
-    """Deduplicated, capped pairs with their split."""
+def build(pairs: DataFrame, keep: int = 1, per_label: int = 2000, per_signature: int = 8, by: str = "toolchain", seed: int = 0, parted: bool = True) -> DataFrame:
+    """Deduplicated, capped pairs, with their split if ``parted``."""
     d = dataset.rebalance(dataset.dedup(pairs, keep), per_label, per_signature, seed)
-    return dataset.split(d, dataset.choose_key(d, by))
+    return dataset.split(d, dataset.choose_key(d, by)) if parted else d.withColumn("split", F.lit("all"))
 
 
 def induce(pairs: DataFrame, min_support: int = 2) -> DataFrame:
@@ -68,8 +64,8 @@ def induce(pairs: DataFrame, min_support: int = 2) -> DataFrame:
     return rules.induce(have, min_support, renames=True)
 
 
-def synthesize(spark: SparkSession, found: DataFrame, repo: str, ref: str = "HEAD", suffix: str = "", scan: int = 1500, n: int = 1000, seed: int = 0) -> DataFrame:
+def synthesize(spark: SparkSession, found: DataFrame, repo: str, ref: str = "HEAD", suffix: str = "", scan: int = 1500, n: int = 1000, seed: int = 0, per_rule: int = 20, sites: int = 1, prefixes: tuple[str, ...] = ()) -> DataFrame:
     """Breakages in a seeded sample of the files at a commit (``scan`` 0: all)."""
-    f = git.files(spark, repo, ref, suffix=suffix)
+    f = git.files(spark, repo, ref, prefixes, suffix)
     f = f.orderBy(dataset.shuffle_key(seed, "path"), "path").limit(scan) if scan else f
-    return rules.synthesize(found, f, n)
+    return rules.synthesize(found, f, n, per_rule, sites)

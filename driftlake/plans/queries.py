@@ -603,7 +603,7 @@ p AS (SELECT *, 'p' || regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '', 'g')
 k AS (SELECT *, unnest(['subst', 'window']) AS kind FROM p), r AS (SELECT kind, old, new, {_RULE} FROM k GROUP BY ALL HAVING count(*) >= 2), f AS ({_FIRSTS})
 SELECT substr(kind, 1, 4) || '-' || substr(sha1(kind || chr(0) || old || chr(0) || new), 1, 12) AS rule_id, kind, old, new, support, files, label, array_to_string(windows, ',') AS windows FROM r JOIN f USING (kind, old, new)""")
 def induce_rules_all(spark: S, d: str) -> DataFrame:
-    return rules.induce(_edits(spark, d), renames=True).select("rule_id", "kind", "old", "new", "support", "files", "label", F.array_join("windows", ",").alias("windows"))
+    return rules.induce(_edits(spark, d), renames=True).select("rule_id", "kind", "old", "new", "support", "files", "label", F.array_join("origins", ",").alias("windows"))
 
 
 _NAME = r"'(^|[^\p{L}\p{N}_.''!?])the(\.[^A-Z]|\.$|[^\p{L}\p{N}_''!?.]|$)', '\1zz_the\2', 'g'"

@@ -52,6 +52,28 @@ def rev_parse(repo: str, ref: str) -> str:
     return run(repo, "rev-parse", "--verify", f"{ref}^{{commit}}").decode().strip()
 
 
+def exists(repo: str, ref: str) -> bool:
+    try:
+        return bool(rev_parse(repo, ref))
+    except GitError:
+        return False
+
+
+def clone(url: str, target: str, blobless: bool = True, timeout: float = 3600) -> str:
+    """Clone without a work tree's history of blobs, which are then fetched as they are read; returns the folder."""
+    args = ["git", "clone", "--quiet", "--no-checkout", *(["--filter=blob:none"] if blobless else []), "--", url, target]
+    p = subprocess.run(args, capture_output=True, timeout=timeout)
+    if p.returncode:
+        raise GitError(f"git clone: {p.stderr.decode(errors='replace').strip()}")
+    return target
+
+
+def remote_heads(spark: SparkSession, repo: str, remote: str = "origin", pattern: str = "*") -> DataFrame:
+    """ref, sha of a remote's branches, as it lists them."""
+    rows = [tuple(reversed(r.split("\t", 1))) for r in run(repo, "ls-remote", "--heads", remote, pattern).decode().splitlines()]
+    return spark.createDataFrame(rows, "ref string, sha string")
+
+
 def is_shallow(repo: str) -> bool:
     return run(repo, "rev-parse", "--is-shallow-repository").strip() == b"true"
 
@@ -88,7 +110,7 @@ def files(spark: SparkSession, repo: str, ref: str, prefixes: tuple[str, ...] =
 
 
 def diffs(windows: DataFrame, repo: str, context: int = 6, paths: tuple[str, ...] = ()) -> DataFrame:
-    """windows with ``diff`` between base and tip; a window that git can't diff has a null diff and stops no other."""
+    """windows with ``diff`` between base and tip, or of the tip alone where base is null; a window that git can't diff has a null diff and stops no other."""
     names = windows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields) + ", diff string"
 
@@ -97,7 +119,8 @@ def diffs(windows: DataFrame, repo: str, context: int = 6, paths: tuple[str, ...
             out = []
             for b, t in zip(pdf["base"], pdf["tip"], strict=True):
                 try:
-                    out.append(run(repo, "diff", "-M", f"-U{context}", b, t, *(["--", *paths] if paths else [])).decode(errors="replace"))
+                    what = ["show", "--format=", "-M"] if b is None or b != b else ["diff", "-M"]
+                    out.append(run(repo, *what, f"-U{context}", *([] if what[0] == "show" else [b]), t, *(["--", *paths] if paths else [])).decode(errors="replace"))
                 except (GitError, subprocess.TimeoutExpired):
                     out.append(None)
             yield pdf[names].assign(diff=out)

@@ -164,6 +164,27 @@ def json_diagnostics(raw: DataFrame) -> DataFrame:
     return rows.select(F.coalesce(code, named, F.lit("unknown")).alias("severity"), F.coalesce(j("data"), j("message"), F.lit("")).alias("text"), F.coalesce(j("fileName"), "file").alias("file"), pos("pos", "start").alias("start"), pos("endPos", "end").alias("end"), name.alias("error_name"), F.lit("json").alias("source"), "toolchain", F.map_filter("m", lambda k, v: ~k.isin(known)).alias("extra"))
 
 
+def run_diagnostics(runs: DataFrame) -> DataFrame:
+    """Diagnostics of whole runs (file, toolchain, stdout, stderr, code, timeout): those of their output lines, and one made-up error for a run that timed out, or that failed without any."""
+    r = runs.withColumn("stdout", F.when(F.coalesce("timeout", F.lit(False)), "").otherwise(F.coalesce("stdout", F.lit(""))))
+    told = json_diagnostics(r.select("file", "toolchain", F.explode(F.split("stdout", "\n", -1)).alias("value")).withColumn("_run", F.col("file")))
+    line = r.withColumn("_n", F.size(F.filter(F.split("stdout", "\n", -1), lambda x: F.ltrim(x).startswith("{") & (F.coalesce(F.size(F.from_json(x, "map<string,string>")), F.lit(0)) > 0))))
+    late = F.coalesce("timeout", F.lit(False))
+    text = F.when(late, "<elaboration timeout>").otherwise(F.concat(F.lit("<exit "), F.col("code").cast("string"), F.lit(">\n"), F.substring(F.coalesce("stderr", F.lit("")), 1, 2000)))
+    made = line.where(late | ((F.col("code") != 0) & (F.col("_n") == 0)))
+    none = F.lit(None)
+    made = made.select(F.lit("error").alias("severity"), text.alias("text"), "file", none.cast(POSITION).alias("start"), none.cast(POSITION).alias("end"), none.cast("string").alias("error_name"), F.lit("json").alias("source"), "toolchain", F.create_map(F.lit("synthetic"), F.lit("true")).alias("extra"))
+    return told.unionByName(made)
+
+
+def snapshot_file(spark: SparkSession, path: str, types: bool = False) -> DataFrame:
+    """Constants of snapshot lines under folders release=...; the wide column ``ty`` is read only where ``types`` asks for it."""
+    raw = spark.read.text(path).select(F.col("release").cast("string").alias("release"), "value", F.monotonically_increasing_id().alias("seq"))
+    schema = SNAPSHOT["const"] + (", ty string" if types else "")
+    rows = raw.where(F.get_json_object("value", "$.t") == "const").select("release", "seq", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+    return rows.groupBy("release", F.col("r.n").alias("n")).agg(F.max_by("r", "seq").alias("r")).select("release", "r.*")
+
+
 def commits(raw: DataFrame) -> DataFrame:
     """A log text (value) with records ended by 0x1e and fields by 0x1f; records with under four fields are skipped."""
     rec = raw.select(F.posexplode(F.split("value", "\x1e")).alias("seq", "r")).withColumn("f", F.split(F.regexp_replace("r", r"^\s+", ""), "\x1f")).where(F.size("f") >= 4)
