@@ -249,7 +249,8 @@ def _crossed(rows: DataFrame, least: dict[int, int], percent: int, how: str) ->
     largest component, not yet verified. ``flagged``: (node, band) for each
     member with a partner of another component that outlasts all batches.
     ``verified``: all such partners are compared on full sets and the links
-    come out; once joined, components are one.
+    come out; once joined, components are one. The last two take a pair in the
+    bucket of the first band that it shares, not in every one.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -276,10 +277,13 @@ def _crossed(rows: DataFrame, least: dict[int, int], percent: int, how: str) ->
                 continue
             c = comp[a:b].copy()
             flag = np.zeros(b - a, bool)
+            before = ROWS * int(np.flatnonzero(band_keys(sig[a : a + 1])[0] == band[a])[0])  # places of the bands before this bucket's
             for x in range(a, b - 1):
                 y = x + 1 + np.flatnonzero((c[x + 1 - a :] != c[x - a]) & ((i[x] == j[x]) | (own[x + 1 : b] != own[x])))
                 if len(y):
                     y = y[survive(np.broadcast_to(sig[x], (len(y), PLACES)), sig[y], least)]
+                if len(y) and before:
+                    y = y[~(sig[y, :before] == sig[x, :before]).reshape(len(y), -1, ROWS).all(2).any(1)]
                 if how == "flagged":
                     flag[y - a] = True
                     flag[x - a] |= len(y) > 0
