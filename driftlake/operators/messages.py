@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 import pandas as pd
@@ -39,12 +40,19 @@ class Template:
     def __init__(self, tokens: list[str]):
         self.items: list[list[str]] = [[t] for t in tokens]
         self.n = 1
+        self.literals = Counter(tokens)
 
     def heads(self) -> list[str]:
         return [i[0] for i in self.items]
 
-    def absorb(self, tokens: list[str], theta: float = THETA, widest: int = WIDEST) -> bool:
-        """Take in a message if enough literals match and no gap is too wide: gaps on either side become one hole."""
+    def absorb(self, tokens: list[str], theta: float = THETA, widest: int = WIDEST, counts: Counter | None = None) -> bool:
+        """Take in a message if enough literals match and no gap is too wide: gaps on either side become one hole.
+
+        No more literals can match in order than the two have in common, so most templates are passed over by counts alone.
+        """
+        common = (self.literals & (Counter(tokens) if counts is None else counts)).total()
+        if self.literals and common / self.literals.total() < theta:
+            return False
         heads = self.heads()
         blocks = difflib.SequenceMatcher(None, heads, tokens, autojunk=False).get_matching_blocks()
         literals = sum(h != HOLE for h in heads)
@@ -63,6 +71,7 @@ class Template:
         if all(item[0] == HOLE for item in out):
             return False
         self.items, self.n = out, self.n + 1
+        self.literals = Counter(item[0] for item in out if item[0] != HOLE)
         return True
 
     def render(self) -> tuple[str, list[str]]:
@@ -78,7 +87,8 @@ def induce(messages: Iterable[list[str]]) -> list[Template]:
     """Templates of one bucket, from messages in their order."""
     out: list[Template] = []
     for tokens in messages:
-        if not any(t.absorb(tokens) for t in out):
+        counts = Counter(tokens)
+        if not any(t.absorb(tokens, counts=counts) for t in out):
             out.append(Template(tokens))
     return out
 
@@ -111,14 +121,20 @@ def assign(messages: DataFrame, templates: DataFrame, key: str = "seq") -> DataF
 
     def one(m: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("template_id")
+        heads_of = [[h for h in heads if h != HOLE] for heads in t["tokens"]]
+        each = list(zip(t["template_id"], t["template"], t["hole_kinds"], heads_of, [Counter(h) for h in heads_of], strict=True))
         known: dict[tuple, tuple] = {}
         rows = []
         for k, bucket, tokens in zip(m[key], m["bucket"], m["tokens"], strict=True):
             tokens = tuple(tokens)
             if tokens not in known:
                 best, got = THETA, (-1, " ".join(tokens), [], 0.0)
-                for i, tpl, kinds, heads in zip(t["template_id"], t["template"], t["hole_kinds"], t["tokens"], strict=True):
-                    r = difflib.SequenceMatcher(None, [h for h in heads if h != HOLE], list(tokens), autojunk=False).ratio()
+                counts = Counter(tokens)
+                for i, tpl, kinds, heads, own in each:
+                    size = len(heads) + len(tokens)
+                    if size and 2 * (own & counts).total() / size < best:  # the ratio's upper bound
+                        continue
+                    r = difflib.SequenceMatcher(None, heads, list(tokens), autojunk=False).ratio()
                     if r > best or (r == best and got[0] < 0):
                         best, got = r, (i, tpl, list(kinds), r)
                 known[tokens] = got

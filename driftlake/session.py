@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a session, unless their Python path has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    paths = os.environ.get("PYTHONPATH", "") + os.pathsep + spark.conf.get("spark.executorEnv.PYTHONPATH", "")
+    if app in _shipped or root in paths.split(os.pathsep):
+        return
+    folder = tempfile.mkdtemp(prefix="driftlake-")
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "driftlake"), "zip", root, "driftlake"))
+    _shipped.add(app)
+
 
 def build(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Adaptive execution on, UTC, Arrow on. On a cluster leave ``shuffle_partitions`` to its configuration; AQE merges small ones."""
