@@ -6,7 +6,7 @@ part, and the SQL derives each label from the parts' conditions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -15,7 +15,7 @@ from ..functions import text as X
 from ..operators import classify, hunks, rules, snapshot, windows
 from ..sources import readers, writers
 from ..sources.readers import table
-from .queries import CAUSED, OBS, _causes, _edits, _files, _hops, _LN, _lines, _observations, _sql_terms, TERMS
+from .queries import CAUSED, OBS, SNAP, _causes, _edits, _files, _hops, _LN, _lines, _observations, _snapshots, _sql_terms, TERMS
 
 S = SparkSession
 
@@ -321,3 +321,101 @@ def version_parts(spark: S, d: str) -> DataFrame:
     v = F.when(k == 0, F.concat_ws(".", "c_custkey", "c_nationkey", F.lit("3-rc1"))).when(k == 1, F.concat_ws(".", "c_custkey", "c_nationkey")).when(k == 2, F.concat_ws(".", "c_custkey", "c_nationkey", F.lit("1"), F.lit("2"))).otherwise(F.concat_ws(".", "c_custkey", F.lit("x"), F.lit("1")))
     x = table(spark, d, "customer").select("c_custkey", X.version(v).alias("v"))
     return x.select("c_custkey", *[F.col(f"v.{p}").cast("long").alias(p) for p in ("major", "minor", "patch")])
+
+
+# ---------------------------------------------------------------- snapshots from lines, readers and writers, code facts
+
+_SNAP_LINES = "'{\"t\":\"const\",\"n\":\"c' || o_custkey || '\",\"k\":\"' || o_orderpriority || '\",\"u\":' || o_orderkey % 5 || ',\"prot\":' || CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END || ',\"fields\":[\"' || o_orderstatus || '\"]}'"
+
+
+@query("SELECT year(o_orderdate)::BIGINT AS release, 'c' || o_custkey AS n, arg_max(o_orderpriority, o_orderkey) AS k, arg_max(o_orderkey % 5, o_orderkey)::INT AS u, arg_max(o_orderstatus = 'F', o_orderkey) AS prot, arg_max(o_orderstatus, o_orderkey) AS field FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY ALL")
+def snapshot_lines(spark: S, d: str) -> DataFrame:
+    """Tagged lines of every order: other tags are ignored, and the last record of a name counts."""
+    o = table(spark, d, "orders")
+    line = F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit('{"t":"later-tag","n":"c'), "o_custkey", F.lit('"}'))).otherwise(F.expr(_SNAP_LINES))
+    raw = o.select(F.year("o_orderdate").cast("long").alias("release"), line.alias("value"), F.col("o_orderkey").alias("seq"))
+    return readers.snapshot(raw, "const").select("release", "n", "k", "u", "prot", F.col("fields")[0].alias("field"))
+
+
+@query("SELECT DISTINCT year(o_orderdate)::BIGINT AS release, 't' || x AS n FROM orders, (SELECT unnest([0, 1]) AS s) v, LATERAL (SELECT (o_orderkey + s) % 40 AS x)")
+def snapshot_tokens(spark: S, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    tok = lambda s: F.concat(F.lit('"t'), (F.col("o_orderkey") + s) % 40, F.lit('"'))
+    line = F.concat(F.lit('{"t":"tokens","all":['), tok(0), F.lit(","), tok(1), F.lit("]}"))
+    return readers.snapshot(o.select(F.year("o_orderdate").cast("long").alias("release"), line.alias("value"), F.col("o_orderkey").alias("seq")), "tokens")
+
+
+@query(f"WITH {SNAP}, i AS (SELECT DISTINCT year(o_orderdate) AS release, o_custkey AS n FROM orders WHERE o_totalprice > 200000) SELECT release, n, (release, n) IN (SELECT release, n FROM i) AS inst FROM snap")
+def instance_flags(spark: S, d: str) -> DataFrame:
+    o = table(spark, d, "orders").where("o_totalprice > 200000").select(F.year("o_orderdate").cast("long").alias("release"), F.col("o_custkey").alias("n"))
+    return snapshot.with_instances(_snapshots(spark, d).select("release", "n"), o).select("release", "n", "inst")
+
+
+@query("SELECT split_part(o_orderpriority, '-', 2) AS section, count(*) FILTER (o_orderstatus = 'Z') = 0 AS empty FROM orders GROUP BY ALL")
+def empty_sections(spark: S, d: str) -> DataFrame:
+    """Sections that the self-check names: here all of them, as no order has the status."""
+    n = table(spark, d, "orders").groupBy(F.substring_index("o_orderpriority", "-", -1).alias("section")).agg(F.count_if(F.col("o_orderstatus") == "Z").alias("n"))
+    found = snapshot.self_check(n, exempt=(), allow_empty=True)
+    return n.select("section", F.col("section").isin(found).alias("empty"))
+
+
+@query("""WITH e AS (SELECT *, lag(event_type) OVER w AS before, lag(event_id) OVER w AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT 'bump' AS kind, event_type AS key, 'e' || prev AS base, 'e' || event_id AS tip, before AS version_before, event_type AS version_after FROM e WHERE prev IS NOT NULL AND before <> event_type""")
+def version_changes(spark: S, d: str) -> DataFrame:
+    """A history for each user, whose version file is the type of the event: windows where it changes."""
+    e = table(spark, d, "events")
+    prev = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    sha = lambda c: F.concat(F.lit("e"), c)
+    c = e.select(sha(F.col("event_id")).alias("sha"), F.when(prev.isNotNull(), F.array(sha(prev))).otherwise(F.array().cast("array<string>")).alias("parents"), F.lit("2024-01-01").alias("author_date"), F.lit("s").alias("subject"), F.lit("").alias("body"))
+    return windows.from_version_changes(c, e.select(sha(F.col("event_id")).alias("sha"), F.col("event_type").alias("version"))).select("kind", "key", "base", "tip", "version_before", "version_after")
+
+
+@query(f"SELECT p_partkey, replace({_A2}, ', ', ',') || CASE WHEN p_partkey % 3 = 0 THEN ',to_dual (attr := norm_cast),norm_cast' ELSE '' END AS attrs, CASE WHEN p_partkey % 3 = 0 THEN 'argument' END AS role FROM part")
+def attributes_found(spark: S, d: str) -> DataFrame:
+    """Attributes of a block and of an ``attr :=`` argument in a second one; where a name stands."""
+    block = F.concat(F.lit("@["), F.expr(_A2), F.lit("]"), F.when(F.col("p_partkey") % 3 == 0, " @[to_dual (attr := norm_cast)]").otherwise(""), F.lit(" theorem t : "), F.col("p_name"))
+    p = table(spark, d, "part").select("p_partkey", block.alias("text"))
+    role = X.attribute_role(F.col("text"), F.lit("attr"))
+    return p.select("p_partkey", F.array_join(X.attributes(F.col("text")), ",").alias("attrs"), role.alias("role")).withColumn("role", F.when(F.col("role").isNotNull(), "argument"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_name || ' twice;' || p_brand WHEN p_partkey % 4 = 1 THEN p_brand ELSE '' END AS notes FROM part")
+def notes_found(spark: S, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("#adaptation_note /-- "), "p_name", F.lit("\n  twice -/\nx\n#adaptation_note /--"), "p_brand", F.lit("-/"))).when(k == 1, F.concat(F.lit("#adaptation_note /-- "), "p_brand", F.lit(" -/ #adaptation_note /--  -/"))).otherwise(F.concat(F.lit("/-- "), "p_name", F.lit(" -/")))
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.notes(text), ";").alias("notes"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 4 THEN true ELSE false END AS noise, p_partkey % 8 NOT IN (4, 5) AS useful FROM part""")
+def useful_edits(spark: S, d: str) -> DataFrame:
+    """Noise goes, and what only the fallback named has too little confidence."""
+    from .queries import _POST, _PRE
+
+    p = table(spark, d, "part").withColumns({"x": F.substring_index("p_name", " ", 1), "y": F.substring_index("p_name", " ", -1)})
+    c = classify.classify(p.select("p_partkey", F.expr(_PRE).alias("pre"), F.expr(_POST).alias("post"))).select("p_partkey", "noise", "confidence")
+    kept = classify.useful(c, least=0.5).select("p_partkey", F.lit(True).alias("useful"))
+    return c.join(kept, "p_partkey", "left").select("p_partkey", "noise", F.coalesce("useful", F.lit(False)).alias("useful"))
+
+
+@query("SELECT p_partkey, p_name || '.expected' AS path, p_partkey % 3 <> 2 AS listed FROM part")
+def expected_files(spark: S, d: str) -> DataFrame:
+    """Which files are expected-output files; ignored ones and others are left out."""
+    end = F.when(F.col("p_partkey") % 3 == 2, ".ignored").otherwise("")
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(".expected"), end).alias("path"))
+    kept = readers.expected_files(p).select("p_partkey", F.lit(True).alias("listed"))
+    return p.join(kept, "p_partkey", "left").select("p_partkey", F.regexp_replace("path", r"\.ignored$", "").alias("path"), F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+@query("""SELECT o_orderkey, '{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":' || CASE WHEN o_orderstatus = 'F' THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}' AS value FROM orders""")
+def sorted_json(spark: S, d: str) -> DataFrame:
+    """Rows as JSON with sorted keys, nulls included."""
+    o = table(spark, d, "orders").select("o_orderstatus", "o_orderkey", "o_custkey").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")))
+    v = writers.dumps(o)
+    return v.select(F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey"), "value")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'unknown_identifier' WHEN 'view' THEN 'deterministic_timeout' ELSE 'other' END AS class FROM events")
+def error_classes(spark: S, d: str) -> DataFrame:
+    t = F.when(F.col("event_type") == "error", F.concat(F.lit("unknown identifier "), "user_id")).when(F.col("event_type") == "view", F.lit("(deterministic) timeout at x")).otherwise(F.concat(F.lit("message "), "user_id"))
+    c = X.classify_error(t)
+    return table(spark, d, "events").select("event_id", F.when(c == vocab.OTHER_ERROR, "other").otherwise(c).alias("class"))
