@@ -48,8 +48,8 @@ from ._text import Words, grams, slices
 WINDOW = 50
 #: Words of the part of the prefix that groups suffixes, from level to level; the last level is WINDOW.
 SEEDS = (12, 24, 36)
-#: Words of different bodies that one tree may hold (about 100 MB in the task); beyond it the prefix is lengthened.
-GROUP_WORDS = 1 << 19
+#: Words of different bodies that one tree may hold (about 15 MB in the task); beyond it the prefix is lengthened.
+GROUP_WORDS = 1 << 16
 #: Small groups share a task's pass up to so many words.
 BATCH_WORDS = 1 << 19
 LAST = (1 << 63) - 1

@@ -189,7 +189,7 @@ def brute_repeats(texts, n=50):
     return out
 
 
-@pytest.mark.parametrize("group", [1 << 19, 200, 1])
+@pytest.mark.parametrize("group", [1 << 16, 200, 1])
 def test_substring(spark, docs, texts, empty, group):
     """Short prefixes only; prefixes that grow; the whole window."""
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op3_substring.remove_repeats(docs, group=group).collect()}
