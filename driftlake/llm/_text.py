@@ -7,6 +7,7 @@ take whole texts; a batch is cut between documents only.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,19 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Give memory that is free in this worker back to the system: it may stay idle beside others for long."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch cut between rows into parts of about ``limit`` bytes of text."""
     _, offs = raw(batch.column(batch.schema.get_field_index(column)))
@@ -72,6 +86,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, side="right")) - 1)
         yield batch.slice(a, b - a)
         a = b
+    release()
 
 
 class Words:

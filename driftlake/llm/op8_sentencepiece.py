@@ -40,7 +40,7 @@ from ._text import raw, slices
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 #: Units whose paths a worker keeps, the half of them that were met last.
-KEPT = 700_000
+KEPT = 400_000
 _UNITS = re.compile("▁*[^▁\n]+|▁+|\n+")
 _CROSSES = re.compile("[^▁]▁|\n[^\n]|[^\n]\n")
 #: What the unknown piece, and an id that names no piece, decode to.
