@@ -139,7 +139,7 @@ def _flips(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def settled(done: DataFrame) -> DataFrame:
-    """key and p of decided items (key, source, size, p, frac, rest), with each source's residual words handed to items no longer than them."""
+    """key, source, size and p of decided items (key, source, size, p, frac, rest), with each source's residual words handed to items no longer than them."""
     rest = done.groupBy("source").agg(F.sum("rest").alias("left")).where("abs(left) >= 0.5")
     # Words are added by items at 0 and taken back from items at 1, if they had a fraction: then neither end breaks their bounds.
     move = F.when(F.col("left") > 0, F.col("p") == 0).otherwise(F.col("p") == 1) & F.col("frac") & (F.col("size") <= F.abs("left"))
@@ -150,13 +150,14 @@ def settled(done: DataFrame) -> DataFrame:
     flips = written(sizes.groupBy("source").applyInPandas(_flips, T.StructType([done.schema["source"], *fields])).where("flips > 0"), "flips")
     most = flips.agg(F.max("flips")).first()[0]
     if not most:
-        return done.select("key", "p")
+        return done.select("key", "source", "size", "p")
     # The items with the least keys of each size that moves; with the bound on the rank a task keeps only what may be taken.
     ranked = fit.withColumn("i", F.row_number().over(Window.partitionBy("source", "size").orderBy("key"))).where(F.col("i") <= most)
     m = flips.select(F.col("source").alias("_s"), F.col("size").alias("_n"), "flips", "up")
     moved = ranked.join(m, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n"))).where("i <= flips")
-    moved = written(moved.select("key", F.when(F.col("up"), 1.0).otherwise(0.0).alias("to")), "moved")
-    return done.join(moved, "key", "left").select("key", F.coalesce("to", "p").alias("p"))
+    moved = written(moved.select(F.col("key").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.when(F.col("up"), 1.0).otherwise(0.0).alias("to")), "moved")
+    on = (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n"))
+    return done.join(moved, on, "left").select("key", "source", "size", F.coalesce("to", "p").alias("p"))
 
 
 #: Copies of the table of sources that a hot source's rows are dealt out to.
@@ -198,7 +199,9 @@ def rounded(rows: DataFrame, want: DataFrame, seed: int = 7) -> DataFrame:
         cur = out.where("open").withColumn("node", F.floor(F.col("node") / FAN).cast("long")).select(*names)
         most, level = -(-most // FAN), level + 1
     final = settled(done).withColumnRenamed("p", "up")
-    return items.join(final, "key").select("doc_id", "tag", "source", "size", "source_size", "target", "c", (F.col("base") + F.col("up")).cast("long").alias("copies"))
+    # Two items may share a key by chance, but hardly source and size as well.
+    on = (items["key"] == final["key"]) & items["source"].eqNullSafe(final["source"]) & (items["size"] == final["size"])
+    return items.join(final, on).drop(final["source"], final["size"]).select("doc_id", "tag", "source", "size", "source_size", "target", "c", (F.col("base") + F.col("up")).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -222,16 +225,16 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     rows, own = numbered(docs)
     text = own["text"]
     # A copy of a row can't be told from it, so what names rows is a hash of all their columns.
-    tag = F.xxhash64(F.lit(len(own)), *own.values())
+    tag = F.xxhash64(F.to_json(F.struct(*own.values()), {"ignoreNullFields": "false"}))  # a hash of the columns themselves would pass over nulls
     with scratch(docs.sparkSession) as s:
         size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
         key = rows.select(F.col(own["doc_id"]).alias("doc_id"), F.col(own["source"]).alias("source"), size.alias("size"), tag.alias("tag"))
         key = written(key, "sizes")
-        plan = rounded(key, targets(key), seed).groupBy("doc_id", "tag").agg(F.sum("copies").alias("_copies"), F.sum("c").alias("_same")).where("_copies > 0")
-        plan = s.final(plan.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"}), "mix")
-    tagged = rows.withColumn("_row", tag)
-    on = tagged[own["doc_id"]].eqNullSafe(plan["_id"]) & (tagged["_row"] == plan["_tag"])
+        plan = rounded(key, targets(key), seed).groupBy("doc_id", "tag", "source", "size").agg(F.sum("copies").alias("_copies"), F.sum("c").alias("_same")).where("_copies > 0")
+        plan = s.final(plan.withColumnsRenamed({"doc_id": "_id", "tag": "_tag", "source": "_source", "size": "_size"}), "mix")
+    tagged = rows.withColumn("_row", tag).withColumn("_words", size)
+    on = tagged[own["doc_id"]].eqNullSafe(plan["_id"]) & (tagged["_row"] == plan["_tag"]) & tagged[own["source"]].eqNullSafe(plan["_source"]) & (tagged["_words"] == plan["_size"])
     one = tagged.join(plan.where("_same = 1"), on)
-    many = tagged.join(plan.where("_same > 1"), on).dropDuplicates([own["doc_id"], "_row"])
+    many = tagged.join(plan.where("_same > 1"), on).dropDuplicates([own["doc_id"], "_row", own["source"], "_words"])
     out = one.unionByName(many).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return restored(out, own)

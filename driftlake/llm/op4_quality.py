@@ -182,68 +182,6 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int =
     return train(np.concatenate(x), np.concatenate([[0], np.cumsum([len(v) for v in x])]), y)
 
 
-def score(self, x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-        if self.prior is not None:
-            return np.full(len(ptr) - 1, self.prior)
-        return self.forward(x, ptr)["out"] if len(ptr) > 1 else np.zeros(0)
-
-
-def train(x: np.ndarray, ptr: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> Model:
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), {}, float(y.mean()) if len(y) else 0.5)
-    rng = np.random.default_rng(seed)
-    shapes = {"W": (N_FEATURES, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": ()}
-    p = {k: rng.normal(0, 0.3, s) if len(s) == 2 else rng.normal(0, 0.1, s) for k, s in shapes.items()}
-    p["d"] = np.array(np.log(y.mean() / (1 - y.mean())))
-    m = Model(x.mean(0), x.std(0) + 1e-3, p)
-    g1, g2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    n = np.diff(ptr)
-    for step in range(1, steps + 1):
-        f = m.forward(x, ptr)
-        err = (f["out"] - y) / len(y)
-        dbag = err[:, None] * p["c"]
-        de = np.repeat(dbag, n, axis=0) * f["a"][:, None]
-        da = (np.repeat(dbag, n, axis=0) * f["e"]).sum(1)
-        da = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, ptr[:-1]), n))  # through the softmax
-        dt = da[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2)
-        ds = da[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
-        de += dt @ p["V"].T + ds @ p["U"].T
-        dz = de * (1 - f["e"] ** 2)
-        grad = {"W": f["z"].T @ dz, "b": dz.sum(0), "V": f["e"].T @ dt, "U": f["e"].T @ ds, "w": ((f["t"] * f["s"]) * da[:, None]).sum(0), "c": f["bag"].T @ err, "d": err.sum()}
-        for k in p:
-            g = grad[k] + decay * p[k] * (np.ndim(p[k]) > 0)
-            g1[k] = 0.9 * g1[k] + 0.1 * g
-            g2[k] = 0.99 * g2[k] + 0.01 * g * g
-            p[k] = p[k] - rate * (g1[k] / (1 - 0.9**step)) / (np.sqrt(g2[k] / (1 - 0.99**step)) + 1e-8)
-    return m
-
-
-def held_out():
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-
-
-def _encode(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                x, ptr = passages(part.column(1))
-                flat = pa.array(x.astype(np.float32).ravel())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array((ptr * N_FEATURES).astype(np.int32)), flat)], ["doc_id", "x"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<float>")
-
-
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = MAX_LABELLED) -> Model:
-    """Train on at most ``most`` labelled documents that are not held out."""
-    chosen = F.broadcast(labelled(labels.where(~held_out()), column, most))  # ``most`` rows at most
-    bags: pd.DataFrame = _encode(docs.where(~held_out()).join(chosen.select("doc_id"), "doc_id", "left_semi")).join(chosen, "doc_id").orderBy("doc_id").limit(2 * most).toPandas()
-    y = bags["label"].to_numpy(float)
-    if not len(y):
-        return train(np.zeros((0, N_FEATURES)), np.zeros(1, int), y)
-    x = [np.asarray(v, float).reshape(-1, N_FEATURES) for v in bags["x"]]
-    return train(np.concatenate(x), np.concatenate([[0], np.cumsum([len(v) for v in x])]), y)
-
-
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
 
