@@ -15,6 +15,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with the SQL that gives the same rows."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"the query {f.__name__} is registered twice")
         _QUERIES[f.__name__] = f
         if sql is not None:
             _SQL[f.__name__] = sql

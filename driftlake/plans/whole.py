@@ -24,7 +24,7 @@ S = SparkSession
 
 
 @query(f"WITH {_sql_terms()} SELECT tag, count(*) AS hits, min(file) AS first_file FROM h WHERE targets <> '' GROUP BY tag")
-def term_hits_per_tag(spark: S, d: str) -> DataFrame:
+def term_first_file_per_tag(spark: S, d: str) -> DataFrame:
     return readers.term_hits(_files(spark, d), TERMS).groupBy("tag").agg(F.count("*").alias("hits"), F.min("file").alias("first_file"))
 
 
