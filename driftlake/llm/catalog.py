@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_sharding, op2_mixing, op3_substring, op4_quality, op5_rules, op6_minhash, op7_pii, op8_sentencepiece, op9_warc, op10_exact_dedup, op11_funnels
+from . import op1_sharding, op2_mixing, op3_substring, op4_quality, op5_rules, op6_minhash, op7_pii, op8_sentencepiece, op9_warc, op10_exact_dedup, op11_funnels, op12_whitening, op13_chat
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +63,18 @@ def op11_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_funnels.funnels(_t(spark, sf_dir, "clicks"))
 
 
+def op12_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_whitening.whiten(_t(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_chat.digests(op13_chat.format_chats(op13_chat.with_trap(_t(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_extendible_sharding, op2_pivotal_mixing, op3_suffix_trees, op4_attention_mil, op5_decision_list, op6_bayes_minhash, op7_skip_chain_pii, op8_sentencepiece_wfst, op9_warc_derivatives, op10_digest_index, op11_ordered_funnels)
+    every = (op1_extendible_sharding, op2_pivotal_mixing, op3_suffix_trees, op4_attention_mil, op5_decision_list, op6_bayes_minhash, op7_skip_chain_pii, op8_sentencepiece_wfst, op9_warc_derivatives, op10_digest_index, op11_ordered_funnels, op12_residue_whitening, op13_chat_templates)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_extendible_sharding": op1_sharding.ORACLE, "op3_suffix_trees": op3_substring.ORACLE, "op6_bayes_minhash": op6_minhash.ORACLE, "op10_digest_index": op10_exact_dedup.ORACLE, "op11_ordered_funnels": op11_funnels.ORACLE}
+    return {"op1_extendible_sharding": op1_sharding.ORACLE, "op3_suffix_trees": op3_substring.ORACLE, "op6_bayes_minhash": op6_minhash.ORACLE, "op10_digest_index": op10_exact_dedup.ORACLE, "op11_ordered_funnels": op11_funnels.ORACLE, "op13_chat_templates": op13_chat.ORACLE}
