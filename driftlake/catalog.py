@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _fill() -> None:
-    from .plans import queries, whole  # noqa: F401  registers them
+    from .plans import queries, stores, whole  # noqa: F401  registers them
 
 
 def queries() -> dict[str, Query]:

@@ -48,36 +48,67 @@ def _arrow(a: Column, b: Column) -> Column:
     return F.concat(text(a), F.lit(" -> "), text(b))
 
 
+def _only(new: DataFrame) -> DataFrame:
+    """base, target, th, ar and the new name that alone has them."""
+    return new.groupBy(*PAIR, "th", "ar").agg(F.count("*").alias("n_new"), F.min("n").alias("to")).where("n_new = 1").drop("n_new")
+
+
 def renames(gone: DataFrame, new: DataFrame) -> DataFrame:
     """For names that are gone: the one new name with their type hash and arity, if it is the only one. Base names may share it (claimants)."""
-    only = new.groupBy(*PAIR, "th", "ar").agg(F.count("*").alias("n_new"), F.min("n").alias("to")).where("n_new = 1").drop("n_new")
-    found = gone.join(only, [*PAIR, "th", "ar"])
+    found = gone.join(_only(new), [*PAIR, "th", "ar"])
     return found.withColumn("claimants", F.count("*").over(Window.partitionBy(*PAIR, "to")))
 
 
-def constants(base: DataFrame, target: DataFrame, info: bool = False) -> DataFrame:
-    """Causes between constants (n, k, ar, bi, th and, where present, u, cls, prot, red, fields, ctors) of all pairs."""
-    have = [c for c in ("k", "ar", "bi", "th", "u", "cls", "prot", "red", "fields", "ctors") if c in base.columns]
-    b = base.select(*PAIR, "n", F.struct(*have).alias("b"))
-    t = target.select(*PAIR, "n", F.struct(*have).alias("t"))
-    both = b.join(t, [*PAIR, "n"], "left")
+FIELDS = ("k", "ar", "bi", "th", "u", "cls", "prot", "red", "fields", "ctors")
+
+
+def paired(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """base, target, n, and b and t (structs of the constant's fields, or null) for each pair of releases and each name that either has.
+
+    rows: snapshots of all releases, a name once each. They are gathered by
+    name, so every hop comes from one scan and at most one shuffle, and from
+    none where rows are bucketed by name. A name has a record a release, a
+    release is in few pairs: both are bounded by the number of releases.
+    """
+    have = [c for c in FIELDS if c in rows.columns]
+    p = pairs.select(*PAIR).agg(F.collect_list(F.struct(*PAIR)).alias("p"))  # one row
+    g = rows.where("n is not null").groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct(F.col("release"), F.struct(*have).alias("r")))).alias("m"))
+    either = F.filter("p", lambda x: F.map_contains_key("m", x["base"]) | F.map_contains_key("m", x["target"]))
+    g = g.crossJoin(F.broadcast(p)).select("n", "m", F.explode(either).alias("p"))
+    return g.select("p.base", "p.target", "n", F.try_element_at("m", F.col("p.base")).alias("b"), F.try_element_at("m", F.col("p.target")).alias("t"))
+
+
+def judged(both: DataFrame, info: bool = False) -> DataFrame:
+    """Causes of compared constants (see ``paired``); with ``info`` new names too."""
+    have = both.schema["b"].dataType.names
     ne = lambda c: ~F.col(f"b.{c}").eqNullSafe(F.col(f"t.{c}")) if c in have else F.lit(False)
     show = lambda c: _arrow(F.col(f"b.{c}"), F.col(f"t.{c}"))
     shape_same = ~ne("ar") & ~ne("bi") & ~ne("u")
     tests = [("k", "const.kind-changed", ne("k")), ("ar", "const.arity-changed", ne("ar")), ("bi", "const.binders-changed", ~ne("ar") & ne("bi")), ("u", "const.universes-changed", ne("u")), ("th", "const.type-changed", ne("th") & shape_same)]
     tests += [(c, f"const.{name}-changed", ne(c)) for c, name in (("cls", "class"), ("prot", "protected"), ("red", "reducibility"), ("fields", "fields"), ("ctors", "ctors"))]
     found = F.array(*[_cause(cond, cause, show(c) if c not in ("fields", "ctors") else F.array_join(f"t.{c}", ",")) for c, cause, cond in tests if c in have])
-    changed = both.where("t is not null").select(*PAIR, "n", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("c")).select(*PAIR, F.col("n").alias("name"), "c.*")
+    changed = both.where("b is not null and t is not null").select(*PAIR, "n", F.explode(F.array_compact(found)).alias("c")).select(*PAIR, F.col("n").alias("name"), "c.*")
     gone = both.where("t is null").select(*PAIR, "n", "b.th", "b.ar")
-    new = t.join(b, [*PAIR, "n"], "left_anti").select(*PAIR, "n", "t.th", "t.ar")
-    moved = renames(gone, new).select(*PAIR, "n", "to")
-    lost = gone.join(moved, [*PAIR, "n"], "left").select(*PAIR, F.col("n").alias("name"), F.when(F.col("to").isNull(), "const.absent").otherwise("const.renamed").alias("cause"), F.col("to").cast("string").alias("detail"), F.lit("break").alias("sev"))
+    new = both.where("b is null").select(*PAIR, "n", "t.th", "t.ar")
+    lost = gone.join(_only(new), [*PAIR, "th", "ar"], "left").select(*PAIR, F.col("n").alias("name"), F.when(F.col("to").isNull(), "const.absent").otherwise("const.renamed").alias("cause"), F.col("to").cast("string").alias("detail"), F.lit("break").alias("sev"))
     out = changed.unionByName(lost)
     if info:
         out = out.unionByName(new.select(*PAIR, F.col("n").alias("name"), F.lit("const.new").alias("cause"), F.lit(None).cast("string").alias("detail"), F.lit("info").alias("sev")))
     return classed(out)
 
 
+def chained(rows: DataFrame, pairs: DataFrame, info: bool = False) -> DataFrame:
+    """Causes of all pairs from snapshots of all releases (release, n and fields)."""
+    return judged(paired(rows, pairs), info)
+
+
+def constants(base: DataFrame, target: DataFrame, info: bool = False) -> DataFrame:
+    """Causes between constants (n, k, ar, bi, th and, where present, u, cls, prot, red, fields, ctors) of all pairs, where the sides come from different places."""
+    have = [c for c in FIELDS if c in base.columns]
+    b, t = (d.select(*PAIR, "n", F.struct(*have).alias(name)) for d, name in ((base, "b"), (target, "t")))
+    return judged(b.join(t, [*PAIR, "n"], "full_outer"), info)
+
+
 def classed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("class", vocab.lookup(vocab.CAUSES, F.col("cause"), vocab.UNCLASSIFIED)).select(*PAIR, "cause", "name", "detail", "class", "sev")
 

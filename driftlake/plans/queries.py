@@ -107,7 +107,7 @@ def _sides(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _causes(spark: S, d: str) -> DataFrame:
-    return snapshot.constants(*_sides(spark, d))
+    return snapshot.chained(_snapshots(spark, d), _hops(spark, d))
 
 
 @query(f"WITH {SNAP} SELECT * FROM snap")
@@ -184,9 +184,7 @@ def diff_double_anti(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {CAUSED} SELECT cause, count(*) AS count FROM causes WHERE base = 1995 GROUP BY cause")
 def cause_histogram(spark: S, d: str) -> DataFrame:
-    p = _hops(spark, d).where("base = 1995")
-    s = _snapshots(spark, d)
-    return snapshot.histogram(snapshot.constants(snapshot.side(s, p, "base"), snapshot.side(s, p, "target")))
+    return snapshot.histogram(snapshot.chained(_snapshots(spark, d), _hops(spark, d).where("base = 1995")))
 
 
 @query(f"WITH {CAUSED} SELECT s.section, count(cause) AS breaks FROM (VALUES ('const'), ('instance'), ('option'), ('simp')) s(section) LEFT JOIN causes ON split_part(cause, '.', 1) = s.section GROUP BY ALL")
@@ -206,7 +204,7 @@ _ENDS = CAUSED.replace("pairs AS (SELECT * FROM rel WHERE target IS NOT NULL)",
 def endpoint_vs_chain(spark: S, d: str) -> DataFrame:
     s = _snapshots(spark, d)
     p = snapshot.pairs_of(table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("release")), F.col("release"), endpoint=True)
-    c = snapshot.constants(snapshot.side(s, p, "base"), snapshot.side(s, p, "target")).join(F.broadcast(p), ["base", "target"])
+    c = snapshot.chained(s, p).join(F.broadcast(p), ["base", "target"])
     return c.groupBy("cause").agg(F.count_if(F.col("kind") == "hop").alias("chained"), F.count_if(F.col("kind") == "span").alias("direct"))
 
 
