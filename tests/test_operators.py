@@ -166,13 +166,13 @@ def test_windows(spark):
 
 
 def test_log_and_stream(spark, tmp_path):
-    from driftlake.streaming.log import scan_stream
+    from driftlake.streaming.log import committed, scan_stream
 
     files = spark.createDataFrame([("t1", "a", "x throwError y\nz"), ("t2", "b", "none")], "tag string, file string, text string")
     files.write.parquet(str(tmp_path / "in"))
     q = scan_stream(spark, str(tmp_path / "in"), "tag string, file string, text string", str(tmp_path / "log"), str(tmp_path / "cp"))
     q.awaitTermination(60)
-    log = spark.read.parquet(str(tmp_path / "log"))
+    log = committed(spark, str(tmp_path / "log"), "tag string, file string, line int, targets array<string>, content string")
     assert [(r["tag"], r["line"], r["targets"]) for r in log.collect()] == [("t1", 1, ["throwError"])]
     writers.append_log(spark.createDataFrame([("t1", 1, ["old"]), ("t1", 2, ["new"])], "tag string, seq int, hits array<string>"), str(tmp_path / "l2"))
     again = readers.jsonl(spark, str(tmp_path / "l2"), "tag string, seq int, hits array<string>", strict=False)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from driftlake.operators import rules
 from driftlake.sources import git, readers, writers
-from driftlake.streaming import log
 
 
 def test_log_and_fold(spark, tmp_path):
@@ -42,12 +41,6 @@ def test_tables_and_manifest(spark, tmp_path):
     assert json.loads((tmp_path / "m.json").read_text()) == {"a": [2], "b": {"x": 1}}
 
 
-def test_settled(spark):
-    e = spark.createDataFrame([("u", "2024-01-01 00:00:00", "a"), ("u", "2024-01-01 00:00:01", "b"), ("u", "2024-01-01 00:00:09", "c"), ("v", "2024-01-01 00:00:00", "d")], "uri string, ts string, diagnostics string").withColumn("ts", F.to_timestamp("ts"))
-    got = sorted((r["uri"], r["n"], r["diagnostics"]) for r in log.settled(e).collect())
-    assert got == [("u", 1, "c"), ("u", 2, "b"), ("v", 1, "d")]
-
-
 def test_repository_corners(spark, tmp_path):
     repo = str(tmp_path / "r")
     run = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
