@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .ranks import placed
 
 # The fallback order of split keys.
 SPLIT_KEYS = ["toolchain", "window", "commit", "decl", "file", "signature"]
@@ -61,31 +62,18 @@ def choose_key(rows: DataFrame, by: str, fallback: bool = True) -> str:
 def split(rows: DataFrame, by: str, order: list[Column] | None = None, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """rows with ``split``; a group is in one part only. Groups are placed in order: train while the rows before are under its share, then val, then test.
 
-    Rows are summed to groups first. In the default order, by hash, running
-    sums are taken in two steps: over the PARTS ranges of the hash, then within
-    each range by its own task.
+    Rows are summed to groups first, whose running sums are taken by ranges
+    (``ranks.placed``). The default order is by hash.
     """
     g = rows.groupBy(by).agg(F.count("*").alias("n"))
     total = g.agg(F.sum("n")).first()[0] or 0
-    before = Window.unboundedPreceding, -1
-    if order:
-        p = g.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(*before)), F.lit(0)))
-    else:
-        h = F.md5(F.col(by).cast("string").cast("binary"))
-        g = g.withColumn("_h", h).withColumn("_part", F.substring(F.coalesce("_h", F.lit("")), 1, 3))
-        ranges = g.groupBy("_part").agg(F.sum("n").alias("_n"))  # PARTS + 1 rows at most
-        ranges = ranges.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(*before)), F.lit(0)).alias("_off"))
-        own = F.coalesce(F.sum("n").over(Window.partitionBy("_part").orderBy("_h", by).rowsBetween(*before)), F.lit(0))
-        p = g.withColumn("_own", own).join(F.broadcast(ranges), "_part").withColumn("before", F.col("_own") + F.col("_off"))
+    by_hash = [F.md5(F.col(by).cast("string").cast("binary"))]
+    p = placed(g, [*(order or by_hash), F.col(by)], weight="n")
     start = p.where(F.col("before") >= total * train).agg(F.min("before")).first()[0]
     part = F.when(F.col("before") < total * train, "train").when(F.col("before") - F.lit(start if start is not None else 0) < total * val, "val").otherwise("test")
     return rows.join(p.select(F.col(by).alias("_g"), part.alias("split")), F.col(by).eqNullSafe(F.col("_g"))).drop("_g")
 
 
-#: Ranges of three hexadecimal digits.
-PARTS = 4096
-
-
 def report(rows: DataFrame) -> DataFrame:
     """label, n, pct, most first; an empty table gives no rows."""
     n = rows.groupBy("label").agg(F.count("*").alias("n"))

@@ -115,25 +115,29 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def namespaces(lines: DataFrame) -> DataFrame:
-    """path, line, namespace of code lines: a stack of namespaces and sections, which SQL windows can't keep."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        stack: list[str | None] = []
-        out = []
-        pdf = pdf.sort_values("line", kind="stable")
-        for t in pdf["text"]:
-            if m := re.match(r"\s*namespace\s+([\w.']+)", t or ""):
-                stack.append(m[1])
-            elif re.match(r"\s*(?:noncomputable\s+)?section\b", t or ""):
-                stack.append(None)
-            elif re.match(r"\s*end\b", t or "") and stack:
-                stack.pop()
-            out.append(".".join(s for s in stack if s))
-        return pd.DataFrame({"path": pdf["path"], "line": pdf["line"], "namespace": out})
-
-    return lines.groupBy("path").applyInPandas(one, "path string, line int, namespace string")
+    """path, line, namespace of code lines: the names of the namespaces that are open there, joined by dots.
+
+    ``namespace`` and ``section`` open, ``end`` closes the last that is open,
+    or nothing. The depth is a running sum, raised by how far it fell under 0;
+    what is open at a level is the last that opened at this depth, an as-of
+    window a level. Lines that open or close are cut to levels, others take
+    over the namespace of the last such line.
+    """
+    name = F.nullif(F.regexp_extract("text", r"(?U)^\s*namespace\s+([\w.']+)", 1), F.lit(""))
+    opens = name.isNotNull() | F.coalesce(F.col("text").rlike(r"(?U)^\s*(noncomputable\s+)?section\b"), F.lit(False))
+    step = F.when(opens, 1).when(F.col("text").rlike(r"(?U)^\s*end\b"), -1)
+    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    e = lines.select("path", "line", name.alias("name"), step.alias("step")).where("step is not null")
+    e = e.withColumn("sum", F.sum("step").over(w))
+    e = e.withColumn("depth", F.col("sum") - F.least(F.min("sum").over(w), F.lit(0)))
+    opened = F.when((F.col("level") == F.col("depth")) & (F.col("step") > 0), F.struct("name"))
+    level = Window.partitionBy("path", "level").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    at = e.where("depth > 0").withColumn("level", F.explode(F.sequence(F.lit(1).cast("long"), F.col("depth")))).withColumn("o", F.last(opened, ignorenulls=True).over(level))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("level", F.col("o.name").alias("name")))), lambda x: x["name"])
+    at = at.groupBy("path", "line").agg(F.array_join(names, ".").alias("namespace"))  # array_join passes over sections, which have no name
+    e = e.select("path", "line").join(at, ["path", "line"], "left").select("path", "line", F.coalesce("namespace", F.lit("")).alias("_ns"))
+    every = lines.select("path", "line").join(e, ["path", "line"], "left")
+    return every.select("path", "line", F.coalesce(F.last("_ns", ignorenulls=True).over(w), F.lit("")).alias("namespace"))
 
 
 def parse_unified(diffs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import kept
 
 # Share of literals that must match, and the widest hole in tokens.
 THETA = 0.72
@@ -34,13 +35,27 @@ def hole_kind(values: Iterable[str]) -> str:
     return "term" if any(len(x) > 60 or "\n" in x for x in v) else "opaque"
 
 
+def _form(value: str) -> str:
+    """What hole_kind asks of a value: values of one form are worth one."""
+    v = value.strip()
+    if not v:
+        return ""
+    first = v.strip("`")[:1]
+    return f"{hole_kind([v])}{first.isupper()}{first.isalpha()}{len(v.strip('`')) > 60 or chr(10) in v}{'/' in v or v.strip('`').endswith('.lean')}"
+
+
+def _kept(values: Iterable[str]) -> list[str]:
+    """The first value of each form: a hole stays small however many messages it has seen, and keeps its kind."""
+    return list({_form(v): v for v in reversed(list(values))}.values())
+
+
 class Template:
     """Items are [literal] or [HOLE, value, ...]."""
 
-    def __init__(self, tokens: list[str]):
-        self.items: list[list[str]] = [[t] for t in tokens]
-        self.n = 1
-        self.literals = Counter(tokens)
+    def __init__(self, tokens: list[str], items: list[list[str]] | None = None, n: int = 1):
+        self.items: list[list[str]] = [[t] for t in tokens] if items is None else items
+        self.n = n
+        self.literals = Counter(i[0] for i in self.items if i[0] != HOLE)
 
     def heads(self) -> list[str]:
         return [i[0] for i in self.items]
@@ -50,27 +65,32 @@ class Template:
 
         No more literals can match in order than the two have in common, so most templates are passed over by counts alone.
         """
-        common = (self.literals & (Counter(tokens) if counts is None else counts)).total()
+        return self.merge(Template(tokens), theta, widest, counts)
+
+    def merge(self, other: Template, theta: float = THETA, widest: int = WIDEST, counts: Counter | None = None) -> bool:
+        """Take in another template: a hole matches a hole, and what stands in a gap goes into the hole there."""
+        common = (self.literals & (other.literals if counts is None else counts)).total()
         if self.literals and common / self.literals.total() < theta:
             return False
         heads = self.heads()
-        blocks = difflib.SequenceMatcher(None, heads, tokens, autojunk=False).get_matching_blocks()
+        blocks = difflib.SequenceMatcher(None, heads, other.heads(), autojunk=False).get_matching_blocks()
         literals = sum(h != HOLE for h in heads)
-        if literals and sum(b.size for b in blocks) / literals < theta:
+        if literals and sum(h != HOLE for b in blocks for h in heads[b.a : b.a + b.size]) / literals < theta:
             return False
         out: list[list[str]] = []
         i = j = 0
         for b in blocks:
-            mine, theirs = self.items[i : b.a], tokens[j : b.b]
+            mine, theirs = self.items[i : b.a], other.items[j : b.b]
             if max(len(mine), len(theirs)) > widest:
                 return False
             if mine or theirs:
-                out.append([HOLE, *(v for item in mine if item[0] == HOLE for v in item[1:]), *([" ".join(theirs)] if theirs else [])])
-            out += [[*item, t] if item[0] == HOLE else item for item, t in zip(self.items[b.a : b.a + b.size], tokens[b.b : b.b + b.size], strict=True)]
+                said = " ".join(item[0] for item in theirs if item[0] != HOLE)
+                out.append([HOLE, *_kept([*(v for item in [*mine, *theirs] if item[0] == HOLE for v in item[1:]), *([said] if said else [])])])
+            out += [[HOLE, *_kept([*x[1:], *y[1:]])] if x[0] == HOLE else x for x, y in zip(self.items[b.a : b.a + b.size], other.items[b.b : b.b + b.size], strict=True)]
             i, j = b.a + b.size, b.b + b.size
         if all(item[0] == HOLE for item in out):
             return False
-        self.items, self.n = out, self.n + 1
+        self.items, self.n = out, self.n + other.n
         self.literals = Counter(item[0] for item in out if item[0] != HOLE)
         return True
 
@@ -101,19 +121,59 @@ def prepared(rows: DataFrame, text: str = "text") -> DataFrame:
     return r.withColumn("bucket", X.bucket_key(F.col("severity"), F.col("error_name"), F.col("tokens")))
 
 
-def fit(messages: DataFrame, order: str = "seq") -> DataFrame:
-    """Templates of all buckets. Equal messages are counted first, so a bucket holds its different messages only; the longest head is taken first, then by ``order``."""
-    distinct = messages.groupBy("bucket", "tokens").agg(F.min(order).alias("seq"), F.max(F.length("head")).alias("len"), F.count("*").alias("n"))
+#: Different messages that one task induces templates from, and partial sets that one task merges.
+LEAF, FAN = 4096, 16
+_PART = "bucket string, node long, seq long, n long, items array<array<string>>"
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _merged(parts: Iterable[Template]) -> list[Template]:
+    """One set of templates from several, each taken in by the first that can."""
+    out: list[Template] = []
+    for t in parts:
+        if not any(o.merge(t) for o in out):
+            out.append(t)
+    return out
+
+
+def fit(messages: DataFrame, order: str = "seq") -> DataFrame:
+    """Templates of all buckets. Equal messages are counted first, so a bucket holds its different messages only; the longest head is taken first, then by ``order``.
+
+    A bucket of more than LEAF messages is dealt out to leaves by a hash of the
+    message, each induces its own templates, and sets of templates are merged
+    FAN at a time, in order of their leaves, until one is left. So the result
+    depends on the messages alone, and no task holds more than a leaf's
+    messages or FAN sets of templates.
+    """
+    distinct = messages.groupBy("bucket", "tokens").agg(F.min(order).alias("seq"), F.max(F.length("head")).alias("len"))
+    distinct = kept(distinct, "messages")
+    sizes = distinct.groupBy("bucket").agg(F.count("*").alias("_n")).select(F.col("bucket").alias("_b"), F.ceil(F.col("_n") / LEAF).alias("_leaves"))
+    leaf = F.pmod(F.xxhash64("tokens"), F.col("_leaves"))
+    rows = distinct.join(sizes, F.col("bucket").eqNullSafe(F.col("_b"))).select("bucket", leaf.alias("node"), "seq", "len", "tokens")
+
+    def listed(key: tuple, found: list[Template]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, i, t.n, t.items) for i, t in enumerate(found)], columns=["bucket", "node", "seq", "n", "items"])
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["len", "seq"], ascending=[False, True], kind="stable")
-        rows = []
-        for i, t in enumerate(induce(list(map(list, pdf["tokens"])))):
-            template, kinds = t.render()
-            rows.append((pdf["bucket"].iloc[0], i, template, kinds, t.heads(), t.n))
-        return pd.DataFrame(rows, columns=["bucket", "template_id", "template", "hole_kinds", "tokens", "n"])
+        return listed(key, induce(list(map(list, pdf["tokens"]))))
+
+    def joined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["from", "seq"])
+        return listed(key, _merged(Template([], [list(map(str, x)) for x in items], n) for items, n in zip(pdf["items"], pdf["n"], strict=True)))
+
+    sets = rows.groupBy("bucket", "node").applyInPandas(one, _PART)
+    most = sizes.agg(F.max("_leaves")).first()[0] or 1
+    while most > 1:
+        sets = kept(sets, "templates").withColumn("from", F.col("node")).withColumn("node", F.floor(F.col("node") / FAN))
+        sets = sets.groupBy("bucket", "node").applyInPandas(joined, _PART)
+        most = -(-most // FAN)
+
+    def shown(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            each = [Template([], [list(map(str, x)) for x in items], n) for items, n in zip(pdf["items"], pdf["n"], strict=True)]
+            yield pd.DataFrame([(b, i, *t.render(), t.heads(), t.n) for b, i, t in zip(pdf["bucket"], pdf["seq"], each, strict=True)], columns=["bucket", "template_id", "template", "hole_kinds", "tokens", "n"])
 
-    return distinct.groupBy("bucket").applyInPandas(one, TEMPLATE)
+    return sets.mapInPandas(shown, TEMPLATE)
 
 
 def assign(messages: DataFrame, templates: DataFrame, key: str = "seq") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as X
+from . import search
 
 
 def _first(rows: DataFrame, value: str, n: int, name: str, distinct: bool = True) -> DataFrame:
@@ -98,34 +99,15 @@ def reverse_window(text: Column, fixed: Column, broken: Column) -> Column:
     return F.when((fixed != "") & (at > 0), F.concat(F.substring(text, F.lit(1), at - 1), broken, F.substring(text, at + F.length(fixed), F.length(text))))
 
 
-_TOKEN = r"[\p{L}_][\p{L}\p{N}_'!?]*"
-
-
 def synthesize(rules: DataFrame, files: DataFrame, n: int = 1000, per_rule: int = 20, sites: int = 1, toolchain: str = "") -> DataFrame:
     """Breakages: rules applied backwards to files (path, text) where going forward again restores the text.
 
-    Files are cut to (path, token) and joined to rules by a token that each
-    file with the rule's text must have whole: the first of a name, and for a
-    window the longest that neither begins nor ends it. A file's text is read
-    once for all rules that may concern it. Window rules without such a token
-    (operators, parts of words) are few; they are searched in every file, from
-    a broadcast that UNANCHORED bounds (more are run in several passes). Caps
-    hold in order of path, then of rule.
+    All rules are searched at once, by an automaton, wherever their text stands
+    (``search.matched``); that a name stands whole is for the rewriting to see.
+    Caps hold in order of path, then of rule.
     """
-    inner = F.transform(F.regexp_extract_all("new", F.lit(rf"(?<=[^\p{{L}}\p{{N}}_'!?])({_TOKEN})(?=[^\p{{L}}\p{{N}}_'!?])"), F.lit(1)), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("t")))
-    lead = F.nullif(F.regexp_extract("new", f"({_TOKEN})", 1), F.lit(""))
-    r = rules.where("reversible").where("new <> ''").select("rule_id", "kind", "label", "old", "new", "support")
-    r = r.withColumn("tok", F.when(F.col("kind") == "subst", lead).otherwise(F.array_min(inner)["t"]))
-    rule = F.struct("rule_id", "kind", "label", "old", "new", "support").alias("rule")
-    f = files.select("path", "text")
-    tokens = f.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))).alias("tok"))
-    near = tokens.join(r.where("tok is not null").select("tok", rule), "tok").groupBy("path").agg(F.collect_list("rule").alias("rules"))
-    hit = f.join(near, "path").select("path", "text", F.explode("rules").alias("rule")).where(F.col("text").contains(F.col("rule.new")))
-    bare = r.where("tok is null").withColumn("_i", F.row_number().over(Window.orderBy("rule_id")))  # rules without any token only
-    for k in range(-(-bare.count() // UNANCHORED)):
-        some = bare.where((F.col("_i") > k * UNANCHORED) & (F.col("_i") <= (k + 1) * UNANCHORED)).select(rule)
-        hit = hit.unionByName(f.join(F.broadcast(some), F.col("text").contains(F.col("rule.new"))))
-    hit = hit.select("path", "text", "rule.*")
+    r = rules.where("reversible").select("rule_id", "kind", "label", "old", "new", "support")
+    hit = search.matched(files.select("path", "text"), r, "new")
     broken = applied(F.col("text"), F.col("kind"), F.col("new"), F.col("old"), limit=sites)
     s = hit.withColumn("broken", broken).where("broken <> text")
     s = s.where(applied(F.col("broken"), F.col("kind"), F.col("old"), F.col("new")) == F.col("text"))
@@ -133,10 +115,6 @@ def synthesize(rules: DataFrame, files: DataFrame, n: int = 1000, per_rule: int
     return s.orderBy("path", F.desc("support"), "rule_id").limit(n).select(X.short_hash(F.col("rule_id"), F.col("path")).alias("sample_id"), "rule_id", "label", "path", "broken", F.col("text").alias("fixed"), F.lit(sites).alias("sites"), F.lit(toolchain).alias("toolchain"))
 
 
-#: Rules that one broadcast of ``synthesize`` holds.
-UNANCHORED = 2000
-
-
 def agreement(applied_ok: Column, timeout: Column, observed: Column, expected: Column) -> Column:
     """Verdict on a replayed sample: error, match, no_error or mismatch."""
     none = F.size(observed) <= 0

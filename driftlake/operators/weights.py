@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from .ranks import placed
 
 
 def prior(spark: SparkSession, weights: dict[str, float], frequency: list[str] | None = None) -> DataFrame:
@@ -98,7 +99,9 @@ def bootstrap(obs: DataFrame, priors: DataFrame, draws: int = 400, seed: int = 0
     """
     cells = obs.groupBy("stratum", "cluster", "fingerprint").agg(F.count("*").alias("c"))
     clusters = obs.select("stratum", "cluster").distinct()
-    numbered = clusters.withColumn("i", F.row_number().over(Window.partitionBy("stratum").orderBy("cluster")) - 1).withColumn("k", F.count("*").over(Window.partitionBy("stratum")))
+    numbered = placed(clusters, [F.col("stratum"), F.col("cluster")])
+    ends = numbered.groupBy(F.col("stratum").alias("_s")).agg(F.min("place").alias("at"), F.count("*").alias("k"))  # a row a stratum
+    numbered = numbered.join(F.broadcast(ends), F.col("stratum").eqNullSafe(F.col("_s"))).select("stratum", "cluster", (F.col("place") - F.col("at")).alias("i"), "k")
     reps = obs.sparkSession.range(draws).withColumnRenamed("id", "r")
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), "stratum", F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     drawn = numbered.crossJoin(F.broadcast(reps)).select("r", "stratum", F.pmod(pick, F.col("k")).alias("i")).groupBy("r", "stratum", "i").agg(F.count("*").alias("times"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..catalog import query
 from ..functions import text as X
-from ..operators import classify, hunks, rules, snapshot, windows
+from ..operators import classify, hunks, rules, search, snapshot, windows
 from ..sources import readers, writers
 from ..sources.readers import table
 from .queries import CAUSED, OBS, SNAP, _causes, _edits, _files, _hops, _LN, _lines, _observations, _snapshots, _sql_terms, TERMS
@@ -280,6 +280,14 @@ def synthesize_sites(spark: S, d: str) -> DataFrame:
     return rules.synthesize(r, table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")).select("sample_id", "rule_id", "path", F.md5(F.col("broken").cast("binary")).alias("broken_md5"))
 
 
+@query("SELECT doc_id, count(*) AS n, md5(string_agg(p, ',' ORDER BY p)) AS found FROM documents JOIN (SELECT DISTINCT substr(md5(p_partkey::VARCHAR), 1, 3) AS p FROM part) ON contains(text, p) GROUP BY doc_id")
+def patterns_in_documents(spark: S, d: str) -> DataFrame:
+    """As many patterns as there are parts, searched in every whole text."""
+    p = table(spark, d, "part").select(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 3).alias("p")).distinct()
+    m = search.matched(table(spark, d, "documents").select("doc_id", "text"), p, "p")
+    return m.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("p")), ",").cast("binary")).alias("found"))
+
+
 _EXP = {k: sorted(v) for k, v in vocab.EXPECTED_ERRORS.items()}
 _LABELS = sorted(_EXP)[:4]
 
@@ -419,3 +427,15 @@ def error_classes(spark: S, d: str) -> DataFrame:
     t = F.when(F.col("event_type") == "error", F.concat(F.lit("unknown identifier "), "user_id")).when(F.col("event_type") == "view", F.lit("(deterministic) timeout at x")).otherwise(F.concat(F.lit("message "), "user_id"))
     c = X.classify_error(t)
     return table(spark, d, "events").select("event_id", F.when(c == vocab.OTHER_ERROR, "other").otherwise(c).alias("class"))
+
+
+@query("""WITH l AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 1 WHEN 'error' THEN -1 END AS step, CASE WHEN event_type = 'view' THEN 'N' || event_id END AS name FROM events),
+s AS (SELECT *, sum(coalesce(step, 0)) OVER (PARTITION BY user_id ORDER BY event_id) AS sum FROM l), h AS (SELECT *, sum - least(0, min(sum) OVER (PARTITION BY user_id ORDER BY event_id)) AS depth FROM s),
+o AS (SELECT * FROM h WHERE step = 1), c AS (SELECT a.*, (SELECT min(b.event_id) FROM h b WHERE b.user_id = a.user_id AND b.event_id > a.event_id AND b.depth < a.depth) AS closed FROM o a)
+SELECT h.user_id, h.event_id, coalesce(string_agg(c.name, '.' ORDER BY c.depth), '') AS namespace FROM h LEFT JOIN c ON c.user_id = h.user_id AND c.event_id <= h.event_id AND (c.closed IS NULL OR c.closed > h.event_id) AND c.name IS NOT NULL GROUP BY h.user_id, h.event_id""")
+def namespaces_of_events(spark: S, d: str) -> DataFrame:
+    """Views open a namespace, clicks a section, errors end what is open; a user is a file."""
+    e = table(spark, d, "events")
+    text = F.when(F.col("event_type") == "view", F.concat(F.lit("namespace N"), "event_id")).when(F.col("event_type") == "click", "noncomputable section").when(F.col("event_type") == "error", "  end x").otherwise("ended")
+    n = hunks.namespaces(e.select(F.col("user_id").alias("path"), F.col("event_id").alias("line"), text.alias("text")))
+    return n.select(F.col("path").alias("user_id"), F.col("line").alias("event_id"), "namespace")
