@@ -18,10 +18,11 @@ suffix trees; what precedes them only decides which suffixes meet where.
    window, whose groups are one leaf each. Small groups keep short prefixes.
 4. Each group's suffix tree is built from the sorted suffixes of its bodies
    (names of doubled prefixes, Karp, Miller and Rosenberg 1972) and the lengths
-   of neighbours' common prefixes: internal nodes are the intervals of that
-   array (Abouelhoda, Kurtz and Ohlebusch 2004). The topmost nodes of depth
-   WINDOW or more are the repeats, each with its depth and the smallest
-   document below it. A suffix whose document is not that one is covered.
+   of neighbours' common prefixes, which no limit cuts: internal nodes are the
+   intervals of that array (Abouelhoda, Kurtz and Ohlebusch 2004), found with a
+   stack. Nodes of depth WINDOW or more whose suffixes are preceded by different
+   words are the maximal repeats. A suffix is covered as far as the deepest of
+   them goes that has a smaller document below it.
 5. Answers go back from leaves to the runs that are equal to them, to classes,
    and to all documents of a class.
 
@@ -147,8 +148,8 @@ def _runs(hits: DataFrame, window: int, seed: int) -> DataFrame:
     return hits.select("up", "d", "nxt", "text", "places").mapInArrow(run, RUN)
 
 
-def suffix_order(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all suffixes of ``names`` in the order of their first ``depth`` items at least, and the length of each one's common prefix with the next (``depth`` at most).
+def suffix_order(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all suffixes of ``names`` in order, and the length of each one's common prefix with the next. The last item must be like no other.
 
     Names of doubled prefixes give the order; their halves, from the longest down, give the lengths.
     """
@@ -156,11 +157,11 @@ def suffix_order(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     cur, size, steps = names.astype(np.int64), 1, []
     while True:
         steps.append((size, cur))
-        if size >= depth:
+        if n == 0 or cur.max() == n - 1:  # every prefix of this size is like no other
             break
         nxt = np.zeros(n, np.int64)
         nxt[: n - size] = cur[size:] + 1
-        _, cur = np.unique(cur * np.int64(nxt.max() + 1 if n else 1) + nxt, return_inverse=True)
+        _, cur = np.unique(cur * np.int64(nxt.max() + 1) + nxt, return_inverse=True)
         size *= 2
     order = np.argsort(cur, kind="stable")
     a, b = order[:-1].copy(), order[1:].copy()
@@ -171,43 +172,81 @@ def suffix_order(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
         common[same] += size
         a[same] += size
         b[same] += size
-    return order, np.minimum(common, depth)
-
-
-def deep_nodes(order: np.ndarray, common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The topmost nodes of string depth ``depth`` or more in the suffix tree: the bounds of their intervals in ``order``, one suffix or more each, and whether it is an internal node."""
-    cut = np.flatnonzero(common < depth) + 1
-    lo = np.concatenate([[0], cut])
-    return lo, np.concatenate([cut, [len(order)]])
-
-
-def repeats(bodies: pa.Array, d: np.ndarray, nxt: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(leaf, offset, rest) of each suffix that a smaller document has too: below its deep node stands a document smaller than the leaf's first one (rest 0) or than its next one (rest 1)."""
-    w = Words(bodies)
+    return order, common
+
+
+def deep_nodes(common: np.ndarray, least: int) -> np.ndarray:
+    """(lo, hi, depth) of each internal node of depth ``least`` or more in the suffix tree, shallow before deep: below it are the suffixes lo to hi - 1 of the order, and their common prefix has ``depth`` words."""
+    out: list[tuple[int, int, int]] = []
+    held: list[tuple[int, int]] = []  # depth and first suffix of the open intervals, deeper and deeper
+    last = -2
+    at = np.flatnonzero(common >= least)
+    for i, depth in zip(at.tolist(), common[at].tolist(), strict=True):
+        if i != last + 1:
+            out += [(lo, last + 2, d) for d, lo in held]
+            held = []
+        lo = i
+        while held and held[-1][0] > depth:
+            d, lo = held.pop()
+            out.append((lo, i + 1, d))
+        if not held or held[-1][0] < depth:
+            held.append((depth, lo))
+        last = i
+    out += [(lo, last + 2, d) for d, lo in held]
+    nodes = np.array(out, np.int64).reshape(-1, 3)
+    return nodes[np.argsort(nodes[:, 2], kind="stable")]
+
+
+def maximal(nodes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The nodes that are maximal repeats: what stands before their suffixes (``before``, in order) is not the same everywhere."""
+    change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    return nodes[change[nodes[:, 1] - 1] > change[nodes[:, 0]]]
+
+
+class Tree:
+    """The generalised suffix tree of some bodies, each closed by a name of its own, and the maximal repeats in it of ``least`` words or more."""
+
+    def __init__(self, bodies: pa.Array, least: int):
+        w = Words(bodies)
+        _, names = np.unique(w.hashes(), return_inverse=True)
+        self.words, m = w, len(w.n)
+        text = np.zeros(len(names) + m, np.int64)
+        text[np.arange(len(names)) + np.repeat(np.arange(m), w.n)] = names
+        text[w.ptr[1:] + np.arange(m)] = len(names) + np.arange(m)
+        _, text = np.unique(text, return_inverse=True)
+        leaf = np.repeat(np.arange(m), w.n + 1)
+        off = np.arange(len(text)) - np.repeat(w.ptr[:-1] + np.arange(m), w.n + 1)
+        order, common = suffix_order(text)
+        before = np.where(off == 0, -1 - leaf, np.concatenate([[0], text[:-1]]))  # what is before a body is unknown, so like nothing else
+        self.leaf, self.off = leaf[order], off[order]  # of the suffixes in order
+        self.repeats = maximal(deep_nodes(common, least), before[order])
+
+
+def repeats(bodies: pa.Array, d: np.ndarray, nxt: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, start, end, rest) of the parts of bodies that a smaller document has too: smaller than the leaf's first one (rest 0) or than its next one (rest 1).
+
+    Each suffix below a maximal repeat whose smallest document is smaller than
+    its own is covered as far as the repeat is deep; the deepest such repeat
+    counts. A body that several documents have is a repeat too, the tree's leaf.
+    A repeat that isn't maximal goes on to the left in all its places, so a
+    longer one covers it there.
+    """
     none = np.zeros(0, int)
-    if not len(w.ws):
-        return none, none, none
-    _, names = np.unique(w.hashes(), return_inverse=True)
-    # Each body ends in a name of its own, so that no common prefix runs over its end.
-    ends = w.ptr[1:] + np.arange(len(w.n))
-    text = np.zeros(len(names) + len(w.n), np.int64)
-    text[np.arange(len(names)) + np.repeat(np.arange(len(w.n)), w.n)] = names
-    text[ends] = names.max() + 1 + np.arange(len(w.n))
-    leaf = np.repeat(np.arange(len(w.n)), w.n + 1)
-    off = np.arange(len(text)) - np.repeat(w.ptr[:-1] + np.arange(len(w.n)), w.n + 1)
-    order, common = suffix_order(text, window)
-    order_ok = w.n[leaf[order]] - off[order] >= window  # the others are too short for a window
-    # Too short suffixes have a common prefix below ``window`` with any other, so they cut no deep node.
-    lo, hi = deep_nodes(order, common, window)
-    node = np.repeat(np.arange(len(lo)), hi - lo)
-    first = np.minimum.reduceat(d[leaf[order]], lo)
-    keep = np.flatnonzero(order_ok)
-    at, low = order[keep], first[node[keep]]
-    on0, on1 = low < d[leaf[at]], low < nxt[leaf[at]]
-    got = np.concatenate([at[on0], at[on1]])
-    rest = np.concatenate([np.zeros(int(on0.sum()), int), np.ones(int(on1.sum()), int)])
-    sort = np.lexsort((off[got], rest, leaf[got]))
-    return leaf[got][sort], off[got][sort], rest[sort]
+    if not len(bodies) or not len(Words(bodies).ws):
+        return none, none, none, none
+    t = Tree(bodies, window)
+    depth = np.zeros((2, len(t.leaf)), np.int64)
+    own = np.stack([d[t.leaf], nxt[t.leaf]])
+    for lo, hi, deep in t.repeats.tolist():  # from the shallow to the deep
+        part = own[:, lo:hi]
+        np.putmask(depth[:, lo:hi], own[0, lo:hi].min() < part, deep)
+    # The node of a whole body has all its documents below it, and nothing is deeper.
+    size = t.words.n[t.leaf]
+    np.putmask(depth[1], (t.off == 0) & (size >= window) & (own[0] < own[1]), size)
+    rest, at = np.nonzero(depth)
+    leaf, off, end = t.leaf[at], t.off[at], t.off[at] + depth[rest, at]
+    sort = np.lexsort((off, rest, leaf))
+    return leaf[sort], off[sort], end[sort], rest[sort]
 
 
 _SPANS = "digest binary, a array<int>, b array<int>, rest_a array<int>, rest_b array<int>"
@@ -218,12 +257,16 @@ def _trees(leaves: DataFrame, window: int) -> DataFrame:
 
     def spans(t: pa.Table) -> pa.RecordBatch:
         d, nxt = t.column(2).to_numpy(), t.column(3).to_numpy()
-        leaf, off, rest = repeats(t.column(4).combine_chunks(), d, nxt, window)
+        leaf, off, end, rest = repeats(t.column(4).combine_chunks(), d, nxt, window)
+        # Spans of one leaf that touch become one: ends are made to rise, leaf after leaf.
+        far = int(end.max(initial=0)) + 1
+        part = np.cumsum(np.concatenate([[0], (leaf[1:] != leaf[:-1]) | (rest[1:] != rest[:-1])])) if len(leaf) else leaf
+        reach = np.maximum.accumulate(end + part * far) - part * far
         new = np.ones(len(leaf), bool)
-        new[1:] = (leaf[1:] != leaf[:-1]) | (rest[1:] != rest[:-1]) | (off[1:] > off[:-1] + window)
+        new[1:] = (part[1:] != part[:-1]) | (off[1:] > reach[:-1])
         s = np.flatnonzero(new)
         e = np.concatenate([s[1:], [len(leaf)]])[: len(s)] - 1
-        a, b, which, kind = off[s], off[e] + window, leaf[s], rest[s]
+        a, b, which, kind = off[s], reach[e], leaf[s], rest[s]
         some = np.unique(which)
         cols = []
         for k in (0, 1):

@@ -212,21 +212,65 @@ def test_substring_odd_ids(spark):
 
 
 def test_suffix_tree():
-    """Order, common prefixes and deep nodes against all suffixes compared one by one."""
+    """Order, common prefixes and internal nodes against all suffixes compared one by one."""
     rng = np.random.default_rng(0)
-    x = rng.integers(0, 2, 200)
-    for depth in (1, 5, 8, 13):
-        order, common = op3_substring.suffix_order(x, depth)
-        suffix = [tuple(x[i : i + depth]) for i in range(len(x))]
-        assert sorted(order.tolist()) == list(range(len(x))) and [suffix[i] for i in order] == sorted(suffix)
-        same = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    for size, letters in ((1, 1), (2, 1), (200, 2), (150, 1), (120, 5)):
+        x = np.append(rng.integers(0, letters, size), letters)
+        order, common = op3_substring.suffix_order(x)
+        suffix = [tuple(x[i:]) for i in range(len(x))]
+        assert [suffix[i] for i in order] == sorted(suffix)
+        same = lambda a, b: next(k for k in range(len(a) + 1) if k == min(len(a), len(b)) or a[k] != b[k])
         assert common.tolist() == [same(suffix[i], suffix[j]) for i, j in zip(order[:-1], order[1:], strict=True)]
-        lo, hi = op3_substring.deep_nodes(order, common, depth)
-        below = [frozenset(order[a:b].tolist()) for a, b in zip(lo, hi, strict=True)]
-        full = defaultdict(set)
-        for i in range(len(x) - depth + 1):
-            full[suffix[i]].add(i)
-        assert {frozenset(v) for v in full.values()} == {b for b in below if all(i + depth <= len(x) for i in b)}
+        for least in (1, 3, 9):
+            got = {(int(d), frozenset(order[a:b].tolist())) for a, b, d in op3_substring.deep_nodes(common, least)}
+            full = defaultdict(set)
+            for i in range(len(x)):
+                for k in range(least, len(x) - i + 1):
+                    full[suffix[i][:k]].add(i)
+            # An internal node is a string that goes on in two ways.
+            assert got == {(len(p), frozenset(v)) for p, v in full.items() if len({suffix[i][len(p)] for i in v if i + len(p) < len(x)}) > 1}
+
+
+def test_maximal_repeats():
+    """All repeats that can be made longer on neither side, listed by brute force."""
+    rng = random.Random(5)
+    for trial in range(30):
+        texts = [[rng.choice("abc") for _ in range(rng.randint(0, 25))] for _ in range(rng.randint(1, 5))]
+        tree = op3_substring.Tree(pa.array([" ".join(t) for t in texts]), 2)
+        got = set()
+        for lo, hi, depth in tree.repeats.tolist():
+            at = list(zip(tree.leaf[lo:hi].tolist(), tree.off[lo:hi].tolist(), strict=True))
+            got.add((tuple(texts[at[0][0]][at[0][1] : at[0][1] + depth]), frozenset(at)))
+        where = defaultdict(set)
+        for i, t in enumerate(texts):
+            for k in range(len(t)):
+                for n in range(2, len(t) - k + 1):
+                    where[tuple(t[k : k + n])].add((i, k))
+        left = lambda i, k: texts[i][k - 1] if k else (i, "start")
+        right = lambda i, k, n: texts[i][k + n] if k + n < len(texts[i]) else (i, "end")
+        want = {(s, frozenset(v)) for s, v in where.items() if len(v) > 1 and len({left(*p) for p in v}) > 1 and len({right(*p, len(s)) for p in v}) > 1}
+        assert got == want, trial
+
+
+def test_covered_parts():
+    """What smaller documents have too, from node depths, against windows looked up one by one."""
+    rng = random.Random(6)
+    for _ in range(40):
+        window = rng.randint(2, 5)
+        texts = [[rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(rng.randint(1, 6))]
+        d = np.array([rng.randint(0, 4) for _ in texts])
+        nxt = np.array([x + rng.choice([0, 0, 1, 3]) for x in d.tolist()])
+        leaf, start, end, rest = op3_substring.repeats(pa.array([" ".join(t) for t in texts]), d, nxt, window)
+        got = defaultdict(set)
+        for i, a, b, r in zip(leaf.tolist(), start.tolist(), end.tolist(), rest.tolist(), strict=True):
+            got[i, r].update(range(a, b))
+        first = {}
+        for t, x in zip(texts, d.tolist(), strict=True):
+            for k in range(len(t) - window + 1):
+                first[tuple(t[k : k + window])] = min(x, first.get(tuple(t[k : k + window]), 99))
+        for i, t in enumerate(texts):
+            for r, own in ((0, d[i]), (1, nxt[i])):
+                assert got[i, r] == {p for k in range(len(t) - window + 1) if first[tuple(t[k : k + window])] < own for p in range(k, k + window)}
 
 
 def test_quality(spark, empty):
@@ -282,13 +326,52 @@ def test_quality_scores(spark, docs, texts):
         assert abs(r["score"] - brute_score(m, texts[r["doc_id"]] or "")) < 1e-5, r
 
 
-def test_quality_fit_is_bounded(spark):
-    """A labelled document gives at most FIT_PASSAGES passages to the fit, and one bag however often its id comes."""
+def test_quality_fit_is_bounded(spark, monkeypatch):
+    """A labelled document gives at most FIT_PASSAGES passages to the training, and one bag however often its id comes."""
     long = " ".join(f"w{i}" for i in range(64 * 200))
-    d = spark.createDataFrame([(1, long), (1, long), (1, "other"), (2, "short text")], "doc_id long, text string")
+    d = spark.createDataFrame([(1, long), (1, long), (1, "other"), (1, long), (1, "more"), (2, "short text")], "doc_id long, text string")
     lab = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
-    bags = op4_quality.bags(d, lab, "quality", 10)
-    assert sorted(bags["doc_id"]) == [1, 2] and max(len(x) for x in bags["x"]) <= op4_quality.FIT_PASSAGES * op4_quality.N_FEATURES
+    seen, train = [], op4_quality.train
+    monkeypatch.setattr(op4_quality, "train", lambda x, ptr, y: seen.append((x, ptr, y)) or train(x, ptr, y))
+    op4_quality.fit(d, lab, most=10)
+    x, ptr, y = seen[0]
+    assert len(y) == 2 and np.diff(ptr).max() <= op4_quality.FIT_PASSAGES and len(x) == ptr[-1] and x.shape[1] == op4_quality.N_FEATURES
+
+
+def test_no_name_is_defined_twice():
+    import ast
+    from pathlib import Path
+
+    for f in Path(op4_quality.__file__).parent.glob("*.py"):
+        for scope in ast.walk(ast.parse(f.read_text())):
+            if isinstance(scope, (ast.Module, ast.ClassDef)):
+                names = [x.name for x in scope.body if isinstance(x, (ast.FunctionDef, ast.ClassDef))]
+                assert len(names) == len(set(names)), f
+
+
+def test_pii_long_runs_of_numbers():
+    import time
+
+    t = time.perf_counter()
+    text = "1 " * 1_000_000
+    n = op7_pii.nodes(text, op7_pii.base(text))
+    assert len(n) == 1 and (n[0].start, n[0].end, n[0].text) == (0, len(text) - 1, text[:-1])
+    assert op7_pii.base("7" * 500_000 + ".")["ip"] == [] and op7_pii.base("1.2.3." * 100_000)["ip"][0] == (0, 7)
+    assert time.perf_counter() - t < 30
+    mixed = op7_pii.nodes("tel 12 34 5a 66 77 a@b 8 9", {k: [] for k in op7_pii.KINDS})
+    assert [x.text for x in mixed] == ["12 34", "5a", "66 77", "a@b", "8 9"]
+
+
+def test_mixing_tells_nulls_apart(spark):
+    """Rows that differ only in which column is null are two items, each within its bounds."""
+    rows = [(1, "a b c d", "en", None), (1, "a b c d", None, "en"), (2, "x y z", "en", "en"), (2, "x y z", "en", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = Counter(map(tuple, op2_mixing.mixed(d).collect()))
+    assert set(out) <= set(rows) and out[rows[0]] <= 2 and out[rows[1]] <= 2 and out[rows[2]] <= 4
+    goal = {r["source"]: r["target"] for r in op2_mixing.targets(op2_mixing.sizes(d)).collect()}
+    for source in (None, "en"):
+        took = sum(n * len(r[1].split()) for r, n in out.items() if r[3] == source)
+        assert abs(took - goal[source]) <= 4
 
 
 def brute_rules(rules, n):
