@@ -17,6 +17,8 @@ Extra columns are ignored by ``decide`` and kept by ``dedup``.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +38,19 @@ def digests(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("digest"))
 
 
+def shared_warehouse(spark: SparkSession) -> None:
+    """Raise on a cluster whose warehouse is the default, a folder of one machine: executors could not share the index."""
+    local = re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master)
+    default = f"{os.getcwd()}/spark-warehouse"
+    if not local and re.sub("^file:/*", "/", spark.conf.get("spark.sql.warehouse.dir", default)).rstrip("/") == default:
+        raise ValueError("set spark.sql.warehouse.dir to a folder that the driver and all executors share")
+
+
 class DigestIndex:
     """digest, keep_id, batch: the digests of all batches, each under the batch that brought it in."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
+        shared_warehouse(spark)
         self.spark, self.name = spark, name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -102,7 +102,8 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         parts = F.when(F.col("fits"), 1).otherwise(F.ceil(F.col("shard_bytes") / limit)).cast("int")
         place = written(_placed(keys.select("h").distinct(), buckets).select(F.col("h").alias("_h"), F.concat_ws("-", "depth", "prefix").alias("shard"), parts.alias("_parts")), "places")
         out = rows.withColumn("_h0", h).join(place, F.col("_h0") == F.col("_h"))
-        out = out.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts"))).repartition("shard", "_part")
+        # A hash of the row, which a stage that is run again gives alike; equal rows of a large shard are one part.
+        out = out.withColumn("_part", F.pmod(F.xxhash64(F.to_json(F.struct(*own.values()), {"ignoreNullFields": "false"})), F.col("_parts"))).repartition("shard", "_part")
         out.select(*[F.col(n).alias(c) for c, n in own.items()], "shard").write.partitionBy("shard").parquet(path)
     return buckets
 

@@ -11,8 +11,8 @@ response records with what refers to them.
 Defined cases: a null html is an empty payload (its conversion is empty); a
 null url gives records without WARC-Target-URI; an empty table gives no rows;
 repeated rows give equal records; columns date (string), http (array of name
-and value), source_id (string) and payload_digest (string) are used where they
-aren't null, and a fixed date, two made-up headers, an invented id and the
+and value), source_id (string), payload_digest (string), head (binary: the HTTP
+status line and headers) and payload (binary) are used where they aren't null, and a fixed date, two made-up headers, an invented id and the
 SHA-1 of the payload stand for them otherwise; other columns are ignored.
 Every page is converted whole. A record of a WARC file without a whole number
 as its length is passed over; a torn last one ends the file.
@@ -34,6 +34,7 @@ from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._text import slices
 
@@ -130,22 +131,61 @@ def header_block(fields: list[tuple[str, str | None]]) -> str:
     return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
 
 
-RESPONSE = "page_id long, source_id string, url string, date string, http array<struct<name: string, value: string>>, payload_digest string, html string"
+RESPONSE = "page_id long, source_id string, url string, date string, http array<struct<name: string, value: string>>, payload_digest string, html string, head binary, payload binary"
 
 
-def respond(page_id: int | None, url: str | None, page: str | None, date: str | None = None, http: list[tuple[str, str]] | None = None, source_id: str | None = None, payload_digest: str | None = None) -> tuple:
-    """One response record, as a tuple of RESPONSE: what is None is made up."""
-    body = page or ""
-    payload = body.encode("utf-8", "surrogatepass")
+def _unchunked(payload: bytes) -> bytes:
+    """The payload without its chunks' sizes; what is no chunk ends it."""
+    out, at = [], 0
+    while (end := payload.find(b"\r\n", at)) >= 0:
+        size = payload[at:end].split(b";")[0].strip()
+        if not size or len(size) > 12 or size.strip(b"0123456789abcdefABCDEF") or not int(size, 16):
+            break
+        n = int(size, 16)
+        out.append(payload[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out)
+
+
+def decoded(payload: bytes, http: list[tuple[str, str]]) -> str:
+    """The page in a payload: chunks and gzip or deflate undone, then decoded by the header's character set, or the page's, or as UTF-8. What can't be undone stays; bytes that are no text become U+FFFD."""
+    field = lambda name: " ".join(v for k, v in http if k.lower() == name).lower()
+    if "chunked" in field("transfer-encoding"):
+        payload = _unchunked(payload) or payload
+    if any(x in field("content-encoding") for x in ("gzip", "deflate")):
+        unpack = zlib.decompressobj(47)  # either form's header
+        try:
+            payload = unpack.decompress(payload) + unpack.flush()
+        except zlib.error:
+            pass
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", field("content-type"))
+    meta = _CHARSET.search(payload[:4096].decode("latin-1"))
+    for name in [m[1] for m in (named, meta) if m] + ["utf-8"]:
+        try:
+            return payload.decode(name, "replace")
+        except (LookupError, ValueError):
+            continue
+    return ""
+
+
+def respond(page_id: int | None, url: str | None, page: str | None, date: str | None = None, http: list[tuple[str, str]] | None = None, source_id: str | None = None, payload_digest: str | None = None, head: bytes | None = None, payload: bytes | None = None) -> tuple:
+    """One response record, as a tuple of RESPONSE: what is None is made up. ``head`` (status line, headers and the blank line) and ``payload`` stay as they are."""
+    if payload is None:
+        body = page or ""
+        payload = body.encode("utf-8", "surrogatepass")
+    else:
+        body = decoded(payload, http or [])
     sha = hashlib.sha1(payload)
     if http is None:
         http = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]
+    if head is None:
+        head = ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in http) + "\r\n").encode("utf-8", "surrogatepass")
     uri = None if url is None else " ".join(url.split())
     digest = payload_digest or "sha1:" + base64.b32encode(sha.digest()).decode()
-    return page_id, source_id or record_id("response", page_id, url, sha.hexdigest()), uri, date or DATE, http, digest, body
+    return page_id, source_id or record_id("response", page_id, url, sha.hexdigest()), uri, date or DATE, http, digest, body, head, payload
 
 
-def derive(page_id: int | None, source: str, uri: str | None, date: str, http: list[tuple[str, str]], digest: str, body: str) -> list[tuple]:
+def derive(page_id: int | None, source: str, uri: str | None, date: str, http: list[tuple[str, str]], digest: str, body: str, *_: object) -> list[tuple]:
     """The two records of one response (a tuple of RESPONSE), as tuples of FIELDS."""
     out = []
     for kind, mime, content in (("metadata", "application/warc-fields", about(body, uri, http)), ("conversion", "text/plain", to_text(body))):
@@ -153,14 +193,14 @@ def derive(page_id: int | None, source: str, uri: str | None, date: str, http: l
     return out
 
 
-def source_record(page_id: int | None, source: str, uri: str | None, date: str, http: list[tuple[str, str]], digest: str, body: str) -> tuple:
-    """The response itself, as a tuple of FIELDS."""
-    head = "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in http) + "\r\n"
-    return _record(page_id, "response", source, None, uri, date, "application/http; msgtype=response", digest, head + body)
+def source_record(page_id: int | None, source: str, uri: str | None, date: str, http: list[tuple[str, str]], digest: str, body: str, head: bytes, payload: bytes) -> tuple:
+    """The response itself, as a tuple of FIELDS with its block: header and payload byte by byte."""
+    block = head + payload
+    return *_record(page_id, "response", source, None, uri, date, "application/http; msgtype=response", digest, None, block), block
 
 
-def _record(page_id: int | None, kind: str, rid: str, refers: str | None, uri: str | None, date: str, mime: str, digest: str, content: str) -> tuple:
-    block = content.encode("utf-8", "surrogatepass")
+def _record(page_id: int | None, kind: str, rid: str, refers: str | None, uri: str | None, date: str, mime: str, digest: str, content: str | None, block: bytes | None = None) -> tuple:
+    block = content.encode("utf-8", "surrogatepass") if block is None else block
     own = sha1(block)
     fields = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Refers-To", refers), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Payload-Digest", digest), ("WARC-Block-Digest", own), ("Content-Type", mime), ("Content-Length", str(len(block)))]
     return page_id, kind, rid, refers, uri, date, mime, len(block), digest, own, header_block(fields), content
@@ -169,7 +209,7 @@ def _record(page_id: int | None, kind: str, rid: str, refers: str | None, uri: s
 def _each(pages: DataFrame, make, schema: str, types: list[pa.DataType]) -> DataFrame:
     """make(*response) gives the rows of each page's response; one pass, no shuffle."""
     names = [f.split()[0] for f in re.sub("<.*>", "", schema).split(", ")]
-    have = [c for c in ("date", "http", "source_id", "payload_digest") if c in pages.columns]
+    have = [c for c in ("date", "http", "source_id", "payload_digest", "head", "payload") if c in pages.columns]
 
     def known(values: tuple) -> dict:
         x = {k: v for k, v in zip(have, values, strict=True) if v is not None}
@@ -187,27 +227,30 @@ def _each(pages: DataFrame, make, schema: str, types: list[pa.DataType]) -> Data
     return pages.select("page_id", "url", "html", *have).mapInArrow(run, schema)
 
 
+#: FIELDS of records among which are responses, whose content is null and whose ``block`` is bytes.
+BLOCKS = f"{FIELDS}, block binary"
 _RECORD_TYPES = [pa.int64() if f.endswith("long") else pa.string() for f in FIELDS.split(", ")]
 
 
 def responses(pages: DataFrame) -> DataFrame:
-    """Response records (RESPONSE) of pages: page_id, url, html, and those of date, http, source_id and payload_digest that there are."""
+    """Response records (RESPONSE) of pages: page_id, url, html, and those of date, http, source_id, payload_digest, head and payload that there are."""
     back = lambda *r: [(*r[:4], [{"name": k, "value": v} for k, v in r[4]], *r[5:])]
-    return _each(pages, back, RESPONSE, [pa.int64(), pa.string(), pa.string(), pa.string(), HTTP, pa.string(), pa.string()])
+    return _each(pages, back, RESPONSE, [pa.int64(), pa.string(), pa.string(), pa.string(), HTTP, pa.string(), pa.string(), pa.binary(), pa.binary()])
 
 
 def derivatives(pages: DataFrame, sources: bool = False) -> DataFrame:
-    """Two rows of FIELDS for each page or response record; with ``sources`` the response itself before them."""
-    make = (lambda *r: [source_record(*r), *derive(*r)]) if sources else derive
-    return _each(pages, make, FIELDS, _RECORD_TYPES)
+    """Two rows of FIELDS for each page or response record; with ``sources`` three rows of BLOCKS, the response itself before them."""
+    if sources:
+        return _each(pages, lambda *r: [source_record(*r), *((*x, None) for x in derive(*r))], BLOCKS, [*_RECORD_TYPES, pa.binary()])
+    return _each(pages, derive, FIELDS, _RECORD_TYPES)
 
 
 def from_warc(records: DataFrame) -> DataFrame:
-    """The responses among records of ``read_warc`` (page_id null), as ``responses`` has them: ids, dates, headers and digests stay. Payloads are taken as UTF-8; what isn't becomes U+FFFD."""
-    from pyspark.sql import functions as F
-
+    """The responses among records of ``read_warc`` (page_id null), as ``responses`` has them: ids, dates, digests, status lines, headers and payloads stay as they are; html is what the payload says (``decoded``)."""
     some = records.where("record_type = 'response'")
-    return some.select(F.lit(None).cast("long").alias("page_id"), F.col("record_id").alias("source_id"), F.col("target_uri").alias("url"), "date", "http", "payload_digest", F.make_valid_utf8(F.col("payload").cast("string")).alias("html"))
+    none = F.lit(None)
+    own = some.select(none.cast("long").alias("page_id"), F.col("record_id").alias("source_id"), F.col("target_uri").alias("url"), "date", "http", "payload_digest", none.cast("string").alias("html"), "head", "payload")
+    return responses(own)
 
 
 def archive(pages: DataFrame, path: str) -> None:
@@ -220,9 +263,10 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
 
     Files are plain: Spark's writer compresses whole files, not records one by one as readers that seek expect; ``compression`` takes its names.
     """
-    from pyspark.sql import functions as F
-
-    records.select(F.concat("headers", F.lit("\r\n"), "content").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    block = F.coalesce(F.col("block"), F.col("content").cast("binary")) if "block" in records.columns else F.col("content").cast("binary")
+    # Bytes pass through a string column as they are: it is only written.
+    value = F.concat(F.concat("headers", F.lit("\r\n")).cast("binary"), block).cast("string")
+    records.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -247,10 +291,10 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         return
 
 
-def http_message(block: bytes) -> tuple[list[dict[str, str]], bytes]:
-    """Headers (folded lines joined) and payload of an HTTP response."""
+def http_message(block: bytes) -> tuple[list[dict[str, str]], bytes, bytes]:
+    """Headers (folded lines joined), raw header block (status line to blank line) and payload of an HTTP response."""
     end = _HTTP_END.search(block)
-    head, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    head, payload = (block[: end.end()], block[end.end() :]) if end else (block, b"")
     out: list[dict[str, str]] = []
     for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
         if line[:1] in (" ", "\t") and out:
@@ -258,11 +302,11 @@ def http_message(block: bytes) -> tuple[list[dict[str, str]], bytes]:
         elif ":" in line:
             k, _, v = line.partition(":")
             out.append({"name": k.strip(), "value": v.strip()})
-    return out, payload
+    return out, head, payload
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, record_id, refers_to, target_uri, date, payload_digest, block_digest, content_type, block of all records under path (files under 2 GB); http and payload: headers and body of records that are HTTP messages, else null and the block."""
+    """record_type, record_id, refers_to, target_uri, date, payload_digest, block_digest, content_type, block of all records under path (files under 2 GB); http, head and payload: headers, raw header block and body of records that are HTTP messages, else null, null and the block."""
     keys = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-block-digest", "content-type"]
     names = ["record_type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "block_digest", "content_type"]
 
@@ -271,8 +315,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 rows = parse(batch.column(0)[i].as_py())
                 while part := list(itertools.islice(rows, 200)):
-                    split = [http_message(b) if h.get("warc-type") == "response" and h.get("content-type", "").lower().startswith("application/http") else (None, b) for h, b in part]
-                    more = [pa.array([b for _, b in part], pa.binary()), pa.array([x for x, _ in split], HTTP), pa.array([x for _, x in split], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*[pa.array([h.get(k) for h, _ in part], pa.string()) for k in keys], *more], [*names, "block", "http", "payload"])
+                    split = [http_message(b) if h.get("warc-type") == "response" and h.get("content-type", "").lower().startswith("application/http") else (None, None, b) for h, b in part]
+                    more = [pa.array([b for _, b in part], pa.binary()), pa.array([x[0] for x in split], HTTP), *[pa.array([x[i] for x in split], pa.binary()) for i in (1, 2)]]
+                    yield pa.RecordBatch.from_arrays([*[pa.array([h.get(k) for h, _ in part], pa.string()) for k in keys], *more], [*names, "block", "http", "head", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", block binary, http array<struct<name: string, value: string>>, payload binary")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", block binary, http array<struct<name: string, value: string>>, head binary, payload binary")
