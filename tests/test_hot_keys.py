@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from driftlake.operators import dataset, hunks, messages, ranks, weights
+from driftlake.functions.text import similarity
+from driftlake.operators import dataset, drift, hunks, messages, ranks, weights
 
 
 @pytest.mark.parametrize("parts", ["1", "3", "9"])
@@ -96,3 +97,53 @@ def test_holes_keep_their_kind():
     for _ in range(3000):
         v = [rng.choice(pool) for _ in range(rng.randint(0, 6))]
         assert messages.hole_kind(messages._kept(v)) == messages.hole_kind(v), v
+
+
+def plain_pairs(events, threshold=drift.THRESHOLD):
+    out = []
+    for path in {e[0] for e in events}:
+        own = sorted((e for e in events if e[0] == path), key=lambda e: e[1])
+        free = [e for e in own if e[2] == "added"]
+        for x in (e for e in own if e[2] == "removed"):
+            best, at = threshold, None
+            for y in free:
+                r = similarity(x[3] or "", y[4] or "")
+                if r >= best and (at is None or r > best):
+                    best, at = r, y
+            if at:
+                free.remove(at)
+                out.append((path, "retext", x[3], at[4], round(best, 9)))
+            else:
+                out.append((path, "removed", x[3], None, None))
+        out += [(path, "added", None, y[4], None) for y in free]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block,choices", [(256, 1_000_000), (3, 40)])
+def test_fuzzy_pairs(spark, monkeypatch, block, choices):
+    """A hot path, copies on both sides, ties, empty and null texts, long and short ones."""
+    monkeypatch.setattr(drift, "BLOCK", block)
+    monkeypatch.setattr(drift, "CHOICES", choices)
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abc de") for _ in range(n))
+    pool = [say(rng.choice([3, 8, 20, 60])) for _ in range(12)] + ["", "copy of one", "copy of one"]
+    events = []
+    for path, n in (("hot", 60), ("p", 7), ("q", 1), (None, 5)):
+        for i in range(n):
+            t = list(rng.choice(pool))
+            for _ in range(rng.randint(0, 3)):
+                t.insert(rng.randint(0, len(t)), rng.choice("xyz"))
+            t = "".join(t) if rng.random() < 0.95 else None
+            events.append((path, i, "removed", t, None, "a", None) if rng.random() < 0.5 else (path, i, "added", None, t, None, "b"))
+    df = spark.createDataFrame(events, "path string, idx int, kind string, before string, after string, before_name string, after_name string")
+    got = sorted(((r["path"], r["kind"], r["before"], r["after"], None if r["similarity"] is None else round(r["similarity"], 9)) for r in drift.paired(df).collect()), key=repr)
+    assert got == plain_pairs(events) and {r[1] for r in got} == {"retext", "removed", "added"}
+
+
+def test_few_pairs_are_compared(spark):
+    """Texts that can't be alike, by their length or letters, are not compared."""
+    rng = random.Random(10)
+    side = lambda n, at: [("hot", i + at, "".join(rng.choice(letters) for _ in range(size))) for i in range(n) for letters, size in [rng.choice([("abcdefg", 30), ("hijklmn", 30), ("opqrstu", 30), ("abcdefg", 200)])]]
+    a, b = (spark.createDataFrame(side(120, k), "path string, idx int, text string") for k in (0, 500))
+    compared = drift.similar(a, b).agg(F.sum("compared")).first()[0]
+    assert 0 < compared < 0.4 * 120 * 120
