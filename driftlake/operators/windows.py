@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..session import kept
 
 COLUMNS = ["kind", "key", "source", "ref", "base", "tip", "date", "pr", "version_before", "version_after"]
 
@@ -88,11 +89,6 @@ def picked(found: DataFrame, kind: str | None = None, most: int = 0) -> DataFram
     return f.orderBy(F.desc("date"), "kind", "key", "base", "tip").limit(most) if most else f
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder, or without one (local runs) in the executors' storage."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def reachable(commits: DataFrame, include: list[str] | DataFrame, exclude: list[str] | DataFrame) -> DataFrame:
     """Commits reachable from ``include`` and not from ``exclude`` (lists, or DataFrames with column sha).
 
@@ -104,11 +100,11 @@ def reachable(commits: DataFrame, include: list[str] | DataFrame, exclude: list[
     """
     spark = commits.sparkSession
     edges = commits.select("sha", "parents")
-    jumps, step = [], _kept(edges.select("sha", F.try_element_at("parents", F.lit(1)).alias("to")).where("to is not null"))
+    jumps, step = [], kept(edges.select("sha", F.try_element_at("parents", F.lit(1)).alias("to")).where("to is not null"))
     while not step.isEmpty():
         jumps.append(step)
-        step = _kept(step.join(step.select(F.col("sha").alias("to"), F.col("to").alias("far")), "to").select("sha", F.col("far").alias("to")))
-    side = _kept(edges.select("sha", F.explode(F.slice("parents", 2, F.greatest(F.size("parents"), F.lit(1)))).alias("parent")))
+        step = kept(step.join(step.select(F.col("sha").alias("to"), F.col("to").alias("far")), "to").select("sha", F.col("far").alias("to")))
+    side = kept(edges.select("sha", F.explode(F.slice("parents", 2, F.greatest(F.size("parents"), F.lit(1)))).alias("parent")))
 
     def walk(tips: list[str] | DataFrame) -> DataFrame:
         start = tips.select("sha") if isinstance(tips, DataFrame) else spark.createDataFrame([(t,) for t in tips], "sha string")
@@ -116,9 +112,9 @@ def reachable(commits: DataFrame, include: list[str] | DataFrame, exclude: list[
         while True:
             for jump in jumps:
                 front = front.union(front.join(jump, "sha").select(F.col("to").alias("sha"))).distinct()
-            front = _kept(front)
-            seen = front if seen is None else _kept(seen.union(front).distinct())
-            front = _kept(front.join(side, "sha").select(F.col("parent").alias("sha")).distinct().join(seen, "sha", "left_anti"))
+            front = kept(front)
+            seen = front if seen is None else kept(seen.union(front).distinct())
+            front = kept(front.join(side, "sha").select(F.col("parent").alias("sha")).distinct().join(seen, "sha", "left_anti"))
             if front.isEmpty():
                 return seen
 

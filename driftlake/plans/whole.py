@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..catalog import query
 from ..functions import text as X
-from ..operators import classify, hunks, rules, search, snapshot, windows
+from ..operators import classify, hunks, messages, ranks, rules, search, snapshot, windows
 from ..sources import readers, writers
 from ..sources.readers import table
 from .queries import CAUSED, OBS, SNAP, _causes, _edits, _files, _hops, _LN, _lines, _observations, _snapshots, _sql_terms, TERMS
@@ -439,3 +439,23 @@ def namespaces_of_events(spark: S, d: str) -> DataFrame:
     text = F.when(F.col("event_type") == "view", F.concat(F.lit("namespace N"), "event_id")).when(F.col("event_type") == "click", "noncomputable section").when(F.col("event_type") == "error", "  end x").otherwise("ended")
     n = hunks.namespaces(e.select(F.col("user_id").alias("path"), F.col("event_id").alias("line"), text.alias("text")))
     return n.select(F.col("path").alias("user_id"), F.col("line").alias("event_id"), "namespace")
+
+
+_RELEASES = "SELECT p_partkey, (p_size % 5) || '.' || (p_partkey % 40) || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '.' || (p_partkey % 3) END || CASE WHEN p_partkey % 4 = 0 THEN '-rc' || (p_partkey % 9) ELSE '' END AS release FROM part"
+
+
+@query(rf"""WITH r AS ({_RELEASES}), v AS (SELECT *, split_part(release, '-', 1) AS plain FROM r WHERE regexp_matches(release, '^\d+\.\d+\.\d+(-.*)?$'))
+SELECT p_partkey, release, row_number() OVER (ORDER BY split_part(plain, '.', 1)::INT, split_part(plain, '.', 2)::INT, split_part(plain, '.', 3)::INT, plain = release, release, p_partkey) - 1 AS place FROM v""")
+def versions_in_order(spark: S, d: str) -> DataFrame:
+    """Versions made of the parts' keys: those that are valid, and their places in order, counted over ranges."""
+    k = F.col("p_partkey")
+    release = F.concat(F.col("p_size") % 5, F.lit("."), k % 40, F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("."), k % 3)), F.when(k % 4 == 0, F.concat(F.lit("-rc"), k % 9)).otherwise(""))
+    r = table(spark, d, "part").select("p_partkey", release.alias("release")).where(X.valid_version(F.col("release")))
+    return ranks.placed(r, [X.version(F.col("release")), F.col("p_partkey")])
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^ \n]+')) AS template FROM conversations) SELECT template, count(*) AS count FROM w GROUP BY template""")
+def template_listing(spark: S, d: str) -> DataFrame:
+    """How often each template was assigned: words stand for templates here."""
+    w = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))).alias("template"))
+    return messages.listing(w)

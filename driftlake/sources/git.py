@@ -1,7 +1,8 @@
 """Connectors to a git repository that driver and executors can open at the same path.
 
-Lists (tags, heads, logs) are read by one process on the driver; diffs and
-blobs are read on the executors, one batch process a partition.
+Lists of names (tags, heads, commits) are read by one process on the driver;
+commit records, diffs and blobs are read on the executors, one process a
+range or batch.
 """
 
 from __future__ import annotations
@@ -41,11 +42,28 @@ def heads(spark: SparkSession, repo: str) -> DataFrame:
     return spark.createDataFrame(rows, "ref string, sha string")
 
 
+#: Commits whose records one git process reads.
+RANGE = 5000
+
+
 def log(spark: SparkSession, repo: str, *revspec: str, paths: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
-    """Commits as readers.COMMIT, newest first by seq."""
-    args = ["log", "--format=%H%x1f%P%x1f%aI%x1f%s%x1f%b%x1e", *([f"-{limit}"] if limit else []), *(revspec or ("HEAD",)), *(["--", *paths] if paths else [])]
-    raw = run(repo, *args).decode(errors="replace")
-    return readers.commits(spark.createDataFrame([(raw,)], "value string"))
+    """Commits as readers.COMMIT, newest first by seq.
+
+    The driver lists the commits' names alone; the records are read in ranges
+    of RANGE commits on the executors.
+    """
+    names = run(repo, "rev-list", *([f"--max-count={limit}"] if limit else []), *(revspec or ("HEAD",)), *(["--", *paths] if paths else [])).decode().split()
+    ranges = [(i, "\n".join(names[i : i + RANGE])) for i in range(0, len(names), RANGE)]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at, some in zip(pdf["seq"], pdf["names"], strict=True):
+                raw = run(repo, "log", "--no-walk=unsorted", "--stdin", "--format=%H%x1f%P%x1f%aI%x1f%s%x1f%b%x1e", stdin=f"{some}\n".encode())
+                records = raw.decode(errors="replace").split("\x1e")[:-1]
+                yield pd.DataFrame({"seq": range(at, at + len(records)), "value": records})
+
+    lists = spark.createDataFrame(ranges, "seq long, names string").repartition(max(1, len(ranges)))
+    return readers.commits(lists.mapInPandas(read, "seq long, value string"))
 
 
 def rev_parse(repo: str, ref: str) -> str:

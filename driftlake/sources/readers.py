@@ -204,8 +204,9 @@ def snapshot_file(spark: SparkSession, path: str, types: bool = False) -> DataFr
 
 
 def commits(raw: DataFrame) -> DataFrame:
-    """A log text (value) with records ended by 0x1e and fields by 0x1f; records with under four fields are skipped."""
-    rec = raw.select(F.posexplode(F.split("value", "\x1e")).alias("seq", "r")).withColumn("f", F.split(F.regexp_replace("r", r"^\s+", ""), "\x1f")).where(F.size("f") >= 4)
+    """A log text (value) with records ended by 0x1e and fields by 0x1f; records with under four fields are skipped. Where raw has ``seq``, each row is one record."""
+    each = raw.select("seq", F.col("value").alias("r")) if "seq" in raw.columns else raw.select(F.posexplode(F.split("value", "\x1e")).alias("seq", "r"))
+    rec = each.withColumn("f", F.split(F.regexp_replace("r", r"^\s+", ""), "\x1f")).where(F.size("f") >= 4)
     g = lambda i: F.try_element_at("f", F.lit(i))
     return rec.select("seq", g(1).alias("sha"), F.filter(F.split(g(2), " "), lambda p: p != "").alias("parents"), g(3).alias("author_date"), g(4).alias("subject"), F.coalesce(g(5), F.lit("")).alias("body"))
 
