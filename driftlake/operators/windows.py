@@ -89,32 +89,76 @@ def picked(found: DataFrame, kind: str | None = None, most: int = 0) -> DataFram
     return f.orderBy(F.desc("date"), "kind", "key", "base", "tip").limit(most) if most else f
 
 
+def _jumps(step: DataFrame) -> list[DataFrame]:
+    """Tables (sha, to) of the commit 1, 2, 4, ... steps away."""
+    out, step = [], kept(step, "jump")
+    while not step.isEmpty():
+        out.append(step)
+        step = kept(step.join(step.select(F.col("sha").alias("to"), F.col("to").alias("far")), "to").select("sha", F.col("far").alias("to")), "jump")
+    return out
+
+
+def _depths(commits: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """sha, depth: steps until there are no more, by the longest jumps first."""
+    cur = commits.select("sha", F.col("sha").alias("at"), F.lit(0).cast("long").alias("depth"))
+    for k, jump in reversed(list(enumerate(jumps))):
+        cur = cur.join(jump.select(F.col("sha").alias("at"), "to"), "at", "left").select("sha", F.coalesce("to", "at").alias("at"), (F.col("depth") + F.when(F.col("to").isNotNull(), 1 << k).otherwise(0)).alias("depth"))
+    return kept(cur.select("sha", "depth"), "depths")
+
+
+#: Times that each commit's main parent is chosen anew.
+IMPROVED = 3
+
+
+def main_parents(commits: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (sha, parent, main), one main parent a commit, and the jumps along main parents.
+
+    Main is first the first parent. While another parent has a longer way of
+    main parents below it (its generation, as far as it is known), that one
+    takes its place, IMPROVED times at most: so long histories become long
+    ways, whichever parent of a merge they go through.
+    """
+    edges = kept(commits.select("sha", F.posexplode("parents").alias("place", "parent")), "edges")
+    main = edges.where("place = 0").select("sha", F.col("parent").alias("to"))
+    jumps = _jumps(main)
+    for _ in range(IMPROVED if not edges.where("place > 0").isEmpty() else 0):
+        depth = _depths(commits, jumps).select(F.col("sha").alias("parent"), "depth")
+        best = edges.join(depth, "parent", "left").groupBy("sha").agg(F.max_by("parent", F.struct(F.coalesce("depth", F.lit(-1).cast("long")).alias("d"), (-F.col("place")).alias("p"))).alias("to"))
+        best = kept(best, "main")
+        if best.join(jumps[0].withColumnRenamed("to", "was"), "sha").where("to <> was").isEmpty():
+            break
+        jumps = _jumps(best)
+    m = jumps[0] if jumps else main
+    return edges.join(m, "sha", "left").select("sha", "parent", F.col("parent").eqNullSafe(F.col("to")).alias("main")), jumps
+
+
+def _round(front: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """front and all that main parents lead to from it. Each step reads the one before it once, so the plan grows with the jumps, not with their power set."""
+    for jump in jumps:
+        front = front.join(jump, "sha", "left").select(F.explode(F.array_compact(F.array("sha", "to"))).alias("sha")).distinct()
+    return kept(front, "front")
+
+
 def reachable(commits: DataFrame, include: list[str] | DataFrame, exclude: list[str] | DataFrame) -> DataFrame:
     """Commits reachable from ``include`` and not from ``exclude`` (lists, or DataFrames with column sha).
 
-    First parents are followed in doubled steps: the commit 1, 2, 4, ... first
-    parents away is a table of one row a commit, and a set is closed under
-    first parents by one join a table. Other parents of what was reached begin
-    the next round, so there are as many rounds as merges on the way, not as
-    many joins as generations.
+    Main parents are followed in doubled steps: a set is closed under them by
+    one join a jump table. Other parents of what was reached begin the next
+    round. Since main parents lead down the longest ways (``main_parents``),
+    there are as many rounds as side branches that a way enters, not as many as
+    it has merges.
     """
     spark = commits.sparkSession
-    edges = commits.select("sha", "parents")
-    jumps, step = [], kept(edges.select("sha", F.try_element_at("parents", F.lit(1)).alias("to")).where("to is not null"))
-    while not step.isEmpty():
-        jumps.append(step)
-        step = kept(step.join(step.select(F.col("sha").alias("to"), F.col("to").alias("far")), "to").select("sha", F.col("far").alias("to")))
-    side = kept(edges.select("sha", F.explode(F.slice("parents", 2, F.greatest(F.size("parents"), F.lit(1)))).alias("parent")))
+    edges, jumps = main_parents(commits)
+    side = kept(edges.where("NOT main").select("sha", "parent"), "side")
 
     def walk(tips: list[str] | DataFrame) -> DataFrame:
         start = tips.select("sha") if isinstance(tips, DataFrame) else spark.createDataFrame([(t,) for t in tips], "sha string")
         seen, front = None, start.distinct()
         while True:
-            for jump in jumps:
-                front = front.union(front.join(jump, "sha").select(F.col("to").alias("sha"))).distinct()
-            front = kept(front)
-            seen = front if seen is None else kept(seen.union(front).distinct())
-            front = kept(front.join(side, "sha").select(F.col("parent").alias("sha")).distinct().join(seen, "sha", "left_anti"))
+            front = _round(front, jumps)
+            seen = front if seen is None else kept(seen.union(front).distinct(), "seen")
+            front = kept(front.join(side, "sha").select(F.col("parent").alias("sha")).distinct().join(seen, "sha", "left_anti"), "next")
             if front.isEmpty():
                 return seen
 
