@@ -49,3 +49,22 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_no_name_is_defined_twice():
+    import ast
+    from pathlib import Path
+
+    for f in Path(catalog.__file__).parent.rglob("*.py"):
+        for scope in ast.walk(ast.parse(f.read_text())):
+            if isinstance(scope, (ast.Module, ast.ClassDef)):
+                names = [x.name for x in scope.body if isinstance(x, (ast.FunctionDef, ast.ClassDef))]
+                assert len(names) == len(set(names)), f
+
+
+def test_no_query_is_registered_twice():
+    name = next(iter(catalog.queries()))
+    f = lambda spark, d: None
+    f.__name__ = name
+    with pytest.raises(ValueError, match=name):
+        catalog.query()(f)
