@@ -92,15 +92,16 @@ def short_hash(*parts: Column, n: int = 16) -> Column:
 # Run-specific parts of messages, in order, and what stands for each.
 SCRUBS = [
     ("[A-Za-z_][A-Za-z0-9_'!?]*\u271d[\u00b9\u00b2\u00b3\u2070-\u2079]*", "\u2039inacc\u203a"),
-    (r"\?m\.[0-9]+", "?m.\u2039n\u203a"),
-    (r"\?u\.[0-9]+", "?u.\u2039n\u203a"),
-    (r"\._@\.[A-Za-z0-9_.]+\._hyg\.[0-9]+", ".\u2039hyg\u203a"),
-    (r"\._hyg\.[0-9]+", ".\u2039hyg\u203a"),
-    (r"\bu_[0-9]+\b", "u_\u2039n\u203a"),
+    (r"\?m\.\d+", "?m.\u2039n\u203a"),
+    (r"\?u\.\d+", "?u.\u2039n\u203a"),
+    (r"\._@\.[A-Za-z0-9_.]+\._hyg\.\d+", ".\u2039hyg\u203a"),
+    (r"\._hyg\.\d+", ".\u2039hyg\u203a"),
+    (r"\bu_\d+\b", "u_\u2039n\u203a"),
+    # A path: Java's \w is ASCII alone, so letters and digits of any script are named.
     (r"(/[\p{L}\p{N}_.\-+]+)+/([\p{L}\p{N}_.\-+]+\.lean)", "$2"),
-    (r"\b[0-9]+ heartbeats?\b", "\u2039n\u203a heartbeats"),
-    (r"\b[0-9]+(\.[0-9]+)?\s?(ms|s|MB|KB|GB)\b", "\u2039n\u203a$2"),
-    (r"\b(match|proof|eq|fun)_[0-9]+\b", "$1_\u2039n\u203a"),
+    (r"\b\d+ heartbeats?\b", "\u2039n\u203a heartbeats"),
+    (r"\b\d+(\.\d+)?\s?(ms|s|MB|KB|GB)\b", "\u2039n\u203a$2"),
+    (r"\b(match|proof|eq|fun)_\d+\b", "$1_\u2039n\u203a"),
 ]
 TRAILERS = r"(?m)^(Hint|Note|Explanation|Additional information)\s*:"
 
