@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from .cascades import collapse as collapse
 from .ranks import placed
 
 
@@ -33,36 +33,6 @@ def after_first_error(cluster: Column, order: list[Column], severity: Column, pr
     return (severity == "warning") & prone & (F.min(F.when(severity == "error", pos)).over(w) < pos)
 
 
-def collapse(obs: DataFrame) -> DataFrame:
-    """is_root for each (cluster, seq, fingerprint, severity, start, end, prone) row.
-
-    Not a root: a repeat of (fingerprint, place); a start inside an earlier
-    root error's span; a prone warning after the first root error. Recursive
-    in the roots, so each cluster is folded in order; the fold keeps only the
-    spans that are open.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "seq"], kind="stable")
-        seen, spans, first, root = set(), [], None, []
-        for fp, sev, s, e, prone in zip(pdf["fingerprint"], pdf["severity"], pdf["start"], pdf["end"], pdf["prone"], strict=True):
-            key = (fp, s)
-            ok = key not in seen
-            seen.add(key)
-            spans = [x for x in spans if x[1] > s]  # starts only grow
-            ok = ok and not any(a < s for a, _ in spans) and not (first is not None and s > first and sev == "warning" and prone)
-            root.append(ok)
-            if ok and sev == "error":
-                first = s if first is None else first
-                if pd.notna(e):
-                    spans.append((s, e))
-        return pdf.assign(is_root=root)[["cluster", "seq", "is_root"]]
-
-    kind = lambda c: obs.schema[c].dataType.simpleString()
-    cols = obs.select("cluster", "seq", "fingerprint", "severity", "start", "end", "prone")
-    return cols.groupBy("cluster").applyInPandas(one, f"cluster {kind('cluster')}, seq {kind('seq')}, is_root boolean")
-
-
 def prone(template: Column) -> Column:
     return F.greatest(*[template.contains(p) for p in vocab.CASCADE_PRONE])
 

@@ -147,3 +147,42 @@ def test_few_pairs_are_compared(spark):
     a, b = (spark.createDataFrame(side(120, k), "path string, idx int, text string") for k in (0, 500))
     compared = drift.similar(a, b).agg(F.sum("compared")).first()[0]
     assert 0 < compared < 0.4 * 120 * 120
+
+
+def _fold(rows):
+    """is_root by (cluster, seq): every cluster in order, with the spans that are open."""
+    out = {}
+    for c in {r[0] for r in rows}:
+        seen, spans, first = set(), [], None
+        for _, seq, fp, sev, s, e, prone in sorted((r for r in rows if r[0] == c), key=lambda r: (r[4] is None, r[4] or 0, r[1])):
+            ok = (fp, s) not in seen
+            seen.add((fp, s))
+            if s is not None:
+                ok = ok and not any(a < s < b for a, b in spans) and not (first is not None and s > first and sev == "warning" and prone)
+                if ok and sev == "error":
+                    first = s if first is None else first
+                    spans += [(s, e)] if e is not None else []
+            out[c, seq] = ok
+    return out
+
+
+@pytest.mark.parametrize("parts", ["1", "3", "16"])
+def test_cascades(spark, parts):
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        c, s = (rng.choice([1, 2, None]), rng.randint(0, 60)) if i % 3 else (7, rng.randint(0, 400))  # cluster 7 is hot
+        s = None if rng.random() < 0.02 else s
+        e = None if s is None or rng.random() < 0.1 else s + rng.choice([-1, 0, 1, 2, 5, 9] + [90] * (c is None))
+        rows.append((c, i, rng.choice("abcd"), rng.choice(["error", "warning", "info", None]), s, e, rng.choice([True, False, None])))
+    # Spans that only link up one by one: what a range hands on changes what the next ones do.
+    rows += [(9, 5000 + i, "x", "error", 10 * i, 10 * i + (15 if i else 18), False) for i in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        kind = "cluster int, seq int, fingerprint string, severity string, start long, end long, prone boolean"
+        got = weights.collapse(spark.createDataFrame(rows, kind))
+        assert {(r["cluster"], r["seq"]): r["is_root"] for r in got.collect()} == _fold(rows)
+        assert weights.collapse(spark.createDataFrame([], kind)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
