@@ -25,14 +25,15 @@ import gzip
 import hashlib
 import html as htmllib
 import io
-import itertools
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
-from urllib.parse import urljoin
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import quote, urljoin
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,21 +270,35 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
     records.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of one WARC file, plain or gzip (unpacked as it is read). Blocks are taken by Content-Length."""
-    f = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+_PIECE = 1 << 20
+
+
+def _block(f: BinaryIO, n: int) -> bytes:
+    """The next n bytes, or what there is of them: a wrong length takes no memory that its file doesn't fill."""
+    parts = []
+    while n > 0 and (part := f.read(min(n, _PIECE))):
+        parts.append(part)
+        n -= len(part)
+    return b"".join(parts)
+
+
+def parse(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of one WARC file, plain or gzip, given as bytes or as an open file: it is unpacked as it is read, and one record is held at a time. Blocks are taken by Content-Length."""
+    f: BinaryIO = io.BufferedReader(io.BytesIO(data) if isinstance(data, bytes) else data, _PIECE)
+    if f.peek(2)[:2] == b"\x1f\x8b":
+        f = gzip.GzipFile(fileobj=f)
     try:
-        while line := f.readline():
+        while line := f.readline(_PIECE):
             if not line.startswith(b"WARC/"):
                 continue
             head: dict[str, str] = {}
-            while (line := f.readline()).strip():
+            while (line := f.readline(_PIECE)).strip():
                 k, _, v = line.decode("utf-8", "replace").partition(":")
                 head[k.strip().lower()] = v.strip()
             length = head.get("content-length", "0") or "0"
             if not (line and length.isascii() and length.isdigit() and len(length) < 19):
                 continue
-            block = f.read(int(length))
+            block = _block(f, int(length))
             if len(block) < int(length):
                 return
             yield head, block
@@ -305,18 +320,54 @@ def http_message(block: bytes) -> tuple[list[dict[str, str]], bytes, bytes]:
     return out, head, payload
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, record_id, refers_to, target_uri, date, payload_digest, block_digest, content_type, block of all records under path (files under 2 GB); http, head and payload: headers, raw header block and body of records that are HTTP messages, else null, null and the block."""
+#: Schemes of paths that executors open by themselves, without Hadoop's libraries.
+STREAMED = ("file", "s3", "s3a", "s3n", "gs", "abfs", "abfss")
+
+
+def open_file(path: str) -> BinaryIO:
+    """A file under one of the schemes STREAMED, to be read from its start."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb", buffering=0)
+    system, name = FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{quote(rest, safe='/@:.')}")
+    return system.open_input_stream(name, compression=None)
+
+
+def _parts(records: Iterator[tuple[dict[str, str], bytes]], most: int = 200, size: int = 1 << 25) -> Iterator[list[tuple[dict[str, str], bytes]]]:
+    """Records in lists of ``most`` or, where they are large, of about ``size`` bytes."""
+    part, held = [], 0
+    for r in records:
+        part.append(r)
+        held += len(r[1])
+        if len(part) >= most or held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def read_warc(spark: SparkSession, path: str, opener: Callable[[str], BinaryIO] | None = None) -> DataFrame:
+    """record_type, record_id, refers_to, target_uri, date, payload_digest, block_digest, content_type, block of all records under path; http, head and payload: headers, raw header block and body of records that are HTTP messages, else null, null and the block.
+
+    A task streams its files and holds one batch of records, whatever the size
+    of a file. Executors open them by ``opener`` (path to open file), or by
+    ``open_file`` for the schemes STREAMED; without an opener, Spark reads files
+    of other schemes (hdfs), whole, and they must be under 2 GB.
+    """
     keys = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-block-digest", "content-type"]
     names = ["record_type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "block_digest", "content_type"]
+    files = spark.read.format("binaryFile").load(path)
+    one = None if opener else files.select("path").first()
+    streamed = opener or (open_file if one and one["path"].partition(":")[0] in STREAMED else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = parse(batch.column(0)[i].as_py())
-                while part := list(itertools.islice(rows, 200)):
-                    split = [http_message(b) if h.get("warc-type") == "response" and h.get("content-type", "").lower().startswith("application/http") else (None, None, b) for h, b in part]
-                    more = [pa.array([b for _, b in part], pa.binary()), pa.array([x[0] for x in split], HTTP), *[pa.array([x[i] for x in split], pa.binary()) for i in (1, 2)]]
-                    yield pa.RecordBatch.from_arrays([*[pa.array([h.get(k) for h, _ in part], pa.string()) for k in keys], *more], [*names, "block", "http", "head", "payload"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", block binary, http array<struct<name: string, value: string>>, head binary, payload binary")
+                value = batch.column(0)[i].as_py()
+                with streamed(value) if streamed else io.BytesIO(value) as f:
+                    for part in _parts(parse(f)):
+                        split = [http_message(b) if h.get("warc-type") == "response" and h.get("content-type", "").lower().startswith("application/http") else (None, None, b) for h, b in part]
+                        more = [pa.array([b for _, b in part], pa.binary()), pa.array([x[0] for x in split], HTTP), *[pa.array([x[i] for x in split], pa.binary()) for i in (1, 2)]]
+                        yield pa.RecordBatch.from_arrays([*[pa.array([h.get(k) for h, _ in part], pa.string()) for k in keys], *more], [*names, "block", "http", "head", "payload"])
+
+    return files.select("path" if streamed else "content").mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", block binary, http array<struct<name: string, value: string>>, head binary, payload binary")

@@ -830,3 +830,36 @@ def test_shards_of_a_large_row_group(spark, tmp_path):
     for k in (1, 5):
         op1_sharding.write_shards(d.repartition(k), str(tmp_path / f"m{k}"), 500)
         assert Counter(r["source"] for r in spark.read.parquet(str(tmp_path / f"m{k}")).collect()) == {f"s{i}": 1 for i in range(60)}
+
+
+def test_warc_files_are_streamed(spark, tmp_path):
+    """Files are read piece by piece, packed record by record or not; a wrong length takes no memory, and large records go on in small batches."""
+    import gzip
+    import io
+
+    record = lambda i, b: b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:%d>\r\nContent-Length: %d\r\n\r\n" % (i, len(b)) + b + b"\r\n\r\n"
+    blocks = [bytes([i]) * (i * 300_000) + b"\r\n\r\nWARC/1.1\r\n" for i in range(8)]
+    (tmp_path / "w w%").mkdir()
+    (tmp_path / "w w%" / "a.warc").write_bytes(b"".join(record(i, b) for i, b in enumerate(blocks)))
+    (tmp_path / "w w%" / "b.warc.gz").write_bytes(b"".join(gzip.compress(record(i + 8, b)) for i, b in enumerate(blocks)))
+    w = op9_warc.read_warc(spark, str(tmp_path / "w w%"))
+    want = {f"<urn:uuid:{i}>": blocks[i % 8] for i in range(16)}
+    assert {r["record_id"]: bytes(r["block"]) for r in w.collect()} == want
+    assert "content#" not in w._jdf.queryExecution().executedPlan().toString()
+    local = op9_warc.read_warc(spark, str(tmp_path / "w w%"), opener=lambda p: open(p.removeprefix("file:"), "rb"))
+    assert {r["record_id"]: bytes(r["block"]) for r in local.collect()} == want
+
+    class Watched(io.BytesIO):
+        largest = 0
+
+        def readinto(self, b):
+            Watched.largest = max(Watched.largest, len(b))
+            return super().readinto(b)
+
+    for data in (record(1, b"ok"), gzip.compress(record(1, b"ok"))):
+        torn = b"WARC/1.1\r\nContent-Length: 999999999999999999\r\n\r\nx"
+        got = list(op9_warc.parse(Watched(data + (gzip.compress(torn) if data[:1] == b"\x1f" else torn))))
+        assert [b for _, b in got] == [b"ok"]
+    assert 0 < Watched.largest <= 1 << 20
+    assert [len(p) for p in op9_warc._parts(iter([({}, b"x" * 10)] * 7), most=3, size=100)] == [3, 3, 1]
+    assert [len(p) for p in op9_warc._parts(iter([({}, b"x" * 60)] * 5), most=9, size=100)] == [2, 2, 1]
