@@ -10,31 +10,41 @@ from ..functions import text as X
 from . import search
 
 
-def _first(rows: DataFrame, value: str, n: int, name: str, distinct: bool = True) -> DataFrame:
-    """old, new and the first ``n`` values by seq: values are cut by rank before they are gathered, so a popular rule is no large row."""
-    v = rows.where(F.nullif(F.col(value).cast("string"), F.lit("")).isNotNull()).select("old", "new", F.col(value).alias("v"), "seq")
-    v = v.groupBy("old", "new", "v").agg(F.min("seq").alias("seq")) if distinct else v
-    v = v.withColumn("_n", F.row_number().over(Window.partitionBy("old", "new").orderBy("seq", "v"))).where(F.col("_n") <= n)
-    return v.groupBy("old", "new").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "v"))), lambda x: x["v"]).alias(name))
+def _first(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group, with their place ``_n``: cut by rank before they are gathered, so a popular rule is no large row."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n)
 
 
 def _summed(rows: DataFrame, kind: str) -> DataFrame:
-    """Rules of rows (old, new, ...)."""
-    r = rows.groupBy("old", "new").agg(
-        F.count("*").alias("support"), F.sum("duplicate_count").alias("support_weighted"), F.countDistinct("file").alias("files"), F.min_by("label", "seq").alias("label"),
-        F.array_sort(F.collect_set(F.nullif("toolchain", F.lit("")))).alias("toolchains"),
+    """Rules of rows (old, new, ...).
+
+    Everything that a rule counts or shows is a value of one of its columns:
+    rows are summed once to (old, new, column, value), partly before the
+    shuffle, and the sums are rolled up.
+    """
+    rule, none = ["old", "new"], F.array().cast("array<string>")
+    one = lambda what, c: F.struct(F.lit(what).alias("what"), c.cast("string").alias("v"))
+    values = F.array(*[one(what, F.col(c)) for what, c in (("label", "label"), ("file", "file"), ("toolchain", "toolchain"), ("origin", "window"), ("provenance", "commit" if "commit" in rows.columns else "sample_id"))])
+    if kind == "subst" and "notes" in rows.columns:
+        values = F.concat(values, F.transform(F.coalesce("notes", none), lambda x: one("note", x)))
+    of = lambda *what: F.col("what").isin(*what)
+    d = rows.select(*rule, "seq", "duplicate_count", F.explode(values).alias("x")).select(*rule, "seq", "duplicate_count", "x.*").where(of("label", "file") | (F.col("v") != ""))
+    d = d.groupBy(*rule, "what", "v").agg(F.count("*").alias("n"), F.sum("duplicate_count").alias("w"), F.min("seq").alias("seq"))
+    every = lambda what: F.array_sort(F.collect_set(F.when(of(what), F.col("v"))))
+    r = d.groupBy(*rule).agg(
+        F.sum(F.when(of("label"), F.col("n"))).alias("support"), F.sum(F.when(of("label"), F.col("w"))).alias("support_weighted"), F.count(F.when(of("file"), F.col("v"))).alias("files"),
+        F.min_by("v", F.when(of("label"), F.col("seq"))).alias("label"), every("toolchain").alias("toolchains"), every("note").alias("notes"),
     )
-    none = F.array().cast("array<string>")
-    parts = [_first(rows, "window", 3, "origins"), _first(rows, "commit" if "commit" in rows.columns else "sample_id", 5, "provenance")]
+    ranked = lambda cond, v: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("_n", F.col(v).alias("v"))))), lambda x: x["v"])
+    shown = _first(d.where(of("origin", "provenance")), [*rule, "what"], ["seq", "v"], 5)
+    parts = [shown.groupBy(*rule).agg(ranked(of("origin") & (F.col("_n") <= 3), "v").alias("origins"), ranked(of("provenance"), "v").alias("provenance"))]
     if kind == "subst":
-        parts.append(_first(rows.withColumn("_text", F.substring("fixed", 1, EXCERPT)), "_text", 3, "windows", distinct=False))
-        if "notes" in rows.columns:
-            notes = rows.select("old", "new", F.explode("notes").alias("n")).groupBy("old", "new").agg(F.array_sort(F.collect_set("n")).alias("notes"))
-            parts.append(notes)
+        texts = rows.select(*rule, "seq", F.substring("fixed", 1, EXCERPT).alias("text")).where("text <> ''")
+        parts.append(_first(texts, rule, ["seq", "text"], 3).groupBy(*rule).agg(ranked(F.lit(True), "text").alias("windows")))
     for part in parts:
-        names = [c for c in part.columns if c not in ("old", "new")]
+        names = [c for c in part.columns if c not in rule]
         r = r.join(part.select(F.col("old").alias("_o"), F.col("new").alias("_w"), *names), F.col("old").eqNullSafe(F.col("_o")) & F.col("new").eqNullSafe(F.col("_w")), "left").drop("_o", "_w")
-    for c in ("origins", "provenance", "windows", "notes"):
+    for c in ("origins", "provenance", "windows"):
         r = r.withColumn(c, F.coalesce(c, none) if c in r.columns else none)
     return r.withColumn("kind", F.lit(kind)).withColumn("reversible", F.lit(True) if kind == "subst" else F.trim(F.regexp_replace("old", r"\s+", " ")) != "")
 

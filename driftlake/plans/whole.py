@@ -227,13 +227,15 @@ def classify_evidence(spark: S, d: str) -> DataFrame:
     return c.select("p_partkey", flat("open_added"), flat("open_removed"), flat("imports_added"), flat("imports_removed"), flat("set_option_added"))
 
 
-@query("SELECT p_partkey, p_size % 2 = 0 AS moved FROM part")
+@query("""WITH p AS (SELECT p_partkey, p_size % 6 AS k, split_part(p_name, ' ', 1) AS x FROM part),
+n AS (SELECT p_partkey, CASE WHEN k IN (3, 4) THEN x ELSE 'Aa.' || x END AS a, CASE k WHEN 0 THEN 'Bb.' || x WHEN 1 THEN 'Aa.' || x || '_y' WHEN 2 THEN 'Bb.Aa.' || x WHEN 3 THEN x || '_y' WHEN 4 THEN 'Aa.Bb.' || x ELSE 'cc.' || x END AS b FROM p)
+SELECT p_partkey, regexp_replace(a, '^([A-Z][A-Za-z0-9]*[.])*', '') = regexp_replace(b, '^([A-Z][A-Za-z0-9]*[.])*', '') AS moved FROM n""")
 def namespace_moves(spark: S, d: str) -> DataFrame:
-    """A.x to B.x and A.x to B.A.x are moves; A.x to A.y and x to y are not."""
+    """A.x to B.x, A.x to B.A.x and x to A.B.x are moves; A.x to A.y, x to y and A.x to c.x are not."""
     p = table(spark, d, "part").withColumn("x", F.substring_index("p_name", " ", 1)).withColumn("y", F.concat("x", F.lit("_y")))
-    k = F.col("p_size") % 4
-    a = F.when(k == 3, F.col("x")).otherwise(F.concat(F.lit("Aa."), "x"))
-    b = F.when(k == 0, F.concat(F.lit("Bb."), "x")).when(k == 1, F.concat(F.lit("Aa."), "y")).when(k == 2, F.concat(F.lit("Bb.Aa."), "x")).otherwise(F.col("y"))
+    k = F.col("p_size") % 6
+    a = F.when(k.isin(3, 4), F.col("x")).otherwise(F.concat(F.lit("Aa."), "x"))
+    b = F.when(k == 0, F.concat(F.lit("Bb."), "x")).when(k == 1, F.concat(F.lit("Aa."), "y")).when(k == 2, F.concat(F.lit("Bb.Aa."), "x")).when(k == 3, F.col("y")).when(k == 4, F.concat(F.lit("Aa.Bb."), "x")).otherwise(F.concat(F.lit("cc."), "x"))
     return p.select("p_partkey", X.namespace_move(a, b).alias("moved"))
 
 
@@ -359,10 +361,10 @@ def instance_flags(spark: S, d: str) -> DataFrame:
     return snapshot.with_instances(_snapshots(spark, d).select("release", "n"), o).select("release", "n", "inst")
 
 
-@query("SELECT split_part(o_orderpriority, '-', 2) AS section, count(*) FILTER (o_orderstatus = 'Z') = 0 AS empty FROM orders GROUP BY ALL")
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS section, count(*) FILTER (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_totalprice > 470000) = 0 AS empty FROM orders GROUP BY ALL")
 def empty_sections(spark: S, d: str) -> DataFrame:
-    """Sections that the self-check names: here all of them, as no order has the status."""
-    n = table(spark, d, "orders").groupBy(F.substring_index("o_orderpriority", "-", -1).alias("section")).agg(F.count_if(F.col("o_orderstatus") == "Z").alias("n"))
+    """Sections that the self-check names: months without a large urgent order that is pending."""
+    n = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("section")).agg(F.count_if(F.expr("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_totalprice > 470000")).alias("n"))
     found = snapshot.self_check(n, exempt=(), allow_empty=True)
     return n.select("section", F.col("section").isin(found).alias("empty"))
 
