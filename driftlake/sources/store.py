@@ -1,6 +1,6 @@
-"""A persistent store of snapshots, and the chain of diffs that is kept up to date over it.
+"""A persistent store of snapshots, the chain of diffs that is kept up to date over it, and a store of files at commits.
 
-Both are tables at a path that the driver and all executors share: a catalog
+All are tables at a path that the driver and all executors share: a catalog
 that forgets its tables with the session finds their partitions again.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import version
 from ..operators import snapshot
+from ..session import kept
+from . import git
 from .readers import SNAPSHOT
 from .readers import snapshot as parsed
 
@@ -144,3 +146,28 @@ class ChainStore(_Table):
 
     def causes(self) -> DataFrame:
         return self.rows().where("cause <> 'meta'").select(*snapshot.CAUSE_COLUMNS)
+
+
+class BlobStore:
+    """Files at commits, each read from git once.
+
+    A commit's files never change, so what is stored stays right. Only files
+    that are there are stored: one that is absent may be fetched later, and is
+    looked for again. What one call adds is a partition named by its keys, so a
+    call that is run again replaces its own rows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = _Table(spark, path, "sha STRING, path STRING, text STRING", ["batch"])
+
+    def read(self, objects: DataFrame, repo: str) -> DataFrame:
+        """sha, path and text (null if absent) of objects (sha of the commit, path), one row each; rows with a null are left out."""
+        key = ["sha", "path"]
+        wanted = kept(objects.select(*key).where("sha is not null and path is not null").distinct(), "wanted")
+        missing = kept(wanted.join(self.table.rows().select(*key), key, "left_anti"), "missing")
+        h = F.sum(F.xxhash64(*key).cast("decimal(38,0)"))
+        n, some = missing.agg(F.count("*"), F.sha1(F.concat_ws(",", F.count("*").cast("string"), h.cast("string")))).first()
+        if n:
+            self.table.replace(git.blobs(missing, repo).where("text is not null").withColumn("batch", F.lit(some)))
+        # Callers that run at one time may have stored a file twice.
+        return wanted.join(self.table.rows().select(*key, "text"), key, "left").dropDuplicates(key)

@@ -2,12 +2,14 @@
 
 import json
 import random
+import subprocess
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftlake.operators import snapshot
+from driftlake.sources import git, store
 from driftlake.sources.store import ChainStore, SnapshotStore, digests
 
 RAW = "release string, value string, seq int"
@@ -124,3 +126,31 @@ def test_one_scan_gives_what_joined_sides_give(spark):
     one = snapshot.chained(rows, pairs, info=True)
     two = snapshot.constants(snapshot.side(rows, pairs, "base"), snapshot.side(rows, pairs, "target"), info=True)
     assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr) and one.count() > 100
+
+
+def test_blob_store(spark, tmp_path):
+    """A file at a commit is read from git once; what was absent is looked for again."""
+    repo = str(tmp_path / "r")
+    run = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    subprocess.run(["git", "init", "-q", repo], check=True)
+    shas = []
+    for i in range(3):
+        for k in "ab":
+            (tmp_path / "r" / f"{k} x").write_text(f"{k}{i}\n")
+        run("add", "-A")
+        run("commit", "-qm", f"c{i}")
+        shas.append(git.rev_parse(repo, "HEAD"))
+    blobs = store.BlobStore(spark, str(tmp_path / "blobs"))
+    ask = lambda rows: spark.createDataFrame(rows, "sha string, path string, extra int")
+    some = [(shas[0], "a x", 1), (shas[0], "a x", 2), (shas[2], "b x", 1), (None, "a x", 1)]
+    want = {(shas[0], "a x"): "a0\n", (shas[2], "b x"): "b2\n"}
+    got = lambda df: {(r["sha"], r["path"]): r["text"] for r in df.collect()}
+    first = blobs.read(ask(some), repo)
+    assert got(first) == want and first.count() == 2
+    again = store.BlobStore(spark, str(tmp_path / "blobs"))
+    assert got(again.read(ask(some), str(tmp_path / "gone"))) == want  # git isn't asked
+    more = [*some, (shas[1], "a x", 1), (shas[1], "none", 1)]
+    assert got(again.read(ask(more), repo)) == want | {(shas[1], "a x"): "a1\n", (shas[1], "none"): None}
+    with pytest.raises(Exception, match="gone"):
+        again.read(ask(more), str(tmp_path / "gone")).collect()
+    assert again.table.rows().count() == 3 and again.read(ask([]), repo).count() == 0
