@@ -12,8 +12,9 @@ loop.last), set x = e, generation/endgeneration. Expressions are Python's own
 grammar with a list of permitted nodes: literals, names, keys of dicts (with a
 dot or brackets), comparisons, and/or/not, +, a if c else b, and filters after
 ``|``. Nothing else can be reached: no calls, attributes of objects, globals or
-dunder names; a render writes at most ``limit`` parts, and + makes nothing over
-MOST long.
+dunder names; a render writes at most ``limit`` parts and PER_ITEM more for each
+item of the lists that it is given, so that a long conversation is no fault but
+loops inside loops are; + makes nothing over MOST long.
 
 ``format_chats`` renders each conversation where its turns have been gathered:
 a conversation is one text, so one value, and must fit into a task like any
@@ -57,6 +58,10 @@ _LINE = re.compile(r"(?:[^\\\n]|\\.)*", re.S)  # up to the first newline without
 Span = tuple[int, int]
 #: Characters or items that + may put together.
 MOST = 1 << 28
+#: Parts that a template may write for each item of a list.
+PER_ITEM = 64
+#: Characters of formatted texts that go on together.
+PIECE = 1 << 25
 
 
 def escape(s: str) -> str:
@@ -444,7 +449,7 @@ class Template:
 
     def render(self, **names: Any) -> tuple[str, list[Span]]:
         """The text, and the spans of code points under the loss mask."""
-        out = Writer(self.limit)
+        out = Writer(self.limit + PER_ITEM * sum(len(v) for v in names.values() if isinstance(v, list)))
         self._run(_NAMES | self.constants | names, out)
         return "".join(out.parts), out.spans
 
@@ -468,16 +473,24 @@ def gathered(rows: DataFrame) -> DataFrame:
     return g.select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
 
 
-def format_chats(rows: DataFrame, template: Template | None = None) -> DataFrame:
+def format_chats(rows: DataFrame, template: Template | None = None, piece: int = PIECE) -> DataFrame:
     """conv_id, text, spans (start, end of each learnt part) of each conversation of rows (conv_id, turn, role, text)."""
     t = template or chat()
     kind = rows.schema["conv_id"].dataType.simpleString()
 
+    mask = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [t.render(messages=[{"role": r, "text": x} for r, x in zip(roles, texts, strict=True)]) for roles, texts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in done], pa.string()), spans], ["conv_id", "text", "spans"])
+            texts, spans, at, held = [], [], 0, 0
+            for i, (roles, said) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                text, learnt = t.render(messages=[{"role": r, "text": x} for r, x in zip(roles, said, strict=True)])
+                texts.append(text)
+                spans.append([{"start": a, "end": b} for a, b in learnt])
+                held += len(text)
+                if held >= piece or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(texts, pa.string()), pa.array(spans, mask)], ["conv_id", "text", "spans"])
+                    texts, spans, at, held = [], [], i + 1, 0
 
     return gathered(rows).mapInArrow(run, f"conv_id {kind}, text string, spans array<struct<start: long, end: long>>")
 

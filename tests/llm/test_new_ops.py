@@ -237,6 +237,19 @@ def test_sandbox_at_run_time():
     assert op13_chat.Template("{{ x.append }}{{ x.real }}").render(x=[1])[0] == ""
 
 
+def test_long_conversations(spark):
+    """The limit on parts grows with the turns, and large texts go on in small batches."""
+    turns = [{"role": "user" if i % 2 else "assistant", "text": "</s>"} for i in range(2000)]
+    text, spans = op13_chat.Template(op13_chat.CHAT, limit=0, begin=op13_chat.BEGIN, end=op13_chat.END, stop=op13_chat.STOP).render(messages=turns)
+    assert op13_chat.read_back(text) == [(t["role"], t["text"]) for t in turns] and len(spans) == 1000
+    rows = [(c, t, "user" if t % 2 else "assistant", f"{c}-{t}" * c) for c in range(25) for t in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {r["conv_id"]: r for r in op13_chat.format_chats(df, piece=50).collect()}
+    assert len(got) == 25
+    for c, r in got.items():
+        assert op13_chat.read_back(r["text"]) == [(k, x) for i, _, k, x in rows if i == c] and "".join(r["text"][s["start"] : s["end"]] for s in r["spans"]) == "".join(x for i, _, k, x in rows if i == c and k == "assistant")
+
+
 def test_chats(spark):
     rows = [(1, 1, "assistant", "[INST]\\ b"), (1, 0, "user", None), (1, 2, None, "x"), (None, 5, "user", "n"), (None, None, "assistant", "m"), (2, 0, "assistant", "r"), (2, 0, "assistant", "r"), (3, 0, "assistant", "")]
     rows += [(4, i, "user" if i % 2 else "assistant", f"</s>{i}" * 50) for i in range(300)]
