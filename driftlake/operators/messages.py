@@ -5,9 +5,11 @@ from __future__ import annotations
 import difflib
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,18 +123,73 @@ def prepared(rows: DataFrame, text: str = "text") -> DataFrame:
     return r.withColumn("bucket", X.bucket_key(F.col("severity"), F.col("error_name"), F.col("tokens")))
 
 
-#: Different messages that one task induces templates from, and partial sets that one task merges.
-LEAF, FAN = 4096, 16
-_PART = "bucket string, node long, seq long, n long, items array<array<string>>"
+#: Different messages that one leaf induces templates from, partial sets that are merged at once, and tokens of the templates that a task holds.
+LEAF, FAN, ROOM = 4096, 16, 1 << 19
+_TEXTS = pa.list_(pa.string())
+_PART = "bucket string, node long, from long, seq long, base long, n long, heads array<string>, holes array<array<string>>, done boolean"
+_PART_ARROW = pa.schema([("bucket", pa.string()), *[(c, pa.int64()) for c in ("node", "from", "seq", "base", "n")], ("heads", _TEXTS), ("holes", pa.list_(_TEXTS)), ("done", pa.bool_())])
+_TEMPLATE_ARROW = pa.schema([("bucket", pa.string()), ("template_id", pa.int64()), ("template", pa.string()), ("hole_kinds", _TEXTS), ("tokens", _TEXTS), ("n", pa.int64())])
+#: Rows that become Python values at once, and tokens of rows that are written at once.
+_SLICE, _OUT = 64, 1 << 16
 
 
-def _merged(parts: Iterable[Template]) -> list[Template]:
-    """One set of templates from several, each taken in by the first that can."""
-    out: list[Template] = []
-    for t in parts:
-        if not any(o.merge(t) for o in out):
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, _SLICE):
+            yield from batch.slice(i, _SLICE).to_pylist()
+
+
+def _written(rows: Iterable[dict], schema: pa.Schema, sized: str) -> Iterator[pa.RecordBatch]:
+    """Batches of rows, as few at once as the tokens in ``sized`` ask for."""
+    held: list[dict] = []
+    size = 0
+    for r in rows:
+        held.append(r)
+        size += 8 + len(r[sized])
+        if size > _OUT:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def _read(heads: list[str], holes: list[list[str]], n: int) -> Template:
+    """A template of its heads and the values of each hole in turn; a message's own NUL has none."""
+    values = iter(holes)
+    return Template([], [[h, *next(values, [])] if h == HOLE else [h] for h in heads], n)
+
+
+def _settled(batches: Iterable[pa.RecordBatch], room: int) -> Iterator[dict]:
+    """Templates of each (bucket, node), from templates sorted by it and by their order: each is taken in by the first that can, or stands for itself.
+
+    Once those that stand have ``room`` tokens, what none of them takes in is given
+    back open, in its order, for a next round; the templates are those that one
+    list of any length would hold, since a later one never changes an earlier.
+    """
+    key, out, size, full = None, [], 0, False
+
+    def closed() -> Iterator[dict]:
+        for i, t in enumerate(out):
+            yield {"bucket": key[0], "node": key[1], "from": 0, "seq": key[2] + i, "base": 0, "n": t.n, "heads": t.heads(), "holes": [x[1:] for x in t.items if x[0] == HOLE], "done": True}
+
+    for r in _rows(batches):
+        if (r["bucket"], r["node"], r["base"]) != key:
+            yield from closed()
+            key, out, size, full = (r["bucket"], r["node"], r["base"]), [], 0, False
+        t = _read(r["heads"], r["holes"], r["n"])
+        if any(o.merge(t) for o in out):
+            continue
+        full = full or bool(out) and size + len(t.items) > room
+        if not full:
             out.append(t)
-    return out
+            size += len(t.items)
+        else:
+            yield {**r, "base": key[2] + len(out), "done": False}
+    yield from closed()
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "node").sortWithinPartitions("bucket", "node", "from", "seq")
 
 
 def fit(messages: DataFrame, order: str = "seq") -> DataFrame:
@@ -141,39 +198,55 @@ def fit(messages: DataFrame, order: str = "seq") -> DataFrame:
     A bucket of more than LEAF messages is dealt out to leaves by a hash of the
     message, each induces its own templates, and sets of templates are merged
     FAN at a time, in order of their leaves, until one is left. So the result
-    depends on the messages alone, and no task holds more than a leaf's
-    messages or FAN sets of templates.
+    depends on the messages alone. Tasks read sorted rows in a stream and hold
+    the templates of one leaf or node, ROOM tokens at most: sets that don't
+    shrink take more rounds, not more memory.
     """
     distinct = messages.groupBy("bucket", "tokens").agg(F.min(order).alias("seq"), F.max(F.length("head")).alias("len"))
     distinct = kept(distinct, "messages")
-    sizes = distinct.groupBy("bucket").agg(F.count("*").alias("_n")).select(F.col("bucket").alias("_b"), F.ceil(F.col("_n") / LEAF).alias("_leaves"))
-    leaf = F.pmod(F.xxhash64("tokens"), F.col("_leaves"))
-    rows = distinct.join(sizes, F.col("bucket").eqNullSafe(F.col("_b"))).select("bucket", leaf.alias("node"), "seq", "len", "tokens")
-
-    def listed(key: tuple, found: list[Template]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, i, t.n, t.items) for i, t in enumerate(found)], columns=["bucket", "node", "seq", "n", "items"])
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["len", "seq"], ascending=[False, True], kind="stable")
-        return listed(key, induce(list(map(list, pdf["tokens"]))))
-
-    def joined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["from", "seq"])
-        return listed(key, _merged(Template([], [list(map(str, x)) for x in items], n) for items, n in zip(pdf["items"], pdf["n"], strict=True)))
-
-    sets = rows.groupBy("bucket", "node").applyInPandas(one, _PART)
-    most = sizes.agg(F.max("_leaves")).first()[0] or 1
-    while most > 1:
-        sets = kept(sets, "templates").withColumn("from", F.col("node")).withColumn("node", F.floor(F.col("node") / FAN))
-        sets = sets.groupBy("bucket", "node").applyInPandas(joined, _PART)
+    sizes = distinct.groupBy("bucket").agg(F.ceil(F.count("*") / LEAF).alias("_leaves"), F.sum(F.size("tokens")).alias("_tokens")).withColumnRenamed("bucket", "_b")
+    most, heavy = sizes.agg(F.max("_leaves"), F.max("_tokens")).first()
+    most, heavy, room = most or 1, (heavy or 0) > ROOM, ROOM
+    node = F.lit(0)
+    if most > 1:
+        distinct = distinct.join(sizes, F.col("bucket").eqNullSafe(F.col("_b")))
+        node = F.pmod(F.xxhash64("tokens"), F.col("_leaves"))
+    none = F.array().cast("array<array<string>>")
+    sets = distinct.select("bucket", node.cast("long").alias("node"), (-F.col("len")).cast("long").alias("from"), F.col("seq").cast("long").alias("seq"), F.lit(0).cast("long").alias("base"), F.lit(1).cast("long").alias("n"), F.col("tokens").alias("heads"), none.alias("holes"))
+
+    def part(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from _written(_settled(batches, room), _PART_ARROW, "heads")
+
+    def _shown(rows: Iterable[dict]) -> Iterator[dict]:
+        for r in rows:
+            template, kinds = _read(r["heads"], r["holes"], r["n"]).render()
+            yield {"bucket": r["bucket"], "template_id": r["seq"], "template": template, "hole_kinds": kinds, "tokens": r["heads"], "n": r["n"]}
+
+    def shown(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from _written(_shown(_rows(batches)), _TEMPLATE_ARROW, "tokens")
+
+    def both(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from _written(_shown(_settled(batches, room)), _TEMPLATE_ARROW, "tokens")
+
+    if most == 1 and not heavy:
+        return _ordered(sets).mapInArrow(both, TEMPLATE)
+    while True:
+        sets = _rounds(sets, part, heavy)
+        if most == 1:
+            return sets.mapInArrow(shown, TEMPLATE)
+        sets = sets.withColumn("from", F.col("node")).withColumn("node", F.floor(F.col("node") / FAN).cast("long")).drop("done")
         most = -(-most // FAN)
 
-    def shown(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            each = [Template([], [list(map(str, x)) for x in items], n) for items, n in zip(pdf["items"], pdf["n"], strict=True)]
-            yield pd.DataFrame([(b, i, *t.render(), t.heads(), t.n) for b, i, t in zip(pdf["bucket"], pdf["seq"], each, strict=True)], columns=["bucket", "template_id", "template", "hole_kinds", "tokens", "n"])
 
-    return sets.mapInPandas(shown, TEMPLATE)
+def _rounds(sets: DataFrame, part: Callable, heavy: bool) -> DataFrame:
+    """Every node's templates: rounds over what is still open, until nothing is."""
+    done = []
+    while True:
+        found = kept(_ordered(sets).mapInArrow(part, _PART), "templates")
+        done.append(found.where("done"))
+        sets = found.where("not done").drop("done")
+        if not heavy or sets.isEmpty():
+            return reduce(DataFrame.unionAll, done)
 
 
 def assign(messages: DataFrame, templates: DataFrame, key: str = "seq") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftlake.functions.text import similarity
 from driftlake.operators import dataset, drift, hunks, messages, ranks, weights
+from driftlake.session import kept
 
 
 @pytest.mark.parametrize("parts", ["1", "3", "9"])
@@ -91,6 +92,22 @@ def test_a_hot_bucket_spreads(spark, monkeypatch):
     assert {tuple(r[1]) for r in shown(one)} == {("ident", "numeral")}
 
 
+def test_templates_that_do_not_shrink_take_rounds(spark, monkeypatch):
+    """No task holds more than ROOM tokens of templates, and the templates are those of one list; so it is with what is assigned."""
+    monkeypatch.setattr(messages, "LEAF", 60)
+    monkeypatch.setattr(messages, "FAN", 2)
+    rng = random.Random(6)
+    m = rows_of(spark, bucket(150) + [" ".join(f"w{rng.randint(0, 40)}" for _ in range(9)) for _ in range(80)] + ["a \0 b", "a \0 c", ""])
+    whole = messages.fit(m)
+    both = lambda t: (sorted(map(tuple, t.select("template_id", "template", F.concat_ws(",", "hole_kinds"), "n").collect())), sorted(map(tuple, messages.assign(m, t).select("seq", "template_id", "template", "ratio").collect())))
+    want = both(whole)
+    monkeypatch.setattr(messages, "ROOM", 120)
+    rounds = []
+    monkeypatch.setattr(messages, "kept", lambda d, name: rounds.append(name) or kept(d, name))
+    assert both(messages.fit(m)) == want and len(want[0]) > 60 and len(want[1]) == m.count()
+    assert rounds.count("templates") > 6 and rounds.count("messages") == 1
+
+
 def test_holes_keep_their_kind():
     rng = random.Random(4)
     pool = ["a", "B", "12", "-3", "x/y", "z.lean", "`q`", "", "  ", "R" * 70, "two words", "`Type`", "m\nn", "Foo.bar", "é"]
