@@ -8,10 +8,11 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..session import kept
@@ -250,32 +251,63 @@ def _rounds(sets: DataFrame, part: Callable, heavy: bool) -> DataFrame:
 
 
 def assign(messages: DataFrame, templates: DataFrame, key: str = "seq") -> DataFrame:
-    """For each message the template of its bucket with the best ratio of at least THETA (the first among equals), else itself."""
-
-    def one(m: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("template_id")
-        heads_of = [[h for h in heads if h != HOLE] for heads in t["tokens"]]
-        each = list(zip(t["template_id"], t["template"], t["hole_kinds"], heads_of, [Counter(h) for h in heads_of], strict=True))
-        known: dict[tuple, tuple] = {}
-        rows = []
-        for k, bucket, tokens in zip(m[key], m["bucket"], m["tokens"], strict=True):
-            tokens = tuple(tokens)
-            if tokens not in known:
-                best, got = THETA, (-1, " ".join(tokens), [], 0.0)
-                counts = Counter(tokens)
+    """For each message the template of its bucket with the best ratio of at least THETA (the first among equals), else itself.
+
+    A task reads a bucket's templates and then streams its messages past them.
+    A bucket whose templates have more than ROOM tokens is cut into pieces of
+    about that: its messages go to each, and the best of their answers counts.
+    """
+    templates = kept(templates, "templates")
+    sizes = templates.groupBy(F.col("bucket").alias("_b")).agg(F.ceil(F.sum(F.size("tokens")) / ROOM).alias("_pieces"))
+    most = sizes.agg(F.max("_pieces")).first()[0] or 1
+    m, t = messages.select(F.col(key).alias("key"), "bucket", "tokens"), templates
+    if most > 1:
+        m = kept(m.withColumn("row", F.monotonically_increasing_id()), "messages")
+        cut = lambda d: d.join(sizes, F.col("bucket").eqNullSafe(F.col("_b")), "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
+        m = cut(m).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_pieces").cast("int") - 1)))
+        t = cut(t).withColumn("piece", F.pmod("template_id", "_pieces").cast("int"))
+    else:
+        m, t = m.withColumns({"row": F.lit(0).cast("long"), "piece": F.lit(0)}), t.withColumn("piece", F.lit(0))
+    kind = messages.schema[key].dataType
+    none = F.array().cast("array<string>")
+    m = m.select("bucket", "piece", "row", "key", F.lit(-1).cast("long").alias("template_id"), F.lit("").alias("template"), none.alias("hole_kinds"), "tokens", F.xxhash64("tokens").alias("place"))
+    t = t.select("bucket", "piece", F.lit(0).cast("long").alias("row"), F.lit(None).cast(kind).alias("key"), "template_id", "template", "hole_kinds", "tokens", F.col("template_id").alias("place"))
+    both = m.unionByName(t).withColumn("said", F.col("template_id") < 0)
+    both = both.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "said", "place")
+    out = T.StructType([T.StructField("row", T.LongType()), T.StructField(key, kind)] + [T.StructField(c, T.StringType()) for c in ("bucket", "template")] + [T.StructField("template_id", T.LongType()), T.StructField("hole_kinds", T.ArrayType(T.StringType())), T.StructField("ratio", T.DoubleType())])
+    schema = to_arrow_schema(out)
+
+    def answers(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        at, each, last, got = None, [], None, ()
+        for r in _rows(batches):
+            if (r["bucket"], r["piece"]) != at:
+                at, each, last = (r["bucket"], r["piece"]), [], None
+            if not r["said"]:
+                heads = [h for h in r["tokens"] if h != HOLE]
+                each.append((r["template_id"], r["template"], r["hole_kinds"], heads, Counter(heads)))
+                continue
+            if r["tokens"] != last:
+                last = r["tokens"]
+                best, got = THETA, (-1, " ".join(last), [], 0.0)
+                counts = Counter(last)
                 for i, tpl, kinds, heads, own in each:
-                    size = len(heads) + len(tokens)
+                    size = len(heads) + len(last)
                     if size and 2 * (own & counts).total() / size < best:  # the ratio's upper bound
                         continue
-                    r = difflib.SequenceMatcher(None, heads, list(tokens), autojunk=False).ratio()
-                    if r > best or (r == best and got[0] < 0):
-                        best, got = r, (i, tpl, list(kinds), r)
-                known[tokens] = got
-            rows.append((k, bucket, *known[tokens]))
-        return pd.DataFrame(rows, columns=[key, "bucket", "template_id", "template", "hole_kinds", "ratio"])
-
-    kind = messages.schema[key].dataType.simpleString()
-    return messages.groupBy("bucket").cogroup(templates.groupBy("bucket")).applyInPandas(one, f"{key} {kind}, bucket string, template_id long, template string, hole_kinds array<string>, ratio double")
+                    ratio = difflib.SequenceMatcher(None, heads, last, autojunk=False).ratio()
+                    if ratio > best or (ratio == best and got[0] < 0):
+                        best, got = ratio, (i, tpl, kinds, ratio)
+            yield {"row": r["row"], key: r["key"], "bucket": r["bucket"], **dict(zip(("template_id", "template", "hole_kinds", "ratio"), got, strict=True))}
+
+    def one(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from _written(answers(batches), schema, "template")
+
+    found = both.mapInArrow(one, out)
+    names = [key, "bucket", "template_id", "template", "hole_kinds", "ratio"]
+    if most > 1:
+        first = F.struct(F.col("ratio"), -F.col("template_id"))  # the best ratio, then the first template
+        found = found.groupBy("row").agg(F.max_by(F.struct(*names), first).alias("r")).select("r.*")
+    return found.select(*names)
 
 
 def listing(assigned: DataFrame) -> DataFrame:

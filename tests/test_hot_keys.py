@@ -105,7 +105,9 @@ def test_templates_that_do_not_shrink_take_rounds(spark, monkeypatch):
     rounds = []
     monkeypatch.setattr(messages, "kept", lambda d, name: rounds.append(name) or kept(d, name))
     assert both(messages.fit(m)) == want and len(want[0]) > 60 and len(want[1]) == m.count()
-    assert rounds.count("templates") > 6 and rounds.count("messages") == 1
+    assert rounds.count("templates") > 6 and rounds.count("messages") == 2
+    plan = messages.assign(m, whole)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan
 
 
 def test_holes_keep_their_kind():
