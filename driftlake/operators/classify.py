@@ -71,7 +71,7 @@ def _note() -> Outcome:
 
 @rule(90, "set_option")
 def _set_option() -> Outcome:
-    names = F.array_distinct(F.concat(F.transform(X.options(C("added")), lambda o: o["name"]), F.transform(X.options(C("removed")), lambda o: o["name"])))
+    names = F.array_distinct(F.concat(F.transform("opts_added", lambda o: o["name"]), F.transform("opts_removed", lambda o: o["name"])))
 
     def label(o: Column) -> Column:
         return (
@@ -97,12 +97,12 @@ def _attribute() -> Outcome:
 
 @rule(84, "import")
 def _import() -> Outcome:
-    return fires(X.imports(C("pre")) != X.imports(C("post")), ["rename.import"], 0.9)
+    return fires(C("imports_pre") != C("imports_post"), ["rename.import"], 0.9)
 
 
 @rule(83, "open")
 def _open() -> Outcome:
-    return fires(X.opened(C("pre")) != X.opened(C("post")), ["rename.open_scope"], 0.9)
+    return fires(C("open_pre") != C("open_post"), ["rename.open_scope"], 0.9)
 
 
 def _lemmas(add: Column, rem: Column) -> Column:
@@ -180,12 +180,12 @@ def _shift(a: Column, b: Column, both: float, one: float) -> Outcome:
 
 @rule(62, "inline_tactic")
 def _inline() -> Outcome:
-    return _shift(X.tactics(C("pre")), X.tactics(C("post")), 0.65, 0.6)
+    return _shift(C("tactics_pre"), C("tactics_post"), 0.65, 0.6)
 
 
 @rule(60, "tactic_shape")
 def _shape() -> Outcome:
-    return _shift(X.tactic_heads(C("pre")), X.tactic_heads(C("post")), 0.6, 0.55)
+    return _shift(C("heads_pre"), C("heads_post"), 0.6, 0.55)
 
 
 @rule(10, "fallback")
@@ -204,6 +204,9 @@ def context(edits: DataFrame) -> DataFrame:
         d = d.withColumn("ctx_before", F.array().cast("array<string>"))
     d = d.withColumns({"norm_pre": X.normalize(C("pre")), "norm_post": X.normalize(C("post")), "added": X.added_lines(C("pre"), C("post")), "removed": X.added_lines(C("post"), C("pre"))})
     d = d.withColumns({"attr_pre": X.attributes(C("pre")), "attr_post": X.attributes(C("post")), "calls_pre": X.lemma_calls(C("pre")), "calls_post": X.lemma_calls(C("post")), "frag_pre": X.lemma_fragment(X.strip_comments(C("pre"))), "frag_post": X.lemma_fragment(X.strip_comments(C("post"))), "subs": X.substitutions(C("pre"), C("post"))})
+    # What rules and their evidence both read is found once.
+    sides = {"imports": X.imports, "open": X.opened, "tactics": X.tactics, "heads": X.tactic_heads}
+    d = d.withColumns({f"{k}_{side}": f(C(side)) for k, f in sides.items() for side in ("pre", "post")} | {"opts_added": X.options(C("added")), "opts_removed": X.options(C("removed"))})
     return d.withColumn("role", X.attribute_role(C("pre"), F.try_element_at(F.transform("subs", lambda x: x["old"]), F.lit(1))))
 
 
@@ -218,17 +221,17 @@ def evidence(fired: Column) -> Column:
     simp_rem = lemmas(sorted_minus(args("calls_pre"), args("calls_post")), sorted_minus(C("frag_pre"), C("frag_post")))
     bare = lambda x: F.trim(F.regexp_replace(x, r"^[←\-\s]+", ""))
     some = lambda c: F.when(F.size(c) > 0, c)
-    tact = lambda f, a, b: F.array_sort(F.array_distinct(minus(f(C(a)), f(C(b)))))
+    tact = lambda f, a, b: F.array_sort(F.array_distinct(minus(C(f"{f}_{a}"), C(f"{f}_{b}"))))
     shape, inline = on("tactic_shape"), on("inline_tactic")
     named = F.regexp_extract_all("added", F.lit(r"\(\s*([\p{L}\p{N}_']+)\s*:=\s*"), F.lit(1))
     return F.struct(
-        F.when(on("set_option"), last(X.options(C("added")))).alias("set_option_added"), F.when(on("set_option"), last(X.options(C("removed")))).alias("set_option_removed"),
+        F.when(on("set_option"), last(C("opts_added"))).alias("set_option_added"), F.when(on("set_option"), last(C("opts_removed"))).alias("set_option_removed"),
         F.when(on("attribute"), sorted_minus(C("attr_post"), C("attr_pre"))).alias("attr_added"), F.when(on("attribute"), sorted_minus(C("attr_pre"), C("attr_post"))).alias("attr_removed"),
-        F.when(on("import"), sorted_minus(X.imports(C("post")), X.imports(C("pre")))).alias("imports_added"), F.when(on("import"), sorted_minus(X.imports(C("pre")), X.imports(C("post")))).alias("imports_removed"),
-        F.when(on("open"), sorted_minus(X.opened(C("post")), X.opened(C("pre")))).alias("open_added"), F.when(on("open"), sorted_minus(X.opened(C("pre")), X.opened(C("post")))).alias("open_removed"),
+        F.when(on("import"), sorted_minus(C("imports_post"), C("imports_pre"))).alias("imports_added"), F.when(on("import"), sorted_minus(C("imports_pre"), C("imports_post"))).alias("imports_removed"),
+        F.when(on("open"), sorted_minus(C("open_post"), C("open_pre"))).alias("open_added"), F.when(on("open"), sorted_minus(C("open_pre"), C("open_post"))).alias("open_removed"),
         some(simp_add).alias("simp_added"), some(simp_rem).alias("simp_removed"), some(F.filter(simp_add, lambda x: F.exists(simp_rem, lambda y: bare(x) == bare(y)))).alias("reoriented"), F.when(on("lemma_fragment"), True).alias("fragment"),
         F.when(on("lemma_calls"), F.array_sort(F.array_distinct(F.transform(F.concat("calls_pre", "calls_post"), lambda x: x["tactic"])))).alias("tactics"),
-        F.when(shape, tact(X.tactic_heads, "post", "pre")).when(inline, tact(X.tactics, "post", "pre")).alias("tactics_added"), F.when(shape, tact(X.tactic_heads, "pre", "post")).when(inline, tact(X.tactics, "pre", "post")).alias("tactics_removed"), F.when(inline, True).alias("inline"),
+        F.when(shape, tact("heads", "post", "pre")).when(inline, tact("tactics", "post", "pre")).alias("tactics_added"), F.when(shape, tact("heads", "pre", "post")).when(inline, tact("tactics", "pre", "post")).alias("tactics_removed"), F.when(inline, True).alias("inline"),
         F.when(on("rename"), F.col("subs")).alias("substitutions"), F.when(on("argument"), some(named)).alias("named_args"), F.when(on("coercion"), _arrows(C("added")) - _arrows(C("removed"))).alias("coercion_delta"),
     )
 
@@ -238,20 +241,26 @@ def classify(edits: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
     All rules that fire add their labels in order of priority; the first to
     give a label of STOP ends it; the fallback counts only if no other fired. A
-    rule that can't be built is left out and named in rule_errors.
+    rule that can't be built is left out and named in rule_errors. Edits are
+    small and costly, so they are dealt out by their number: files are split by
+    their bytes, and a small file would be one task.
     """
-    d = _barrier(context(edits), "_ctx")
+    parts = int(edits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = _barrier(context(edits.repartition(parts)), "_ctx")
     table = sorted(rules or RULES, key=lambda r: -r.priority)
     built, errors = [], []
     for r in table:
         try:
             got = r.build()
             d.select(got)  # a column that doesn't fit the context fails here
-            built.append((r.priority, F.when(got.isNotNull(), F.struct(got["labels"].alias("labels"), got["confidence"].alias("confidence"), F.lit(r.name).alias("name")))))
+            built.append((r, got))
         except Exception as e:  # noqa: BLE001  a rule never stops the others
             errors.append(f"{r.name}: {str(e).splitlines()[0][:200]}")
     some = lambda found: F.filter(F.array(*found), lambda x: x.isNotNull() & (F.size(x["labels"]) > 0)) if found else F.array().cast("array<struct<labels:array<string>,confidence:double,name:string>>")
-    d = _barrier(d.withColumns({"_high": some([c for p, c in built if p > 10]), "_low": some([c for p, c in built if p <= 10])}), "_rules")
+    # Each outcome is a column first: what is said of it three times is worked out once.
+    d = _barrier(d.withColumns({f"_r{i}": got for i, (_, got) in enumerate(built)}), "_built")
+    said = [(r.priority, F.when(C(f"_r{i}").isNotNull(), F.struct(C(f"_r{i}.labels").alias("labels"), C(f"_r{i}.confidence").alias("confidence"), F.lit(r.name).alias("name")))) for i, (r, _) in enumerate(built)]
+    d = _barrier(d.withColumns({"_high": some([c for p, c in said if p > 10]), "_low": some([c for p, c in said if p <= 10])}).drop(*[f"_r{i}" for i in range(len(built))]), "_rules")
     stop = F.array_position(F.transform("_high", lambda x: x["labels"][0].isin(*STOP)), True)
     d = d.withColumn("_hits", F.when(stop > 0, F.slice("_high", F.lit(1), stop.cast("int"))).when(F.size("_high") > 0, F.col("_high")).otherwise(F.col("_low")))
     labels = F.array_distinct(F.flatten(F.transform("_hits", lambda x: x["labels"])))
@@ -262,7 +271,7 @@ def classify(edits: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     keep = [c for c in edits.columns if c not in ("pre", "post")]
     noise = F.arrays_overlap("labels", F.array(*[F.lit(x) for x in vocab.NOISE_LABELS]))
     d = d.withColumns({"label": F.col("labels")[0], "noise": noise, "notes": X.notes(F.concat_ws("\n", "post", F.array_join("ctx_before", "\n"))), "expected_errors": expected, "evidence": evidence(C("fired"))})
-    return _barrier(d.select(*dict.fromkeys([*keep, "pre", "post", "labels", "label", "confidence", "noise", "notes", "expected_errors", "subs", "fired", "evidence", "rule_errors"])), "_out")
+    return d.select(*dict.fromkeys([*keep, "pre", "post", "labels", "label", "confidence", "noise", "notes", "expected_errors", "subs", "fired", "evidence", "rule_errors"]))
 
 
 def _barrier(d: DataFrame, name: str) -> DataFrame:
@@ -270,5 +279,9 @@ def _barrier(d: DataFrame, name: str) -> DataFrame:
     return d.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in d.columns]))).alias(name)).select(f"{name}.*")
 
 
+def is_useful(keep_noise: bool = False, least: float = 0.0) -> Column:
+    return (F.lit(keep_noise) | ~F.col("noise")) & (F.col("confidence") >= least)
+
+
 def useful(rows: DataFrame, keep_noise: bool = False, least: float = 0.0) -> DataFrame:
-    return rows.where((F.lit(keep_noise) | ~F.col("noise")) & (F.col("confidence") >= least))
+    return rows.where(is_useful(keep_noise, least))

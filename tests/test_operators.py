@@ -179,3 +179,16 @@ def test_log_and_stream(spark, tmp_path):
     assert writers.folded(again).collect()[0]["json"] == '["new"]' and readers.pending(files, again).count() == 1
     writers.write_folded(again, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"t1":["new"]}'
+
+
+def test_edits_are_dealt_out_by_number(spark):
+    """One small file of edits is not one task, no rule's outcome is worked out twice, and useful edits need one pass."""
+    from driftlake.plans import whole
+
+    e = spark.createDataFrame([(i, "open A B", f"open A{i}") for i in range(40)], "k int, pre string, post string").coalesce(1)
+    c = classify.classify(e).select("k", "labels")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = c.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(tasks) == n and max(r["count"] for r in tasks) <= 2 * 40 / n
+    plan = whole.useful_edits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Relation [") == 1
