@@ -402,9 +402,8 @@ def useful_edits(spark: S, d: str) -> DataFrame:
     from .queries import _POST, _PRE
 
     p = table(spark, d, "part").withColumns({"x": F.substring_index("p_name", " ", 1), "y": F.substring_index("p_name", " ", -1)})
-    c = classify.classify(p.select("p_partkey", F.expr(_PRE).alias("pre"), F.expr(_POST).alias("post"))).select("p_partkey", "noise", "confidence")
-    kept = classify.useful(c, least=0.5).select("p_partkey", F.lit(True).alias("useful"))
-    return c.join(kept, "p_partkey", "left").select("p_partkey", "noise", F.coalesce("useful", F.lit(False)).alias("useful"))
+    c = classify.classify(p.select("p_partkey", F.expr(_PRE).alias("pre"), F.expr(_POST).alias("post")))
+    return c.select("p_partkey", "noise", F.coalesce(classify.is_useful(least=0.5), F.lit(False)).alias("useful"))
 
 
 @query("SELECT p_partkey, p_name || '.expected' AS path, p_partkey % 3 <> 2 AS listed FROM part")
