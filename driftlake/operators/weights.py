@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,12 +63,49 @@ def table(obs: DataFrame, priors: DataFrame, roots_only: bool = True) -> DataFra
     return point(counts, priors).join(meta, "fingerprint").join(per, "fingerprint").orderBy(F.desc("weight"), "fingerprint")
 
 
+#: Sums of one (stratum, fingerprint) over all replicates that a task holds at once.
+HELD = 4096
+
+
+def _multiplied(draws: int) -> Callable:
+    """Batches of (stratum, rs: the replicates that drew the cluster, fs and cs: its fingerprints and their rows) to sums by replicate."""
+    held = HELD
+    schema = pa.schema([("stratum", pa.string()), ("fingerprint", pa.string()), ("cs", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            keys = list(sums)
+            at = pa.array(np.arange(len(keys) + 1) * draws, pa.int32())
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(list(sums.values()))))], schema=schema)
+            sums.clear()
+            return out
+
+        for batch in batches:
+            stratum, rs, fs, cs = (batch.column(c) for c in ("stratum", "rs", "fs", "cs"))
+            for i in range(batch.num_rows):
+                s, times = stratum[i].as_py(), np.bincount(rs[i].values.to_numpy(), minlength=draws)
+                for f, c in zip(fs[i].as_py(), cs[i].as_py(), strict=True):
+                    if (s, f) in sums:
+                        sums[s, f] += c * times
+                    else:
+                        sums[s, f] = c * times
+                    if len(sums) >= held:
+                        yield told()
+        if sums:
+            yield told()
+
+    return run
+
+
 def bootstrap(obs: DataFrame, priors: DataFrame, draws: int = 400, seed: int = 0) -> DataFrame:
     """fingerprint, ci_low, ci_high: clusters are drawn with replacement within strata, ``draws`` times.
 
     The i-th draw of a replicate takes the cluster numbered md5(seed|replicate|stratum|i)
     modulo their number, so runs agree. Rows are summed to (stratum, cluster,
-    fingerprint) before replicates multiply them.
+    fingerprint); each cluster's draws are one vector of ``draws`` counts, which
+    its sums multiply, so no row stands for a replicate of a cell.
     """
     cells = obs.groupBy("stratum", "cluster", "fingerprint").agg(F.count("*").alias("c"))
     clusters = obs.select("stratum", "cluster").distinct()
@@ -74,9 +114,12 @@ def bootstrap(obs: DataFrame, priors: DataFrame, draws: int = 400, seed: int = 0
     numbered = numbered.join(F.broadcast(ends), F.col("stratum").eqNullSafe(F.col("_s"))).select("stratum", "cluster", (F.col("place") - F.col("at")).alias("i"), "k")
     reps = obs.sparkSession.range(draws).withColumnRenamed("id", "r")
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), "stratum", F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    drawn = numbered.crossJoin(F.broadcast(reps)).select("r", "stratum", F.pmod(pick, F.col("k")).alias("i")).groupBy("r", "stratum", "i").agg(F.count("*").alias("times"))
-    drawn = drawn.join(numbered.select("stratum", "i", "cluster"), ["stratum", "i"])
-    counts = drawn.join(cells, ["stratum", "cluster"]).groupBy("r", "stratum", "fingerprint").agg(F.sum(F.col("c") * F.col("times")).alias("c"))
+    # A cluster is drawn about ``draws`` times over all replicates, whatever the number of clusters.
+    drawn = numbered.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stratum", "i").crossJoin(F.broadcast(reps)).select(F.col("r").cast("int").alias("r"), "stratum", F.pmod(pick, F.col("k")).alias("i")).groupBy("stratum", "i").agg(F.collect_list("r").alias("rs"))
+    drawn = drawn.join(numbered.select("stratum", "i", "cluster"), ["stratum", "i"]).select("stratum", "cluster", "rs")
+    packed = cells.groupBy("stratum", "cluster").agg(F.collect_list(F.struct("fingerprint", "c")).alias("p"))
+    sums = drawn.join(packed, ["stratum", "cluster"]).select("stratum", "rs", F.col("p.fingerprint").alias("fs"), F.col("p.c").alias("cs")).mapInArrow(_multiplied(draws), "stratum string, fingerprint string, cs array<long>")
+    counts = sums.select("stratum", "fingerprint", F.posexplode("cs").alias("r", "c")).where("c > 0").groupBy("r", "stratum", "fingerprint").agg(F.sum("c").alias("c"))
     counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy("r", "stratum")))
     est = point(counts, priors, ["r"])
     # A fingerprint that a replicate lacks has weight 0 there.

@@ -205,3 +205,26 @@ def test_cascades(spark, parts):
         assert weights.collapse(spark.createDataFrame([], kind)).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_draws_multiply_cells_as_vectors(spark, monkeypatch):
+    """Against plain Python, with sums told in small pieces; no row stands for a replicate of a cell."""
+    import hashlib
+    from collections import Counter
+
+    monkeypatch.setattr(weights, "HELD", 2)
+    rng = random.Random(8)
+    rows = [(s, f"c{rng.randint(0, 6)}", rng.choice(["f0", "f1", "f2", None])) for s in ("a", "b") for _ in range(60)]
+    pri, draws, est = {"a": 0.7, "b": 0.3}, 40, Counter()
+    for s, w in pri.items():
+        own = sorted({c for x, c, _ in rows if x == s})
+        for r in range(draws):
+            got = Counter()
+            for i in range(len(own)):
+                c = own[int(hashlib.md5(f"0|{r}|{s}|{i}".encode()).hexdigest()[:8], 16) % len(own)]
+                got.update(f for x, y, f in rows if (x, y) == (s, c))
+            for f, n in got.items():
+                est[f, r] += w * n / sum(got.values())
+    want = {f: [sorted(est[f, r] for r in range(draws))[k] for k in (int(0.025 * draws), int(0.975 * (draws - 1)))] for f in ("f0", "f1", "f2", None)}
+    got = weights.bootstrap(spark.createDataFrame(rows, "stratum string, cluster string, fingerprint string"), spark.createDataFrame(list(pri.items()), "stratum string, weight double"), draws)
+    assert {r["fingerprint"]: [r["ci_low"], r["ci_high"]] for r in got.collect()} == {f: pytest.approx(v) for f, v in want.items()}
