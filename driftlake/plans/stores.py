@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import snapshot
-from ..session import scratch_dir
+from ..session import kept, scratch_dir
 from ..sources.store import ChainStore, SnapshotStore
 from .queries import CAUSED, _snapshots
 
 S = SparkSession
-BUCKETS = 8
+BUCKETS = 24
 
 
 def _raw(spark: S, d: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _raw(spark: S, d: str) -> DataFrame:
 
 def _stored(spark: S, d: str) -> SnapshotStore:
     store = SnapshotStore(spark, scratch_dir(spark, "snapshots"), BUCKETS)
-    raw = _raw(spark, d)
+    raw = kept(_raw(spark, d), "raw")  # read by both fillings
     store.add(raw)
     if store.add(raw):
         raise AssertionError("known releases were written again")

@@ -139,7 +139,8 @@ class ChainStore(_Table):
             causes = snapshot.chained(self.store.rows().where(F.col("release").isin(names)), hops)
             done = hops.select("base", "target", F.lit("meta").alias("cause"), F.concat_ws(" -> ", "base", "target").alias("name"), F.lit(None).cast("string").alias("detail"), F.lit("").alias("class"), F.lit("info").alias("sev"))
             rows = causes.unionByName(done).join(F.broadcast(hops), ["base", "target"])
-            self.replace(rows.select(*self.rows().columns).repartition(*HOP))
+            # A hop is dealt out by name over as many tasks as the store has buckets; small ones are merged again.
+            self.replace(rows.select(*self.rows().columns).repartition(*HOP, F.pmod(F.xxhash64("name"), F.lit(self.store.buckets))))
         for h in old:
             self.drop(h)
         return new, old
