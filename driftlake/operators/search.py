@@ -20,7 +20,7 @@ from .. import vocab
 #: Bytes of patterns (with what goes with them) in one automaton; a larger table is searched in several passes over the texts.
 PIECE = 4 << 20
 #: Bytes of text in one batch of what is found.
-OUT = 16 << 20
+OUT = 4 << 20
 _IN_NAME = re.compile(f"[{vocab.IDENT}]")
 _built: dict[str, tuple[ahocorasick.Automaton, pa.Table]] = {}
 
@@ -91,7 +91,8 @@ def matched(files: DataFrame, patterns: DataFrame, pattern: str, text: str = "te
                 left: list[int] = []
                 right: list[int] = []
                 size = 0
-                for i, t in enumerate(batch.column(at).to_pylist()):
+                for i in range(batch.num_rows):
+                    t = batch.column(at)[i].as_py()  # one text at a time
                     for k in found(t, automaton, whole) if t else []:
                         left.append(i)
                         right.append(k)
