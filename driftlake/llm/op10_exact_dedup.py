@@ -1,7 +1,9 @@
 """Exact dedup against a persistent digest index, bucketed and sorted by hash.
 
-The index is a table in the warehouse, one row a digest, bucketed and sorted
-by it, with a partition for each batch. New data is reduced to one row a
+The index is a table, one row a digest, bucketed and sorted by it, with a
+partition for each batch. A named one is the warehouse's; one without a name,
+as for a single call, has its files in the folder of spark.checkpoint.dir, so
+that it asks for no shared warehouse. New data is reduced to one row a
 digest (partial sums before the shuffle, so a text with any number of copies
 is one row a task), anti-joined by sort-merge to the other batches' digests
 without shuffling the index, and appended as its batch's partition. Adding a
@@ -24,7 +26,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import lookup, numbered, restored, scratch, written
+from ._spark import _delete, lookup, numbered, restored, scratch, scratch_dir, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -50,8 +52,10 @@ class DigestIndex:
     """digest, keep_id, batch: the digests of all batches, each under the batch that brought it in."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
-        shared_warehouse(spark)
+        if name:
+            shared_warehouse(spark)
         self.spark, self.name = spark, name or f"digest_index_{uuid.uuid4().hex}"
+        self.path = None if name else f"{scratch_dir(spark)}/{self.name}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def exists(self) -> bool:
@@ -62,6 +66,8 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.path:
+            _delete(self.spark, self.path)  # the catalog leaves files outside the warehouse
 
     def next_batch(self) -> int:
         return (self.rows().agg(F.max("batch")).first()[0] or 0) + 1 if self.exists() else 1
@@ -71,8 +77,11 @@ class DigestIndex:
         batch = batch or self.next_batch()
         new = marked.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
         if not self.exists():
-            new.withColumn("batch", F.lit(batch)).limit(0).write.partitionBy("batch").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+            at = {"path": self.path} if self.path else {}
+            new.withColumn("batch", F.lit(batch)).limit(0).write.partitionBy("batch").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name, **at)
         self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (batch = {batch})")  # what an earlier run of this batch left
+        if self.path:
+            _delete(self.spark, f"{self.path}/batch={batch}")
         new = new.join(self.rows().where(F.col("batch") != batch).hint("merge"), "digest", "left_anti")
         new.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest").write.mode("append").insertInto(self.name)
         return batch

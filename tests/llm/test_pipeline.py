@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import os
 import re
 from collections import Counter
 
@@ -73,6 +74,15 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_exact_dedup_without_a_shared_warehouse(spark, monkeypatch):
+    """The stage runs on a cluster that shares the checkpoint folder alone, and keeps what it keeps elsewhere."""
+    docs, stage = spark.read.parquet(f"{SF}/documents.parquet"), dict(corpus_pipeline.STAGES)["exact_dedup"]
+    kept, get = sorted(map(str, stage(spark, docs, SF).collect())), type(spark.conf).get
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: f"file:{os.getcwd()}/spark-warehouse" if key == "spark.sql.warehouse.dir" else get(self, key, *a))
+    assert sorted(map(str, stage(spark, docs, SF).collect())) == kept
+
+
 def test_clashing_columns(spark):
     """Columns named like the stages' own ones come through unchanged; null ids and texts, and ids beyond 2**53, too."""
     say = lambda i: " ".join(f"{w}{i}" for w in "alpha beta gamma delta one two three four five six seven eight".split())
