@@ -1,8 +1,10 @@
 """Each operator against a brute-force version on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlake.llm import op1_sharding, op2_mixing, op3_substring, op4_quality, op5_rules, op6_minhash, op7_pii, op8_sentencepiece, op9_warc, op10_exact_dedup
+from driftlake.llm._spark import scratch_dir
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, digest string, size long, label int, n_words int"
@@ -762,6 +765,36 @@ def test_dedup_in_batches(spark, docs):
     assert op10_exact_dedup.DigestIndex(spark).decide(odd(spark), batches=3).count() == 5
 
 
+def test_index_without_a_shared_warehouse(spark, docs, monkeypatch):
+    """A cluster whose warehouse is one machine's folder: an index without a name is in the checkpoint folder and leaves nothing there."""
+    base = scratch_dir(spark).removeprefix("file://")
+    one = sorted(map(tuple, op10_exact_dedup.DigestIndex(spark).decide(docs).collect()))
+    kept = sorted(map(str, op10_exact_dedup.dedup(docs).collect()))
+    get = type(spark.conf).get
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: f"file:{os.getcwd()}/spark-warehouse" if key == "spark.sql.warehouse.dir" else get(self, key, *a))
+    index = op10_exact_dedup.DigestIndex(spark, buckets=4)
+    assert sorted(map(tuple, index.decide(docs, batches=4).collect())) == one == sorted(map(tuple, index.decide(docs, batches=4, first=1).collect()))
+    assert {os.path.commonpath([base, f.removeprefix("file://")]) for f in index.rows().inputFiles()} == {base}
+    assert all(k == 1 for k in Counter(r["digest"] for r in index.rows().collect()).values())
+    index.drop()
+    assert not os.path.exists(f"{base}/{index.name}") and not spark.catalog.tableExists(index.name)
+    assert sorted(map(str, op10_exact_dedup.dedup(docs).collect())) == kept
+    with pytest.raises(ValueError, match="warehouse"):
+        op10_exact_dedup.DigestIndex(spark, "lasting")
+
+
+def test_named_index(spark, docs):
+    """A named index is the warehouse's: a second object finds it, and a batch that is added again replaces itself."""
+    name = f"lasting_{uuid.uuid4().hex}"
+    one = sorted(map(tuple, op10_exact_dedup.DigestIndex(spark, name, 4).decide(docs, batches=2).collect()))
+    again = op10_exact_dedup.DigestIndex(spark, name, 4)
+    assert again.next_batch() == 3 and sorted(map(tuple, again.decide(docs, batches=2, first=1).collect())) == one
+    assert not any(r["kept"] for r in again.decide(docs).collect())
+    again.drop()
+    assert not spark.catalog.tableExists(name)
+
+
 def test_words_vectorised():
     from driftlake.llm._text import Words, slices
 
